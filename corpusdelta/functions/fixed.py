@@ -57,3 +57,6 @@ CONTENT_POS = ["NOUN", "ADJ", "VERB", "ADV"]
 # --- fixed values: statistics thresholds -------------------------------------
 LL_CRITICAL = 15.13            # chi-square, 1 df, p < 0.0001
 MIN_CHARS = 3
+
+# --- fixed values: chi-square (1 df) critical values for p .05 / .01 / .001 --
+CHI2_1DF_CRIT = {"*": 3.84, "**": 6.63, "***": 10.83}

@@ -341,3 +341,12 @@ def side_by_side_ranks(a: DataFrame, b: DataFrame, n: int, order: str = "ll",
         return top.select(F.row_number().over(w).cast("long").alias("rank"),
                           *[F.col(c).alias(f"{c}_{sfx}") for c in cols])
     return ranked(a, "a").join(ranked(b, "b"), "rank", "full_outer")
+
+
+def ll_stars(ll) -> Column:
+    """P21 on a log-likelihood column: stars from the chi-square (1 df)
+    critical values, equivalent to p < .001/.01/.05."""
+    v = F.col(ll) if isinstance(ll, str) else ll
+    c = fixed.CHI2_1DF_CRIT
+    return (F.when(v > c["***"], "***").when(v > c["**"], "**").when(v > c["*"], "*")
+            .otherwise("ns"))

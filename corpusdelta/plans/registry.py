@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusdelta.plans import lexical
+from corpusdelta.plans import lexical, lexical2
 
-MODULES = [lexical]
+MODULES = [lexical, lexical2]
 
 
 def all_plans() -> dict:
