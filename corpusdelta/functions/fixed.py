@@ -60,3 +60,38 @@ MIN_CHARS = 3
 
 # --- fixed values: chi-square (1 df) critical values for p .05 / .01 / .001 --
 CHI2_1DF_CRIT = {"*": 3.84, "**": 6.63, "***": 10.83}
+
+# --- fixed values: feature names of the extended feature set ----------------
+MORPH_FEATURES = [
+    "n_VERB_VerbForm_Fin", "n_VERB_VerbForm_Inf", "n_VERB_VerbForm_Part", "n_VERB_Mood_Ind",
+    "n_VERB_Number_Sing", "n_NOUN_Number_Plur", "n_PRON_PronType_Art", "n_PRON_PronType_Dem",
+    "n_PRON_PronType_Ind", "n_PRON_PronType_Rel", "n_PRON_Reflex_Yes", "n_PRON_Gender_Fem",
+    "n_PRON_Gender_Masc", "n_PRON_Gender_Neut", "n_ADJ_Degree_Cmp", "n_ADJ_Degree_Sup",
+    "n_DET_Number_Plur", "n_DET_Number_Sing", "n_DET_Definite_Def", "n_DET_Definite_Ind",
+    "n_NUM_Number_Sing", "n_ADV_Degree_Cmp", "n_ADV_Degree_Pos", "n_ADV_Degree_Sup",
+    "n_PROPN_Number_Plur", "n_PUNCT_PunctType_Brck", "n_PUNCT_PunctType_Comm",
+    "n_PUNCT_PunctType_Dash", "n_PUNCT_PunctType_Peri", "n_PUNCT_PunctType_Quot",
+    "n_CCONJ_ConjType_Cmp"]
+DEPENDENCY_LABELS = [
+    "acl", "acomp", "advcl", "agent", "attr", "aux", "case", "compound", "conj", "csubj",
+    "csubjpass", "dative", "dep", "dobj", "expl", "intj", "meta", "neg", "nsubj", "nsubjpass",
+    "nummod", "oprd", "parataxis", "pcomp", "poss", "preconj", "prt", "quantmod", "relcl", "xcomp"]
+SENSORIMOTOR = ["Auditory", "Gustatory", "Haptic", "Interoceptive", "Olfactory", "Visual",
+                "Foot_leg", "Hand_arm", "Head", "Mouth", "Torso"]
+EMOTIONS = ["anger", "anticipation", "disgust", "joy", "sadness", "surprise", "trust"]
+ENTITY_CLASSES = ["org", "cardinal", "date", "gpe", "person", "money", "product", "time",
+                  "percent", "quantity", "norp", "loc", "event", "ordinal", "fac", "law",
+                  "language"]
+UPOS_ALL = ["adj", "adp", "adv", "aux", "cconj", "det", "intj", "noun", "num", "part",
+            "pron", "propn", "punct", "sconj", "sym", "verb", "x"]
+VOWEL_GROUP = r"[aeiouyàâäéèêëîïôöùûüáíóúñ]+"
+COMPLEX_SYLLABLES = 3
+MATTR_WINDOW = 50
+MTLD_THRESHOLD = 0.72
+# regex entity classes on raw text
+ENTITY_PATTERNS = {
+    "date": r"(1[0-9]{3}|20[0-9]{2})",
+    "percent": r"[0-9]+ ?%",
+    "money": r"[$€£] ?[0-9]+",
+    "cardinal": r"[0-9]+",
+}
