@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusdelta.functions import text as T
@@ -32,12 +32,39 @@ def unigram_counts(tokens: DataFrame, by: Sequence[str] | str | None = "corpus",
             .select(*b, F.col(key).alias("target"), "lemma", "pos", "freq"))
 
 
-def ngram_counts(sent: DataFrame, n: int = 1, by: Sequence[str] | str | None = "corpus",
-                 array_col: str = "targets") -> DataFrame:
-    """A2: counts of contiguous n-grams inside each sentence (shorter
-    sentences give none). The n-gram target is the space-joined
-    ``lemma:POS`` parts; ``lemma`` and ``pos`` are their space-joined parts
-    (F4), derived after aggregation so they are computed once per type."""
+def sentence_ngrams(tokens: DataFrame, n: int, keep: Sequence[str] = (), key: str = "target",
+                    doc: str = "doc_id") -> DataFrame:
+    """Contiguous n-grams of an annotated token table, one row per n-gram
+    start: ``lead`` over the sentence (a bounded window partition that the
+    doc-id partitioning already satisfies, so no exchange), kept only where
+    the n-th token exists."""
+    if n == 1:
+        return tokens.select(*keep, F.col(key).alias("target"))
+    w = Window.partitionBy(doc, "sent_id").orderBy("pos_in_sent")
+    parts = [F.col(key)] + [F.lead(key, i).over(w) for i in range(1, n)]
+    return (tokens.select(*keep, F.concat_ws(" ", *parts).alias("target"),
+                          F.lead(key, n - 1).over(w).alias("_last"))
+            .filter(F.col("_last").isNotNull()).drop("_last"))
+
+
+def ngram_counts(tokens: DataFrame, n: int = 1, by: Sequence[str] | str | None = "corpus",
+                 key: str = "target") -> DataFrame:
+    """A2: counts of contiguous n-grams inside each sentence of an annotated
+    token table (shorter sentences give none). The n-gram target is the
+    space-joined ``lemma:POS`` parts; ``lemma`` and ``pos`` are their
+    space-joined parts (F4), derived after aggregation so they are computed
+    once per type."""
+    b = _by(by)
+    grams = sentence_ngrams(tokens, n, keep=b, key=key)
+    return (grams.groupBy(*b, "target").agg(F.count(F.lit(1)).alias("freq"))
+            .select(*b, "target", T.ngram_lemma("target").alias("lemma"),
+                    T.ngram_pos("target").alias("pos"), "freq"))
+
+
+def ngram_counts_arrays(sent: DataFrame, n: int = 1, by: Sequence[str] | str | None = "corpus",
+                        array_col: str = "targets") -> DataFrame:
+    """A2 on sentence arrays (e.g. read from one-sentence-per-line files):
+    array-native n-grams, guarded for sentences shorter than n."""
     b = _by(by)
     grams = sent.select(*b, F.explode(T.ngrams(array_col, n, " ")).alias("target"))
     return (grams.groupBy(*b, "target").agg(F.count(F.lit(1)).alias("freq"))

@@ -5,8 +5,9 @@ report joins (J9-J11, J14) and pair summaries (A14-A16).
 Design: a comparison of two corpora is *one* conditional aggregation
 ``groupBy(target).agg(sum(freq if corpus=c1), sum(freq if corpus=c2))`` rather
 than a join of two vocabularies, so it costs one exchange; the inner join is
-the ``having both > 0`` variant. Corpus totals are scalars (scalar
-subqueries) or, for many corpora, a broadcast table with one row per corpus.
+the ``having both > 0`` variant. The aggregate is checkpointed once; corpus
+totals (one number per corpus, size checked) are read from it and enter the
+plan as literals or, for many corpora, as a broadcast routing table.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusdelta.functions import fixed
 from corpusdelta.functions import stats as S
+from corpusdelta.session import cut
 
 KEYS = ["target", "lemma", "pos"]
 MEASURES = ["freq_norm1", "freq_norm2", "ratio_t2", "ratio_t1",
@@ -49,22 +51,33 @@ def _side_agg(df: DataFrame, keys: Sequence[str], cond1: Column, cond2: Column,
     return agg
 
 
-def _finish(agg: DataFrame, keys: Sequence[str], how: str, totals: Column | None) -> DataFrame:
+def _finish(agg: DataFrame, keys: Sequence[str], how: str,
+            totals: tuple[int, int] | None) -> DataFrame:
+    agg = (agg.withColumn("freq1", F.coalesce("freq1", F.lit(0)).cast("long"))
+              .withColumn("freq2", F.coalesce("freq2", F.lit(0)).cast("long")))
     if totals is None:
-        # Corpus sizes from the aggregate itself: the subquery shares the
-        # aggregate's exchange, so the input is not read twice.
-        totals = agg.select(F.struct(F.sum("freq1").cast("long").alias("t1"),
-                                     F.sum("freq2").cast("long").alias("t2"))).scalar()
-    out = agg.withColumn("freq1", F.coalesce("freq1", F.lit(0)).cast("long")) \
-             .withColumn("freq2", F.coalesce("freq2", F.lit(0)).cast("long"))
+        # The aggregate is the persistence point: checkpoint it once, read the
+        # two corpus sizes from it (a tiny job), then rank/filter from it.
+        agg = cut(agg)
+        row = agg.agg(F.sum("freq1").cast("long"), F.sum("freq2").cast("long")).first()
+        totals = (row[0] or 0, row[1] or 0)
+    out = agg
     if how == "inner":
         out = out.filter((F.col("freq1") > 0) & (F.col("freq2") > 0))
     elif how not in ("outer", "full", "full_outer"):
         raise ValueError(f"how must be inner or outer, got {how!r}")
-    out = keyness_measures(out, totals.getField("t1"), totals.getField("t2"))
+    out = keyness_measures(out, F.lit(totals[0]).cast("long"), F.lit(totals[1]).cast("long"))
     return out.select(*keys, "freq1", "freq2", *MEASURES)
 
 
+def corpus_totals(totals: DataFrame, by: str = "corpus", limit: int = 2000) -> dict:
+    """Collect ``(corpus, total)`` rows: one row per corpus, size checked."""
+    rows = totals.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} corpora")
+    return {r[by]: r["total"] for r in rows}
+
+
 def keyness(freqs: DataFrame, corpus1: str, corpus2: str, how: str = "inner",
             totals: DataFrame | None = None, by: str = "corpus",
             keys: Sequence[str] = KEYS) -> DataFrame:
@@ -77,9 +90,8 @@ def keyness(freqs: DataFrame, corpus1: str, corpus2: str, how: str = "inner",
     agg = _side_agg(f, keys, F.col(by) == corpus1, F.col(by) == corpus2, F.col("freq"), how)
     tot = None
     if totals is not None:
-        tot = totals.select(F.struct(
-            F.sum(F.when(F.col(by) == corpus1, F.col("total"))).cast("long").alias("t1"),
-            F.sum(F.when(F.col(by) == corpus2, F.col("total"))).cast("long").alias("t2"))).scalar()
+        size = corpus_totals(totals.filter(F.col(by).isin(corpus1, corpus2)), by)
+        tot = (size.get(corpus1, 0), size.get(corpus2, 0))
     return _finish(agg, keys, how, tot)
 
 
@@ -109,34 +121,43 @@ def keyness_all_pairs(freqs: DataFrame, how: str = "inner", by: str = "corpus",
                       min_freq: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Keyness for every pair of corpora (or the listed pairs) in one plan.
 
-    The per-corpus totals (one row per corpus, size checked) come to the
-    driver to build a corpus -> (pair, side) map that is broadcast; every
-    frequency row is routed to the pairs its corpus takes part in, and one
-    aggregation on ``(pair, target)`` forms both sides. No driver loop, no
-    self-join of the vocabulary."""
+    Corpus totals (one row per corpus, size checked) enter the plan as a
+    literal map. ``inner``: an equi-join of the frequency table with itself
+    on the target, ``corpus1 < corpus2``; since ``(corpus, target)`` is unique
+    a target has at most one row per corpus, so the join emits exactly the
+    result rows and no key can be hot. ``outer``: every frequency row is
+    routed (broadcast map, bounded by the corpus count) to the pairs its
+    corpus takes part in and one aggregation on ``(pair, target)`` forms both
+    sides. No driver loop over pairs."""
     spark = freqs.sparkSession
-    tot = (totals if totals is not None else
-           freqs.groupBy(by).agg(F.sum("freq").cast("long").alias("total")))
-    rows = tot.limit(MAX_CORPORA + 1).collect()
-    if len(rows) > MAX_CORPORA:
-        raise ValueError(f"more than {MAX_CORPORA} corpora: use listed pairs")
-    size = {r[by]: r["total"] for r in rows}
+    if totals is None:
+        freqs = cut(freqs)        # read twice: once for the totals, once here
+        totals = freqs.groupBy(by).agg(F.sum("freq").cast("long").alias("total"))
+    size = corpus_totals(totals, by, MAX_CORPORA)
     plist = corpus_pairs(list(size), pairs)
-    route = []
-    for c1, c2 in plist:
-        route.append((c1, c1, c2, 1, size.get(c1), size.get(c2)))
-        route.append((c2, c1, c2, 2, size.get(c1), size.get(c2)))
-    rmap = spark.createDataFrame(
-        route, f"{by} string, corpus1 string, corpus2 string, side int, total1 long, total2 long")
+    tmap = F.create_map(*[x for k, v in size.items() for x in (F.lit(k), F.lit(v).cast("long"))])
     f = freqs if min_freq <= 0 else freqs.filter(F.col("freq") >= min_freq)
-    j = f.join(F.broadcast(rmap), by)
-    agg = j.groupBy("corpus1", "corpus2", "total1", "total2", *keys).agg(
-        F.sum(F.when(F.col("side") == 1, F.col("freq"))).cast("long").alias("freq1"),
-        F.sum(F.when(F.col("side") == 2, F.col("freq"))).cast("long").alias("freq2"))
-    out = agg.withColumn("freq1", F.coalesce("freq1", F.lit(0)).cast("long")) \
-             .withColumn("freq2", F.coalesce("freq2", F.lit(0)).cast("long"))
     if how == "inner":
-        out = out.filter((F.col("freq1") > 0) & (F.col("freq2") > 0))
+        a = f.select(F.col(by).alias("corpus1"), *keys, F.col("freq").alias("freq1"))
+        b = f.select(F.col(by).alias("corpus2"), *[F.col(k).alias(f"_{k}") for k in keys],
+                     F.col("freq").alias("freq2"))
+        cond = [a[k] == b[f"_{k}"] for k in keys] + [a["corpus1"] < b["corpus2"]]
+        out = a.join(b, cond, "inner").drop(*[f"_{k}" for k in keys])
+        if pairs is not None:
+            tags = [f"{c1}\u0001{c2}" for c1, c2 in plist]
+            out = out.filter(F.concat_ws("\u0001", "corpus1", "corpus2").isin(*tags))
+    else:
+        route = []
+        for c1, c2 in plist:
+            route += [(c1, c1, c2, 1), (c2, c1, c2, 2)]
+        rmap = spark.createDataFrame(route, f"{by} string, corpus1 string, corpus2 string, side int")
+        j = f.join(F.broadcast(rmap), by)
+        out = j.groupBy("corpus1", "corpus2", *keys).agg(
+            F.sum(F.when(F.col("side") == 1, F.col("freq"))).cast("long").alias("freq1"),
+            F.sum(F.when(F.col("side") == 2, F.col("freq"))).cast("long").alias("freq2"))
+        out = (out.withColumn("freq1", F.coalesce("freq1", F.lit(0)).cast("long"))
+               .withColumn("freq2", F.coalesce("freq2", F.lit(0)).cast("long")))
+    out = out.withColumn("total1", tmap[F.col("corpus1")]).withColumn("total2", tmap[F.col("corpus2")])
     out = keyness_measures(out)
     return out.select("corpus1", "corpus2", *keys, "freq1", "freq2", *MEASURES)
 

@@ -38,9 +38,16 @@ def sentence_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def sentence_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      keep: Sequence[str] = ()) -> DataFrame:
-    """Per sentence the token array and the ``lemma:UPOS`` array."""
-    s = sentence_tokens(docs, id_col, text_col, keep)
-    return s.withColumn("targets", F.transform("tokens", T.target_of))
+    """Per sentence the token array and the ``lemma:UPOS`` array.
+
+    Tokens are exploded and annotated with code-generated expressions, then
+    put back together per sentence; the grouping key contains the document
+    id, so the doc-id partitioning satisfies it without an exchange."""
+    t = annotate_tokens(tokenize(docs, id_col, text_col, keep))
+    g = (t.groupBy(*keep, id_col, "sent_id")
+         .agg(F.array_sort(F.collect_list(F.struct("pos_in_sent", "token", "target"))).alias("_s")))
+    return g.select(*_keep(keep), id_col, "sent_id", F.col("_s.token").alias("tokens"),
+                    F.col("_s.target").alias("targets"))
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -85,8 +85,7 @@ g AS (SELECT corpus, unnest(list_transform(range(1, len(t) - 5 + 2),
 SELECT corpus, target, {Q.ngram_lemma('target')} AS lemma, {Q.ngram_pos('target')} AS pos,
        COUNT(*) AS freq FROM g GROUP BY corpus, target""")
 def q_ngram_counts(spark, sf):
-    s = tok.sentence_targets(lang_docs(spark, sf), keep=("corpus",))
-    return C.ngram_counts(s, n=5, by="corpus")
+    return C.ngram_counts(annotated(lang_docs(spark, sf)), n=5, by="corpus")
 
 
 # ------------------------------------------------------------------ A3
@@ -99,8 +98,8 @@ f AS (SELECT corpus, target, COUNT(*) AS freq FROM g GROUP BY corpus, target)
 SELECT corpus, {Q.ngram_pos('target')} AS target, CAST(SUM(freq) AS BIGINT) AS freq
 FROM f GROUP BY corpus, {Q.ngram_pos('target')}""")
 def q_pos_ngram_counts(spark, sf):
-    s = tok.sentence_targets(lang_docs(spark, sf), keep=("corpus",))
-    return C.pos_ngram_counts(C.ngram_counts(s, n=3, by="corpus"), by="corpus")
+    grams = C.ngram_counts(annotated(lang_docs(spark, sf)), n=3, by="corpus")
+    return C.pos_ngram_counts(grams, by="corpus")
 
 
 # ------------------------------------------------------------------ A4

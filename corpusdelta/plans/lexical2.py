@@ -90,9 +90,9 @@ def q_significant_share(spark, sf):
 # ------------------------------------------------------------------ n-gram keyness
 def _quality_ngram_keyness(spark, sf, n=5):
     docs = quality_docs(spark, sf)
-    s = tok.sentence_targets(docs, keep=("corpus",))
-    grams = C.ngram_counts(s, n=n, by="corpus")
-    unis = C.corpus_size(C.ngram_counts(s, n=1, by="corpus"))
+    t = annotated(docs)
+    grams = C.ngram_counts(t, n=n, by="corpus")
+    unis = C.corpus_size(C.unigram_counts(t, by="corpus"))
     return K.keyness(grams, "q0", "q1", how="inner", totals=unis)
 
 

@@ -64,3 +64,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() < n:
         return df.repartition(n, key)
     return df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the session's checkpoint folder and return a
+    DataFrame reading it: later jobs (totals, rankings, second passes) reuse
+    it instead of recomputing the lineage, and it survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
