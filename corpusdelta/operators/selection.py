@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -158,27 +157,33 @@ def pseudo_r2(df: DataFrame, y: str, p: str) -> DataFrame:
                      / (1 - F.exp(2 * F.col("ll0") / F.col("n")))).alias("nagelkerke"))
 
 
-def auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Exact ROC AUC (ties count one half) from a histogram of distinct
-    scores: range-partition the histogram, per-partition negative totals
-    (one number per partition to the driver) become offsets, a window inside
-    each range partition gives the negatives below each score."""
-    h = (df.groupBy(F.col(score).cast("double").alias("s"))
+def auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Exact ROC AUC (ties count one half), optionally per ``by`` group
+    (e.g. per model), from a histogram of distinct scores:
+    range-partition the histogram on (by, score); per (partition, group)
+    negative totals (bounded by partitions x groups) become offsets; a window
+    inside each range partition gives the negatives below each score."""
+    by = list(by)
+    h = (df.groupBy(*by, F.col(score).cast("double").alias("s"))
          .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    r = h.repartitionByRange(n, "s").withColumn("_p", F.spark_partition_id())
+    r = h.repartitionByRange(n, *by, "s").withColumn("_p", F.spark_partition_id())
     from corpusdelta.session import cut
     r = cut(r)
-    tot = {row["_p"]: row["neg"] for row in r.groupBy("_p").agg(F.sum("neg").alias("neg")).collect()}
-    off, run = {}, 0
-    for p in sorted(tot):
-        off[p] = run
-        run += tot[p]
-    om = F.create_map(*[x for k, v in off.items() for x in (F.lit(k), F.lit(v))]) if off else F.create_map()
-    w = Window.partitionBy("_p").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(w), F.lit(0)) + om[F.col("_p")]
+    tot = r.groupBy("_p", *by).agg(F.sum("neg").alias("neg")).collect()
+    off, run = {}, {}
+    for row in sorted(tot, key=lambda q: q["_p"]):
+        g = tuple(row[b] for b in by)
+        off[(row["_p"],) + g] = run.get(g, 0)
+        run[g] = run.get(g, 0) + row["neg"]
+    keyc = F.concat_ws("\u0001", F.col("_p").cast("string"), *[F.col(b).cast("string") for b in by])
+    om = F.create_map(*[x for k, v in off.items()
+                        for x in (F.lit("\u0001".join(str(e) for e in k)), F.lit(v))]) if off else F.create_map()
+    w = Window.partitionBy("_p", *by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(w), F.lit(0)) + om[keyc]
     c = r.withColumn("below", below)
-    return c.agg((F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
+    g = c.groupBy(*by) if by else c.groupBy()
+    return g.agg((F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
                   / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
@@ -244,50 +249,60 @@ def _auc_of(model, test: DataFrame, label: str) -> float:
 
 
 def elastic_net_nested_cv(df: DataFrame, features: Sequence[str], label: str, key: str,
-                          outer: int = 5, inner: int = 5, n_iter: int = 20, seed: int = 42,
-                          parallelism: int = 8):
-    """Nested CV of a logistic elastic net with the scaler inside the
-    folds. ``n_iter`` random draws of C ~ loguniform(1e-4, 1) and l1_ratio
-    from linspace(.7, 1, 6) (seeded); regParam = 1/(C n) maps C onto MLlib's
-    mean-loss objective. Inner search by AUC over ``inner`` stratified folds;
-    fits run concurrently (``parallelism`` driver threads, each a distributed
-    job). Returns ``(fold_results, coefficients)`` DataFrames."""
+                          outer: int = 5, inner: int = 5, n_iter: int = 20, seed: int = 42):
+    """Nested CV of a logistic elastic net, scaler inside the folds.
+
+    ``n_iter`` seeded draws of C ~ loguniform(1e-4, 1) and l1_ratio from
+    linspace(.7, 1, 6); lam = 1/(C n) maps C onto the mean-loss objective.
+    Folds are hash folds of the row id. All outer x inner x n_iter inner
+    models are fitted together (one pass per Newton iteration, see
+    batched_logit), scored by AUC on their validation folds (distributed
+    AUC per model), the best setting per outer fold is refitted on the whole
+    outer training part (again batched) and scored on the outer test fold.
+    Returns ``(fold_results, coefficients)`` DataFrames."""
+    from corpusdelta.operators import batched_logit as BL
+    from corpusdelta.session import cut
     spark = df.sparkSession
     rng = np.random.default_rng(seed)
     cs = np.exp(rng.uniform(np.log(1e-4), np.log(1.0), n_iter))
     l1s = rng.choice(np.linspace(0.7, 1.0, 6), n_iter)
-    grid = list(zip(cs.tolist(), l1s.tolist()))
-    data = hash_folds(df.select(key, label, *features).withColumn(label, F.col(label).cast("double")),
-                      label, key, outer, seed, "_outer")
-    from corpusdelta.session import cut
+    data = df.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("double").alias("_y"),
+                     *[F.col(f).cast("double").alias(f) for f in features])
+    data = hash_folds(data, "_y", "_id", outer, seed, "_outer")
+    data = hash_folds(data, "_y", "_id", inner, seed + 1, "_inner")
     data = cut(data)
-    results, coefs = [], []
+    counts = {(r["_outer"], r["_inner"]): r["count"] for r in data.groupBy("_outer", "_inner").count().collect()}
+    models = [(fo, fi, g) for fo in range(outer) for fi in range(inner) for g in range(n_iter)]
+    n_train = np.array([sum(v for (o, i), v in counts.items() if o != fo and i != fi) for fo, fi, _ in models])
+    lam = 1.0 / (cs[[g for _, _, g in models]] * np.maximum(n_train, 1))
+    alpha = l1s[[g for _, _, g in models]]
+    spec = BL.WeightSpec("folds", outer_out=[m[0] for m in models], inner_out=[m[1] for m in models],
+                         inner_only=[-1] * len(models))
+    coefs, icpt, mean, sd = BL.fit_batched(data, features, "_y", spec, lam, alpha)
+    val = BL.WeightSpec("folds", outer_out=[m[0] for m in models], inner_out=[-1] * len(models),
+                        inner_only=[m[1] for m in models])
+    aucs = {r["model"]: r["auc"] for r in
+            auc(BL.scores_long(data, features, val, coefs, icpt, mean, sd), "y", "score", ["model"]).collect()}
+    best = []
     for fo in range(outer):
-        train = hash_folds(data.filter(F.col("_outer") != fo), label, key, inner, seed + 1, "_inner")
-        train = cut(train)
-        test = data.filter(F.col("_outer") == fo)
-        n_tr = train.count()
-
-        def score(job):
-            (c, l1), fi = job
-            tr = train.filter(F.col("_inner") != fi)
-            va = train.filter(F.col("_inner") == fi)
-            m = _pipeline_fit(tr, features, label, c, l1, max(tr.count(), 1))
-            return (c, l1), _auc_of(m, va, label)
-        jobs = [(g, fi) for g in grid for fi in range(inner)]
-        with ThreadPoolExecutor(max_workers=parallelism) as ex:
-            scored = list(ex.map(score, jobs))
-        mean_auc = {}
-        for g, a in scored:
-            mean_auc.setdefault(g, []).append(a)
-        best = max(grid, key=lambda g: (float(np.mean(mean_auc[g])), -g[0]))
-        m = _pipeline_fit(train, features, label, best[0], best[1], n_tr)
-        a = _auc_of(m, test, label)
-        results.append((fo + 1, a, float(best[0]), float(best[1])))
-        lr = m.stages[-1]
-        coefs += [(fo + 1, f, float(v)) for f, v in zip(features, lr.coefficients.toArray())]
+        mean_auc = {g: np.nanmean([aucs.get(models.index((fo, fi, g)), np.nan) for fi in range(inner)])
+                    for g in range(n_iter)}
+        best.append(max(range(n_iter), key=lambda g: (mean_auc[g], -cs[g])))
+    n_out = np.array([sum(v for (o, _), v in counts.items() if o != fo) for fo in range(outer)])
+    spec2 = BL.WeightSpec("folds", outer_out=list(range(outer)), inner_out=[-1] * outer, inner_only=[-1] * outer)
+    c2, i2, m2, s2 = BL.fit_batched(data, features, "_y", spec2, 1.0 / (cs[best] * np.maximum(n_out, 1)),
+                                    l1s[best])
+    test = BL.WeightSpec("folds", outer_out=[-1] * outer, inner_out=[-1] * outer, inner_only=[-1] * outer)
+    sc = BL.scores_long(data.withColumn("_inner", F.col("_outer")), features, BL.WeightSpec(
+        "folds", outer_out=[-1] * outer, inner_out=[-1] * outer, inner_only=list(range(outer))),
+        c2, i2, m2, s2)
+    del test
+    taucs = {r["model"]: r["auc"] for r in auc(sc, "y", "score", ["model"]).collect()}
+    results = [(fo + 1, float(taucs.get(fo, float("nan"))), float(cs[best[fo]]), float(l1s[best[fo]]))
+               for fo in range(outer)]
+    rows = [(fo + 1, f, float(c2[fo, j])) for fo in range(outer) for j, f in enumerate(features)]
     res = spark.createDataFrame(results, "fold int, auc double, best_c double, best_l1_ratio double")
-    cf = spark.createDataFrame(coefs, "fold int, feature string, coef double")
+    cf = spark.createDataFrame(rows, "fold int, feature string, coef double")
     return res, cf
 
 
@@ -387,36 +402,21 @@ def feature_prefilter(df: DataFrame, cols: Sequence[str], threshold: float = 0.9
 
 # ------------------------------------------------------------------ X15-X17, F13, W11, T4
 def bootstrap_coefs(df: DataFrame, features: Sequence[str], label: str, key: str,
-                    reps: int = 200, seed: int = 42, c: float = 0.1, l1: float = 0.9,
-                    parallelism: int = 8) -> DataFrame:
-    """X15 fits: ``reps`` refits on bootstrap resamples expressed as
-    replicate weights ~ Poisson(1) drawn from a hash of (seed, rep, id), so
-    no resampled copy of the data is built. Returns long ``(rep, feature,
-    coef)``."""
-    spark = df.sparkSession
-    base = df.select(key, F.col(label).cast("double").alias(label), *features)
+                    reps: int = 200, seed: int = 42, c: float = 0.1, l1: float = 0.9) -> DataFrame:
+    """X15 fits: ``reps`` refits on bootstrap resamples, expressed as
+    replicate weights ~ Poisson(1) drawn from a hash of (seed, rep, id) and
+    fitted together (batched_logit). Returns long ``(rep, feature, coef)``."""
+    from corpusdelta.operators import batched_logit as BL
     from corpusdelta.session import cut
-    base = cut(base)
-    n = base.count()
-
-    def poisson1(rep):
-        # inverse-CDF Poisson(1) from a uniform built out of a 64-bit hash
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(rep), F.col(key)), F.lit(1 << 52)).cast("double")
-             / float(1 << 52))
-        cdf, expr, k, p = 0.0, None, 0, math.exp(-1.0)
-        for k in range(12):
-            cdf += p
-            cond = u < cdf
-            expr = F.when(cond, F.lit(float(k))) if expr is None else expr.when(cond, F.lit(float(k)))
-            p = p / (k + 1)
-        return expr.otherwise(F.lit(12.0))
-
-    def fit(rep):
-        data = base.withColumn("_w", poisson1(rep)).filter(F.col("_w") > 0)
-        m = _pipeline_fit(data, features, label, c, l1, n, weight="_w")
-        return [(rep, f, float(v)) for f, v in zip(features, m.stages[-1].coefficients.toArray())]
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        rows = [r for part in ex.map(fit, range(reps)) for r in part]
+    spark = df.sparkSession
+    data = df.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("double").alias("_y"),
+                     F.lit(0).alias("_outer"), F.lit(0).alias("_inner"),
+                     *[F.col(f).cast("double").alias(f) for f in features])
+    data = cut(data)
+    n = data.count()
+    spec = BL.WeightSpec("bootstrap", reps=np.arange(reps), seed=seed)
+    coefs, _, _, _ = BL.fit_batched(data, features, "_y", spec, np.full(reps, 1.0 / (c * n)), np.full(reps, l1))
+    rows = [(r, f, float(coefs[r, j])) for r in range(reps) for j, f in enumerate(features)]
     return spark.createDataFrame(rows, "rep int, feature string, coef double")
 
 
