@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusdelta.plans import corpus_plans, features_plans, lexical, lexical2, selection_plans, vector_plans
+from corpusdelta.plans import corpus_plans, features_plans, lexical, lexical2, selection_plans, senses_plans, vector_plans
 
-MODULES = [lexical, lexical2, features_plans, corpus_plans, vector_plans, selection_plans]
+MODULES = [lexical, lexical2, features_plans, corpus_plans, vector_plans, selection_plans, senses_plans]
 
 
 def all_plans() -> dict:
