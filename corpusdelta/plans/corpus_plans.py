@@ -495,3 +495,53 @@ def q_write_partitioned(spark, sf):
     W.write_append(t.filter(F.col("time") == "t1"), f"{base}/extra")
     W.write_table(t, f"{base}/plain.parquet", compression="gzip")
     return spark.read.parquet(f"{base}/samples").groupBy("time").count()
+
+
+@plan("write_table")
+def q_write_table(spark, sf):
+    base = scratch(spark)
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    W.write_table(d, f"{base}/docs.parquet", compression="gzip")
+    W.write_table(d, f"{base}/docs_tsv", fmt="tsv")
+    back = spark.read.options(sep="\t", header=False).schema("doc_id long, lang string, n_chars long").csv(f"{base}/docs_tsv")
+    return spark.read.parquet(f"{base}/docs.parquet").unionByName(back).groupBy("lang").count()
+
+
+@plan("write_if_absent")
+def q_write_if_absent(spark, sf):
+    base = scratch(spark)
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    W.write_if_absent(d, f"{base}/out")
+    W.write_if_absent(d.limit(0), f"{base}/out")          # exists: skipped, rows kept
+    try:
+        W.write_or_fail(d, f"{base}/out")
+        raise AssertionError("write_or_fail did not fail on an existing output")
+    except Exception as e:  # noqa: BLE001
+        if isinstance(e, AssertionError):
+            raise
+    return spark.read.parquet(f"{base}/out")
+
+
+@plan("write_append")
+def q_write_append(spark, sf):
+    base = scratch(spark)
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    W.write_append(d.filter(F.col("lang") == "en"), f"{base}/targets")
+    W.write_append(d.filter(F.col("lang") != "en"), f"{base}/targets")
+    return spark.read.parquet(f"{base}/targets")
+
+
+XML_BODY_SQL = """SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[<>&]', '', 'g') || ' ' ||
+  regexp_replace(url, '[<>&]', '', 'g')) AS body FROM pages"""
+
+
+@plan("xml_body_text", XML_BODY_SQL)
+def q_xml_body_text(spark, sf):
+    """S9, XML path: well-formed TEI-like markup built from each page (title
+    and url as body divs, plus a typed div that must be skipped)."""
+    pg = table(spark, sf, "pages")
+    title = F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), "[<>&]", "")
+    url = F.regexp_replace("url", "[<>&]", "")
+    xml = F.format_string("<TEI><text><body><div>%s</div><div type=\"ack\">skip me</div><div><p>%s</p></div>"
+                          "</body></text></TEI>", title, url)
+    return pg.select("page_id", R.xml_body_text(xml).alias("body"))

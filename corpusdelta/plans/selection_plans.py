@@ -360,3 +360,10 @@ def q_bootstrap_refits(spark, sf):
     f = labelled_features(spark, sf)
     boot = SE.bootstrap_coefs(f, GLM_FEATS, "quality", "doc_id", reps=200)
     return rounded(SE.bootstrap_ci(boot))
+
+
+@plan("paired_logistic")
+def q_paired_logistic(spark, sf):
+    f = SE.standardise(labelled_features(spark, sf), GLM_FEATS)
+    f = f.withColumn("pair_id", (F.col("doc_id") / 2).cast("long"))
+    return rounded(SE.paired_logistic(f, GLM_FEATS, "quality", "pair_id"))
