@@ -136,7 +136,7 @@ def fit_batched(data: DataFrame, features: Sequence[str], label: str, spec: Weig
             y = pdf["_y"].to_numpy(np.float64)[:, None]
             w = spec.weights(pdf)
             eta = x @ eff.T
-            p = 1.0 / (1.0 + np.exp(-eta))
+            p = np.exp(-np.logaddexp(0, -eta))
             r = w * (p - y)
             v = w * p * (1 - p)
             g = (x.T @ r).T                                # M x (d+1)

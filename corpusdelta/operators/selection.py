@@ -492,7 +492,7 @@ def _paired_pass(data: DataFrame, features: Sequence[str], group: str, theta: np
         ll_g = mx[:, 0] + np.log(np.exp(lg - mx).sum(1))
         post = np.exp(lg - ll_g[:, None])                 # G x Q
         gi = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pdf)]))
-        resid = (y[:, None] - 1 / (1 + np.exp(-eta))) * post[gi]   # n x Q
+        resid = (y[:, None] - np.exp(-np.logaddexp(0, -eta))) * post[gi]   # n x Q
         g_beta = x.T @ resid.sum(1)
         g_s = (resid * b[None, :]).sum()
         return np.concatenate([[ll_g.sum()], g_beta, [g_s]])

@@ -545,3 +545,20 @@ def q_xml_body_text(spark, sf):
     xml = F.format_string("<TEI><text><body><div>%s</div><div type=\"ack\">skip me</div><div><p>%s</p></div>"
                           "</body></text></TEI>", title, url)
     return pg.select("page_id", R.xml_body_text(xml).alias("body"))
+
+
+@plan("write_or_fail")
+def q_write_or_fail(spark, sf):
+    """S15, fail mode: the first write succeeds, a second write to the same
+    path raises; the rows of the first write are returned."""
+    base = scratch(spark)
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    W.write_or_fail(d, f"{base}/out")
+    failed = False
+    try:
+        W.write_or_fail(d, f"{base}/out")
+    except Exception:  # noqa: BLE001
+        failed = True
+    if not failed:
+        raise AssertionError("write_or_fail did not fail on an existing output")
+    return spark.read.parquet(f"{base}/out")
