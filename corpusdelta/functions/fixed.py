@@ -11,9 +11,12 @@ TOKEN_PATTERN = r"[\p{L}]+|[0-9]+|[^\s\p{L}0-9]"
 
 # --- fixed values: coarse POS rules -----------------------------------------
 SYMBOL_CHARS = "$%§+=<>#&@*~^|€£"
-ADV_SUFFIX = r"ly$"
-VERB_SUFFIX = r"(ing|ed|ize|ise|ify)$"
-ADJ_SUFFIX = r"(ous|ful|ive|able|ible|al|ic|less)$"
+ADV_SUFFIXES = ["ly"]
+VERB_SUFFIXES = ["ing", "ed", "ize", "ise", "ify"]
+ADJ_SUFFIXES = ["ous", "ful", "ive", "able", "ible", "al", "ic", "less"]
+ADV_SUFFIX = "(" + "|".join(ADV_SUFFIXES) + ")$"
+VERB_SUFFIX = "(" + "|".join(VERB_SUFFIXES) + ")$"
+ADJ_SUFFIX = "(" + "|".join(ADJ_SUFFIXES) + ")$"
 SUFFIX_MIN_LEN = 5
 
 # --- fixed values: closed-class words (en, fr, de, es), tag -> words ---------

@@ -32,18 +32,30 @@ def token_array(sentence) -> Column:
 
 
 # ---------------------------------------------------------------- F11
+def _ends(t: Column, suffixes) -> Column:
+    """Any of the suffixes (byte comparisons; cheaper than a regex scan)."""
+    e = None
+    for s in suffixes:
+        c = t.endswith(s)
+        e = c if e is None else e | c
+    return e
+
+
 def upos(token) -> Column:
-    """Coarse universal POS by deterministic rules; first match wins."""
+    """Coarse universal POS by deterministic rules; first match wins.
+    (Conditions are short-circuit ANDs so the regex only runs when the first
+    character allows a match.)"""
     t = _c(token)
+    first = F.substring(t, 1, 1)
     long_enough = F.length(t) >= fixed.SUFFIX_MIN_LEN
-    expr = (F.when(t.rlike("^[0-9]+$"), "NUM")
+    expr = (F.when((first >= "0") & (first <= "9") & t.rlike("^[0-9]+$"), "NUM")
             .when(t.isin(*list(fixed.SYMBOL_CHARS)), "SYM")
             .when(~t.rlike(r"[\p{L}0-9]"), "PUNCT"))
     for tag, words in fixed.CLOSED_CLASS.items():
         expr = expr.when(t.isin(*words), tag)
-    return (expr.when(long_enough & t.rlike(fixed.ADV_SUFFIX), "ADV")
-            .when(long_enough & t.rlike(fixed.VERB_SUFFIX), "VERB")
-            .when(long_enough & t.rlike(fixed.ADJ_SUFFIX), "ADJ")
+    return (expr.when(long_enough & _ends(t, fixed.ADV_SUFFIXES), "ADV")
+            .when(long_enough & _ends(t, fixed.VERB_SUFFIXES), "VERB")
+            .when(long_enough & _ends(t, fixed.ADJ_SUFFIXES), "ADJ")
             .otherwise("NOUN"))
 
 
@@ -52,9 +64,9 @@ def lemma(token, pos) -> Column:
     VERB loses ``ing``/``ed`` when at least 3 characters remain."""
     t, p = _c(token), _c(pos)
     n = F.length(t)
-    return (F.when((p == "NOUN") & (n >= 4) & t.rlike("[^s]s$"), t.substr(F.lit(1), n - 1))
-            .when((p == "VERB") & t.rlike("ing$") & (n - 3 >= 3), t.substr(F.lit(1), n - 3))
-            .when((p == "VERB") & t.rlike("ed$") & (n - 2 >= 3), t.substr(F.lit(1), n - 2))
+    return (F.when((p == "NOUN") & (n >= 4) & t.endswith("s") & ~t.endswith("ss"), t.substr(F.lit(1), n - 1))
+            .when((p == "VERB") & t.endswith("ing") & (n - 3 >= 3), t.substr(F.lit(1), n - 3))
+            .when((p == "VERB") & t.endswith("ed") & (n - 2 >= 3), t.substr(F.lit(1), n - 2))
             .otherwise(t))
 
 

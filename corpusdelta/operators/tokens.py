@@ -74,7 +74,8 @@ def annotate_tokens(tokens: DataFrame, token_col: str = "token", pos: bool = Tru
         tok = F.col(token_col)
         out = (tokens.withColumn("upos", T.upos(tok))
                .withColumn("lemma", T.lemma(tok, F.col("upos"))))
-    if lowercase:
+    if lowercase and annotator is not None:
+        # built-in tokens are lowercase already; external lemmas may not be
         out = out.withColumn("lemma", F.lower("lemma"))
     target = T.tagged("lemma", "upos") if pos else F.col("lemma")
     return out.withColumn("target", target)
