@@ -113,11 +113,12 @@ def seeded_order(seed: int, key: str) -> Column:
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
                      fold: str = "fold") -> DataFrame:
     """Exactly class-balanced folds: rank rows by a seeded hash inside
-    each class and deal them round-robin (fold = rank mod k). The window is
-    partitioned by class, so this is for feature tables of bounded size; at
-    scale use :func:`hash_folds`."""
-    w = Window.partitionBy(label).orderBy(seeded_order(seed, key), F.col(key))
-    return df.withColumn(fold, ((F.row_number().over(w) - 1) % k).cast("int"))
+    each class and deal them round-robin (fold = rank mod k). The rank comes
+    from range partitions plus offsets (tokens.rank_within), so a class
+    holding most rows is still spread over many tasks."""
+    from corpusdelta.operators.tokens import rank_within
+    r = rank_within(df, [label], [seeded_order(seed, key), F.col(key)], "_r")
+    return r.withColumn(fold, ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
 def hash_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
@@ -132,9 +133,9 @@ def balanced_sample(df: DataFrame, label: str, key: str, n_per_class: int | None
     unless given), chosen by a seeded hash order inside each class."""
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}   # one row per class
     n = n_per_class if n_per_class is not None else min(counts.values())
-    w = Window.partitionBy(label).orderBy(seeded_order(seed, key), F.col(key))
-    # rank <= n is planned with a partial WindowGroupLimit (n rows per task)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    from corpusdelta.operators.tokens import rank_within
+    r = rank_within(df, [label], [seeded_order(seed, key), F.col(key)], "_r")
+    return r.filter(F.col("_r") <= n).drop("_r")
 
 
 # ------------------------------------------------------------------ X10-X12

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusdelta.functions import text as T
@@ -131,3 +131,29 @@ def dense_ids(df: DataFrame, order_cols: Sequence[str], id_name: str = "ID") ->
     local = F.monotonically_increasing_id() - (F.col("_part").cast("long") * F.lit(1 << 33))
     return (ranged.withColumn(id_name, (off_map[F.col("_part")] + local).cast("long"))
             .drop("_part"))
+
+
+def rank_within(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "rank") -> DataFrame:
+    """1-based ``row_number`` inside each ``by`` group in ``order`` without
+    sorting a whole group in one task: range-partition on (by, order), count
+    rows per (partition, group) -- one small row per pair to the driver --
+    turn the counts into per-group offsets, add the position inside the
+    partition. Groups of any size (a class holding half the rows) spread
+    over many tasks."""
+    from corpusdelta.session import cut
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
+    r = df.withColumn("_ok", F.struct(*keys)).repartitionByRange(n, "_ok").sortWithinPartitions("_ok")
+    r = cut(r.withColumn("_p", F.spark_partition_id()))
+    gkey = F.concat_ws("\u0001", F.col("_p").cast("string"), *[F.col(c).cast("string") for c in by])
+    counts = r.groupBy("_p", *by).count().collect()
+    off, run = {}, {}
+    for row in sorted(counts, key=lambda q: q["_p"]):
+        g = tuple(row[c] for c in by)
+        off["\u0001".join([str(row["_p"])] + [str(x) for x in g])] = run.get(g, 0)
+        run[g] = run.get(g, 0) + row["count"]
+    om = F.create_map(*[x for k, v in off.items() for x in (F.lit(k), F.lit(v))]) if off else F.create_map()
+    w = Window.partitionBy("_p", *by).orderBy("_ok")      # bounded by one range partition
+    return (r.withColumn(name, (om[gkey] + F.row_number().over(w)).cast("long"))
+            .drop("_ok", "_p"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,12 +119,11 @@ def top_k_neighbours(vectors: DataFrame, k: int = 10, word: str = "word", vec: s
 
     cand = (left.unionByName(right).groupBy("pair")
             .applyInPandas(kernel, "w string, nb string, sim double"))
-    # merge: at most k * B candidates per word, a bounded group
-    g = cand.groupBy("w").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("ns"), "nb"))),
-                                      1, k).alias("top"))
-    out = g.select("w", F.posexplode("top").alias("rank", "t"))
-    return out.select(F.col("w").alias(word), (F.col("rank") + 1).cast("long").alias("rank"),
-                      F.col("t.nb").alias("neighbour"), (-F.col("t.ns")).alias("sim"))
+    # merge the k * B candidates per word: rank <= k is planned with a partial
+    # WindowGroupLimit, so every map task ships at most k rows per word
+    w = Window.partitionBy("w").orderBy(F.col("sim").desc(), F.col("nb"))
+    top = cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return top.select(F.col("w").alias(word), "rank", F.col("nb").alias("neighbour"), "sim")
 
 
 def neighbour_density(vectors: DataFrame, k: int = 10, word: str = "word", vec: str = "vec",
