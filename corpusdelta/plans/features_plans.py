@@ -236,7 +236,19 @@ def q_dependency_counts(spark, sf):
 
 
 # ------------------------------------------------------------------ L6, L13 (rows only)
-@plan("tree_shape")
+TREE_SQL = f"""WITH {Q.token_ctes('all')},
+nd AS (SELECT doc_id, sent_id, pos_in_sent AS i, CASE WHEN pos_in_sent = 0 THEN 0
+       ELSE CAST(floor(log2(pos_in_sent)) AS BIGINT) + 1 END AS depth FROM toks),
+lv AS (SELECT doc_id, sent_id, depth, COUNT(*) AS c FROM nd GROUP BY doc_id, sent_id, depth),
+kids AS (SELECT doc_id, sent_id, i // 2 AS parent, COUNT(*) AS k FROM nd WHERE i >= 1 GROUP BY doc_id, sent_id, i // 2),
+ss AS (SELECT l.doc_id, l.sent_id, MAX(l.c) AS width, MAX(l.depth) AS depth FROM lv l GROUP BY l.doc_id, l.sent_id),
+sb AS (SELECT s.doc_id, s.sent_id, s.width, s.depth, COALESCE((SELECT AVG(k) FROM kids WHERE kids.doc_id = s.doc_id
+       AND kids.sent_id = s.sent_id), 0.0) AS branching FROM ss s)
+SELECT doc_id, round(AVG(width), 6) AS tree_width, round(AVG(depth), 6) AS tree_depth, round(AVG(branching), 6) AS tree_branching
+FROM sb GROUP BY doc_id"""
+
+
+@plan("tree_shape", TREE_SQL)
 def q_tree_shape(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     t = X.supplied_annotations(tok.annotate_tokens(tok.tokenize(docs)))
