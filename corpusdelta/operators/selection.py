@@ -470,72 +470,82 @@ def _gh(nodes: int):
 
 
 def _paired_pass(data: DataFrame, features: Sequence[str], group: str, theta: np.ndarray, nodes: int):
-    """One pass: marginal log-likelihood of the random-intercept logistic
-    model and its gradient. Rows arrive clustered and sorted by group; each
-    task processes whole groups vectorised (segment sums), carrying the last
-    (possibly split) group over to the next Arrow batch."""
+    """One evaluation of the random-intercept model's marginal
+    log-likelihood and gradient, safe for groups of any size.
+
+    Stage 1 (rows, any partitioning): per task and group, sum over the
+    group's rows of the per-node log-likelihood and score terms -- a vector
+    of Q (d + 3) numbers; a group spread over many tasks yields one partial
+    per task. Stage 2: ``groupBy(group)`` sums the partials (lists bounded
+    by the number of tasks holding the group), then each group's posterior
+    node weights turn them into its log-likelihood and gradient, summed per
+    batch; d + 3 numbers per task reach the driver."""
     z, w = _gh(nodes)
     d = len(features)
+    q = len(z)
     beta, s = theta[: d + 1], theta[d + 1]
-    sigma = math.exp(s)
-    b = math.sqrt(2.0) * sigma * z                     # Q nodes
+    b = math.sqrt(2.0) * math.exp(s) * z
     logw = np.log(w)
+    width = q * (d + 3)
 
-    def block(pdf):
-        x = np.column_stack([np.ones(len(pdf))] + [pdf[f].to_numpy(np.float64) for f in features])
-        y = pdf["_y"].to_numpy(np.float64)
-        gid = pdf[group].to_numpy()
-        starts = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
-        eta = (x @ beta)[:, None] + b[None, :]
-        lp = y[:, None] * eta - np.logaddexp(0, eta)
-        lg = np.add.reduceat(lp, starts, axis=0) + logw[None, :]
-        mx = lg.max(1, keepdims=True)
-        ll_g = mx[:, 0] + np.log(np.exp(lg - mx).sum(1))
-        post = np.exp(lg - ll_g[:, None])                 # G x Q
-        gi = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pdf)]))
-        resid = (y[:, None] - np.exp(-np.logaddexp(0, -eta))) * post[gi]   # n x Q
-        g_beta = x.T @ resid.sum(1)
-        g_s = (resid * b[None, :]).sum()
-        return np.concatenate([[ll_g.sum()], g_beta, [g_s]])
-
-    def part(it):
-        acc, carry = np.zeros(d + 3), None
+    def stage1(it):
         for pdf in it:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            last = pdf[group].iloc[-1]
-            done = pdf[pdf[group] != last]
-            carry = pdf[pdf[group] == last]
-            if len(done):
-                acc += block(done)
-        if carry is not None and len(carry):
-            acc += block(carry)
+            pdf = pdf.sort_values(group, kind="stable")
+            x = np.column_stack([np.ones(len(pdf))] + [pdf[f].to_numpy(np.float64) for f in features])
+            y = pdf["_y"].to_numpy(np.float64)
+            gid = pdf[group].to_numpy()
+            starts = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
+            eta = (x @ beta)[:, None] + b[None, :]
+            lp = y[:, None] * eta - np.logaddexp(0, eta)                  # n x Q
+            r = y[:, None] - np.exp(-np.logaddexp(0, -eta))               # n x Q
+            xr = (x[:, :, None] * r[:, None, :]).reshape(len(x), -1)      # n x (d+1)Q
+            packed = np.concatenate([lp, xr, r * b[None, :]], axis=1)    # n x Q(d+3)
+            sums = np.add.reduceat(packed, starts, axis=0)
+            yield pd.DataFrame({group: gid[starts], "v": list(sums)})
+
+    part = data.mapInPandas(stage1, f"{group} {data.schema[group].dataType.simpleString()}, v array<double>")
+    comb = part.groupBy(group).agg(F.collect_list("v").alias("vs"))
+
+    def stage2(it):
+        acc = np.zeros(d + 3)
+        for pdf in it:
+            for vs in pdf["vs"]:
+                v = np.sum(np.vstack(list(vs)), axis=0)
+                lg = v[:q] + logw
+                mx = lg.max()
+                ll = mx + math.log(np.exp(lg - mx).sum())
+                post = np.exp(lg - ll)
+                u = v[q: q + q * (d + 1)].reshape(d + 1, q)
+                acc[0] += ll
+                acc[1: d + 2] += u @ post
+                acc[d + 2] += v[q + q * (d + 1):] @ post
         yield pd.DataFrame({"idx": np.arange(d + 3, dtype=np.int64), "val": acc})
-    rows = data.mapInPandas(part, "idx long, val double").groupBy("idx").agg(F.sum("val").alias("val")).collect()
+    rows = comb.mapInPandas(stage2, "idx long, val double").groupBy("idx").agg(F.sum("val").alias("val")).collect()
     out = np.zeros(d + 3)
-    for r in rows:
-        out[r["idx"]] = r["val"]
+    for r_ in rows:
+        out[r_["idx"]] = r_["val"]
+    del width
     return out[0], out[1:]
 
 
 def paired_logistic(df: DataFrame, features: Sequence[str], label: str, group: str,
                     nodes: int = 15, max_iter: int = 60, tol: float = 1e-6, min_log_sigma: float = -8.0):
     """Logistic regression with a random intercept per group (pair),
-    maximum marginal likelihood by adaptive-free Gauss-Hermite quadrature.
-    Spark computes the log-likelihood and gradient in one pass per
-    evaluation (groups are clustered by a repartition on the group key);
-    the driver runs BFGS with backtracking over d + 2 parameters. A variance
-    on the boundary (sd -> 0) reduces to the plain GLM (M20).
+    maximum marginal likelihood by (non-adaptive) Gauss-Hermite quadrature.
+    Spark computes the log-likelihood and gradient per evaluation with
+    per-task partial sums per group (no group is ever gathered into one
+    task); the driver runs BFGS with backtracking over d + 2 parameters. A
+    variance on the boundary (sd -> 0) reduces to the plain GLM (M20).
     Returns ``(term, estimate)`` rows plus ``sd_intercept`` and ``loglik``."""
     from pyspark.sql import functions as F2
     from corpusdelta.session import cut
     n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    data = (df.select(F2.col(group), F2.col(label).cast("double").alias("_y"),
-                      *[F2.col(f).cast("double").alias(f) for f in features])
-            .repartition(n_parts, group).sortWithinPartitions(group))
+    data = df.select(F2.col(group), F2.col(label).cast("double").alias("_y"),
+                     *[F2.col(f).cast("double").alias(f) for f in features])
     data = cut(data)
+    del n_parts
     d = len(features)
     theta = np.zeros(d + 2)
     theta[d + 1] = math.log(0.5)

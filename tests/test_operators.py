@@ -203,3 +203,30 @@ def test_paired_logistic_zero_variance_equals_glm(spark):
     assert sd < 0.35
     for t in ("(Intercept)", "a", "b"):
         assert pl[t].estimate == pytest.approx(glm[t], abs=0.05)
+
+
+def test_paired_pass_with_hot_group_matches_numpy(spark):
+    rng = np.random.default_rng(9)
+    n = 500
+    g = np.where(rng.uniform(size=n) < 0.4, 0, rng.integers(1, 60, size=n))      # group 0 holds ~40%
+    x = rng.normal(size=(n, 2))
+    y = (rng.uniform(size=n) < 0.5).astype(float)
+    df = spark.createDataFrame([(int(g[i]), float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(n)],
+                               "grp long, _y double, a double, b double").repartition(7)
+    theta = np.array([0.1, 0.4, -0.3, math.log(0.8)])
+    ll, grad = SE._paired_pass(df, ["a", "b"], "grp", theta, 15)
+    z, w = SE._gh(15)
+    bq = math.sqrt(2) * 0.8 * z
+    xx = np.column_stack([np.ones(n), x])
+    want = 0.0
+    for gg in np.unique(g):
+        m = g == gg
+        eta = (xx[m] @ theta[:3])[:, None] + bq[None, :]
+        lp = (y[m][:, None] * eta - np.logaddexp(0, eta)).sum(0) + np.log(w)
+        want += np.logaddexp.reduce(lp)
+    assert ll == pytest.approx(want, rel=1e-10)
+    eps = 1e-6
+    t2 = theta.copy()
+    t2[1] += eps
+    ll2, _ = SE._paired_pass(df, ["a", "b"], "grp", t2, 15)
+    assert grad[1] == pytest.approx((ll2 - ll) / eps, rel=1e-3)
