@@ -100,20 +100,32 @@ def doc_features(tokens: DataFrame, families: Sequence[str] = tuple(FAMILIES),
 
 # ------------------------------------------------------------------ L15 / L16
 def mattr(tokens: DataFrame, window: int = fixed.MATTR_WINDOW, doc: str = "doc_id",
-          value: str = "lemma") -> DataFrame:
+          value: str = "lemma", block: int = 4096) -> DataFrame:
     """Moving-average type-token ratio over windows of ``window``
     tokens; texts shorter than the window get the plain TTR.
 
-    Window functions partitioned by document (bounded groups) on the
-    doc-partitioned token table: no exchange, one sort."""
-    order = Window.partitionBy(doc).orderBy("sent_id", "pos_in_sent")
-    frame = order.rowsBetween(0, window - 1)
-    t = (tokens.withColumn("_i", F.row_number().over(order))
-         .withColumn("_wdist", F.size(F.collect_set(value).over(frame)))
-         .withColumn("_wlen", F.count(F.lit(1)).over(frame)))
-    return t.groupBy(doc).agg(
-        F.coalesce(F.avg(F.when(F.col("_wlen") == window, F.col("_wdist") / F.lit(float(window)))),
-                   F.count_distinct(value) / F.count(F.lit(1))).alias("mattr"))
+    Scale: a document's token positions come from sentence offsets
+    (:func:`tokens.cumsum_within`), then tokens are cut into blocks of
+    ``block`` positions; the first ``window - 1`` tokens of each block are
+    copied to the previous block so every window lies inside one
+    (document, block) partition. Windows are therefore bounded by
+    ``block + window`` rows whatever the document length."""
+    from corpusdelta.operators.tokens import cumsum_within
+    lens = tokens.groupBy(doc, "sent_id").agg(F.count(F.lit(1)).alias("_len"))
+    offs = cumsum_within(lens, [doc], ["sent_id"], "_len", "_off").drop("_len")
+    t = tokens.select(doc, "sent_id", "pos_in_sent", value).join(offs, [doc, "sent_id"])
+    t = t.withColumn("_pos", F.col("_off") + F.col("pos_in_sent")).withColumn(
+        "_blk", (F.col("_pos") / block).cast("long"))
+    head = t.filter((F.col("_pos") % block < window - 1) & (F.col("_blk") > 0)) \
+        .withColumn("_blk", F.col("_blk") - 1)
+    both = t.unionByName(head)
+    frame = Window.partitionBy(doc, "_blk").orderBy("_pos").rowsBetween(0, window - 1)
+    w = (both.withColumn("_wd", F.size(F.collect_set(value).over(frame)))
+         .withColumn("_wl", F.count(F.lit(1)).over(frame))
+         .filter((F.col("_wl") == window) & ((F.col("_pos") / block).cast("long") == F.col("_blk"))))
+    full = w.groupBy(doc).agg(F.avg(F.col("_wd") / F.lit(float(window))).alias("_m"))
+    ttr = tokens.groupBy(doc).agg((F.count_distinct(value) / F.count(F.lit(1))).alias("_ttr"))
+    return ttr.join(full, doc, "left").select(doc, F.coalesce("_m", "_ttr").alias("mattr"))
 
 
 def _mtld_one(seq: list, threshold: float) -> float:

@@ -157,3 +157,28 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "
     w = Window.partitionBy("_p", *by).orderBy("_ok")      # bounded by one range partition
     return (r.withColumn(name, (om[gkey] + F.row_number().over(w)).cast("long"))
             .drop("_ok", "_p"))
+
+
+def cumsum_within(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
+                  name: str = "cum") -> DataFrame:
+    """Exclusive running sum of ``value`` inside each ``by`` group in
+    ``order`` (sum over the rows before), computed like :func:`rank_within`:
+    range partitions, per (partition, group) totals to the driver as
+    offsets, a window inside each partition. No group is sorted whole in
+    one task."""
+    from corpusdelta.session import cut
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    r = df.withColumn("_ok", F.struct(*[F.col(c) for c in list(by) + list(order)]))
+    r = cut(r.repartitionByRange(n, "_ok").withColumn("_p", F.spark_partition_id()))
+    gkey = F.concat_ws("\u0001", F.col("_p").cast("string"), *[F.col(c).cast("string") for c in by])
+    tots = r.groupBy("_p", *by).agg(F.sum(value).alias("_s")).collect()
+    off, run = {}, {}
+    for row in sorted(tots, key=lambda q: q["_p"]):
+        g = tuple(row[c] for c in by)
+        off["\u0001".join([str(row["_p"])] + [str(x) for x in g])] = run.get(g, 0)
+        run[g] = run.get(g, 0) + (row["_s"] or 0)
+    om = F.create_map(*[x for k, v in off.items() for x in (F.lit(k), F.lit(v))]) if off else F.create_map()
+    w = Window.partitionBy("_p", *by).orderBy("_ok").rowsBetween(Window.unboundedPreceding, -1)
+    return (r.withColumn(name, (om[gkey] + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("long"))
+            .drop("_ok", "_p"))

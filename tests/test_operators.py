@@ -230,3 +230,33 @@ def test_paired_pass_with_hot_group_matches_numpy(spark):
     t2[1] += eps
     ll2, _ = SE._paired_pass(df, ["a", "b"], "grp", t2, 15)
     assert grad[1] == pytest.approx((ll2 - ll) / eps, rel=1e-3)
+
+
+def test_mattr_blocks_equal_direct(spark):
+    from corpusdelta.operators import features as FT
+    rng = np.random.default_rng(4)
+    rows = []
+    for d_id, n in [(1, 30), (2, 700), (3, 51)]:
+        words = [f"w{int(x)}" for x in rng.integers(0, 40, size=n)]
+        for i, w_ in enumerate(words):
+            rows.append((d_id, i // 13, i % 13, w_))
+    df = spark.createDataFrame(rows, "doc_id long, sent_id long, pos_in_sent long, lemma string")
+    got = {r.doc_id: r.mattr for r in FT.mattr(df, window=50, block=64).collect()}
+    for d_id in (1, 2, 3):
+        seq = [r[3] for r in rows if r[0] == d_id]
+        if len(seq) < 50:
+            want = len(set(seq)) / len(seq)
+        else:
+            want = np.mean([len(set(seq[i:i + 50])) / 50 for i in range(len(seq) - 49)])
+        assert got[d_id] == pytest.approx(want)
+
+
+def test_rank_within_matches_row_number(spark):
+    from corpusdelta.operators.tokens import rank_within
+    df = spark.createDataFrame([(i % 3, (i * 7919) % 101) for i in range(300)], "g long, v long")
+    got = sorted((r.g, r.v, r.rank) for r in rank_within(df, ["g"], ["v"]).collect())
+    exp = []
+    for g in range(3):
+        vs = sorted(v for gg, v in [(i % 3, (i * 7919) % 101) for i in range(300)] if gg == g)
+        exp += [(g, v, k + 1) for k, v in enumerate(vs)]
+    assert got == sorted(exp)
