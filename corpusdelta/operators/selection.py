@@ -230,7 +230,9 @@ def relative_importance(coefs: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M17 + A20
-def _pipeline_fit(train: DataFrame, features, label, c: float, l1: float, n: int, weight=None):
+def fit_elastic_net(train: DataFrame, features, label, c: float, l1: float, n: int, weight=None):
+    """One logistic elastic-net fit as an MLlib pipeline (scaler inside):
+    lam = 1/(C n), elasticNetParam = l1_ratio; optional weight column."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -243,13 +245,6 @@ def _pipeline_fit(train: DataFrame, features, label, c: float, l1: float, n: int
     return Pipeline(stages=[va, sc, lr]).fit(train)
 
 
-def _auc_of(model, test: DataFrame, label: str) -> float:
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
-                                       metricName="areaUnderROC", numBins=0)
-    return float(ev.evaluate(model.transform(test)))
-
-
 def elastic_net_nested_cv(df: DataFrame, features: Sequence[str], label: str, key: str,
                           outer: int = 5, inner: int = 5, n_iter: int = 20, seed: int = 42):
     """Nested CV of a logistic elastic net, scaler inside the folds.

@@ -128,7 +128,8 @@ def kwic(df: DataFrame, keyword, tokens: str = "tokens", width: int = 8) -> Data
     kw = F.lower(keyword if not isinstance(keyword, str) else F.lit(keyword))
     t = F.col(tokens)
     df = df.withColumn("_hits", F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))),
-                                         lambda i: F.lower(F.element_at(t, i)) == kw))
+                                         lambda i: F.coalesce(F.lower(F.try_element_at(t, i)) == kw,
+                                                              F.lit(False))))
     hits = F.col("_hits")
     nh = F.size(hits)
 
@@ -144,11 +145,11 @@ def kwic(df: DataFrame, keyword, tokens: str = "tokens", width: int = 8) -> Data
 
 
 def cluster_period_table(df: DataFrame, periods: Sequence[str] = ("t1", "t2"),
-                         fill_zero: bool = False) -> DataFrame:
-    """Cluster x period counts, ``total`` and ``prop_t2``; a period with
-    no sentences gives a NULL total as in the reference (or 0 with
-    ``fill_zero``)."""
-    p = df.groupBy("clust").pivot("time", list(periods)).count()
+                         fill_zero: bool = False, by: Sequence[str] = ("target",)) -> DataFrame:
+    """Per target, cluster x period counts, ``total`` and ``prop_t2``; a
+    period with no sentences gives a NULL total as in the reference (or 0
+    with ``fill_zero``)."""
+    p = df.groupBy(*by, "clust").pivot("time", list(periods)).count()
     if fill_zero:
         p = p.fillna(0, subset=list(periods))
     a, b = periods

@@ -346,15 +346,15 @@ def q_zip_lemma_token_lines(spark, sf):
 @plan("read_freq_tsv", f"""WITH {Q.token_ctes('lang')},
 sarr2 AS (SELECT corpus, doc_id, sent_id, list(target ORDER BY pos_in_sent) AS t FROM ann GROUP BY corpus, doc_id, sent_id),
 g AS (SELECT unnest(list_transform(range(1, len(t) - 2 + 2), lambda i: array_to_string(t[i:i + 1], ' '))) AS target
-      FROM sarr2 WHERE corpus = 'en' AND len(t) >= 2)
+      FROM sarr2 WHERE len(t) >= 2)
 SELECT target, COUNT(*) AS freq FROM g GROUP BY target""")
 def q_read_freq_tsv(spark, sf):
     from corpusdelta.operators import counts as C
     from corpusdelta.plans.common import annotated, lang_docs
     base = scratch(spark)
-    f = C.ngram_counts(annotated(lang_docs(spark, sf).filter(F.col("corpus") == "en")), n=2, by=None)
-    W.write_freq_tsv(C.sort_desc(f), f"{base}/en_2grams_freqs.tsv", n=2)
-    return R.read_freq_tsv(spark, f"{base}/en_2grams_freqs.tsv", n=2)
+    f = C.ngram_counts(annotated(lang_docs(spark, sf)), n=2, by=None)
+    W.write_freq_tsv(C.sort_desc(f), f"{base}/all_2grams_freqs.tsv", n=2)
+    return R.read_freq_tsv(spark, f"{base}/all_2grams_freqs.tsv", n=2)
 
 
 CONV_SQL = """cs AS (SELECT conv_id, list(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') ORDER BY turn) AS sentences
@@ -376,12 +376,12 @@ def q_jsonl_sentences_to_text(spark, sf):
 
 
 @plan("jsonl_strip_prefix", """SELECT role AS size, regexp_replace('coref: wb | _ ' || text, '^\\s*coref:\\s*wb\\s*\\|\\s*_\\s*', '') AS text
-FROM conversations WHERE role IN ('user', 'assistant')""")
+FROM conversations""")
 def q_jsonl_strip_prefix(spark, sf):
     base = scratch(spark)
     c = table(spark, sf, "conversations")
     paths = []
-    for role in ("user", "assistant", "missing"):
+    for role in ("user", "assistant", "system", "missing"):
         p = f"{base}/inputs_{role}.jsonl"
         paths.append(p)
         if role != "missing":
@@ -531,8 +531,8 @@ def q_write_append(spark, sf):
     return spark.read.parquet(f"{base}/targets")
 
 
-XML_BODY_SQL = """SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[<>&]', '', 'g') || ' ' ||
-  regexp_replace(url, '[<>&]', '', 'g')) AS body FROM pages"""
+XML_BODY_SQL = """SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
+  '[<>&]', '', 'g') || ' ' || regexp_replace(url, '[<>&]', '', 'g'), '\\s+', ' ', 'g')) AS body FROM pages"""
 
 
 @plan("xml_body_text", XML_BODY_SQL)

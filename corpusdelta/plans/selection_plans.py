@@ -169,7 +169,18 @@ def q_correlation_matrix(spark, sf):
     return rounded(SE.correlation_matrix(labelled_features(spark, sf), CORR_FEATS))
 
 
-@plan("correlated_groups")
+CORR_PAIRS_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS feature1, '{b}' AS feature2, abs(corr({a}, {b})) AS r FROM lf"
+    for i, a in enumerate(CORR_FEATS) for b in CORR_FEATS[i + 1:])
+GROUPS_SQL = ("WITH RECURSIVE " + FEAT_SQL[len("WITH "):] + f""",
+cm AS ({CORR_PAIRS_SQL}),
+edges AS (SELECT feature1 AS a, feature2 AS b FROM cm WHERE r > 0.9 UNION SELECT feature2, feature1 FROM cm WHERE r > 0.9),
+reach(src, dst) AS (SELECT a, b FROM edges UNION SELECT reach.src, edges.b FROM reach JOIN edges ON reach.dst = edges.a),
+root AS (SELECT src AS feature, least(src, MIN(dst)) AS root FROM reach GROUP BY src)
+SELECT CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS group_id, feature FROM root""")
+
+
+@plan("correlated_groups", GROUPS_SQL)
 def q_correlated_groups(spark, sf):
     c = SE.correlation_matrix(labelled_features(spark, sf), CORR_FEATS)
     groups = SE.correlated_groups(c, 0.9)

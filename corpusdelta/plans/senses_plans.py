@@ -141,11 +141,11 @@ def q_centroid_order(spark, sf):
 
 
 @plan("cluster_period_table", f"""WITH {EMB_SQL},
-p AS (SELECT clust, COUNT(*) FILTER (WHERE time = 't1') AS t1, COUNT(*) FILTER (WHERE time = 't2') AS t2 FROM emb WHERE target = 't0' GROUP BY clust)
-SELECT clust, NULLIF(t1, 0) AS t1, NULLIF(t2, 0) AS t2, NULLIF(t1, 0) + NULLIF(t2, 0) AS total,
+p AS (SELECT target, clust, COUNT(*) FILTER (WHERE time = 't1') AS t1, COUNT(*) FILTER (WHERE time = 't2') AS t2 FROM emb GROUP BY target, clust)
+SELECT target, clust, NULLIF(t1, 0) AS t1, NULLIF(t2, 0) AS t2, NULLIF(t1, 0) + NULLIF(t2, 0) AS total,
  round(NULLIF(t2, 0) / (NULLIF(t1, 0) + NULLIF(t2, 0)), 6) AS prop_t2 FROM p""")
 def q_cluster_period_table(spark, sf):
-    return rounded(SN.cluster_period_table(_emb(spark, sf).filter(F.col("target") == "t0")))
+    return rounded(SN.cluster_period_table(_emb(spark, sf)))
 
 
 # ------------------------------------------------------------------ topics

@@ -135,8 +135,8 @@ cb AS (SELECT word, list(sim ORDER BY sim DESC) AS c FROM r_b WHERE rk <= 10 GRO
 
 
 @plan("mann_whitney", MW_SQL + """
-SELECT ca.word, round(list_sum(list_transform(ca.c, lambda x: list_sum(list_transform(cb.c,
-  lambda y: CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0.0 END)))), 6) AS stat FROM ca JOIN cb ON ca.word = cb.word""")
+SELECT ca.word, round(CAST(list_sum(list_transform(ca.c, lambda x: list_sum(list_transform(cb.c,
+  lambda y: CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0.0 END)))) AS DOUBLE), 6) AS stat FROM ca JOIN cb ON ca.word = cb.word""")
 def q_mann_whitney(spark, sf):
     d1, d2 = _densities(spark, sf)
     return rounded(V.density_compare(d1, d2).select("word", "stat"))
@@ -154,7 +154,7 @@ def q_procrustes_align(spark, sf):
     return al.select("word", F.transform("vec", lambda x: F.round(x, 4)).alias("vec"))
 
 
-@plan("aligned_self_similarity", f"WITH {V1}\nSELECT word, 1.0 AS sim FROM v1")
+@plan("aligned_self_similarity", f"WITH {V1}\nSELECT word, CAST(1.0 AS DOUBLE) AS sim FROM v1")
 def q_aligned_self_similarity(spark, sf):
     base = run1(spark, sf)
     al = V.procrustes_align(base, run2(spark, sf))
@@ -231,5 +231,5 @@ def q_spearman(spark, sf):
 # ------------------------------------------------------------------ M1 (rows only)
 @plan("train_word2vec")
 def q_train_word2vec(spark, sf):
-    st = tok.sentence_tokens(table(spark, sf, "documents").filter(F.col("lang") == "en"))
+    st = tok.sentence_tokens(table(spark, sf, "documents"))
     return V.train_word2vec(st, dims=100, window=5, min_count=100)

@@ -182,9 +182,10 @@ def markup_to_document(df: DataFrame, id_col: str, markup: str = "html") -> Data
 
 def xml_body_text(col) -> "F.Column":
     """S9, well-formed XML path: text nodes of ``div`` elements without a
-    ``type`` attribute, each node once, joined by a space."""
+    ``type`` attribute, each node once, joined by a space, blanks collapsed."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.trim(F.array_join(F.xpath(c, F.lit("//div[not(@type)]//text()")), " "))
+    joined = F.array_join(F.xpath(c, F.lit("//div[not(@type)]//text()")), " ")
+    return F.trim(F.regexp_replace(joined, r"\s+", " "))
 
 
 def bibtex_records(spark: SparkSession, path: str) -> DataFrame:
