@@ -289,11 +289,10 @@ def elastic_net_nested_cv(df: DataFrame, features: Sequence[str], label: str, ke
     spec2 = BL.WeightSpec("folds", outer_out=list(range(outer)), inner_out=[-1] * outer, inner_only=[-1] * outer)
     c2, i2, m2, s2 = BL.fit_batched(data, features, "_y", spec2, 1.0 / (cs[best] * np.maximum(n_out, 1)),
                                     l1s[best])
-    test = BL.WeightSpec("folds", outer_out=[-1] * outer, inner_out=[-1] * outer, inner_only=[-1] * outer)
+    # test rows of outer fold f: reuse the validation mask with inner := outer
     sc = BL.scores_long(data.withColumn("_inner", F.col("_outer")), features, BL.WeightSpec(
         "folds", outer_out=[-1] * outer, inner_out=[-1] * outer, inner_only=list(range(outer))),
         c2, i2, m2, s2)
-    del test
     taucs = {r["model"]: r["auc"] for r in auc(sc, "y", "score", ["model"]).collect()}
     results = [(fo + 1, float(taucs.get(fo, float("nan"))), float(cs[best[fo]]), float(l1s[best[fo]]))
                for fo in range(outer)]
@@ -481,7 +480,6 @@ def _paired_pass(data: DataFrame, features: Sequence[str], group: str, theta: np
     beta, s = theta[: d + 1], theta[d + 1]
     b = math.sqrt(2.0) * math.exp(s) * z
     logw = np.log(w)
-    width = q * (d + 3)
 
     def stage1(it):
         for pdf in it:
@@ -521,7 +519,6 @@ def _paired_pass(data: DataFrame, features: Sequence[str], group: str, theta: np
     out = np.zeros(d + 3)
     for r_ in rows:
         out[r_["idx"]] = r_["val"]
-    del width
     return out[0], out[1:]
 
 
@@ -536,11 +533,9 @@ def paired_logistic(df: DataFrame, features: Sequence[str], label: str, group: s
     Returns ``(term, estimate)`` rows plus ``sd_intercept`` and ``loglik``."""
     from pyspark.sql import functions as F2
     from corpusdelta.session import cut
-    n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     data = df.select(F2.col(group), F2.col(label).cast("double").alias("_y"),
                      *[F2.col(f).cast("double").alias(f) for f in features])
     data = cut(data)
-    del n_parts
     d = len(features)
     theta = np.zeros(d + 2)
     theta[d + 1] = math.log(0.5)

@@ -18,6 +18,7 @@ from corpusdelta.operators import selection as SE
 from corpusdelta.operators import tokens as tok
 from corpusdelta.plans.common import rounded, table
 from corpusdelta.plans.features_plans import feature_sql
+from corpusdelta.session import cut
 
 PLANS: dict = {}
 
@@ -65,7 +66,7 @@ def q_drop_nested_columns(spark, sf):
 @plan("drop_constant_columns", FEAT_SQL + "\n" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, (COUNT({c}) = 0 OR MIN({c}) = MAX({c})) AS constant FROM lf" for c in FEATS))
 def q_drop_constant_columns(spark, sf):
-    f = labelled_features(spark, sf)
+    f = cut(labelled_features(spark, sf))
     const = set(SE.constant_columns(f, FEATS))
     kept = SE.drop_constant_columns(f, FEATS).columns
     assert not (const & set(kept))
@@ -182,7 +183,7 @@ SELECT CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS group_id, featu
 
 @plan("correlated_groups", GROUPS_SQL)
 def q_correlated_groups(spark, sf):
-    c = SE.correlation_matrix(labelled_features(spark, sf), CORR_FEATS)
+    c = SE.correlation_matrix(cut(labelled_features(spark, sf)), CORR_FEATS)
     groups = SE.correlated_groups(c, 0.9)
     return spark.createDataFrame([(i, f) for i, g in enumerate(groups) for f in sorted(g)],
                                  "group_id int, feature string")
@@ -190,7 +191,7 @@ def q_correlated_groups(spark, sf):
 
 @plan("feature_prefilter")
 def q_feature_prefilter(spark, sf):
-    keep = SE.feature_prefilter(labelled_features(spark, sf), FEATS, 0.9)
+    keep = SE.feature_prefilter(cut(labelled_features(spark, sf)), FEATS, 0.9)
     return spark.createDataFrame([(f,) for f in keep], "feature string")
 
 
