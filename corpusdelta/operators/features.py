@@ -114,18 +114,21 @@ def mattr(tokens: DataFrame, window: int = fixed.MATTR_WINDOW, doc: str = "doc_i
     lens = tokens.groupBy(doc, "sent_id").agg(F.count(F.lit(1)).alias("_len"))
     offs = cumsum_within(lens, [doc], ["sent_id"], "_len", "_off").drop("_len")
     t = tokens.select(doc, "sent_id", "pos_in_sent", value).join(offs, [doc, "sent_id"])
-    t = t.withColumn("_pos", F.col("_off") + F.col("pos_in_sent")).withColumn(
-        "_blk", (F.col("_pos") / block).cast("long"))
-    head = t.filter((F.col("_pos") % block < window - 1) & (F.col("_blk") > 0)) \
-        .withColumn("_blk", F.col("_blk") - 1)
-    both = t.unionByName(head)
+    pos = F.col("_off") + F.col("pos_in_sent")
+    own = (pos / block).cast("long")
+    # one copy per token in its own block, a second copy in the previous block
+    # for the first window - 1 positions of a block (single branch, no re-scan)
+    copies = F.when((pos % block < window - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    both = t.select(doc, value, pos.alias("_pos"), own.alias("_own"), F.explode(copies).alias("_blk"))
     frame = Window.partitionBy(doc, "_blk").orderBy("_pos").rowsBetween(0, window - 1)
     w = (both.withColumn("_wd", F.size(F.collect_set(value).over(frame)))
-         .withColumn("_wl", F.count(F.lit(1)).over(frame))
-         .filter((F.col("_wl") == window) & ((F.col("_pos") / block).cast("long") == F.col("_blk"))))
-    full = w.groupBy(doc).agg(F.avg(F.col("_wd") / F.lit(float(window))).alias("_m"))
-    ttr = tokens.groupBy(doc).agg((F.count_distinct(value) / F.count(F.lit(1))).alias("_ttr"))
-    return ttr.join(full, doc, "left").select(doc, F.coalesce("_m", "_ttr").alias("mattr"))
+         .withColumn("_wl", F.count(F.lit(1)).over(frame)))
+    mine = F.col("_own") == F.col("_blk")
+    full = mine & (F.col("_wl") == window)
+    agg = w.groupBy(doc).agg(F.avg(F.when(full, F.col("_wd") / F.lit(float(window)))).alias("_m"),
+                             F.count_distinct(F.when(mine, F.col(value))).alias("_u"),
+                             F.count_if(mine).alias("_n"))
+    return agg.select(doc, F.coalesce("_m", F.col("_u") / F.col("_n")).alias("mattr"))
 
 
 def _mtld_one(seq: list, threshold: float) -> float:
