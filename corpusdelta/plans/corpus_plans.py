@@ -486,7 +486,7 @@ def q_read_run_reports(spark, sf):
     return rounded(back.select(F.col("fold").cast("long"), "auc", F.col("n").cast("long")))
 
 
-@plan("write_partitioned")
+@plan("write_partitioned", TIMED_SQL + "\nSELECT time, COUNT(*) AS count FROM timed GROUP BY time")
 def q_write_partitioned(spark, sf):
     base = scratch(spark)
     t = _timed(spark, sf).select("doc_id", "acl_id", "time")
@@ -497,7 +497,7 @@ def q_write_partitioned(spark, sf):
     return spark.read.parquet(f"{base}/samples").groupBy("time").count()
 
 
-@plan("write_table")
+@plan("write_table", "SELECT lang, 2 * COUNT(*) AS count FROM documents GROUP BY lang")
 def q_write_table(spark, sf):
     base = scratch(spark)
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
@@ -507,7 +507,7 @@ def q_write_table(spark, sf):
     return spark.read.parquet(f"{base}/docs.parquet").unionByName(back).groupBy("lang").count()
 
 
-@plan("write_if_absent")
+@plan("write_if_absent", "SELECT doc_id, lang FROM documents")
 def q_write_if_absent(spark, sf):
     base = scratch(spark)
     d = table(spark, sf, "documents").select("doc_id", "lang")
@@ -522,7 +522,7 @@ def q_write_if_absent(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
-@plan("write_append")
+@plan("write_append", "SELECT doc_id, lang FROM documents")
 def q_write_append(spark, sf):
     base = scratch(spark)
     d = table(spark, sf, "documents").select("doc_id", "lang")
@@ -547,7 +547,7 @@ def q_xml_body_text(spark, sf):
     return pg.select("page_id", R.xml_body_text(xml).alias("body"))
 
 
-@plan("write_or_fail")
+@plan("write_or_fail", "SELECT doc_id, source FROM documents")
 def q_write_or_fail(spark, sf):
     """S15, fail mode: the first write succeeds, a second write to the same
     path raises; the rows of the first write are returned."""

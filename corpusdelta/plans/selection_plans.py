@@ -189,7 +189,25 @@ def q_correlated_groups(spark, sf):
                                  "group_id int, feature string")
 
 
-@plan("feature_prefilter")
+PREFILTER_SQL = ("WITH RECURSIVE " + FEAT_SQL[len("WITH "):] + ",\n"
+                 + "fl AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', {i})" for i, f in enumerate(FEATS))
+                 + ") v(feature, idx)),\ncst AS (" + "\nUNION ALL\n".join(
+                     f"SELECT '{c}' AS feature, (COUNT({c}) = 0 OR MIN({c}) = MAX({c})) AS c FROM lf" for c in FEATS)
+                 + "),\nkp AS (SELECT fl.feature, fl.idx FROM fl JOIN cst ON fl.feature = cst.feature WHERE NOT cst.c),\n"
+                 + "cm AS (" + "\nUNION ALL\n".join(
+                     f"SELECT '{a}' AS feature1, '{b}' AS feature2, abs(corr({a}, {b})) AS r FROM lf"
+                     for i, a in enumerate(FEATS) for b in FEATS[i + 1:]) + """),
+edges AS (SELECT feature1 AS a, feature2 AS b FROM cm WHERE r > 0.9 AND feature1 IN (SELECT feature FROM kp)
+          AND feature2 IN (SELECT feature FROM kp)
+          UNION SELECT feature2, feature1 FROM cm WHERE r > 0.9 AND feature1 IN (SELECT feature FROM kp)
+          AND feature2 IN (SELECT feature FROM kp)),
+reach(src, dst) AS (SELECT a, b FROM edges UNION SELECT reach.src, edges.b FROM reach JOIN edges ON reach.dst = edges.a),
+comp AS (SELECT src, dst FROM reach UNION SELECT src, src FROM reach),
+rep AS (SELECT comp.src AS feature, arg_min(comp.dst, kp.idx) AS rep FROM comp JOIN kp ON kp.feature = comp.dst GROUP BY comp.src)
+SELECT feature FROM kp WHERE feature NOT IN (SELECT feature FROM rep WHERE rep <> feature)""")
+
+
+@plan("feature_prefilter", PREFILTER_SQL)
 def q_feature_prefilter(spark, sf):
     keep = SE.feature_prefilter(cut(labelled_features(spark, sf)), FEATS, 0.9)
     return spark.createDataFrame([(f,) for f in keep], "feature string")
