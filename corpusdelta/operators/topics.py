@@ -35,7 +35,8 @@ def topic_model(docs: DataFrame, k: int = 20, min_topic_size: int = 100, seed: i
 
 def reassign_outliers(df: DataFrame, vec: str = "vec", topic: str = "topic") -> DataFrame:
     """Documents of topic -1 move to the topic with the nearest centroid
-    (Euclidean); centroids are few (one per topic) and broadcast."""
+    (Euclidean); the centroids, one per topic (count checked), travel as a
+    literal array and the nearest one is found row-locally."""
     d = len(df.select(vec).first()[0])
     cent = (df.filter(F.col(topic) != -1).groupBy(topic)
             .agg(*[F.avg(F.element_at(vec, i + 1)).alias(f"_c{i}") for i in range(d)])

@@ -260,3 +260,15 @@ def test_rank_within_matches_row_number(spark):
         vs = sorted(v for gg, v in [(i % 3, (i * 7919) % 101) for i in range(300)] if gg == g)
         exp += [(g, v, k + 1) for k, v in enumerate(vs)]
     assert got == sorted(exp)
+
+
+def test_cumsum_within(spark):
+    from corpusdelta.operators.tokens import cumsum_within
+    rows = [(g, i, (i * 37) % 11) for g in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "g long, i long, v long")
+    got = {(r.g, r.i): r.cum for r in cumsum_within(df, ["g"], ["i"], "v").collect()}
+    for g in range(3):
+        run = 0
+        for i in range(40):
+            assert got[(g, i)] == run
+            run += (i * 37) % 11
