@@ -173,13 +173,16 @@ def global_hapax(tokens: DataFrame, doc: str = "doc_id", value: str = "lemma",
     (hot lemmas collapse map-side); a lemma seen twice lives in at most two
     documents, carried as ``min``/``max`` doc id, so no join of the token
     table on the (skewed) lemma key is needed."""
-    per = tokens.groupBy(doc, value).agg(F.count(F.lit(1)).alias("c"))
+    from corpusdelta.session import cut
+    # (document, lemma) counts are read twice (corpus totals, document list):
+    # materialise them once instead of tokenising twice
+    per = cut(tokens.groupBy(doc, value).agg(F.count(F.lit(1)).alias("c")))
     g = (per.groupBy(value).agg(F.sum("c").alias("total"), F.min(doc).alias("d1"),
                                 F.max(doc).alias("d2"))
          .filter(F.col("total") == times))
     hits = g.select(F.explode(F.array_distinct(F.array("d1", "d2"))).alias(doc))
     counts = hits.groupBy(doc).agg(F.count(F.lit(1)).alias("n_global_lemma_hapax_dislegomena"))
-    docs = tokens.select(doc).distinct()
+    docs = per.select(doc).distinct()
     return (docs.join(counts, doc, "left")
             .select(doc, F.coalesce("n_global_lemma_hapax_dislegomena", F.lit(0))
                     .cast("long").alias("n_global_lemma_hapax_dislegomena")))
@@ -224,21 +227,29 @@ def lexicon_features(tokens: DataFrame, lexicon: DataFrame, specs: Sequence[tupl
 
 
 def hedges(sent_tokens: DataFrame, phrases: DataFrame, doc: str = "doc_id",
-           array_col: str = "tokens", max_len: int = 4) -> DataFrame:
-    """Occurrences of single- and multi-word hedges per document: the
-    1..max_len-grams of every sentence are matched against the (broadcast,
-    size-checked) phrase list."""
-    grams = None
-    for n in range(1, max_len + 1):
-        g = sent_tokens.select(doc, F.explode(T.ngrams(array_col, n, " ")).alias("phrase"))
-        grams = g if grams is None else grams.unionByName(g)
-    n = phrases.limit(BROADCAST_ROWS + 1).count()
+           array_col: str = "tokens", max_len: int = 4, literal_limit: int = 10_000) -> DataFrame:
+    """Occurrences of single- and multi-word hedges per document.
+
+    A hedge list of at most ``literal_limit`` phrases (count checked) is
+    matched inside each sentence row against a hash set (``InSet``) over the
+    sentence's 1..max_len-grams: one pass, no join, documents without hits
+    get 0 naturally. Longer lists fall back to a semi-join of the exploded
+    n-grams with the (size-checked, broadcast when small) phrase table."""
     ph = phrases.select("phrase").distinct()
+    rows = ph.limit(literal_limit + 1).collect()
+    grams = [T.ngrams(array_col, n, " ") for n in range(1, max_len + 1)]
+    if len(rows) <= literal_limit:
+        words = [r["phrase"] for r in rows]
+        if not words:
+            return sent_tokens.groupBy(doc).agg(F.lit(0).cast("long").alias("n_hedges"))
+        hits = F.size(F.filter(F.concat(*grams), lambda g: g.isin(*words)))
+        return sent_tokens.groupBy(doc).agg(F.sum(hits).cast("long").alias("n_hedges"))
+    g = sent_tokens.select(doc, F.explode(F.concat(*grams)).alias("phrase"))
+    n = phrases.limit(BROADCAST_ROWS + 1).count()
     ph = F.broadcast(ph) if n <= BROADCAST_ROWS else ph
-    hits = grams.join(ph, "phrase", "left_semi").groupBy(doc).agg(
-        F.count(F.lit(1)).alias("n_hedges"))
+    hit = g.join(ph, "phrase", "left_semi").groupBy(doc).agg(F.count(F.lit(1)).alias("n_hedges"))
     docs = sent_tokens.select(doc).distinct()
-    return docs.join(hits, doc, "left").select(
+    return docs.join(hit, doc, "left").select(
         doc, F.coalesce("n_hedges", F.lit(0)).cast("long").alias("n_hedges"))
 
 

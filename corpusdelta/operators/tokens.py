@@ -133,52 +133,55 @@ def dense_ids(df: DataFrame, order_cols: Sequence[str], id_name: str = "ID") ->
             .drop("_part"))
 
 
+def _boundary_offsets(r: DataFrame, by: Sequence[str], total: "F.Column"):
+    """Offsets for groups that a range partitioning split over several
+    partitions. A group lying inside one partition needs no offset, and at
+    most (partitions - 1) groups cross a boundary, so only those groups'
+    per-partition totals (bounded by twice the partition count) reach the
+    driver, whatever the number of groups."""
+    tots = r.groupBy("_p", *by).agg(total.alias("_s"))
+    multi = tots.groupBy(*by).agg(F.count(F.lit(1)).alias("_np")).filter(F.col("_np") > 1).drop("_np")
+    rows = tots.join(multi, list(by)).collect() if by else tots.collect()
+    off, run = {}, {}
+    for row in sorted(rows, key=lambda q: q["_p"]):
+        g = tuple(row[c] for c in by)
+        off["\u0001".join([str(row["_p"])] + [str(x) for x in g])] = run.get(g, 0)
+        run[g] = run.get(g, 0) + (row["_s"] or 0)
+    om = F.create_map(*[x for k, v in off.items() for x in (F.lit(k), F.lit(v))]) if off else None
+    gkey = F.concat_ws("\u0001", F.col("_p").cast("string"), *[F.col(c).cast("string") for c in by])
+    return F.coalesce(om[gkey], F.lit(0)) if om is not None else F.lit(0)
+
+
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "rank") -> DataFrame:
     """1-based ``row_number`` inside each ``by`` group in ``order`` without
-    sorting a whole group in one task: range-partition on (by, order), count
-    rows per (partition, group) -- one small row per pair to the driver --
-    turn the counts into per-group offsets, add the position inside the
-    partition. Groups of any size (a class holding half the rows) spread
-    over many tasks."""
+    sorting a whole group in one task: range-partition on (by, order), rank
+    inside each partition, and add per-partition offsets for the few groups
+    that span several partitions. Groups of any size (a class holding half
+    the rows) spread over many tasks."""
     from corpusdelta.session import cut
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
     r = df.withColumn("_ok", F.struct(*keys)).repartitionByRange(n, "_ok").sortWithinPartitions("_ok")
     r = cut(r.withColumn("_p", F.spark_partition_id()))
-    gkey = F.concat_ws("\u0001", F.col("_p").cast("string"), *[F.col(c).cast("string") for c in by])
-    counts = r.groupBy("_p", *by).count().collect()
-    off, run = {}, {}
-    for row in sorted(counts, key=lambda q: q["_p"]):
-        g = tuple(row[c] for c in by)
-        off["\u0001".join([str(row["_p"])] + [str(x) for x in g])] = run.get(g, 0)
-        run[g] = run.get(g, 0) + row["count"]
-    om = F.create_map(*[x for k, v in off.items() for x in (F.lit(k), F.lit(v))]) if off else F.create_map()
+    off = _boundary_offsets(r, by, F.count(F.lit(1)))
     w = Window.partitionBy("_p", *by).orderBy("_ok")      # bounded by one range partition
-    return (r.withColumn(name, (om[gkey] + F.row_number().over(w)).cast("long"))
+    return (r.withColumn(name, (off + F.row_number().over(w)).cast("long"))
             .drop("_ok", "_p"))
 
 
 def cumsum_within(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
                   name: str = "cum") -> DataFrame:
     """Exclusive running sum of ``value`` inside each ``by`` group in
-    ``order`` (sum over the rows before), computed like :func:`rank_within`:
-    range partitions, per (partition, group) totals to the driver as
-    offsets, a window inside each partition. No group is sorted whole in
-    one task."""
+    ``order`` (sum over the rows before), computed like :func:`rank_within`.
+    Works for many groups (e.g. one per document): only groups crossing a
+    partition boundary get an offset from the driver."""
     from corpusdelta.session import cut
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     r = df.withColumn("_ok", F.struct(*[F.col(c) for c in list(by) + list(order)]))
     r = cut(r.repartitionByRange(n, "_ok").withColumn("_p", F.spark_partition_id()))
-    gkey = F.concat_ws("\u0001", F.col("_p").cast("string"), *[F.col(c).cast("string") for c in by])
-    tots = r.groupBy("_p", *by).agg(F.sum(value).alias("_s")).collect()
-    off, run = {}, {}
-    for row in sorted(tots, key=lambda q: q["_p"]):
-        g = tuple(row[c] for c in by)
-        off["\u0001".join([str(row["_p"])] + [str(x) for x in g])] = run.get(g, 0)
-        run[g] = run.get(g, 0) + (row["_s"] or 0)
-    om = F.create_map(*[x for k, v in off.items() for x in (F.lit(k), F.lit(v))]) if off else F.create_map()
+    off = _boundary_offsets(r, by, F.sum(value))
     w = Window.partitionBy("_p", *by).orderBy("_ok").rowsBetween(Window.unboundedPreceding, -1)
-    return (r.withColumn(name, (om[gkey] + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("long"))
+    return (r.withColumn(name, (off + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("long"))
             .drop("_ok", "_p"))
