@@ -162,27 +162,20 @@ def pseudo_r2(df: DataFrame, y: str, p: str) -> DataFrame:
 def auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact ROC AUC (ties count one half), optionally per ``by`` group
     (e.g. per model), from a histogram of distinct scores:
-    range-partition the histogram on (by, score); per (partition, group)
-    negative totals (bounded by partitions x groups) become offsets; a window
-    inside each range partition gives the negatives below each score."""
+    range-partition the histogram on (by, score); a window inside each range
+    partition gives the negatives below each score, plus an offset for the
+    few groups that span several partitions (tokens._boundary_offsets)."""
     by = list(by)
     h = (df.groupBy(*by, F.col(score).cast("double").alias("s"))
          .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     r = h.repartitionByRange(n, *by, "s").withColumn("_p", F.spark_partition_id())
+    from corpusdelta.operators.tokens import _boundary_offsets
     from corpusdelta.session import cut
     r = cut(r)
-    tot = r.groupBy("_p", *by).agg(F.sum("neg").alias("neg")).collect()
-    off, run = {}, {}
-    for row in sorted(tot, key=lambda q: q["_p"]):
-        g = tuple(row[b] for b in by)
-        off[(row["_p"],) + g] = run.get(g, 0)
-        run[g] = run.get(g, 0) + row["neg"]
-    keyc = F.concat_ws("\u0001", F.col("_p").cast("string"), *[F.col(b).cast("string") for b in by])
-    om = F.create_map(*[x for k, v in off.items()
-                        for x in (F.lit("\u0001".join(str(e) for e in k)), F.lit(v))]) if off else F.create_map()
+    off = _boundary_offsets(r, by, F.sum("neg"))
     w = Window.partitionBy("_p", *by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(w), F.lit(0)) + om[keyc]
+    below = F.coalesce(F.sum("neg").over(w), F.lit(0)) + off
     c = r.withColumn("below", below)
     g = c.groupBy(*by) if by else c.groupBy()
     return g.agg((F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
