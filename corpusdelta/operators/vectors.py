@@ -84,13 +84,16 @@ def _block_count(n: int, block_rows: int) -> int:
 
 
 def top_k_neighbours(vectors: DataFrame, k: int = 10, word: str = "word", vec: str = "vec",
-                     block_rows: int = 2048, normalised: bool = False) -> DataFrame:
+                     block_rows: int = 2048, normalised: bool = False, min_blocks: int = 4) -> DataFrame:
     """The k most similar other words per word by cosine, exact.
-    Returns ``(word, rank, neighbour, sim)``."""
+    B = max(min_blocks, ceil(V / block_rows)) blocks, so B^2 block pairs
+    give the cluster parallelism even for a small vocabulary while a block
+    stays at most ``block_rows`` vectors. Returns ``(word, rank, neighbour,
+    sim)``."""
     v = vectors.select(F.col(word).cast("string").alias("w"),
                        (F.col(vec) if normalised else normalise(vec)).alias("v"))
     n = v.count()
-    b = _block_count(n, block_rows)
+    b = max(min_blocks, _block_count(n, block_rows))
     v = v.withColumn("blk", F.pmod(F.xxhash64("w"), F.lit(b)).cast("int"))
     left = v.select(F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j"), "blk", "w", "v") \
         .select((F.col("blk") * b + F.col("j")).alias("pair"), F.lit(0).alias("side"), "w", "v")
@@ -127,10 +130,10 @@ def top_k_neighbours(vectors: DataFrame, k: int = 10, word: str = "word", vec: s
 
 
 def neighbour_density(vectors: DataFrame, k: int = 10, word: str = "word", vec: str = "vec",
-                      block_rows: int = 2048, normalised: bool = False) -> DataFrame:
+                      block_rows: int = 2048, normalised: bool = False, min_blocks: int = 4) -> DataFrame:
     """M4: mean and sample sd (ddof 1) of each word's top-k cosines, with
     the cosines themselves (descending)."""
-    t = top_k_neighbours(vectors, k, word, vec, block_rows, normalised)
+    t = top_k_neighbours(vectors, k, word, vec, block_rows, normalised, min_blocks)
     return (t.groupBy(word).agg(F.avg("sim").alias("mean"), F.stddev_samp("sim").alias("std"),
                                 F.array_sort(F.collect_list("sim"), lambda a, b: F.when(a > b, -1)
                                              .when(a < b, 1).otherwise(0)).alias("cosines")))

@@ -18,7 +18,7 @@ from corpusdelta.plans.lexical import _quality_keyness, _quality_keyness_sql
 
 PLANS: dict = {}
 K_NN = 10
-BLOCK_ROWS = 128        # several blocks even on the small fixture, so blocking is exercised
+BLOCK_ROWS = 2048       # at most this many vectors per block; at least 4 blocks (operator default)
 
 
 def plan(name, sql=None):
