@@ -58,9 +58,9 @@ def q_target_sentences(spark, sf):
     return SN.target_sentences(_sentences(spark, sf), _targets(spark, sf))
 
 
-def _sampled(spark, sf):
-    return SN.sample_per_group(SN.target_sentences(_sentences(spark, sf), _targets(spark, sf)),
-                               ["target", "time"], 20)
+def _sampled(spark, sf, sents=None):
+    sents = sents if sents is not None else _sentences(spark, sf)
+    return SN.sample_per_group(SN.target_sentences(sents, _targets(spark, sf)), ["target", "time"], 20)
 
 
 @plan("sample_per_group", TS_SQL + "\nSELECT target, time, sent_id FROM smp")
@@ -72,7 +72,9 @@ def q_sample_per_group(spark, sf):
 SELECT smp.target, smp.sent_id, sl.tokens[list_position(sl.lemmas, smp.target)] AS surface FROM smp JOIN sl ON smp.sent_id = sl.sent_id""")
 def q_surface_form_of_target(spark, sf):
     from corpusdelta.functions.text import surface_form
-    s = _sampled(spark, sf).join(_sentences(spark, sf).select("sent_id", "lemmas", "tokens"), "sent_id")
+    from corpusdelta.session import cut
+    sents = cut(_sentences(spark, sf))        # read twice: index lookup and the join back
+    s = _sampled(spark, sf, sents).join(sents.select("sent_id", "lemmas", "tokens"), "sent_id")
     return s.select("target", "sent_id", surface_form("lemmas", "tokens", F.col("target")).alias("surface"))
 
 
@@ -88,7 +90,9 @@ SELECT target, sent_id, array_to_string(list_transform(range(1, len(h) + 2), lam
   ELSE array_to_string(tk[CASE WHEN len(h) > 0 THEN h[len(h)] ELSE 0 END + 1:CASE WHEN len(h) > 0 THEN h[len(h)] ELSE 0 END + 8], ' ')
   END), ' & ') AS kwic FROM kh""")
 def q_kwic(spark, sf):
-    s = _sampled(spark, sf).join(_sentences(spark, sf).select("sent_id", "tokens"), "sent_id")
+    from corpusdelta.session import cut
+    sents = cut(_sentences(spark, sf))        # read twice: index lookup and the join back
+    s = _sampled(spark, sf, sents).join(sents.select("sent_id", "tokens"), "sent_id")
     kw = F.regexp_extract("target", "^(.*):[^:]*$", 1)
     return SN.kwic(s, kw).select("target", "sent_id", "kwic")
 
