@@ -89,3 +89,26 @@ def sort_desc(df: DataFrame, col: str = "freq", tie: str | Sequence[str] = "targ
     """Descending sort with the key as tie-break (range-partitioned)."""
     ties = _by(tie)
     return df.orderBy(F.col(col).desc(), *[F.col(t).asc() for t in ties])
+
+
+def ngram_counts_and_totals(tokens: DataFrame, n: int, by: str = "corpus", key: str = "target"):
+    """A2 + A4 in one tokenisation pass: every token row carries its n-gram
+    (NULL when the sentence ends first), one aggregation counts both, and
+    the token total per corpus is the sum over all rows. The aggregate is
+    checkpointed; returns ``(freqs, {corpus: total})`` (one number per
+    corpus reaches the driver)."""
+    from corpusdelta.session import cut
+    if n == 1:
+        grams = tokens.select(by, F.col(key).alias("target"))
+    else:
+        w = Window.partitionBy("doc_id", "sent_id").orderBy("pos_in_sent")
+        parts = [F.col(key)] + [F.lead(key, i).over(w) for i in range(1, n)]
+        grams = tokens.select(by, F.when(F.lead(key, n - 1).over(w).isNotNull(),
+                                         F.concat_ws(" ", *parts)).alias("target"))
+    agg = cut(grams.groupBy(by, "target").agg(F.count(F.lit(1)).alias("freq")))
+    totals = {r[by]: r["total"] for r in
+              agg.groupBy(by).agg(F.sum("freq").cast("long").alias("total")).collect()}
+    freqs = (agg.filter(F.col("target").isNotNull())
+             .select(by, "target", T.ngram_lemma("target").alias("lemma"),
+                     T.ngram_pos("target").alias("pos"), "freq"))
+    return freqs, totals

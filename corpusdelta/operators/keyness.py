@@ -79,17 +79,20 @@ def corpus_totals(totals: DataFrame, by: str = "corpus", limit: int = 2000) -> d
 
 
 def keyness(freqs: DataFrame, corpus1: str, corpus2: str, how: str = "inner",
-            totals: DataFrame | None = None, by: str = "corpus",
+            totals=None, by: str = "corpus",
             keys: Sequence[str] = KEYS) -> DataFrame:
     """Compare corpus2 (target, t2) against corpus1 (base, t1) in a
     long frequency table ``(by, target, lemma, pos, freq)``.
 
-    ``totals`` (``by, total``) gives corpus sizes, e.g. the unigram totals
-    for n-gram tables (A4); by default they are the sums of ``freq``."""
+    ``totals`` gives corpus sizes, e.g. the unigram totals for n-gram tables
+    (A4), as a ``(by, total)`` DataFrame or a ``{corpus: total}`` dict; by
+    default they are the sums of ``freq``."""
     f = freqs.filter(F.col(by).isin(corpus1, corpus2))
     agg = _side_agg(f, keys, F.col(by) == corpus1, F.col(by) == corpus2, F.col("freq"), how)
     tot = None
-    if totals is not None:
+    if isinstance(totals, dict):
+        tot = (totals.get(corpus1, 0), totals.get(corpus2, 0))
+    elif totals is not None:
         size = corpus_totals(totals.filter(F.col(by).isin(corpus1, corpus2)), by)
         tot = (size.get(corpus1, 0), size.get(corpus2, 0))
     return _finish(agg, keys, how, tot)

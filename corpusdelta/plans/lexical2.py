@@ -90,10 +90,8 @@ def q_significant_share(spark, sf):
 # ------------------------------------------------------------------ n-gram keyness
 def _quality_ngram_keyness(spark, sf, n=5):
     docs = quality_docs(spark, sf)
-    t = annotated(docs)
-    grams = C.ngram_counts(t, n=n, by="corpus")
-    unis = C.corpus_size(C.unigram_counts(t, by="corpus"))
-    return K.keyness(grams, "q0", "q1", how="inner", totals=unis)
+    grams, totals = C.ngram_counts_and_totals(annotated(docs), n=n, by="corpus")
+    return K.keyness(grams, "q0", "q1", how="inner", totals=totals)
 
 
 def _ngram_keyness_sql(n=5):

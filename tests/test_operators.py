@@ -272,3 +272,13 @@ def test_cumsum_within(spark):
         for i in range(40):
             assert got[(g, i)] == run
             run += (i * 37) % 11
+
+
+def test_ngram_counts_and_totals_one_pass(spark):
+    t = annotated(source_docs(spark, SF_SMALL))
+    freqs, totals = C.ngram_counts_and_totals(t, n=3)
+    want = {r.corpus: r["count"] for r in t.groupBy("corpus").count().collect()}
+    assert totals == want
+    a = {(r.corpus, r.target): r.freq for r in freqs.collect()}
+    b = {(r.corpus, r.target): r.freq for r in C.ngram_counts(t, n=3).collect()}
+    assert a == b
