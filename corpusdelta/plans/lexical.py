@@ -184,3 +184,22 @@ FROM r WHERE rank <= 10"""
 @plan("top_shifts_per_pos", TOP_SHIFTS_SQL)
 def q_top_shifts_per_pos(spark, sf):
     return rounded(K.top_shifts_per_pos(_quality_keyness(spark, sf), n=10))
+
+
+# ------------------------------------------------------------------ A1 under Structured Streaming
+@plan("unigram_counts_stream", f"""WITH {Q.token_ctes('source')}
+SELECT corpus, target, COUNT(*) AS freq FROM ann GROUP BY corpus, target""")
+def q_unigram_counts_stream(spark, sf):
+    """A1 on a file stream: the documents file is the stream's input, the
+    running counts live in the state store (checkpointed in the session's
+    checkpoint folder) and each complete result is written as parquet by
+    foreachBatch, then read back; nothing is held on the driver."""
+    import uuid
+
+    from corpusdelta.streaming.counts import stream_counts, stream_output_path
+    name = f"unigram_stream_{uuid.uuid4().hex[:8]}"
+    q = stream_counts(spark, f"{sf}/documents*.parquet", "doc_id bigint, text string, source string",
+                      sink="parquet", name=name, by="source", basePath=sf)
+    q.awaitTermination()
+    out = spark.read.parquet(stream_output_path(spark, name))
+    return out.select(F.col("source").alias("corpus"), "target", "freq")
