@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusdelta.functions import fixed
 from corpusdelta.operators import tokens as tok
+from corpusdelta.plans import sqlbits
 from corpusdelta.plans.common import table
 
 # fixed values: rules standing in for a parser's morphology (SQL shared by
@@ -117,8 +118,7 @@ def lexicon_sql() -> str:
 
 
 def _bsent() -> str:
-    from corpusdelta.plans.sqlbits import sentence_array
-    return sentence_array("text")
+    return sqlbits.sentence_array("text")
 
 
 def hedge_phrases(spark, sf) -> DataFrame:
@@ -134,7 +134,7 @@ def hedge_phrases(spark, sf) -> DataFrame:
 
 
 def hedge_sql() -> str:
-    return (f"bs AS (SELECT {__import__('corpusdelta.plans.sqlbits', fromlist=['x']).token_array('s')} AS tk "
+    return (f"bs AS (SELECT {sqlbits.token_array('s')} AS tk "
             f"FROM (SELECT unnest({_bsent()}) AS s FROM benchmark)),\n"
             "hp AS (SELECT DISTINCT phrase FROM (SELECT unnest(list_transform(range(1, len(tk)), "
             "lambda i: tk[i] || ' ' || tk[i + 1])) AS phrase FROM bs WHERE len(tk) >= 2) "

@@ -13,6 +13,7 @@ from corpusdelta.operators import survey as SV
 from corpusdelta.operators import tokens as tok
 from corpusdelta.operators import topics as TP
 from corpusdelta.plans import sqlbits as Q
+from corpusdelta.plans.corpus_plans import TIMED_SQL
 from corpusdelta.plans.common import quality_docs, rounded, table
 from corpusdelta.plans.lexical import _quality_keyness, _quality_keyness_sql
 
@@ -175,7 +176,7 @@ def q_reassign_outliers(spark, sf):
     return TP.reassign_outliers(e).select("vec_id", "topic")
 
 
-TERMS_SQL = f"""WITH {__import__('corpusdelta.plans.corpus_plans', fromlist=['x']).TIMED_SQL[5:]},
+TERMS_SQL = f"""WITH {TIMED_SQL[len('WITH '):]},
 td AS (SELECT t.doc_id, t.time, t.full_text AS text, CAST(e.label AS BIGINT) AS topic FROM timed t JOIN embeddings e ON e.vec_id = t.doc_id),
 tt AS (SELECT topic, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM td),
 tf AS (SELECT topic, term, COUNT(*) AS tf FROM tt WHERE length(term) >= 3 GROUP BY topic, term),

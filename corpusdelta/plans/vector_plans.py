@@ -13,6 +13,7 @@ from corpusdelta.functions import fixed
 from corpusdelta.operators import keyness as K
 from corpusdelta.operators import tokens as tok
 from corpusdelta.operators import vectors as V
+from corpusdelta.plans import sqlbits as Q
 from corpusdelta.plans.common import annotated, quality_docs, rounded, table
 from corpusdelta.plans.lexical import _quality_keyness, _quality_keyness_sql
 
@@ -186,7 +187,7 @@ def _keyed_vectors(spark, sf):
 
 
 KEYED_SQL = _quality_keyness_sql("inner", False) + f""",
-cw AS (SELECT * FROM k WHERE {__import__('corpusdelta.plans.sqlbits', fromlist=['x']).content_filter()}),
+cw AS (SELECT * FROM k WHERE {Q.content_filter()}),
 ids AS (SELECT target, row_number() OVER (ORDER BY target) - 1 AS vec_id FROM cw),
 ke AS (SELECT ids.target AS word, e.vec_id, CAST(e.embedding AS DOUBLE[]) AS raw FROM ids JOIN embeddings e ON e.vec_id = ids.vec_id),
 ka AS (SELECT word, {_norm('raw')} AS v FROM ke),
