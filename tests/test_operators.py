@@ -282,3 +282,12 @@ def test_ngram_counts_and_totals_one_pass(spark):
     a = {(r.corpus, r.target): r.freq for r in freqs.collect()}
     b = {(r.corpus, r.target): r.freq for r in C.ngram_counts(t, n=3).collect()}
     assert a == b
+
+
+def test_hedges_literal_and_join_paths_agree(spark):
+    from corpusdelta.operators import features as FT
+    st = tok.sentence_tokens(table(spark, SF_SMALL, "documents"))
+    phrases = spark.createDataFrame([("the",), ("of the",), ("and",), ("in a",)], "phrase string")
+    a = {r.doc_id: r.n_hedges for r in FT.hedges(st, phrases, max_len=2).collect()}
+    b = {r.doc_id: r.n_hedges for r in FT.hedges(st, phrases, max_len=2, literal_limit=0).collect()}
+    assert a == b and sum(a.values()) > 0
