@@ -291,3 +291,13 @@ def test_hedges_literal_and_join_paths_agree(spark):
     a = {r.doc_id: r.n_hedges for r in FT.hedges(st, phrases, max_len=2).collect()}
     b = {r.doc_id: r.n_hedges for r in FT.hedges(st, phrases, max_len=2, literal_limit=0).collect()}
     assert a == b and sum(a.values()) > 0
+
+
+def test_keyness_totals_dict_equals_table(spark):
+    t = annotated(source_docs(spark, SF_SMALL))
+    f2 = C.ngram_counts(t, n=2)
+    tot_df = C.corpus_size(C.unigram_counts(t))
+    tot = {r.corpus: r.total for r in tot_df.collect()}
+    a = {r.target: round(r.ll, 9) for r in K.keyness(f2, "src0", "src1", totals=tot_df).collect()}
+    b = {r.target: round(r.ll, 9) for r in K.keyness(f2, "src0", "src1", totals=tot).collect()}
+    assert a == b and len(a) > 0
