@@ -6,7 +6,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusdelta.llm import bpe
+from corpusdelta.llm import bpe, decontaminate, pii, simhash
+
+#: Key of the registered pseudonym query; a deployment passes its own.
+PSEUDONYM_KEY = "corpusdelta"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +21,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the place."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its personal data."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PSEUDONYM_KEY, count_col="n_replaced")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_pii": op3_pii,
+    "op5_simhash": op5_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.sql(),
+}
