@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusdelta.llm import bpe, decontaminate, pii, simhash
+from corpusdelta.llm import bpe, decontaminate, pii, quality, simhash
 
 #: Key of the registered pseudonym query; a deployment passes its own.
 PSEUDONYM_KEY = "corpusdelta"
@@ -32,6 +32,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PSEUDONYM_KEY, count_col="n_replaced")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; fold 1 of 3 is held out."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -41,6 +46,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
+    "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
 }
 

@@ -157,3 +157,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
     named = named.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
         F.col(f"`{id_col}`"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group: the one
+    with the least id; rows that repeat an id count once. Rows without an id
+    can't be told apart and all stay."""
+    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
+    kept = found.where(F.col(f"`{id_col}`") == F.col("component_id")).select(F.col("component_id").alias("_kept")).distinct()
+    own = docs.where(F.col(f"`{id_col}`").isNotNull())
+    return (own.join(kept, F.col(f"`{id_col}`") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+            .unionByName(docs.where(F.col(f"`{id_col}`").isNull())))
