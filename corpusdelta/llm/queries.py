@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusdelta.llm import bpe, decontaminate, pii, quality, simhash
+from corpusdelta.llm import bpe, decontaminate, lm, pii, quality, simhash, token_files
 
 #: Key of the registered pseudonym query; a deployment passes its own.
 PSEUDONYM_KEY = "corpusdelta"
@@ -42,12 +42,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document; fold 2 of 7 is held out."""
+    return lm.score_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's token ids, read the files, digest the ids."""
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op8_lm": op8_lm,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
