@@ -6,11 +6,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusdelta.llm import bpe, decontaminate, lm, pii, quality, simhash, token_files
+from corpusdelta.llm import bpe, decontaminate, lm, pii, quality, secret_scan, simhash, token_files, topk, urls
 
 #: Key of the registered pseudonym query; a deployment passes its own.
 PSEUDONYM_KEY = "corpusdelta"
 
+#: Rules of the registered URL query: verdict, host and path prefix.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +45,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document; fold 2 of 7 is held out."""
     return lm.score_held_out(_table(spark, sf_dir, "documents"))
@@ -52,16 +65,25 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best partners of every hundredth vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_urls": op6_urls,
+    "op7_secrets": op7_secrets,
     "op8_lm": op8_lm,
     "op9_token_files": op9_token_files,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.sql(),
+    "op10_topk": topk.sql(),
 }
