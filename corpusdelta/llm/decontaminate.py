@@ -109,7 +109,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def sql(width: int = 12, max_subs: int = 2) -> str:
     """DuckDB twin of ``contaminated`` for items of at least ``width`` words."""
     step = max_subs + 1
-    words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '')"
+    words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),
 b AS (SELECT item_id, {words} AS w FROM benchmark),
@@ -117,9 +117,9 @@ dw AS (SELECT doc_id, p, w[p + 1 : p + {width}] AS win FROM (SELECT doc_id, w, u
 bw AS (SELECT DISTINCT item_id, win FROM (SELECT item_id, w[p + 1 : p + {width}] AS win
        FROM (SELECT item_id, w, unnest(range(0, len(w) - {width - 1})) AS p FROM b))),
 m AS (SELECT unnest(range(0, {step})) AS c),
-dk AS (SELECT doc_id, p, win, c, list_transform(range(c, {width}, {step}), k -> win[k + 1]) AS key FROM dw, m),
-bk AS (SELECT item_id, win, c, list_transform(range(c, {width}, {step}), k -> win[k + 1]) AS key FROM bw, m),
+dk AS (SELECT doc_id, p, win, c, list_transform(range(c, {width}, {step}), lambda k: win[k + 1]) AS key FROM dw, m),
+bk AS (SELECT item_id, win, c, list_transform(range(c, {width}, {step}), lambda k: win[k + 1]) AS key FROM bw, m),
 hit AS (SELECT DISTINCT doc_id, item_id, p FROM dk JOIN bk USING (c, key)
-        WHERE list_sum(list_transform(range(0, {width}), k -> CASE WHEN dk.win[k + 1] = bk.win[k + 1] THEN 0 ELSE 1 END)) <= {max_subs})
+        WHERE list_sum(list_transform(range(0, {width}), lambda k: CASE WHEN dk.win[k + 1] = bk.win[k + 1] THEN 0 ELSE 1 END)) <= {max_subs})
 SELECT doc_id, item_id, count(*) AS n_windows, min(p)::INT AS first_word, (max(p) + {width - 1})::INT AS last_word
 FROM hit GROUP BY doc_id, item_id"""

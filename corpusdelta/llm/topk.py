@@ -155,9 +155,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 def sql(k: int = 10, every: int = 100, scale: int = 1024) -> str:
     """DuckDB twin for tables of distinct ids."""
     return f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor({scale} * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.e, d.e)::BIGINT AS score
       FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % {every} = 0),
 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
