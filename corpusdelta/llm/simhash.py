@@ -110,16 +110,16 @@ def _variants(nodes: DataFrame, max_bits: int) -> DataFrame:
 def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     """nodes (fp, distinct) -> edges (a, b) that connect exactly the
     fingerprints that a chain of links connects; each edge is a link."""
-    variants = _variants(nodes, max_bits)
-    sizes = (variants.groupBy("slot", "part")
-             .agg(F.count("*").alias("n"), F.sum("side").alias("ones"))
-             .where("n > 1 AND (ones IS NULL OR (ones > 0 AND ones < n))").select("slot", "part", "n"))
-    met = cut(variants.join(sizes, ["slot", "part"]))
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = _variants(nodes.repartition(partitions, "fp"), max_bits)  # few bytes become many rows
+    heavy_keys = cut(variants.groupBy("slot", "part").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    light = met.where(F.col("n") <= LIGHT)
+    light = variants.join(heavy_keys, ["slot", "part"], "left_anti")
     left = light.where("side IS NULL OR side = 0").select("slot", "part", "side", F.col("fp").alias("a"))
     right = light.where("side IS NULL OR side = 1").select("slot", "part", F.col("fp").alias("b"))
-    pairs = left.join(right, ["slot", "part"]).where(close & (F.col("side").isNotNull() | (F.col("a") < F.col("b"))))
+    # the check of all bits is part of the join: chance meetings leave no rows
+    pairs = left.join(right, [left["slot"] == right["slot"], left["part"] == right["part"], close,
+                              left["side"].isNotNull() | (F.col("a") < F.col("b"))])
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         rest = np.unique(pdf["fp"].to_numpy())
@@ -136,7 +136,7 @@ def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    heavy = met.where(F.col("n") > LIGHT).select(
+    heavy = variants.join(heavy_keys, ["slot", "part"]).select(
         "slot", "part", "fp", blocks.alias("blocks"), F.pmod(F.hash("fp"), blocks).alias("own"))
     spread = heavy.select("slot", "part", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     found = (spread.groupBy("slot", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
