@@ -1,8 +1,8 @@
 """Corpus assembly: periods, venues, id splits, set and reshape operations
 (P5-P7, P19, P23, J4-J7, U1-U7, W5, A10, A17, A21).
 
-All of these are plain DataFrame operations; small lookup tables (volume ->
-venue maps, id lists) are broadcast only after a size check.
+All of these are plain DataFrame operations; the planner picks the join
+strategy of lookup tables (volume -> venue maps, id lists) from their size.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 5_000_000
-
 # fixed values: period rules (years and months are strings)
 T1_YEARS = ["2020", "2021", "2022"]
 T2_LATE_YEAR = "2023"
@@ -22,12 +20,6 @@ T2_MONTHS = ["July", "August", "September", "October", "November", "December",
 T2_YEARS = ["2024"]
 
 
-def _bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is within ``limit``."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
-
-
 def period_label(year="year", month="month", t1_years=T1_YEARS, late_year=T2_LATE_YEAR,
                  late_months=T2_MONTHS, t2_years=T2_YEARS) -> Column:
     """P5: ``t1`` for t1 years; ``t2`` for listed months of the late year or
@@ -68,7 +60,7 @@ def sample_k(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
 
 def attach_venues(papers: DataFrame, venues: DataFrame, key: str = "acl_volume") -> DataFrame:
     """Left join volume -> venues (the map is size-checked for broadcast)."""
-    return papers.join(_bounded(venues), key, "left")
+    return papers.join(venues, key, "left")
 
 
 def attach_metadata(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -125,7 +125,7 @@ def mattr(tokens: DataFrame, window: int = fixed.MATTR_WINDOW, doc: str = "doc_i
          .withColumn("_wl", F.count(F.lit(1)).over(frame)))
     mine = F.col("_own") == F.col("_blk")
     full = mine & (F.col("_wl") == window)
-    agg = w.groupBy(doc).agg(F.avg(F.when(full, F.col("_wd") / F.lit(float(window)))).alias("_m"),
+    agg = w.groupBy(doc).agg((F.sum(F.when(full, F.col("_wd"))) / (F.count_if(full) * window)).alias("_m"),
                              F.count_distinct(F.when(mine, F.col(value))).alias("_u"),
                              F.count_if(mine).alias("_n"))
     return agg.select(doc, F.coalesce("_m", F.col("_u") / F.col("_n")).alias("mattr"))
@@ -170,17 +170,14 @@ def global_hapax(tokens: DataFrame, doc: str = "doc_id", value: str = "lemma",
     (2: dis legomena) in the whole corpus.
 
     Corpus-wide counts come from a partially aggregated ``groupBy(lemma)``
-    (hot lemmas collapse map-side); a lemma seen twice lives in at most two
-    documents, carried as ``min``/``max`` doc id, so no join of the token
-    table on the (skewed) lemma key is needed."""
+    (hot lemmas collapse map-side). Only (document, lemma) rows that could
+    belong to such a lemma are joined with the lemmas found."""
     from corpusdelta.session import cut
     # (document, lemma) counts are read twice (corpus totals, document list):
     # materialise them once instead of tokenising twice
     per = cut(tokens.groupBy(doc, value).agg(F.count(F.lit(1)).alias("c")))
-    g = (per.groupBy(value).agg(F.sum("c").alias("total"), F.min(doc).alias("d1"),
-                                F.max(doc).alias("d2"))
-         .filter(F.col("total") == times))
-    hits = g.select(F.explode(F.array_distinct(F.array("d1", "d2"))).alias(doc))
+    g = per.groupBy(value).agg(F.sum("c").alias("total")).filter(F.col("total") == times).select(value)
+    hits = per.filter(F.col("c") <= times).join(g, value, "left_semi")
     counts = hits.groupBy(doc).agg(F.count(F.lit(1)).alias("n_global_lemma_hapax_dislegomena"))
     docs = per.select(doc).distinct()
     return (docs.join(counts, doc, "left")
@@ -189,16 +186,11 @@ def global_hapax(tokens: DataFrame, doc: str = "doc_id", value: str = "lemma",
 
 
 # ------------------------------------------------------------------ J16, L7-L10
-BROADCAST_ROWS = 5_000_000
-
-
 def lexicon_lookup(tokens: DataFrame, lexicon: DataFrame, on: str = "lemma",
                    lex_key: str = "word") -> DataFrame:
-    """Left join of tokens with a word-norm lexicon. The lexicon is
-    broadcast only after its row count is checked against a bound."""
-    n = lexicon.limit(BROADCAST_ROWS + 1).count()
-    lx = F.broadcast(lexicon) if n <= BROADCAST_ROWS else lexicon
-    return tokens.join(lx, tokens[on] == lx[lex_key], "left").drop(lex_key)
+    """Left join of tokens with a word-norm lexicon; the planner picks the
+    strategy from the lexicon's size."""
+    return tokens.join(lexicon, tokens[on] == lexicon[lex_key], "left").drop(lex_key)
 
 
 def lexicon_features(tokens: DataFrame, lexicon: DataFrame, specs: Sequence[tuple],
@@ -227,30 +219,20 @@ def lexicon_features(tokens: DataFrame, lexicon: DataFrame, specs: Sequence[tupl
 
 
 def hedges(sent_tokens: DataFrame, phrases: DataFrame, doc: str = "doc_id",
-           array_col: str = "tokens", max_len: int = 4, literal_limit: int = 10_000) -> DataFrame:
+           array_col: str = "tokens") -> DataFrame:
     """Occurrences of single- and multi-word hedges per document.
 
-    A hedge list of at most ``literal_limit`` phrases (count checked) is
-    matched inside each sentence row against a hash set (``InSet``) over the
-    sentence's 1..max_len-grams: one pass, no join, documents without hits
-    get 0 naturally. Longer lists fall back to a semi-join of the exploded
-    n-grams with the (size-checked, broadcast when small) phrase table."""
-    ph = phrases.select("phrase").distinct()
-    rows = ph.limit(literal_limit + 1).collect()
-    grams = [T.ngrams(array_col, n, " ") for n in range(1, max_len + 1)]
-    if len(rows) <= literal_limit:
-        words = [r["phrase"] for r in rows]
-        if not words:
-            return sent_tokens.groupBy(doc).agg(F.lit(0).cast("long").alias("n_hedges"))
-        hits = F.size(F.filter(F.concat(*grams), lambda g: g.isin(*words)))
-        return sent_tokens.groupBy(doc).agg(F.sum(hits).cast("long").alias("n_hedges"))
-    g = sent_tokens.select(doc, F.explode(F.concat(*grams)).alias("phrase"))
-    n = phrases.limit(BROADCAST_ROWS + 1).count()
-    ph = F.broadcast(ph) if n <= BROADCAST_ROWS else ph
-    hit = g.join(ph, "phrase", "left_semi").groupBy(doc).agg(F.count(F.lit(1)).alias("n_hedges"))
-    docs = sent_tokens.select(doc).distinct()
-    return docs.join(hit, doc, "left").select(
-        doc, F.coalesce("n_hedges", F.lit(0)).cast("long").alias("n_hedges"))
+    The phrase list itself gives the n-gram lengths. Each document's n-grams of
+    these lengths are counted first, then joined with the phrases, so a hot
+    phrase is one row per document; documents without hits get 0."""
+    ph = phrases.select("phrase").where(F.col("phrase").isNotNull()).distinct()
+    # one row for each phrase length
+    lengths = sorted(r[0] for r in ph.select(F.size(F.split("phrase", " "))).distinct().collect())
+    grams = F.concat(*[T.ngrams(array_col, n, " ") for n in lengths]) if lengths else F.array().cast("array<string>")
+    g = (sent_tokens.select(doc, F.explode_outer(grams).alias("phrase"))
+         .groupBy(doc, "phrase").agg(F.count(F.lit(1)).alias("_c")))
+    hit = g.join(ph.withColumn("_hit", F.lit(1)), "phrase", "left")
+    return hit.groupBy(doc).agg(F.coalesce(F.sum(F.col("_c") * F.col("_hit")), F.lit(0)).cast("long").alias("n_hedges"))
 
 
 # ------------------------------------------------------------------ L11

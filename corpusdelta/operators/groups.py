@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusdelta.operators.tokens import rank_within
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
 
@@ -37,23 +39,23 @@ def group_means_long(features: DataFrame, by: str, cols: Sequence[str] | None =
     return wide.unpivot(by, cols, "feature", "mean")
 
 
-def group_stats_long(features: DataFrame, by: str, cols: Sequence[str] | None = None,
-                     accuracy: int = 10000) -> DataFrame:
-    """``(group, feature, mean, std, median)``; std is the sample sd.
-    The median is ``percentile_approx`` (exact while a group has fewer
-    values than ``accuracy``; bounded memory for groups of any size)."""
+def group_stats_long(features: DataFrame, by: str, cols: Sequence[str] | None = None) -> DataFrame:
+    """``(group, feature, mean, std, median)``; std is the sample sd, the
+    median the exact one (the mean of the two middle values if their number is
+    even). Values are ranked by range partitions, so a group of any size is
+    spread over many tasks."""
     cols = list(cols or numeric_columns(features, exclude=(by, "doc_id")))
-    aggs = []
-    for i, c in enumerate(cols):
-        v = F.col(c).cast("double")
-        aggs += [F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.percentile_approx(v, 0.5, accuracy).alias(f"q{i}")]
-    wide = features.groupBy(by).agg(*aggs)
-    packed = wide.select(by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"),
-                 F.col(f"s{i}").alias("std"), F.col(f"q{i}").alias("median"))
-        for i, c in enumerate(cols)])).alias("x"))
-    return packed.select(by, "x.feature", "x.mean", "x.std", "x.median")
+    values = (features.select(by, *[F.col(c).cast("double").alias(c) for c in cols])
+              .unpivot(by, cols, "feature", "value"))
+    stats = values.groupBy(by, "feature").agg(
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("_n"))
+    ranked = rank_within(values.where(F.col("value").isNotNull()), [by, "feature"], ["value"], "_r")
+    sizes = stats.select(F.col(by).alias("_by"), F.col("feature").alias("_feature"), "_n")
+    middle = ranked.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("feature") == F.col("_feature"))).where(
+        (F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.floor((F.col("_n") + 2) / 2)))
+    median = middle.groupBy("_by", "_feature").agg(F.avg("value").alias("median"))
+    return (stats.join(median, F.col(by).eqNullSafe(F.col("_by")) & (F.col("feature") == F.col("_feature")), "left")
+            .select(by, "feature", "mean", "std", "median"))
 
 
 def _gaps(means_long: DataFrame) -> DataFrame:

@@ -6,14 +6,12 @@ Design: a comparison of two corpora is *one* conditional aggregation
 ``groupBy(target).agg(sum(freq if corpus=c1), sum(freq if corpus=c2))`` rather
 than a join of two vocabularies, so it costs one exchange; the inner join is
 the ``having both > 0`` variant. The aggregate is checkpointed once; corpus
-totals (one number per corpus, size checked) are read from it and enter the
-plan as literals or, for many corpora, as a broadcast routing table.
+totals (one row per corpus) are joined, or read as two numbers for two corpora.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +23,6 @@ from corpusdelta.session import cut
 KEYS = ["target", "lemma", "pos"]
 MEASURES = ["freq_norm1", "freq_norm2", "ratio_t2", "ratio_t1",
             "logratio_t1", "logratio_t2", "ll"]
-MAX_CORPORA = 2000          # bound on the broadcast corpus-pair map
 
 
 def keyness_measures(df: DataFrame, total1="total1", total2="total2") -> DataFrame:
@@ -70,12 +67,9 @@ def _finish(agg: DataFrame, keys: Sequence[str], how: str,
     return out.select(*keys, "freq1", "freq2", *MEASURES)
 
 
-def corpus_totals(totals: DataFrame, by: str = "corpus", limit: int = 2000) -> dict:
-    """Collect ``(corpus, total)`` rows: one row per corpus, size checked."""
-    rows = totals.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} corpora")
-    return {r[by]: r["total"] for r in rows}
+def corpus_totals(totals: DataFrame, by: str = "corpus") -> dict:
+    """The ``(by, total)`` rows of the compared corpora as a dict."""
+    return {r[by]: r["total"] for r in totals.collect()}
 
 
 def keyness(freqs: DataFrame, corpus1: str, corpus2: str, how: str = "inner",
@@ -110,57 +104,56 @@ def keyness_from_tokens(tokens: DataFrame, side_col: str, side1, side2,
                       T.split_pos(key).alias("pos"), "freq1", "freq2", *MEASURES)
 
 
-def corpus_pairs(names: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None
-                 ) -> list[tuple[str, str]]:
-    """Every pair (i < j) of corpus names, or the listed pairs."""
-    if pairs is not None:
-        return [tuple(p) for p in pairs]
-    return list(combinations(sorted(names), 2))
-
-
 def keyness_all_pairs(freqs: DataFrame, how: str = "inner", by: str = "corpus",
                       totals: DataFrame | None = None,
                       pairs: Sequence[tuple[str, str]] | None = None,
                       min_freq: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Keyness for every pair of corpora (or the listed pairs) in one plan.
 
-    Corpus totals (one row per corpus, size checked) enter the plan as a
-    literal map. ``inner``: an equi-join of the frequency table with itself
-    on the target, ``corpus1 < corpus2``; since ``(corpus, target)`` is unique
-    a target has at most one row per corpus, so the join emits exactly the
-    result rows and no key can be hot. ``outer``: every frequency row is
-    routed (broadcast map, bounded by the corpus count) to the pairs its
-    corpus takes part in and one aggregation on ``(pair, target)`` forms both
-    sides. No driver loop over pairs."""
+    Corpus totals are joined to the frequency table once, before pairs form.
+    ``inner``: an equi-join of the frequency table with itself on the target,
+    ``corpus1 < corpus2``; since ``(corpus, target)`` is unique a target has at
+    most one row per corpus, so the join emits exactly the result rows and no
+    key can be hot. A list of pairs is joined first, so only its pairs form.
+    ``outer``: every frequency row goes to the pairs its corpus takes part in
+    and one aggregation on ``(pair, target)`` forms both sides. No driver loop
+    over pairs."""
     spark = freqs.sparkSession
     if totals is None:
         freqs = cut(freqs)        # read twice: once for the totals, once here
         totals = freqs.groupBy(by).agg(F.sum("freq").cast("long").alias("total"))
-    size = corpus_totals(totals, by, MAX_CORPORA)
-    plist = corpus_pairs(list(size), pairs)
-    tmap = F.create_map(*[x for k, v in size.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    sizes = totals.select(F.col(by).alias("_c"), F.col("total").cast("long").alias("_total"))
     f = freqs if min_freq <= 0 else freqs.filter(F.col("freq") >= min_freq)
+    wanted = None
+    if pairs is not None:
+        kind = freqs.schema[by].dataType.simpleString()
+        wanted = spark.createDataFrame([tuple(p) for p in pairs], f"corpus1 {kind}, corpus2 {kind}").distinct()
     if how == "inner":
-        a = f.select(F.col(by).alias("corpus1"), *keys, F.col("freq").alias("freq1"))
-        b = f.select(F.col(by).alias("corpus2"), *[F.col(k).alias(f"_{k}") for k in keys],
-                     F.col("freq").alias("freq2"))
-        cond = [a[k] == b[f"_{k}"] for k in keys] + [a["corpus1"] < b["corpus2"]]
-        out = a.join(b, cond, "inner").drop(*[f"_{k}" for k in keys])
-        if pairs is not None:
-            tags = [f"{c1}\u0001{c2}" for c1, c2 in plist]
-            out = out.filter(F.concat_ws("\u0001", "corpus1", "corpus2").isin(*tags))
+        f = f.join(sizes, f[by] == sizes["_c"]).drop("_c")
+        a = f.select(F.col(by).alias("corpus1"), *keys, F.col("freq").alias("freq1"), F.col("_total").alias("total1"))
+        b = f.select(F.col(by).alias("_corpus2"), *[F.col(k).alias(f"_{k}") for k in keys],
+                     F.col("freq").alias("freq2"), F.col("_total").alias("total2"))
+        same = [F.col(k) == F.col(f"_{k}") for k in keys]
+        if wanted is not None:
+            out = a.join(wanted, "corpus1").join(b, [*same, F.col("corpus2") == F.col("_corpus2")]).drop("_corpus2")
+        else:
+            out = (a.join(b, [*same, F.col("corpus1") < F.col("_corpus2")])
+                   .withColumnRenamed("_corpus2", "corpus2"))
+        out = out.drop(*[f"_{k}" for k in keys])
     else:
-        route = []
-        for c1, c2 in plist:
-            route += [(c1, c1, c2, 1), (c2, c1, c2, 2)]
-        rmap = spark.createDataFrame(route, f"{by} string, corpus1 string, corpus2 string, side int")
-        j = f.join(F.broadcast(rmap), by)
+        if wanted is None:        # one literal for each corpus
+            names = F.array(*[F.lit(r[by]) for r in totals.select(by).orderBy(by).collect()])
+            j = (f.withColumn("_o", F.explode(F.filter(names, lambda x: x != F.col(by))))
+                 .withColumns({"corpus1": F.least(by, "_o"), "corpus2": F.greatest(by, "_o")}))
+        else:
+            sides = wanted.select(F.col("corpus1").alias(by), "*").union(wanted.select(F.col("corpus2").alias(by), "*"))
+            j = f.join(sides.distinct(), by)
         out = j.groupBy("corpus1", "corpus2", *keys).agg(
-            F.sum(F.when(F.col("side") == 1, F.col("freq"))).cast("long").alias("freq1"),
-            F.sum(F.when(F.col("side") == 2, F.col("freq"))).cast("long").alias("freq2"))
-        out = (out.withColumn("freq1", F.coalesce("freq1", F.lit(0)).cast("long"))
-               .withColumn("freq2", F.coalesce("freq2", F.lit(0)).cast("long")))
-    out = out.withColumn("total1", tmap[F.col("corpus1")]).withColumn("total2", tmap[F.col("corpus2")])
+            F.coalesce(F.sum(F.when(F.col(by) == F.col("corpus1"), F.col("freq"))), F.lit(0)).cast("long").alias("freq1"),
+            F.coalesce(F.sum(F.when(F.col(by) == F.col("corpus2"), F.col("freq"))), F.lit(0)).cast("long").alias("freq2"))
+        for side in ("1", "2"):
+            out = (out.join(sizes, F.col(f"corpus{side}") == F.col("_c")).drop("_c")
+                   .withColumnRenamed("_total", f"total{side}"))
     out = keyness_measures(out)
     return out.select("corpus1", "corpus2", *keys, "freq1", "freq2", *MEASURES)
 

@@ -164,18 +164,17 @@ def auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     (e.g. per model), from a histogram of distinct scores:
     range-partition the histogram on (by, score); a window inside each range
     partition gives the negatives below each score, plus an offset for the
-    few groups that span several partitions (tokens._boundary_offsets)."""
+    few groups that span several partitions (tokens._with_offsets)."""
     by = list(by)
     h = (df.groupBy(*by, F.col(score).cast("double").alias("s"))
          .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     r = h.repartitionByRange(n, *by, "s").withColumn("_p", F.spark_partition_id())
-    from corpusdelta.operators.tokens import _boundary_offsets
+    from corpusdelta.operators.tokens import _with_offsets
     from corpusdelta.session import cut
-    r = cut(r)
-    off = _boundary_offsets(r, by, F.sum("neg"))
+    r = _with_offsets(cut(r), by, F.sum("neg"))
     w = Window.partitionBy("_p", *by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(w), F.lit(0)) + off
+    below = F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col("_offset_p")
     c = r.withColumn("below", below)
     g = c.groupBy(*by) if by else c.groupBy()
     return g.agg((F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
@@ -331,18 +330,39 @@ def selection_counts(lists: DataFrame, fold: str = "fold", feature: str = "featu
 
 # ------------------------------------------------------------------ A22, X18, M23
 def correlation_matrix(df: DataFrame, cols: Sequence[str], absolute: bool = True) -> DataFrame:
-    """Pearson correlation of every feature pair (i < j) in one
-    aggregation pass; long ``(feature1, feature2, r)``, |r| by default."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = [F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    wide = df.agg(*aggs)
-    packed = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
-                 (F.abs(F.col(f"c{i}")) if absolute else F.col(f"c{i}")).alias("r"))
-        for i, (a, b) in enumerate(pairs)])).alias("x")) if pairs else None
-    if packed is None:
+    """Pearson correlation of every feature pair (i < j) over the rows
+    where both are known; long ``(feature1, feature2, r)``, |r| by default, NULL
+    for a constant feature.
+
+    One pass: each task sums the products of its (mean-centred) rows as a matrix
+    product, and the tasks' sums are added by pair; the cost per row is one
+    matrix row, not one aggregate per pair."""
+    cols = list(cols)
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, r double")
-    return packed.select("x.feature1", "x.feature2", "x.r")
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    means = np.array([v or 0.0 for v in x.agg(*[F.avg(c) for c in cols]).first()], dtype=float)   # one number per feature
+    i, j = np.triu_indices(len(cols), 1)
+
+    def partial(batches):
+        total = np.zeros((6, len(i)))
+        for b in batches:
+            m = b.to_numpy(dtype=float)
+            known = ~np.isnan(m)
+            m = np.where(known, m - means, 0.0)
+            k = known.astype(float)
+            n, sx, sxx, sxy = k.T @ k, m.T @ k, (m * m).T @ k, m.T @ m
+            total += np.stack([n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]])
+        yield pd.DataFrame({"i": i, "j": j, **dict(zip(("n", "x", "y", "xx", "yy", "xy"), total))})
+
+    s = (x.mapInPandas(partial, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+         .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]))
+    var = [F.col(q) - F.try_divide(F.col(v) * F.col(v), F.col("n")) for q, v in (("xx", "x"), ("yy", "y"))]
+    tiny = [v > 1e-12 * F.col(q) for v, q in zip(var, ("xx", "yy"))]
+    r = F.when(tiny[0] & tiny[1], (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(var[0] * var[1]))
+    names = F.array(*[F.lit(c) for c in cols])
+    return s.select(F.get(names, F.col("i")).alias("feature1"), F.get(names, F.col("j")).alias("feature2"),
+                    (F.abs(r) if absolute else r).alias("r"))
 
 
 def correlated_groups(corr_long: DataFrame, threshold: float = 0.9, literal: bool = False) -> list[set]:

@@ -1,6 +1,6 @@
 """Sense clustering of target words.
 
-Targets are a short list (W2), so they are broadcast; sentences per target
+Targets are a short list (W2); sentences per target
 are capped by a seeded per-group sample (W9) before any per-group Python
 runs, which bounds the k-means groups.
 """
@@ -14,15 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusdelta.operators.corpus import _bounded
-
 
 def target_sentences(sentences: DataFrame, targets: DataFrame, lemmas: str = "lemmas",
                      keep: Sequence[str] = ("time",), sent: str = "sent_id") -> DataFrame:
     """Inverted index lookup: distinct (target, sentence) pairs whose
     lemma array contains the target (a sentence is listed once even when
     the lemma repeats)."""
-    t = _bounded(targets.select(F.col("target")).distinct())
+    t = targets.select("target").distinct()
     ex = sentences.select(*keep, sent, F.explode(F.array_distinct(lemmas)).alias("target"))
     return ex.join(t, "target").select("target", *keep, sent)
 
@@ -54,7 +52,7 @@ def target_embeddings(sent_tokens: DataFrame, hits: DataFrame, vectors: DataFram
                 F.col("_p") - F.greatest(F.col("_p") - window, F.lit(1)) + window + 1)).alias("_i", "word"),
         (F.col("_p") - F.greatest(F.col("_p") - window, F.lit(1))).alias("_self"))
     ctx = ctx.filter(F.col("_i") != F.col("_self"))
-    v = ctx.join(_bounded(vectors.select("word", "vec")), "word")
+    v = ctx.join(vectors.select("word", "vec"), "word")
     d = len(vectors.select("vec").first()[0])
     return (v.groupBy("target", sent)
             .agg(*[F.avg(F.element_at("vec", i + 1)).alias(f"_d{i}") for i in range(d)])

@@ -110,46 +110,46 @@ def sentence_windows(docs: DataFrame, size: int = 5, id_col: str = "doc_id",
 
 def dense_ids(df: DataFrame, order_cols: Sequence[str], id_name: str = "ID") -> DataFrame:
     """Consecutive 0-based ids in ``order_cols`` order without a global
-    (single-partition) window: range-partition, count rows per partition,
-    turn the (few) per-partition counts into prefix offsets, add the local
-    row number.
-
-    Only one row per partition reaches the driver."""
+    window over the rows: range-partition, count rows per partition, join the
+    counts' running sum (one row per partition) and add the local row number."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     # cut lineage so the counting pass and the numbering pass see the same rows
     ranged = ranged.checkpoint(eager=True).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").count().collect()
-    offsets, run = {}, 0
-    for r in sorted(counts, key=lambda r: r["_part"]):
-        offsets[r["_part"]] = run
-        run += r["count"]
-    off_map = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))]) \
-        if offsets else F.create_map()
     # monotonically_increasing_id restarts at partition_id << 33 per partition
     local = F.monotonically_increasing_id() - (F.col("_part").cast("long") * F.lit(1 << 33))
-    return (ranged.withColumn(id_name, (off_map[F.col("_part")] + local).cast("long"))
-            .drop("_part"))
-
-
-def _boundary_offsets(r: DataFrame, by: Sequence[str], total: "F.Column"):
-    """Offsets for groups that a range partitioning split over several
-    partitions. A group lying inside one partition needs no offset, and at
-    most (partitions - 1) groups cross a boundary, so only those groups'
-    per-partition totals (bounded by twice the partition count) reach the
-    driver, whatever the number of groups."""
+    numbered = ranged.withColumn("_local", local)
+    before = partition_offsets(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), "_part", "_n")
+    return (numbered.join(F.broadcast(before), "_part")
+            .withColumn(id_name, (F.col("_before") + F.col("_local")).cast("long"))
+            .drop("_part", "_local", "_before"))
+
+
+def partition_offsets(counts: DataFrame, part: str, n: str) -> DataFrame:
+    """``(part, _before)``: rows in all partitions before each. ``counts`` has
+    one row per partition of a job, so one window over it is bounded."""
+    w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(part, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long").alias("_before"))
+
+
+def _with_offsets(r: DataFrame, by: Sequence[str], total: "F.Column") -> DataFrame:
+    """Add ``_offset_p``: the total of a row's group in the range partitions before
+    its own. A group inside one partition needs none, and at most (partitions
+    - 1) groups cross a boundary, so the joined table has at most twice as many
+    rows as there are partitions, whatever the number of groups. Group values
+    are compared null-safe in their own type."""
     tots = r.groupBy("_p", *by).agg(total.alias("_s"))
-    multi = tots.groupBy(*by).agg(F.count(F.lit(1)).alias("_np")).filter(F.col("_np") > 1).drop("_np")
-    rows = tots.join(multi, list(by)).collect() if by else tots.collect()
-    off, run = {}, {}
-    for row in sorted(rows, key=lambda q: q["_p"]):
-        g = tuple(row[c] for c in by)
-        off["\u0001".join([str(row["_p"])] + [str(x) for x in g])] = run.get(g, 0)
-        run[g] = run.get(g, 0) + (row["_s"] or 0)
-    om = F.create_map(*[x for k, v in off.items() for x in (F.lit(k), F.lit(v))]) if off else None
-    gkey = F.concat_ws("\u0001", F.col("_p").cast("string"), *[F.col(c).cast("string") for c in by])
-    return F.coalesce(om[gkey], F.lit(0)) if om is not None else F.lit(0)
+    w = Window.partitionBy(*by)
+    before = w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    off = (tots.withColumn("_np", F.count(F.lit(1)).over(w)).withColumn("_offset_p", F.sum("_s").over(before))
+           .where("_np > 1 AND _offset_p IS NOT NULL"))
+    off = off.select(F.col("_p").alias("_op"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(by)], "_offset_p")
+    on = F.col("_p") == F.col("_op")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    out = r.join(F.broadcast(off), on, "left").withColumn("_offset_p", F.coalesce("_offset_p", F.lit(0)))
+    return out.drop("_op", *[f"_o{i}" for i in range(len(by))])
 
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "rank") -> DataFrame:
@@ -164,10 +164,10 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "
     keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
     r = df.withColumn("_ok", F.struct(*keys)).repartitionByRange(n, "_ok").sortWithinPartitions("_ok")
     r = cut(r.withColumn("_p", F.spark_partition_id()))
-    off = _boundary_offsets(r, by, F.count(F.lit(1)))
     w = Window.partitionBy("_p", *by).orderBy("_ok")      # bounded by one range partition
-    return (r.withColumn(name, (off + F.row_number().over(w)).cast("long"))
-            .drop("_ok", "_p"))
+    return (_with_offsets(r, by, F.count(F.lit(1)))
+            .withColumn(name, (F.col("_offset_p") + F.row_number().over(w)).cast("long"))
+            .drop("_ok", "_p", "_offset_p"))
 
 
 def cumsum_within(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
@@ -175,13 +175,13 @@ def cumsum_within(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     """Exclusive running sum of ``value`` inside each ``by`` group in
     ``order`` (sum over the rows before), computed like :func:`rank_within`.
     Works for many groups (e.g. one per document): only groups crossing a
-    partition boundary get an offset from the driver."""
+    partition boundary get an offset."""
     from corpusdelta.session import cut
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     r = df.withColumn("_ok", F.struct(*[F.col(c) for c in list(by) + list(order)]))
     r = cut(r.repartitionByRange(n, "_ok").withColumn("_p", F.spark_partition_id()))
-    off = _boundary_offsets(r, by, F.sum(value))
     w = Window.partitionBy("_p", *by).orderBy("_ok").rowsBetween(Window.unboundedPreceding, -1)
-    return (r.withColumn(name, (off + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("long"))
-            .drop("_ok", "_p"))
+    return (_with_offsets(r, by, F.sum(value))
+            .withColumn(name, (F.col("_offset_p") + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("long"))
+            .drop("_ok", "_p", "_offset_p"))

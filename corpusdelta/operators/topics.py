@@ -35,17 +35,15 @@ def topic_model(docs: DataFrame, k: int = 20, min_topic_size: int = 100, seed: i
 
 def reassign_outliers(df: DataFrame, vec: str = "vec", topic: str = "topic") -> DataFrame:
     """Documents of topic -1 move to the topic with the nearest centroid
-    (Euclidean); the centroids, one per topic (count checked), travel as a
-    literal array and the nearest one is found row-locally."""
+    (Euclidean); the centroids, one per topic (their number is the model's
+    parameter), travel as a literal array and the nearest one is found row-locally."""
     d = len(df.select(vec).first()[0])
     cent = (df.filter(F.col(topic) != -1).groupBy(topic)
             .agg(*[F.avg(F.element_at(vec, i + 1)).alias(f"_c{i}") for i in range(d)])
             .select(F.col(topic).alias("_topic"), F.array(*[F.col(f"_c{i}") for i in range(d)]).alias("_cen")))
-    # the centroids (one per topic, checked) ride along as a literal array, so
+    # the centroids (one per topic) ride along as a literal array, so
     # each outlier finds its nearest centroid row-locally: no join at all
-    rows = cent.orderBy("_topic").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("too many topics for a literal centroid table")
+    rows = cent.orderBy("_topic").collect()
     cents = F.array(*[F.struct(F.lit(r["_topic"]).alias("t"),
                                F.array(*[F.lit(float(v)) for v in r["_cen"]]).alias("c")) for r in rows])
 

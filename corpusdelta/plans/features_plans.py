@@ -109,7 +109,8 @@ w AS (SELECT doc_id, lemma, len(list_distinct(list(lemma) OVER (PARTITION BY doc
         ROWS BETWEEN CURRENT ROW AND {fixed.MATTR_WINDOW - 1} FOLLOWING))) AS wd,
       count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {fixed.MATTR_WINDOW - 1} FOLLOWING) AS wl
       FROM o)
-SELECT doc_id, round(COALESCE(AVG(CASE WHEN wl = {fixed.MATTR_WINDOW} THEN wd / {float(fixed.MATTR_WINDOW)} END),
+SELECT doc_id, round(COALESCE(SUM(wd) FILTER (WHERE wl = {fixed.MATTR_WINDOW})
+       / NULLIF(COUNT(*) FILTER (WHERE wl = {fixed.MATTR_WINDOW}) * {fixed.MATTR_WINDOW}, 0),
        COUNT(DISTINCT lemma) / COUNT(*)), 6) AS mattr FROM w GROUP BY doc_id""")
 def q_mattr(spark, sf):
     t = tok.annotate_tokens(tok.tokenize(table(spark, sf, "documents")))
@@ -189,7 +190,7 @@ h AS (SELECT doc_id, COUNT(*) AS n FROM g WHERE phrase IN (SELECT phrase FROM hp
 SELECT DISTINCT st.doc_id, CAST(COALESCE(h.n, 0) AS BIGINT) AS n_hedges FROM st LEFT JOIN h ON st.doc_id = h.doc_id""")
 def q_hedges(spark, sf):
     st = tok.sentence_tokens(table(spark, sf, "documents"))
-    return FT.hedges(st, X.hedge_phrases(spark, sf), max_len=2)
+    return FT.hedges(st, X.hedge_phrases(spark, sf))
 
 
 # ------------------------------------------------------------------ L11, L4, L5
@@ -284,7 +285,7 @@ def q_group_means(spark, sf):
 
 @plan("group_stats_long", feature_sql("lang") + "\n" + "\nUNION ALL\n".join(
     f"SELECT corpus, '{c}' AS feature, round(AVG({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
-    f"round(CAST(quantile_disc({c}, 0.5) AS DOUBLE), 6) AS median FROM feat GROUP BY corpus" for c in SURF))
+    f"round(CAST(quantile_cont(CAST({c} AS DOUBLE), 0.5) AS DOUBLE), 6) AS median FROM feat GROUP BY corpus" for c in SURF))
 def q_group_stats_long(spark, sf):
     return rounded(G.group_stats_long(_lang_features(spark, sf), "corpus", SURF))
 

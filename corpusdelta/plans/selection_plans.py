@@ -114,10 +114,10 @@ def q_add_class_label(spark, sf):
 
 @plan("standardise", FEAT_SQL + "\nSELECT doc_id, " + ", ".join(
     f"round(CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - AVG({c}) OVER ()) / stddev_samp({c}) OVER () ELSE 0.0 END, 6) AS {c}"
-    for c in FEATS[:6]) + " FROM lf")
+    for c in FEATS) + " FROM lf")
 def q_standardise(spark, sf):
-    f = labelled_features(spark, sf).select("doc_id", *FEATS[:6])
-    return rounded(SE.standardise(f, FEATS[:6]))
+    f = labelled_features(spark, sf).select("doc_id", *FEATS)
+    return rounded(SE.standardise(f, FEATS))
 
 
 # ------------------------------------------------------------------ X10-X12, A22
@@ -160,7 +160,7 @@ def q_auc(spark, sf):
     return rounded(SE.auc(labelled_features(spark, sf), "quality", "t_word"))
 
 
-CORR_FEATS = FEATS[:8]
+CORR_FEATS = FEATS
 
 
 @plan("correlation_matrix", FEAT_SQL + "\n" + "\nUNION ALL\n".join(
@@ -175,7 +175,8 @@ CORR_PAIRS_SQL = "\nUNION ALL\n".join(
     for i, a in enumerate(CORR_FEATS) for b in CORR_FEATS[i + 1:])
 GROUPS_SQL = ("WITH RECURSIVE " + FEAT_SQL[len("WITH "):] + f""",
 cm AS ({CORR_PAIRS_SQL}),
-edges AS (SELECT feature1 AS a, feature2 AS b FROM cm WHERE r > 0.9 UNION SELECT feature2, feature1 FROM cm WHERE r > 0.9),
+hi AS (SELECT feature1, feature2 FROM cm WHERE r > 0.9 AND NOT isnan(r)),
+edges AS (SELECT feature1 AS a, feature2 AS b FROM hi UNION SELECT feature2, feature1 FROM hi),
 reach(src, dst) AS (SELECT a, b FROM edges UNION SELECT reach.src, edges.b FROM reach JOIN edges ON reach.dst = edges.a),
 root AS (SELECT src AS feature, least(src, MIN(dst)) AS root FROM reach GROUP BY src)
 SELECT CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS group_id, feature FROM root""")
@@ -369,31 +370,34 @@ def q_relative_importance(spark, sf):
 
 
 # ------------------------------------------------------------------ model fits (rows only)
-GLM_FEATS = ["t_word", "cttr", "entropy", "avg_word_length", "n_noun"]
+def _fit_features(spark, sf):
+    """The feature table and the features that the prefilter keeps."""
+    f = cut(labelled_features(spark, sf))
+    return f, SE.feature_prefilter(f, FEATS, 0.9)
 
 
 @plan("logistic_regression")
 def q_logistic_regression(spark, sf):
-    f = SE.standardise(labelled_features(spark, sf), GLM_FEATS)
-    return rounded(SE.logistic_regression(f, GLM_FEATS, "quality"))
+    f, kept = _fit_features(spark, sf)
+    return rounded(SE.logistic_regression(SE.standardise(f, kept), kept, "quality"))
 
 
 @plan("elastic_net_nested_cv")
 def q_elastic_net_nested_cv(spark, sf):
-    f = labelled_features(spark, sf)
-    res, coefs = SE.elastic_net_nested_cv(f, GLM_FEATS, "quality", "doc_id", outer=5, inner=5, n_iter=20)
+    f, kept = _fit_features(spark, sf)
+    res, coefs = SE.elastic_net_nested_cv(f, kept, "quality", "doc_id", outer=5, inner=5, n_iter=20)
     return rounded(res)
 
 
 @plan("bootstrap_refits")
 def q_bootstrap_refits(spark, sf):
-    f = labelled_features(spark, sf)
-    boot = SE.bootstrap_coefs(f, GLM_FEATS, "quality", "doc_id", reps=200)
+    f, kept = _fit_features(spark, sf)
+    boot = SE.bootstrap_coefs(f, kept, "quality", "doc_id", reps=200)
     return rounded(SE.bootstrap_ci(boot))
 
 
 @plan("paired_logistic")
 def q_paired_logistic(spark, sf):
-    f = SE.standardise(labelled_features(spark, sf), GLM_FEATS)
-    f = f.withColumn("pair_id", (F.col("doc_id") / 2).cast("long"))
-    return rounded(SE.paired_logistic(f, GLM_FEATS, "quality", "pair_id"))
+    f, kept = _fit_features(spark, sf)
+    f = SE.standardise(f, kept).withColumn("pair_id", (F.col("doc_id") / 2).cast("long"))
+    return rounded(SE.paired_logistic(f, kept, "quality", "pair_id"))

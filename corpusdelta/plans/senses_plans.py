@@ -59,23 +59,22 @@ def q_target_sentences(spark, sf):
     return SN.target_sentences(_sentences(spark, sf), _targets(spark, sf))
 
 
-def _sampled(spark, sf, sents=None):
-    sents = sents if sents is not None else _sentences(spark, sf)
-    return SN.sample_per_group(SN.target_sentences(sents, _targets(spark, sf)), ["target", "time"], 20)
+def _sampled(spark, sf, n):
+    return SN.sample_per_group(SN.target_sentences(_sentences(spark, sf), _targets(spark, sf)), ["target", "time"], n)
 
 
 @plan("sample_per_group", TS_SQL + "\nSELECT target, time, sent_id FROM smp")
 def q_sample_per_group(spark, sf):
-    return _sampled(spark, sf)
+    return _sampled(spark, sf, 20)
 
 
 @plan("surface_form_of_target", TS_SQL + """
-SELECT smp.target, smp.sent_id, sl.tokens[list_position(sl.lemmas, smp.target)] AS surface FROM smp JOIN sl ON smp.sent_id = sl.sent_id""")
+SELECT ts.target, ts.sent_id, sl.tokens[list_position(sl.lemmas, ts.target)] AS surface FROM ts JOIN sl ON ts.sent_id = sl.sent_id""")
 def q_surface_form_of_target(spark, sf):
     from corpusdelta.functions.text import surface_form
     from corpusdelta.session import cut
     sents = cut(_sentences(spark, sf))        # read twice: index lookup and the join back
-    s = _sampled(spark, sf, sents).join(sents.select("sent_id", "lemmas", "tokens"), "sent_id")
+    s = SN.target_sentences(sents, _targets(spark, sf)).join(sents.select("sent_id", "lemmas", "tokens"), "sent_id")
     return s.select("target", "sent_id", surface_form("lemmas", "tokens", F.col("target")).alias("surface"))
 
 
@@ -83,7 +82,7 @@ KWIC_SQL = """list_filter(range(1, len(tk) + 1), lambda i: lower(tk[i]) = kw)"""
 
 
 @plan("kwic", TS_SQL + """,
-kq AS (SELECT smp.target, smp.sent_id, sl.tokens AS tk, regexp_extract(smp.target, '^(.*):[^:]*$', 1) AS kw FROM smp JOIN sl ON smp.sent_id = sl.sent_id),
+kq AS (SELECT ts.target, ts.sent_id, sl.tokens AS tk, regexp_extract(ts.target, '^(.*):[^:]*$', 1) AS kw FROM ts JOIN sl ON ts.sent_id = sl.sent_id),
 kh AS (SELECT *, list_filter(range(1, len(tk) + 1), lambda i: lower(tk[i]) = kw) AS h FROM kq)
 SELECT target, sent_id, array_to_string(list_transform(range(1, len(h) + 2), lambda j:
   CASE WHEN j <= len(h) THEN
@@ -93,7 +92,7 @@ SELECT target, sent_id, array_to_string(list_transform(range(1, len(h) + 2), lam
 def q_kwic(spark, sf):
     from corpusdelta.session import cut
     sents = cut(_sentences(spark, sf))        # read twice: index lookup and the join back
-    s = _sampled(spark, sf, sents).join(sents.select("sent_id", "tokens"), "sent_id")
+    s = SN.target_sentences(sents, _targets(spark, sf)).join(sents.select("sent_id", "tokens"), "sent_id")
     kw = F.regexp_extract("target", "^(.*):[^:]*$", 1)
     return SN.kwic(s, kw).select("target", "sent_id", "kwic")
 
@@ -104,7 +103,7 @@ def q_target_embeddings(spark, sf):
     from corpusdelta.operators import vectors as V
     s = _sentences(spark, sf)
     vecs = V.train_word2vec(s.select(F.col("lemmas").alias("tokens")), dims=32, min_count=20)
-    hits = _sampled(spark, sf)
+    hits = _sampled(spark, sf, 1000)
     return SN.target_embeddings(s.select("sent_id", F.col("lemmas").alias("tokens")), hits, vecs, window=5)
 
 
@@ -157,8 +156,9 @@ def q_cluster_period_table(spark, sf):
 def _topic_docs(spark, sf):
     from corpusdelta.plans.corpus_plans import _timed
     p = _timed(spark, sf).select("doc_id", "full_text", "time")
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
-    return p.join(e, "doc_id").select("doc_id", "time", F.col("full_text").alias("text"),
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    p = p.withColumn("vec_id", F.col("doc_id") % e.count())     # every document takes a label
+    return p.join(e, "vec_id").select("doc_id", "time", F.col("full_text").alias("text"),
                                       F.col("label").cast("long").alias("topic"), "embedding")
 
 
@@ -177,7 +177,7 @@ def q_reassign_outliers(spark, sf):
 
 
 TERMS_SQL = f"""WITH {TIMED_SQL[len('WITH '):]},
-td AS (SELECT t.doc_id, t.time, t.full_text AS text, CAST(e.label AS BIGINT) AS topic FROM timed t JOIN embeddings e ON e.vec_id = t.doc_id),
+td AS (SELECT t.doc_id, t.time, t.full_text AS text, CAST(e.label AS BIGINT) AS topic FROM timed t JOIN embeddings e ON e.vec_id = t.doc_id % (SELECT COUNT(*) FROM embeddings)),
 tt AS (SELECT topic, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM td),
 tf AS (SELECT topic, term, COUNT(*) AS tf FROM tt WHERE length(term) >= 3 GROUP BY topic, term),
 ft AS (SELECT term, SUM(tf) AS f FROM tf GROUP BY term),

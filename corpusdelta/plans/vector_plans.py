@@ -149,10 +149,10 @@ def q_density_compare(spark, sf):
     return rounded(V.density_compare(d1, d2))
 
 
-@plan("procrustes_align", f"WITH {V1}\nSELECT word, list_transform(raw, lambda x: round(x, 4)) AS vec FROM v1")
+@plan("procrustes_align", f"WITH {V1}\nSELECT word, list_transform(raw, lambda x: round(x, 4) + 0.0) AS vec FROM v1")
 def q_procrustes_align(spark, sf):
     al = V.procrustes_align(run1(spark, sf), run2(spark, sf))
-    return al.select("word", F.transform("vec", lambda x: F.round(x, 4)).alias("vec"))
+    return al.select("word", F.transform("vec", lambda x: F.round(x, 4) + F.lit(0.0)).alias("vec"))
 
 
 @plan("aligned_self_similarity", f"WITH {V1}\nSELECT word, CAST(1.0 AS DOUBLE) AS sim FROM v1")

@@ -3,47 +3,92 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _given(key: str) -> bool:
+    """Whether the submit command already sets ``key``."""
+    args = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    flag = {"spark.master": "--master", "spark.driver.memory": "--driver-memory"}.get(key)
+    if f"{key}=" in args or (flag and flag in args):
+        return True
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit: its settings are in the JVM
+        SparkContext._ensure_initialized()
+        return SparkConf().contains(key)
+    return False
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "corpusdelta") -> SparkSession:
-    """Build (or reuse) a session with AQE and Arrow enabled and the UI off.
+    """The active session as it is, else a new one.
 
-    On a cluster the master, memory and ``spark.checkpoint.dir`` come from the
-    submit configuration; these defaults only fill what is unset.
+    Settings of the submit command stay; only what it leaves unset gets the
+    local defaults below (AQE, Arrow, no UI). Arguments count as set.
     """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
+        return active
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.appName(app)
-        .master(master or f"local[{cpus}]")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
-    )
+    defaults = {
+        "spark.master": f"local[{cpus}]",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": cpus,
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "16g"),
+    }
+    given = {"spark.master": master, "spark.sql.shuffle.partitions": shuffle_partitions and str(shuffle_partitions)}
+    builder = SparkSession.builder.appName(app)
+    for key, value in defaults.items():
+        if given.get(key) or not _given(key):
+            builder = builder.config(key, given.get(key) or value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers of a cluster, once per application.
+    Workers on the driver's own machine read the same folder."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or getattr(sc, "_corpusdelta_sent", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="corpusdelta-"), "corpusdelta")
+    sc.addPyFile(shutil.make_archive(out, "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._corpusdelta_sent = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a scratch one only when
-    the cluster configuration leaves ``spark.checkpoint.dir`` unset (tests)."""
-    cp = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The session's checkpoint folder, which driver and executors share.
+
+    A local session without one gets a scratch folder; a cluster must name one
+    in ``spark.checkpoint.dir``, as executors can't share a folder of one
+    machine."""
+    sc = spark.sparkContext
+    cp = spark.conf.get("spark.checkpoint.dir", None)
     if not cp:
+        cp = sc.getCheckpointDir()
+        if cp:
+            return cp
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         cp = tempfile.mkdtemp(prefix="corpusdelta-cp-")
         spark.conf.set("spark.checkpoint.dir", cp)
-    spark.sparkContext.setCheckpointDir(cp)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(cp)
     return cp
 
 
@@ -53,18 +98,19 @@ def target_partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` on ``key`` when its scan yields fewer splits than
+    """Hash-partition ``df`` on ``key`` when its input gives fewer splits than
     the cluster's parallelism (a single-file corpus is read as one task).
 
     The partitioning is on the document id, so every later per-document
     aggregation (``groupBy(doc_id, ...)``) reuses it without another exchange.
-    At scale, when the scan is already wide, nothing is shuffled here.
+    The planner's size estimate decides, so nothing runs here; at scale, when
+    the input is already wide, nothing is shuffled.
     """
     spark = df.sparkSession
     n = target_partitions(spark)
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n, key)
-    return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(n, key) if size < n * split else df
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -284,13 +284,61 @@ def test_ngram_counts_and_totals_one_pass(spark):
     assert a == b
 
 
-def test_hedges_literal_and_join_paths_agree(spark):
+def test_hedges_count_phrases_of_any_length(spark):
     from corpusdelta.operators import features as FT
-    st = tok.sentence_tokens(table(spark, SF_SMALL, "documents"))
-    phrases = spark.createDataFrame([("the",), ("of the",), ("and",), ("in a",)], "phrase string")
-    a = {r.doc_id: r.n_hedges for r in FT.hedges(st, phrases, max_len=2).collect()}
-    b = {r.doc_id: r.n_hedges for r in FT.hedges(st, phrases, max_len=2, literal_limit=0).collect()}
-    assert a == b and sum(a.values()) > 0
+    st = spark.createDataFrame([(1, "to the best of our knowledge this may be".split()), (1, ["maybe"]), (2, ["no"]), (3, [])],
+                               "doc_id long, tokens array<string>")
+    phrases = spark.createDataFrame([("to the best of our knowledge",), ("maybe",), ("may be",), (None,)], "phrase string")
+    assert {r.doc_id: r.n_hedges for r in FT.hedges(st, phrases).collect()} == {1: 3, 2: 0, 3: 0}
+    assert {r.n_hedges for r in FT.hedges(st, phrases.limit(0)).collect()} == {0}
+
+
+def test_median_is_the_mean_of_the_middle_values(spark):
+    from corpusdelta.operators.groups import group_stats_long
+    rows = [("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 10.0), ("b", 5.0), ("b", None), (None, 7.0), (None, 8.0), ("c", None)]
+    got = {r.g: r.median for r in group_stats_long(spark.createDataFrame(rows, "g string, x double"), "g").collect()}
+    assert got == {"a": 2.5, "b": 5.0, None: 7.5, "c": None}
+
+
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_global_hapax_for_any_number_of_times(spark, times):
+    from corpusdelta.operators import features as FT
+    docs = {1: "x x x y z q", 2: "y z", 3: "y w w", 4: "w"}
+    t = spark.createDataFrame([(d, w) for d, ws in docs.items() for w in ws.split()], "doc_id long, lemma string")
+    total = " ".join(docs.values()).split()
+    want = {d: len({w for w in ws.split() if total.count(w) == times}) for d, ws in docs.items()}
+    assert {r.doc_id: r[1] for r in FT.global_hapax(t, times=times).collect()} == want
+
+
+@pytest.mark.parametrize("kind,values", [
+    ("boolean", [True, False, None]), ("double", [1e20, 0.1, None]), ("string", ["a", "", None]), ("date", ["2024-01-01", "1999-12-31", None])])
+def test_ranks_and_sums_of_groups_of_any_type(spark, kind, values):
+    """Groups that span range partitions, in every type, null included."""
+    from corpusdelta.operators.tokens import cumsum_within, rank_within
+    rows = [(values[i % 3], i, i % 5) for i in range(900)]
+    df = spark.createDataFrame(rows, f"g {'string' if kind == 'date' else kind}, i int, v int").selectExpr(f"CAST(g AS {kind}) AS g", "i", "v")
+    got = {}
+    for r in rank_within(df, ["g"], ["i"]).collect():
+        got.setdefault(r.g, []).append((r.i, r["rank"]))
+    assert len(got) == 3 and all([k for _, k in sorted(x)] == list(range(1, 301)) for x in got.values())
+    sums = {}
+    for r in cumsum_within(df, ["g"], ["i"], "v").collect():
+        sums.setdefault(r.g, []).append((r.i, r.v, r.cum))
+    for x in sums.values():
+        run = 0
+        for _, v, cum in sorted(x):
+            assert cum == run
+            run += v
+
+
+def test_keyness_of_listed_pairs_equals_all_pairs(spark):
+    f = C.unigram_counts(annotated(source_docs(spark, SF_SMALL)))
+    for how in ("inner", "outer"):
+        every = K.keyness_all_pairs(f, how=how)
+        some = K.keyness_all_pairs(f, how=how, pairs=[("src0", "src1"), ("src3", "src7")])
+        key = lambda r: (r.corpus1, r.corpus2, r.target, r.freq1, r.freq2, round(r.ll, 9))
+        want = sorted(key(r) for r in every.where("(corpus1 = 'src0' AND corpus2 = 'src1') OR (corpus1 = 'src3' AND corpus2 = 'src7')").collect())
+        assert want and sorted(map(key, some.collect())) == want
 
 
 def test_keyness_totals_dict_equals_table(spark):
