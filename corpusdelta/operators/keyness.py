@@ -342,11 +342,13 @@ def shift_overlap(a: DataFrame, b: DataFrame, key: str = "target") -> DataFrame:
             .drop("_n"))
 
 
-def ngram_overlap_flag(a: DataFrame, b_top: DataFrame, key: str = "target") -> DataFrame:
-    """Flag rows of A whose n-gram is in B's top set."""
-    s = b_top.select(F.col(key).alias("_k")).distinct()
-    return (a.join(s, a[key] == s["_k"], "left")
-            .withColumn("in_other", F.col("_k").isNotNull()).drop("_k"))
+def ngram_overlap_flag(a: DataFrame, b_top: DataFrame, key: str = "target",
+                       direction: str = "rising") -> DataFrame:
+    """Flag rows of A whose n-gram is in B's top list of the same
+    direction."""
+    s = b_top.select(F.col(key).alias("_k"), F.col(direction).alias("_d")).distinct()
+    return (a.join(s, (a[key] == s["_k"]) & (a[direction] == s["_d"]), "left")
+            .withColumn("in_other", F.col("_k").isNotNull()).drop("_k", "_d"))
 
 
 def side_by_side_ranks(a: DataFrame, b: DataFrame, n: int, order: str = "ll",

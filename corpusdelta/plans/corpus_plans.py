@@ -417,21 +417,22 @@ def _html_sql(x):
 
 @plan("markup_to_document", f"""SELECT page_id AS id,
 {_html_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+{_html_sql("regexp_extract(html, '(?is)<abstract[^>]*>(.*?)</abstract>', 1)")} AS abstract,
 {_html_sql("regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1)")} AS full_text FROM pages""")
 def q_markup_to_document(spark, sf):
     return R.markup_to_document(table(spark, sf, "pages"), "page_id")
 
 
 @plan("bibtex_to_table", """SELECT 'inproceedings' AS entry_type, 'p' || CAST(page_id AS VARCHAR) AS key,
- 'page ' || CAST(page_id AS VARCHAR) AS title, '' AS author, '2024' AS year, url,
+ '{Page {no.}} ' || CAST(page_id AS VARCHAR) AS title, 'A {B}, C' AS author, '2024' AS year, url,
  regexp_extract(url, '^[a-zA-Z]+://[^/]+/([^/?#]+)', 1) AS acl_id FROM pages""")
 def q_bibtex_to_table(spark, sf):
     base = scratch(spark)
     pg = table(spark, sf, "pages")
-    rec = pg.select(F.format_string("@inproceedings{p%d,\n  title={page %d},\n  year={2024},\n  url={%s}",
+    rec = pg.select(F.format_string("@inproceedings{p%d,\n  title={{Page {no.}} %d},\n  author = \"A {B}, C\",\n  year=2024,\n  url=\"%s\"",
                                     "page_id", "page_id", "url").alias("value"))
-    rec.coalesce(1).write.mode("overwrite").option("lineSep", "\n}\n").text(f"{base}/anthology.bib")
-    return R.bibtex_to_table(R.bibtex_records(spark, f"{base}/anthology.bib"))
+    rec.write.mode("overwrite").option("lineSep", "\n}\n").text(f"{base}/anthology.bib")
+    return R.bibtex_to_table(R.bibtex_records(spark, f"{base}/anthology.bib")).drop("fields")
 
 
 @plan("union_tag_by_file", """SELECT lang AS name, doc_id, n_chars FROM documents""")
@@ -531,20 +532,22 @@ def q_write_append(spark, sf):
     return spark.read.parquet(f"{base}/targets")
 
 
-XML_BODY_SQL = """SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
-  '[<>&]', '', 'g') || ' ' || regexp_replace(url, '[<>&]', '', 'g'), '\\s+', ' ', 'g')) AS body FROM pages"""
+XML_BODY_SQL = """SELECT page_id AS id, 'Page ' || CAST(page_id AS VARCHAR) AS title, 'Short view' AS abstract, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
+  '[<>&]', '', 'g') || ' ' || regexp_replace(url, '[<>&]', '', 'g'), '\\s+', ' ', 'g')) AS full_text FROM pages"""
 
 
 @plan("xml_body_text", XML_BODY_SQL)
 def q_xml_body_text(spark, sf):
-    """S9, XML path: well-formed TEI-like markup built from each page (title
-    and url as body divs, plus a typed div that must be skipped)."""
+    """S9, XML path: well-formed TEI built from each page: a header with title
+    and abstract, title and url as body divs, and typed divs in body and back
+    matter that must be skipped."""
     pg = table(spark, sf, "pages")
     title = F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), "[<>&]", "")
     url = F.regexp_replace("url", "[<>&]", "")
-    xml = F.format_string("<TEI><text><body><div>%s</div><div type=\"ack\">skip me</div><div><p>%s</p></div>"
-                          "</body></text></TEI>", title, url)
-    return pg.select("page_id", R.xml_body_text(xml).alias("body"))
+    xml = F.format_string("<TEI xmlns=\"http://www.tei-c.org/ns/1.0\"><teiHeader><title>Page %d</title><abstract><div><p>Short</p> <p>view</p></div></abstract>"
+                          "</teiHeader><text><body><div>%s</div><div type=\"ack\">skip me</div><div><p>%s</p></div></body>"
+                          "<back><div><p>no body</p></div><div type=\"references\">nor this</div></back></text></TEI>", "page_id", title, url)
+    return R.tei_to_document(pg.select("page_id", xml.alias("xml")), "page_id")
 
 
 @plan("write_or_fail", "SELECT doc_id, source FROM documents")

@@ -290,6 +290,9 @@ def q_group_stats_long(spark, sf):
     return rounded(G.group_stats_long(_lang_features(spark, sf), "corpus", SURF))
 
 
+LANGS = ["de", "en", "es", "fr"]
+
+
 def _gap_sql(kind):
     den = ("(AVG(abs(mean)) + 1e-9)" if kind == "mean"
            else "(abs(MAX(mean)) + abs(MIN(mean)) + 1e-9)")
@@ -297,12 +300,12 @@ def _gap_sql(kind):
 m AS (SELECT corpus, feature, mean FROM (SELECT corpus, {_means_sql()} FROM feat GROUP BY corpus)
       UNPIVOT (mean FOR feature IN ({', '.join(SURF)})))
 SELECT feature, round(MAX(mean) - MIN(mean), 6) AS abs_gap, round((MAX(mean) - MIN(mean)) / {den}, 6) AS rel_gap
-FROM m GROUP BY feature""")
+{"".join(f", round(MAX(mean) FILTER (WHERE corpus = '{c}'), 6) AS {c}" for c in LANGS) if kind == "mean" else ""} FROM m GROUP BY feature""")
 
 
 @plan("feature_gaps_mean", _gap_sql("mean"))
 def q_feature_gaps_mean(spark, sf):
-    return rounded(G.feature_gaps_mean(G.group_means_long(_lang_features(spark, sf), "corpus", SURF)))
+    return rounded(G.feature_gaps_mean(G.group_means_long(_lang_features(spark, sf), "corpus", SURF), LANGS))
 
 
 @plan("feature_gaps_sum", _gap_sql("sum"))

@@ -125,15 +125,29 @@ def q_min_freq_both(spark, sf):
     return rounded(K.min_freq_both(_quality_ngram_keyness(spark, sf, 2), 10))
 
 
-TOP_NGRAMS_SQL = _ngram_keyness_sql(2) + f""",
-r AS (SELECT *, CASE WHEN ratio_t2 > 1 THEN 1 WHEN ratio_t2 < 1 THEN 0 END AS rising FROM k),
-rr AS (SELECT *, row_number() OVER (PARTITION BY rising ORDER BY round(ll, 6) DESC, target) AS rank
-       FROM r WHERE rising IS NOT NULL)"""
+def _clean_sql(lemma="lemma"):
+    return (f"list_bool_and(list_transform(string_split({lemma}, ' '), "
+            "lambda x: regexp_matches(x, '^\\p{L}+$') AND length(x) >= 2))")
 
 
-@plan("top_ngrams", TOP_NGRAMS_SQL + f"\nSELECT {KOUT}, rising, rank FROM rr WHERE rank <= 40")
+def _top_ngrams_sql(k, n, cond):
+    """The top list of a keyness CTE: clean n-grams, n of each direction."""
+    return f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY rising ORDER BY round(ll, 6) DESC, target) AS BIGINT) AS rank
+  FROM (SELECT *, CASE WHEN ratio_t2 > 1 THEN 1 WHEN ratio_t2 < 1 THEN 0 END AS rising FROM {k} WHERE {cond}) WHERE rising IS NOT NULL)
+WHERE rank <= {n}"""
+
+
+def _top_own(spark, sf, n):
+    """T2 as reported: clean n-grams that both corpora hold ten times, 40 + 40."""
+    return K.top_ngrams(K.clean_ngrams(K.min_freq_both(_quality_ngram_keyness(spark, sf, n), 10)), n=40)
+
+
+OWN_TOP = _clean_sql() + " AND freq1 >= 10 AND freq2 >= 10"
+
+
+@plan("top_ngrams", _ngram_keyness_sql(2) + f"\nSELECT {KOUT}, rising, rank FROM ({_top_ngrams_sql('k', 40, OWN_TOP)})")
 def q_top_ngrams(spark, sf):
-    return rounded(K.top_ngrams(_quality_ngram_keyness(spark, sf, 2), n=40))
+    return rounded(_top_own(spark, sf, 2))
 
 
 # ------------------------------------------------------------------ T1
@@ -247,12 +261,34 @@ def q_shift_overlap(spark, sf):
     return K.shift_overlap(a, b).select("target", "rising", "in_other")
 
 
-@plan("ngram_overlap_flag", _two_tops_sql() + """
-SELECT ta.target, ta.rising, tb2.target IS NOT NULL AS in_other FROM ta
-LEFT JOIN (SELECT DISTINCT target FROM tb) tb2 ON ta.target = tb2.target""")
-def q_ngram_overlap_flag(spark, sf):
-    a, b = _two_tops(spark, sf)
-    return K.ngram_overlap_flag(a, b).select("target", "rising", "in_other")
+def _toxic_ngram_keyness(spark, sf, n):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    lab = table(spark, sf, "labels").select("doc_id", "toxic")
+    d = docs.join(lab, "doc_id").select("doc_id", "text", F.concat(F.lit("x"), F.col("toxic")).alias("corpus"))
+    grams, totals = C.ngram_counts_and_totals(annotated(d), n=n, by="corpus")
+    return K.keyness(grams, "x0", "x1", how="inner", totals=totals)
+
+
+def _overlap_sql(n):
+    other = (_ngram_keyness_sql(n).replace("'q' || CAST(l.quality AS VARCHAR)", "'x' || CAST(l.toxic AS VARCHAR)")
+             .replace("'q0'", "'x0'").replace("'q1'", "'x1'"))
+    return f"""WITH oa AS ({_ngram_keyness_sql(n)} SELECT * FROM k),
+ob AS ({other} SELECT * FROM k),
+ta AS ({_top_ngrams_sql('oa', 40, OWN_TOP)}),
+tb AS ({_top_ngrams_sql('ob', 400, _clean_sql())})
+SELECT ta.target, ta.rising, tb.target IS NOT NULL AS in_other FROM ta
+LEFT JOIN tb ON ta.target = tb.target AND ta.rising = tb.rising"""
+
+
+def _overlap_plan(name, n):
+    @plan(name, _overlap_sql(n))
+    def q(spark, sf):
+        top = K.top_ngrams(K.clean_ngrams(_toxic_ngram_keyness(spark, sf, n)), n=400)
+        return K.ngram_overlap_flag(_top_own(spark, sf, n), top).select("target", "rising", "in_other")
+
+
+_overlap_plan("ngram_overlap_flag", 2)
+_overlap_plan("ngram_overlap_flag_5", 5)
 
 
 @plan("side_by_side_ranks", _quality_keyness_sql("inner", False) + ",\n" + _toxic_sql_ctes() + """,

@@ -171,21 +171,34 @@ def html_to_text(col) -> "F.Column":
 
 
 def markup_to_document(df: DataFrame, id_col: str, markup: str = "html") -> DataFrame:
-    """Page -> ``id, title, body``; body is the cleaned text of the
-    ``<body>`` element."""
+    """Page -> ``id, title, abstract, full_text``; the text is the cleaned
+    content of the ``<body>`` element, an absent element gives ''."""
     m = F.col(markup)
-    title = F.regexp_extract(m, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    body = F.regexp_extract(m, r"(?is)<body[^>]*>(.*)</body>", 1)
-    return df.select(F.col(id_col).alias("id"), html_to_text(title).alias("title"),
-                     html_to_text(body).alias("full_text"))
 
+    def part(tag):
+        greedy = ".*" if tag == "body" else ".*?"
+        return html_to_text(F.regexp_extract(m, rf"(?is)<{tag}\b[^>]*>({greedy})</{tag}>", 1))
+    return df.select(F.col(id_col).alias("id"), part("title").alias("title"), part("abstract").alias("abstract"),
+                     part("body").alias("full_text"))
 
-def xml_body_text(col) -> "F.Column":
-    """S9, well-formed XML path: text nodes of ``div`` elements without a
-    ``type`` attribute, each node once, joined by a space, blanks collapsed."""
+
+def _xml_text(col, path: str) -> "F.Column":
     c = F.col(col) if isinstance(col, str) else col
-    joined = F.array_join(F.xpath(c, F.lit("//div[not(@type)]//text()")), " ")
-    return F.trim(F.regexp_replace(joined, r"\s+", " "))
+    return F.trim(F.regexp_replace(F.array_join(F.xpath(c, F.lit(path)), " "), r"\s+", " "))
+
+
+def xml_body_text(col) -> "F.Column":
+    """S9, well-formed XML path: text nodes of the body's ``div`` elements
+    without a ``type`` attribute, each node once, joined by a space, blanks
+    collapsed. Header and back matter are outside the body."""
+    return _xml_text(col, "//body//div[not(@type)]//text()")
+
+
+def tei_to_document(df: DataFrame, id_col: str, xml: str = "xml") -> DataFrame:
+    """S9, well-formed XML path: ``id, title, abstract, full_text``; the title
+    is the document's first one."""
+    return df.select(F.col(id_col).alias("id"), _xml_text(xml, "(//title)[1]//text()").alias("title"),
+                     _xml_text(xml, "//abstract//text()").alias("abstract"), xml_body_text(xml).alias("full_text"))
 
 
 def bibtex_records(spark: SparkSession, path: str) -> DataFrame:
@@ -193,17 +206,41 @@ def bibtex_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n}\n").text(path).withColumnRenamed("value", "record")
 
 
+def _braced(depth: int) -> str:
+    """A pattern of balanced braces, nested up to ``depth`` times."""
+    inner = r"\{[^{}]*+\}"
+    for _ in range(depth):
+        inner = r"\{(?:[^{}]++|" + inner + r")*+\}"
+    return inner
+
+
+#: Braces inside braces that a BibTeX value may hold.
+BIBTEX_DEPTH = 6
+_BIB_VALUE = (_braced(BIBTEX_DEPTH) + r'|"(?:[^"{}]++|' + _braced(BIBTEX_DEPTH) + r')*+"|[^\s,{}"]++')
+
+
 def bibtex_to_table(df: DataFrame, record: str = "record",
                     fields: Sequence[str] = ("title", "author", "year", "url")) -> DataFrame:
-    """One row per entry: type, key, the requested fields and the id
-    taken from the URL."""
+    """One row per entry: type, key, ``fields`` (a map of every field of
+    the entry, names in lower case), the requested fields as columns ('' if
+    absent) and the id taken from the URL. Values stand in braces (nested ones
+    are kept), in quotes, or bare."""
     r = F.col(record)
+    head = r"^\s*@\w+\s*\{[^,]*,"
+    found = F.regexp_extract_all(F.regexp_replace(r, head, ""), F.lit(r"(?s)([A-Za-z][\w-]*)\s*=\s*(?:" + _BIB_VALUE + ")"), 0)
+    pairs = F.transform(found, lambda x: F.struct(
+        F.lower(F.regexp_extract(x, r"^([A-Za-z][\w-]*)", 1)).alias("k"),
+        F.regexp_replace(F.regexp_extract(x, r"(?s)^[A-Za-z][\w-]*\s*=\s*(.*)$", 1), r'(?s)^(?:\{(.*)\}|"(.*)")$', "$1$2").alias("v")))
+    # a repeated field keeps its first value
+    first = F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["k"]), x["k"]) == i + 1)
     out = df.select(F.regexp_extract(r, r"@(\w+)\s*\{", 1).alias("entry_type"),
                     F.regexp_extract(r, r"@\w+\s*\{\s*([^,\s]+)\s*,", 1).alias("key"),
-                    *[F.regexp_extract(r, r"(?i)\b" + f + r"\s*=\s*\{([^}]*)\}", 1).alias(f) for f in fields])
+                    F.map_from_entries(first).alias("fields"))
     out = out.filter(F.col("entry_type") != "")
+    for f in fields:
+        out = out.withColumn(f, F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit("")))
     from corpusdelta.functions.text import id_from_url
-    return out.withColumn("acl_id", id_from_url("url"))
+    return out.withColumn("acl_id", id_from_url(F.try_element_at("fields", F.lit("url"))))
 
 
 def union_tag_by_file(spark: SparkSession, paths: Sequence[str], pattern: str,

@@ -34,9 +34,10 @@ def test_markup_and_xml_body(spark):
     df = spark.createDataFrame([(1, html)], "id long, html string")
     r = R.markup_to_document(df, "id").first()
     assert r.title == "T & A" and r.full_text == "Hello world"
-    xml = "<TEI><body><div>One <hi>two</hi></div><div type='ack'>skip</div><div><div>three</div></div></body></TEI>"
-    x = spark.createDataFrame([(xml,)], "x string").select(R.xml_body_text("x")).first()[0]
-    assert x == "One two three"
+    xml = ("<TEI><teiHeader><title>T <hi>1</hi></title><title>no</title><abstract><div>Abs <p>tract</p></div></abstract></teiHeader><text><body>"
+           "<div>One <hi>two</hi></div><div type='ack'>skip</div><div><div>three</div></div></body><back><div>four</div></back></text></TEI>")
+    x = R.tei_to_document(spark.createDataFrame([(1, xml)], "id long, xml string"), "id").first()
+    assert tuple(x) == (1, "T 1", "Abs tract", "One two three")
 
 
 def test_catalogue_xml_padding(spark):
@@ -56,6 +57,21 @@ def test_bibtex_records(spark):
     assert got == {"key1": ("inproceedings", "A title", "2024.acl-long.1"), "key2": ("article", "B", "P00-1001")}
 
 
+def test_bibtex_values_of_every_form(spark):
+    rec = """@article{k:1,
+ title = {{BERT}: Pre-training {of {Deep}} = x},
+ year=2024,
+ url="https://host.org/N19-1423/",
+ Month = jun, abstract = "a {q"}uote, year = 1",
+ year = 1999"""
+    df = spark.createDataFrame([(rec,), ("no entry",), ("@misc{k2,\n note={}",)], "record string")
+    got = {r.key: r for r in R.bibtex_to_table(df).collect()}
+    assert set(got) == {"k:1", "k2"}
+    assert got["k:1"].fields == {"title": "{BERT}: Pre-training {of {Deep}} = x", "year": "2024", "url": "https://host.org/N19-1423/",
+                                 "month": "jun", "abstract": 'a {q"}uote, year = 1'}
+    assert (got["k:1"].acl_id, got["k:1"].year, got["k2"].title) == ("N19-1423", "2024", "")
+
+
 def test_sentences_to_text_and_prefix(spark):
     df = spark.createDataFrame([("d1", [["a", "b"], ["c"]]), (None, [["x"]]), ("d3", [])],
                                "doc_key string, sentences array<array<string>>")
