@@ -85,10 +85,9 @@ def _partial_sums(df: DataFrame, fn, width: int) -> np.ndarray:
                 acc = v if acc is None else acc + v
         if acc is not None:
             yield pd.DataFrame({"idx": np.arange(width, dtype=np.int64), "val": acc})
-    rows = df.mapInPandas(part, "idx long, val double").groupBy("idx").agg(F.sum("val").alias("val")).collect()
+    sums = df.mapInPandas(part, "idx long, val double").groupBy("idx").agg(F.sum("val").alias("val")).toArrow()
     out = np.zeros(width)
-    for r in rows:
-        out[r["idx"]] = r["val"]
+    out[sums["idx"].to_numpy()] = sums["val"].to_numpy()
     return out
 
 
@@ -140,8 +139,8 @@ def fit_batched(data: DataFrame, features: Sequence[str], label: str, spec: Weig
             r = w * (p - y)
             v = w * p * (1 - p)
             g = (x.T @ r).T                                # M x (d+1)
-            xx = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-            h = v.T @ xx                                   # M x (d+1)^2
+            # one model at a time: a batch never needs more than its own rows again
+            h = np.stack([x.T @ (x * v[:, m:m + 1]) for m in range(v.shape[1])])   # M x (d+1) x (d+1)
             ll = (w * (np.logaddexp(0, eta) - y * eta)).sum(axis=0)
             return np.concatenate([g.ravel(), h.ravel(), ll])
         width = m_count * (d + 1) + m_count * (d + 1) ** 2 + m_count

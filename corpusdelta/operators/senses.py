@@ -35,28 +35,30 @@ def sample_per_group(df: DataFrame, by: Sequence[str], n: int, key: str = "sent_
 
 def target_embeddings(sent_tokens: DataFrame, hits: DataFrame, vectors: DataFrame,
                       window: int = 5, tokens: str = "tokens", sent: str = "sent_id",
-                      encoder=None) -> DataFrame:
-    """M9: one vector per (target, sentence): by default the mean of the
-    word vectors within +-window tokens of the first occurrence of the
-    target (the target itself excluded); sentences without a vector in the
-    context are skipped. ``encoder`` plugs in another model through
-    ``mapInPandas`` (pandas batch of target/sentence rows -> ``vec``)."""
+                      keep: Sequence[str] = ("time",), encoder=None) -> DataFrame:
+    """M9: one vector per (target, sentence), with the ``keep`` columns of the
+    hit: by default the mean of the word vectors within +-window tokens of the
+    first occurrence of the target (the target itself excluded); sentences
+    without a vector in the context are skipped. ``encoder`` plugs in another
+    model through ``mapInPandas`` (pandas batch of target/sentence rows ->
+    ``vec``)."""
     j = hits.join(sent_tokens.select(sent, tokens), sent)
+    cols = ["target", *keep, sent]
     if encoder is not None:
-        return j.mapInPandas(lambda it: (encoder(b) for b in it),
-                             "target string, sent_id long, vec array<double>")
+        kinds = ", ".join(f"{c} {hits.schema[c].dataType.simpleString()}" for c in cols)
+        return j.mapInPandas(lambda it: (encoder(b) for b in it), f"{kinds}, vec array<double>")
     pos = F.array_position(F.col(tokens), F.col("target"))
-    ctx = j.select("target", sent, tokens, pos.alias("_p")).filter(F.col("_p") > 0)
-    ctx = ctx.select("target", sent, F.posexplode(
+    ctx = j.select(*cols, tokens, pos.alias("_p")).filter(F.col("_p") > 0)
+    ctx = ctx.select(*cols, F.posexplode(
         F.slice(tokens, F.greatest(F.col("_p") - window, F.lit(1)),
                 F.col("_p") - F.greatest(F.col("_p") - window, F.lit(1)) + window + 1)).alias("_i", "word"),
         (F.col("_p") - F.greatest(F.col("_p") - window, F.lit(1))).alias("_self"))
     ctx = ctx.filter(F.col("_i") != F.col("_self"))
     v = ctx.join(vectors.select("word", "vec"), "word")
     d = len(vectors.select("vec").first()[0])
-    return (v.groupBy("target", sent)
+    return (v.groupBy(*cols)
             .agg(*[F.avg(F.element_at("vec", i + 1)).alias(f"_d{i}") for i in range(d)])
-            .select("target", sent, F.array(*[F.col(f"_d{i}") for i in range(d)]).alias("vec")))
+            .select(*cols, F.array(*[F.col(f"_d{i}") for i in range(d)]).alias("vec")))
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, iters: int = 100):

@@ -86,42 +86,42 @@ def _block_count(n: int, block_rows: int) -> int:
 def top_k_neighbours(vectors: DataFrame, k: int = 10, word: str = "word", vec: str = "vec",
                      block_rows: int = 2048, normalised: bool = False, min_blocks: int = 4) -> DataFrame:
     """The k most similar other words per word by cosine, exact.
-    B = max(min_blocks, ceil(V / block_rows)) blocks, so B^2 block pairs
-    give the cluster parallelism even for a small vocabulary while a block
-    stays at most ``block_rows`` vectors. Returns ``(word, rank, neighbour,
+    B = max(min_blocks, ceil(V / block_rows)) blocks, so B (B + 1) / 2 block
+    pairs give the cluster parallelism even for a small vocabulary while a
+    block stays at about ``block_rows`` vectors. Returns ``(word, rank, neighbour,
     sim)``."""
     v = vectors.select(F.col(word).cast("string").alias("w"),
                        (F.col(vec) if normalised else normalise(vec)).alias("v"))
     n = v.count()
     b = max(min_blocks, _block_count(n, block_rows))
     v = v.withColumn("blk", F.pmod(F.xxhash64("w"), F.lit(b)).cast("int"))
-    left = v.select(F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j"), "blk", "w", "v") \
-        .select((F.col("blk") * b + F.col("j")).alias("pair"), F.lit(0).alias("side"), "w", "v")
-    right = v.select(F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("i"), "blk", "w", "v") \
-        .select((F.col("i") * b + F.col("blk")).alias("pair"), F.lit(1).alias("side"), "w", "v")
+    # every unordered pair of blocks is one group and serves both directions
+    each = v.select("w", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j")).select(
+        (F.least("blk", "j") * b + F.greatest("blk", "j")).alias("pair"), (F.col("blk") > F.col("j")).alias("right"), "w", "v")
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        lw = pdf[pdf.side == 0]
-        rw = pdf[pdf.side == 1]
-        if lw.empty or rw.empty:
-            return pd.DataFrame({"w": [], "nb": [], "sim": []})
-        lm = np.vstack(lw.v.to_numpy()).astype(np.float64)
-        rm = np.vstack(rw.v.to_numpy()).astype(np.float64)
-        sims = lm @ rm.T
-        lwords = lw.w.to_numpy()
-        rwords = rw.w.to_numpy()
-        sims[lwords[:, None] == rwords[None, :]] = -np.inf          # self excluded
+    def best(sims: np.ndarray, words: np.ndarray, others: np.ndarray) -> pd.DataFrame:
         kk = min(k, sims.shape[1])
         idx = np.argpartition(-sims, kk - 1, axis=1)[:, :kk] if kk < sims.shape[1] else \
             np.tile(np.arange(sims.shape[1]), (sims.shape[0], 1))
         top = np.take_along_axis(sims, idx, axis=1)
-        keep = np.isfinite(top)
-        rows = np.repeat(np.arange(len(lwords)), idx.shape[1])[keep.ravel()]
-        return pd.DataFrame({"w": lwords[rows], "nb": rwords[idx.ravel()[keep.ravel()]],
-                             "sim": top.ravel()[keep.ravel()]})
+        keep = np.isfinite(top).ravel()
+        rows = np.repeat(np.arange(len(words)), idx.shape[1])[keep]
+        return pd.DataFrame({"w": words[rows], "nb": others[idx.ravel()[keep]], "sim": top.ravel()[keep]})
 
-    cand = (left.unionByName(right).groupBy("pair")
-            .applyInPandas(kernel, "w string, nb string, sim double"))
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf.pair.iloc[0] // b, pdf.pair.iloc[0] % b
+        left, right = (pdf, pdf) if lo == hi else (pdf[~pdf.right], pdf[pdf.right])
+        if left.empty or right.empty:
+            return pd.DataFrame({"w": [], "nb": [], "sim": []})
+        lm, rm = (np.vstack(x.v.to_numpy()).astype(np.float64) for x in (left, right))
+        lw, rw = left.w.to_numpy(), right.w.to_numpy()
+        sims = lm @ rm.T
+        sims[lw[:, None] == rw[None, :]] = -np.inf          # self excluded
+        if lo == hi:
+            return best(sims, lw, rw)
+        return pd.concat([best(sims, lw, rw), best(sims.T, rw, lw)])
+
+    cand = each.groupBy("pair").applyInPandas(kernel, "w string, nb string, sim double")
     # merge the k * B candidates per word: rank <= k is planned with a partial
     # WindowGroupLimit, so every map task ships at most k rows per word
     w = Window.partitionBy("w").orderBy(F.col("sim").desc(), F.col("nb"))
@@ -211,6 +211,22 @@ def aligned_self_similarity(base: DataFrame, aligned: DataFrame, word: str = "wo
     return j.select(*by, word, dot(normalise("a"), normalise("b")).alias("sim"))
 
 
+def aligned_similarity_runs(runs: Sequence[tuple[DataFrame, DataFrame]], word: str = "word", vec: str = "vec") -> DataFrame:
+    """M6 over runs: each run's second corpus is aligned to its first; one row
+    per word with ``sims`` (by run, NULL where a run lacks the word) and their
+    mean ``avg``."""
+    parts = []
+    for i, (base, other) in enumerate(runs):      # a handful of training runs
+        sim = aligned_self_similarity(base, procrustes_align(base, other, word, vec), word, vec)
+        parts.append(sim.withColumn("_run", F.lit(i)))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy(word).agg(
+        F.array(*[F.max(F.when(F.col("_run") == i, F.col("sim"))) for i in range(len(parts))]).alias("sims"),
+        F.avg("sim").alias("avg"))
+
+
 # ------------------------------------------------------------------ X6 / M7 / M8
 def mann_whitney_u(a, b) -> "F.Column":
     """X6, U statistic of sample a: sum over pairs of [x > y] + 1/2 [x = y]

@@ -59,13 +59,9 @@ def q_target_sentences(spark, sf):
     return SN.target_sentences(_sentences(spark, sf), _targets(spark, sf))
 
 
-def _sampled(spark, sf, n):
-    return SN.sample_per_group(SN.target_sentences(_sentences(spark, sf), _targets(spark, sf)), ["target", "time"], n)
-
-
 @plan("sample_per_group", TS_SQL + "\nSELECT target, time, sent_id FROM smp")
 def q_sample_per_group(spark, sf):
-    return _sampled(spark, sf, 20)
+    return SN.sample_per_group(SN.target_sentences(_sentences(spark, sf), _targets(spark, sf)), ["target", "time"], 20)
 
 
 @plan("surface_form_of_target", TS_SQL + """
@@ -98,15 +94,28 @@ def q_kwic(spark, sf):
 
 
 # ------------------------------------------------------------------ M9, M10 (rows only)
-@plan("target_embeddings")
-def q_target_embeddings(spark, sf):
+def _target_embeddings(spark, sf):
     from corpusdelta.operators import vectors as V
-    s = _sentences(spark, sf)
+    from corpusdelta.session import cut
+    s = cut(_sentences(spark, sf))            # read three times: vectors, index lookup, contexts
     vecs = V.train_word2vec(s.select(F.col("lemmas").alias("tokens")), dims=32, min_count=20)
-    hits = _sampled(spark, sf, 1000)
+    hits = SN.sample_per_group(SN.target_sentences(s, _targets(spark, sf)), ["target", "time"], 1000)
     return SN.target_embeddings(s.select("sent_id", F.col("lemmas").alias("tokens")), hits, vecs, window=5)
 
 
+@plan("target_embeddings")
+def q_target_embeddings(spark, sf):
+    return _target_embeddings(spark, sf)
+
+
+@plan("sense_clusters")
+def q_sense_clusters(spark, sf):
+    """The whole chain: index lookup, sample of 1000 per target and period,
+    context vectors, k-means per target, distance and order in the cluster."""
+    c = SN.cluster_target_senses(_target_embeddings(spark, sf), k=8, seed=42)
+    return rounded(SN.centroid_order(c))
+
+
 EMB_SQL = """emb AS (SELECT 't' || CAST(vec_id % 3 AS VARCHAR) AS target, vec_id AS sent_id, CAST(label AS BIGINT) AS clust,
   CASE WHEN vec_id % 2 = 0 THEN 't1' ELSE 't2' END AS time, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"""
 
@@ -121,7 +130,8 @@ def _emb(spark, sf):
 
 @plan("cluster_target_senses")
 def q_cluster_target_senses(spark, sf):
-    return rounded(SN.cluster_target_senses(_emb(spark, sf).drop("clust"), k=8, seed=42))
+    e = SN.sample_per_group(_emb(spark, sf).drop("clust"), ["target", "time"], 1000)
+    return rounded(SN.cluster_target_senses(e, k=8, seed=42))
 
 
 CENT_SQL = f"""WITH {EMB_SQL},

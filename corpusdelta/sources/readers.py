@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,21 +45,17 @@ def read_sentence_lines(spark: SparkSession, path: str | Sequence[str]) -> DataF
 def line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
     """Consecutive 0-based line numbers in file order for a text-source
     DataFrame: files sorted by path, splits by start offset, rows in split
-    order. One small job collects a row count and the first row id per file
-    split (bounded by the number of splits), turned into offsets."""
-    key = F.concat(F.col("_metadata.file_path"), F.lit("#"),
-                   F.col("_metadata.file_block_start").cast("string"))
-    part = (df.select("*", key.alias("_k"), F.col("_metadata.file_path").alias("_f"),
-                      F.col("_metadata.file_block_start").alias("_b"))
+    order. A count and the first row id of each file split (one row per split)
+    give the offsets, which are joined to the lines."""
+    split = ["_f", "_b"]
+    part = (df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
             .withColumn("_m", F.monotonically_increasing_id()))
-    rows = part.groupBy("_k", "_f", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("m0")).collect()
-    adj, run = {}, 0
-    for r in sorted(rows, key=lambda r: (r["_f"], r["_b"])):
-        adj[r["_k"]] = run - r["m0"]
-        run += r["n"]
-    m = F.create_map(*[x for k, v in adj.items() for x in (F.lit(k), F.lit(v))]) if adj else F.create_map()
-    return (part.withColumn(name, (F.col("_m") + m[F.col("_k")]).cast("long"))
-            .drop("_k", "_f", "_b", "_m"))
+    w = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    before = (part.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+              .select(*split, (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_m0")).alias("_adj")))
+    return (part.join(F.broadcast(before), split)
+            .withColumn(name, (F.col("_m") + F.col("_adj")).cast("long"))
+            .drop(*split, "_m", "_adj"))
 
 
 def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:

@@ -349,3 +349,24 @@ def test_keyness_totals_dict_equals_table(spark):
     a = {r.target: round(r.ll, 9) for r in K.keyness(f2, "src0", "src1", totals=tot_df).collect()}
     b = {r.target: round(r.ll, 9) for r in K.keyness(f2, "src0", "src1", totals=tot).collect()}
     assert a == b and len(a) > 0
+
+
+def test_aligned_similarity_over_runs(spark):
+    rng = np.random.default_rng(3)
+    runs, want = [], []
+    for i in range(3):
+        a = rng.normal(size=(12, 4))
+        q, _ = np.linalg.qr(rng.normal(size=(4, 4)))
+        b = a @ q + rng.normal(scale=0.3, size=a.shape)
+        unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+        u, _, vt = np.linalg.svd(unit(b).T @ unit(a))
+        want.append((unit(a) * unit(b @ (u @ vt))).sum(1))
+        words = range(12) if i < 2 else range(11)
+        runs.append(tuple(spark.createDataFrame([(f"w{k}", m[k].tolist()) for k in (range(12) if m is a else words)],
+                                                "word string, vec array<double>") for m in (a, b)))
+    got = {r.word: r for r in V.aligned_similarity_runs(runs[:2]).collect()}
+    for k in range(12):
+        np.testing.assert_allclose(got[f"w{k}"].sims, [want[0][k], want[1][k]], atol=1e-8)
+        np.testing.assert_allclose(got[f"w{k}"].avg, (want[0][k] + want[1][k]) / 2, atol=1e-8)
+    part = {r.word: r for r in V.aligned_similarity_runs(runs[1:]).collect()}
+    assert part["w11"].sims[1] is None and abs(part["w11"].avg - part["w11"].sims[0]) < 1e-12
