@@ -60,10 +60,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the workers of a cluster, once per application.
-    Workers on the driver's own machine read the same folder."""
+    """Send this package to the Python workers, once per application: the
+    driver's import path is not theirs."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_corpusdelta_sent", False):
+    if getattr(sc, "_corpusdelta_sent", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="corpusdelta-"), "corpusdelta")

@@ -51,3 +51,15 @@ def test_cluster_needs_a_shared_checkpoint_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_workers_elsewhere_get_the_package(tmp_path):
+    """A driver that knows the package by its own path alone."""
+    code = (f"import sys; sys.path.insert(0, {ROOT!r})\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "import __spark_entry__ as E\n"
+            f"print('GOT', E.queries()['cluster_target_senses'](s, {SF_SMALL!r}).count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "GOT 500" in out.stdout, out.stderr[-2000:]
