@@ -18,7 +18,7 @@ from corpusdelta.operators import corpus as CO
 from corpusdelta.operators import tokens as tok
 from corpusdelta.plans import sqlbits as Q
 from corpusdelta.plans.common import rounded, table
-from corpusdelta.session import ensure_checkpoint_dir
+from corpusdelta.session import cut, ensure_checkpoint_dir
 from corpusdelta.sources import readers as R
 from corpusdelta.sources import writers as W
 
@@ -304,7 +304,6 @@ def q_count_distinct_ids(spark, sf):
 def q_read_table(spark, sf):
     base = scratch(spark)
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    W.write_table(d, f"{base}/docs.tsv", fmt="csv")      # header CSV written under a .tsv-free name
     W.write_table(d, f"{base}/docs.csv", fmt="csv")
     back = R.read_table(spark, f"{base}/docs.csv", inferSchema=False)
     return back.select(F.col("doc_id").cast("long"), "lang", "source", F.col("n_chars").cast("long"))
@@ -321,7 +320,7 @@ lines AS (SELECT doc_id, sent_id, list(target ORDER BY pos_in_sent) AS lemmas, l
 
 
 def _write_lines(spark, sf, base):
-    st = tok.sentence_targets(table(spark, sf, "documents")).orderBy("doc_id", "sent_id")
+    st = cut(tok.sentence_targets(table(spark, sf, "documents")).orderBy("doc_id", "sent_id"))     # written twice
     W.write_lines(st, f"{base}/lemmas.txt.gz", "targets", compression="gzip")
     W.write_lines(st, f"{base}/tokens.txt.gz", "tokens", compression="gzip")
 
@@ -380,13 +379,10 @@ FROM conversations""")
 def q_jsonl_strip_prefix(spark, sf):
     base = scratch(spark)
     c = table(spark, sf, "conversations")
-    paths = []
-    for role in ("user", "assistant", "system", "missing"):
-        p = f"{base}/inputs_{role}.jsonl"
-        paths.append(p)
-        if role != "missing":
-            (c.filter(F.col("role") == role).select(F.concat(F.lit("coref: wb | _ "), "text").alias("input"))
-             .write.mode("overwrite").json(p))
+    (c.filter(F.col("role").isin("user", "assistant", "system"))
+     .select(F.concat(F.lit("coref: wb | _ "), "text").alias("input"), F.format_string("inputs_%s.jsonl", "role").alias("file"))
+     .write.partitionBy("file").json(f"{base}/in"))
+    paths = [f"{base}/in/file=inputs_{role}.jsonl" for role in ("user", "assistant", "system", "missing")]
     return R.jsonl_strip_prefix(spark, paths, tag_pattern=r"inputs_([a-z]+)\.jsonl")
 
 
@@ -438,15 +434,9 @@ def q_bibtex_to_table(spark, sf):
 @plan("union_tag_by_file", """SELECT lang AS name, doc_id, n_chars FROM documents""")
 def q_union_tag_by_file(spark, sf):
     base = scratch(spark)
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
-    d.write.mode("overwrite").partitionBy("lang").parquet(f"{base}/by_lang")
-    langs = [r["lang"] for r in d.select("lang").distinct().collect()]     # bounded: languages
-    paths = []
-    for lg in langs:
-        p = f"{base}/{lg}__lftk.parquet"
-        spark.read.parquet(f"{base}/by_lang/lang={lg}").write.mode("overwrite").parquet(p)
-        paths.append(p)
-    out = R.union_tag_by_file(spark, paths, r"/([^/_]+)__lftk\.parquet/", tag="name")
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.format_string("%s__lftk.parquet", "lang").alias("file"))
+    d.write.partitionBy("file").parquet(f"{base}/in")
+    out = R.union_tag_by_file(spark, [f"{base}/in"], r"/file=([^/_]+)__lftk\.parquet/", tag="name")
     return out.select("name", "doc_id", "n_chars")
 
 
@@ -454,16 +444,11 @@ def q_union_tag_by_file(spark, sf):
  doc_id FROM documents""")
 def q_stem_of_path(spark, sf):
     base = scratch(spark)
-    d = table(spark, sf, "documents").select("doc_id", "lang",
-                                             F.concat(F.lit("t"), (F.col("doc_id") % 2 + 1).cast("string")).alias("t"))
-    keys = [(r["lang"], r["t"]) for r in d.select("lang", "t").distinct().collect()]   # bounded
-    paths = []
-    for lg, t in keys:
-        p = f"{base}/{lg}_{t}.tei.parquet"
-        d.filter((F.col("lang") == lg) & (F.col("t") == t)).select("doc_id").write.mode("overwrite").parquet(p)
-        paths.append(p)
-    df = spark.read.parquet(*paths)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+\.parquet)/[^/]*$", 1)
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.concat("lang", F.lit("_t"), (F.col("doc_id") % 2 + 1).cast("string"), F.lit(".tei.parquet")).alias("file"))
+    d.write.partitionBy("file").parquet(f"{base}/in")
+    df = spark.read.parquet(f"{base}/in")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/file=([^/]+\.parquet)/[^/]*$", 1)
     stem = T.stem_of_path(folder)
     return df.select(stem.alias("stem"), T.period_of_stem(stem).alias("period"), "doc_id")
 
