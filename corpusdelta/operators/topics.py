@@ -33,28 +33,40 @@ def topic_model(docs: DataFrame, k: int = 20, min_topic_size: int = 100, seed: i
     return out.withColumn("topic", F.when(F.col("topic").isin(*small), F.lit(-1)).otherwise(F.col("topic")))
 
 
-def reassign_outliers(df: DataFrame, vec: str = "vec", topic: str = "topic") -> DataFrame:
-    """Documents of topic -1 move to the topic with the nearest centroid
-    (Euclidean); the centroids, one per topic (their number is the model's
-    parameter), travel as a literal array and the nearest one is found row-locally."""
+def _distances(df: DataFrame, vec: str, topic: str) -> "F.Column":
+    """Array of (distance to the topic's centroid, topic) of a row. The
+    centroids, one per topic (their number is the model's parameter), travel as
+    a literal array, so every row finds its distances locally: no join."""
     d = len(df.select(vec).first()[0])
-    cent = (df.filter(F.col(topic) != -1).groupBy(topic)
+    rows = (df.filter(F.col(topic) != -1).groupBy(topic)
             .agg(*[F.avg(F.element_at(vec, i + 1)).alias(f"_c{i}") for i in range(d)])
-            .select(F.col(topic).alias("_topic"), F.array(*[F.col(f"_c{i}") for i in range(d)]).alias("_cen")))
-    # the centroids (one per topic) ride along as a literal array, so
-    # each outlier finds its nearest centroid row-locally: no join at all
-    rows = cent.orderBy("_topic").collect()
+            .select(F.col(topic).alias("_topic"), F.array(*[F.col(f"_c{i}") for i in range(d)]).alias("_cen"))
+            .orderBy("_topic").collect())
     cents = F.array(*[F.struct(F.lit(r["_topic"]).alias("t"),
                                F.array(*[F.lit(float(v)) for v in r["_cen"]]).alias("c")) for r in rows])
 
     def dist(c):
-        return F.aggregate(F.zip_with(F.col(vec), c["c"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)),
-                           F.lit(0.0), lambda s, x: s + x)
-    scored = F.transform(cents, lambda c: F.struct(dist(c).alias("d"), c["t"].alias("t")))
-    nearest = F.array_min(scored)["t"]
+        return F.sqrt(F.aggregate(F.zip_with(F.col(vec), c["c"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)),
+                                  F.lit(0.0), lambda s, x: s + x))
+    return F.transform(cents, lambda c: F.struct(dist(c).alias("d"), c["t"].alias("t")))
+
+
+def reassign_outliers(df: DataFrame, vec: str = "vec", topic: str = "topic") -> DataFrame:
+    """Documents of topic -1 move to the topic of the highest probability
+    (:func:`topic_probability`), which is the one with the nearest centroid."""
+    nearest = F.array_min(_distances(df, vec, topic))["t"]
     return df.withColumn(topic, F.when(F.col(topic) == -1, nearest).otherwise(F.col(topic)))
 
 
+def topic_probability(df: DataFrame, vec: str = "vec", topic: str = "topic", name: str = "prob") -> DataFrame:
+    """Add the probability of the row's own topic, ``exp(-distance)`` to its
+    centroid as a share of the sum over all topics; 0 for topic -1."""
+    scored = _distances(df, vec, topic)
+    total = F.aggregate(scored, F.lit(0.0), lambda s, x: s + F.exp(-x["d"]))
+    own = F.aggregate(scored, F.lit(0.0), lambda s, x: s + F.when(x["t"] == F.col(topic), F.exp(-x["d"])).otherwise(0.0))
+    return df.withColumn(name, F.try_divide(own, total))
+
+
 def topic_terms(tokens: DataFrame, n: int = 10, topic: str = "topic", term: str = "term") -> DataFrame:
     """Class-based TF-IDF ``tf(t, c) * ln(1 + A / f(t))`` with A the
     average number of words per topic and f(t) the count of t over all
@@ -93,7 +105,8 @@ def mmr_terms(cands: DataFrame, n: int = 10, diversity: float = 0.3, topic: str
 
 def document_topics(docs: DataFrame, assign: DataFrame, terms: DataFrame, doc: str = "doc_id",
                     topic: str = "topic", n_name: int = 3) -> DataFrame:
-    """Documents with topic id and name (``id_term1_term2_term3``)."""
+    """Documents with topic id, name (``id_term1_term2_term3``) and the
+    further columns of ``assign`` (the probability)."""
     names = (terms.filter(F.col("rank") <= n_name).groupBy(topic)
              .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_t"))
              .select(topic, F.concat_ws("_", F.col(topic).cast("string"), F.array_join("_t.term", "_")).alias("name")))

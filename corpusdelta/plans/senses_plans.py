@@ -208,12 +208,17 @@ def q_topic_terms(spark, sf):
 
 
 @plan("document_topics", TERMS_SQL + """,
-nm AS (SELECT topic, CAST(topic AS VARCHAR) || '_' || array_to_string(list(term ORDER BY rank), '_') AS name FROM rk WHERE rank <= 3 GROUP BY topic)
-SELECT td.doc_id, td.topic, nm.name FROM td LEFT JOIN nm ON td.topic = nm.topic""")
+nm AS (SELECT topic, CAST(topic AS VARCHAR) || '_' || array_to_string(list(term ORDER BY rank), '_') AS name FROM rk WHERE rank <= 3 GROUP BY topic),
+ev AS (SELECT doc_id, topic, CAST(embedding AS DOUBLE[]) AS v FROM td JOIN embeddings e ON e.vec_id = td.doc_id % (SELECT COUNT(*) FROM embeddings)),
+ex AS (SELECT topic, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM ev),
+ce AS (SELECT topic, list(ax ORDER BY i) AS cen FROM (SELECT topic, i, AVG(x) AS ax FROM ex GROUP BY topic, i) GROUP BY topic),
+pr AS (SELECT ev.doc_id, SUM(exp(-list_distance(ev.v, ce.cen))) FILTER (WHERE ev.topic = ce.topic) / SUM(exp(-list_distance(ev.v, ce.cen))) AS prob
+       FROM ev, ce GROUP BY ev.doc_id)
+SELECT td.doc_id, td.topic, round(pr.prob, 6) AS prob, nm.name FROM td JOIN pr USING (doc_id) LEFT JOIN nm ON td.topic = nm.topic""")
 def q_document_topics(spark, sf):
-    d = _topic_docs(spark, sf)
-    return TP.document_topics(d.select("doc_id"), d.select("doc_id", "topic"), _terms(spark, sf)) \
-        .select("doc_id", "topic", "name")
+    d = TP.topic_probability(_topic_docs(spark, sf), "embedding")
+    return rounded(TP.document_topics(d.select("doc_id"), d.select("doc_id", "topic", "prob"), _terms(spark, sf))
+                   .select("doc_id", "topic", "prob", "name"))
 
 
 @plan("topic_period_table", TERMS_SQL + """,
