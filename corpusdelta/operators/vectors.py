@@ -238,15 +238,17 @@ def mann_whitney_u(a, b) -> "F.Column":
         F.lit(0.0), lambda s, z: s + z)
 
 
-def _mw_p(u: float, x: list, y: list) -> float:
-    """Two-sided p for U: exact distribution (no ties, a sample of at most 8)
-    or the tie-corrected normal approximation with continuity correction."""
+def _mw_p(u: float, x: list, y: list, method: str = "auto") -> float:
+    """Two-sided p for U. ``method``: ``exact`` (distribution of U without
+    ties), ``asymptotic`` (tie-corrected normal approximation with continuity
+    correction), or ``auto``: exact without ties when a sample has at most 8
+    values, else asymptotic."""
     n1, n2 = len(x), len(y)
     if n1 == 0 or n2 == 0:
         return float("nan")
     allv = list(x) + list(y)
     ties = len(set(allv)) < len(allv)
-    if min(n1, n2) <= 8 and not ties:
+    if method == "exact" or method == "auto" and min(n1, n2) <= 8 and not ties:
         # counts of U values by the standard recursion over (n1, n2)
         from functools import lru_cache
 
@@ -274,20 +276,21 @@ def _mw_p(u: float, x: list, y: list) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def mann_whitney_p(u: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_mw_p(float(uu), list(x), list(y)) for uu, x, y in zip(u, a, b)],
+def mann_whitney_p(u: pd.Series, a: pd.Series, b: pd.Series, method: pd.Series) -> pd.Series:
+    return pd.Series([_mw_p(float(uu), list(x), list(y), m) for uu, x, y, m in zip(u, a, b, method)],
                      dtype="float64")
 
 
-def density_compare(d1: DataFrame, d2: DataFrame, word: str = "word") -> DataFrame:
+def density_compare(d1: DataFrame, d2: DataFrame, word: str = "word", method: str = "auto") -> DataFrame:
     """M7 (with J12): inner join of two density tables by word, Mann-Whitney
-    U of the two cosine lists and its p-value, the means and sds kept."""
+    U of the two cosine lists and its p-value (``method``: auto, exact or
+    asymptotic), the means and sds kept."""
     j = (d1.select(word, F.col("mean").alias("mean1"), F.col("std").alias("std1"),
                    F.col("cosines").alias("c1"))
          .join(d2.select(word, F.col("mean").alias("mean2"), F.col("std").alias("std2"),
                          F.col("cosines").alias("c2")), word))
     j = j.withColumn("stat", mann_whitney_u("c1", "c2"))
-    return j.withColumn("pval", mann_whitney_p("stat", "c1", "c2")).drop("c1", "c2")
+    return j.withColumn("pval", mann_whitney_p("stat", "c1", "c2", F.lit(method))).drop("c1", "c2")
 
 
 def density_shift(df: DataFrame) -> DataFrame:

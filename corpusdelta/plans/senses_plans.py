@@ -237,11 +237,15 @@ def q_topic_period_table(spark, sf):
     return rounded(TP.topic_period_table(named))
 
 
+#: Candidate terms of a topic from which MMR chooses: its documented pool.
+MMR_CANDIDATES = 30
+
+
 @plan("mmr_terms")
 def q_mmr_terms(spark, sf):
     d = _topic_docs(spark, sf)
     t = d.select("topic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("term"))
-    top = TP.topic_terms(t.filter(F.length("term") >= 3), n=30)
+    top = TP.topic_terms(t.filter(F.length("term") >= 3), n=MMR_CANDIDATES)
     topics = sorted(r["topic"] for r in top.select("topic").distinct().collect())      # bounded: topics
     prof = top.groupBy("term").pivot("topic", topics).agg(F.first("score")).fillna(0.0)
     prof = prof.select("term", F.array(*[F.col(str(t)) for t in topics]).alias("vec"))
