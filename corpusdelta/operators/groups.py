@@ -64,10 +64,10 @@ def _gaps(means_long: DataFrame) -> DataFrame:
         F.avg(F.abs("mean")).alias("_mabs"))
 
 
-def feature_gaps_mean(means_long: DataFrame, groups: Sequence[str], by: str = "corpus") -> DataFrame:
+def feature_gaps_mean(means_long: DataFrame, groups: Sequence[str] = (), by: str = "corpus") -> DataFrame:
     """``abs_gap = max - min`` over group means,
     ``rel_gap = abs_gap / (mean(|means|) + 1e-9)``, largest first, and beside
-    them the mean of each of ``groups``."""
+    them the mean of each of the named ``groups``."""
     g = means_long.groupBy("feature").agg(
         F.max("mean").alias("_max"), F.min("mean").alias("_min"), F.avg(F.abs("mean")).alias("_mabs"),
         *[F.max(F.when(F.col(by) == c, F.col("mean"))).alias(c) for c in groups])

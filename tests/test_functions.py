@@ -43,6 +43,8 @@ def _gaps(spark, vals, fn):
 def test_gap_goldens(spark):
     r = _gaps(spark, [0, .03285, .86879, .10196], G.feature_gaps_mean)
     assert r.abs_gap == pytest.approx(.86879) and r.rel_gap == pytest.approx(3.46269, abs=5e-5)
+    r = _gaps(spark, [.5, .25], lambda df: G.feature_gaps_mean(df, ["g0", "g1"]))
+    assert (r.g0, r.g1, r.abs_gap) == (.5, .25, .25)
     r = _gaps(spark, [7.4, 62.7, 66.75, 62.65], G.feature_gaps_sum)
     assert r.abs_gap == pytest.approx(59.35) and r.rel_gap == pytest.approx(.80040, abs=5e-5)
 
