@@ -274,47 +274,34 @@ def dependency_counts(tokens: DataFrame, labels: Sequence[str] = fixed.DEPENDENC
                            for l in labels])
 
 
-def _tree(heads: pd.Series) -> pd.DataFrame:
-    widths, depths, branch = [], [], []
-    for hs in heads:
-        hs = list(hs) if hs is not None else []
-        n = len(hs)
-        depth = [0] * n
-        for i in range(n):
-            d, j, seen = 0, i, 0
-            while hs[j] is not None and hs[j] != j and seen <= n:
-                j = hs[j]
-                d += 1
-                seen += 1
-            depth[i] = d
-        if n == 0:
-            widths.append(0.0), depths.append(0.0), branch.append(0.0)
-            continue
-        per_level = pd.Series(depth).value_counts()
-        kids = pd.Series([h for i, h in enumerate(hs) if h is not None and h != i]).value_counts()
-        widths.append(float(per_level.max()))
-        depths.append(float(max(depth)))
-        branch.append(float(kids.mean()) if len(kids) else 0.0)
-    return pd.DataFrame({"width": widths, "depth": depths, "branching": branch})
-
-
-@F.pandas_udf(T_.StructType([T_.StructField("width", T_.DoubleType()),
-                             T_.StructField("depth", T_.DoubleType()),
-                             T_.StructField("branching", T_.DoubleType())]))
-def _tree_udf(heads: pd.Series) -> pd.DataFrame:
-    return _tree(heads)
+def _depths(heads: "F.Column") -> "F.Column":
+    """Depth of each token of a sentence. Parents are followed by doubling:
+    after k steps every token points 2^k levels up and knows the distance."""
+    parent = F.transform(heads, lambda h, i: F.coalesce(h.cast("int"), i))
+    one = F.transform(parent, lambda h, i: F.when(h == i, 0).otherwise(1))
+    steps = F.ceil(F.log2(F.greatest(F.size(heads), F.lit(1)))).cast("int") + 1
+    done = F.aggregate(
+        F.sequence(F.lit(1), steps), F.struct(parent.alias("p"), one.alias("d")),
+        lambda s, _: F.struct(F.transform(s["p"], lambda x: F.get(s["p"], x)).alias("p"),
+                              F.zip_with(s["d"], s["p"], lambda d, x: d + F.get(s["d"], x)).alias("d")))
+    return done["d"]
 
 
 def tree_shape(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Per sentence the width (largest level), depth and mean branching
     of the dependency tree given by ``head`` (index in the sentence, self
-    for the root), averaged per document. Sentences are bounded groups."""
+    or NULL for the root), averaged per document. Sentences are bounded
+    groups; their trees are array expressions."""
     sent = (tokens.groupBy(doc, "sent_id")
             .agg(F.array_sort(F.collect_list(F.struct("pos_in_sent", "head"))).alias("_h"))
-            .select(doc, _tree_udf(F.col("_h.head")).alias("t")))
-    return sent.groupBy(doc).agg(F.avg("t.width").alias("tree_width"),
-                                 F.avg("t.depth").alias("tree_depth"),
-                                 F.avg("t.branching").alias("tree_branching"))
+            .select(doc, F.col("_h.head").alias("_heads")))
+    d = sent.withColumn("_d", _depths(F.col("_heads")))
+    kids = F.filter(F.col("_heads"), lambda h, i: h.isNotNull() & (h != i))
+    width = F.array_max(F.transform(F.array_distinct("_d"), lambda x: F.size(F.filter("_d", lambda y: y == x))))
+    shape = d.select(doc, width.cast("double").alias("w"), F.array_max("_d").cast("double").alias("d"),
+                     F.coalesce(F.try_divide(F.size(kids), F.size(F.array_distinct(kids))), F.lit(0.0)).alias("b"))
+    return shape.groupBy(doc).agg(F.avg("w").alias("tree_width"), F.avg("d").alias("tree_depth"),
+                                  F.avg("b").alias("tree_branching"))
 
 
 # ------------------------------------------------------------------ L13
