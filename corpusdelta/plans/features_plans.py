@@ -117,8 +117,24 @@ def q_mattr(spark, sf):
     return rounded(FT.mattr(t))
 
 
-# ------------------------------------------------------------------ L16 (rows only)
-@plan("mtld")
+# ------------------------------------------------------------------ L16
+def _mtld_fold(tokens):
+    """Factor count, types and length of the open factor, folded over a list."""
+    types = "list_distinct(list_concat(a.t, b.t))"
+    return f"""list_reduce(list_transform({tokens}, lambda x: {{'c': 0::DOUBLE, 't': [x], 'n': 1}}),
+  lambda a, b: CASE WHEN len({types}) / (a.n + 1) <= {fixed.MTLD_THRESHOLD} THEN {{'c': a.c + 1, 't': []::VARCHAR[], 'n': 0}}
+  ELSE {{'c': a.c, 't': {types}, 'n': a.n + 1}} END)"""
+
+
+def _mtld_length(s):
+    c = f"({s}.c + CASE WHEN {s}.n > 0 THEN (1 - len({s}.t) / {s}.n) / (1 - {fixed.MTLD_THRESHOLD}) ELSE 0 END)"
+    return f"CASE WHEN {c} > 0 THEN n / {c} ELSE n END"
+
+
+@plan("mtld", f"""WITH {Q.token_ctes('all')},
+l AS (SELECT doc_id, list(lemma ORDER BY sent_id, pos_in_sent) AS f FROM ann GROUP BY doc_id),
+st AS (SELECT doc_id, len(f) AS n, {_mtld_fold('f')} AS fw, {_mtld_fold('list_reverse(f)')} AS bw FROM l)
+SELECT doc_id, round(({_mtld_length('fw')} + {_mtld_length('bw')}) / 2, 6) AS mtld FROM st""")
 def q_mtld(spark, sf):
     t = tok.annotate_tokens(tok.tokenize(table(spark, sf, "documents")))
     return rounded(FT.mtld(t))
