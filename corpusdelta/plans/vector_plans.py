@@ -175,21 +175,24 @@ def q_shared_vocab(spark, sf):
 
 # ------------------------------------------------------------------ J8, X5: keyness words get vectors
 def _keyed_vectors(spark, sf):
+    """Every keyness word takes an embedding (by its rank), shifted by the rank
+    so that words that share one differ."""
     k = K.content_words(_quality_keyness(spark, sf))
-    ids = tok.dense_ids(k.select("target"), ["target"], "vec_id")
+    ids = tok.dense_ids(k.select("target"), ["target"], "rk")
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    j = ids.join(e, "vec_id")
-    v1 = j.select(F.col("target").alias("word"), F.col("embedding").alias("vec"))
+    j = (ids.withColumn("vec_id", F.col("rk") % e.count()).join(e, "vec_id")
+         .withColumn("raw", F.transform("embedding", lambda x, i: x.cast("double") + 0.01 * ((i * 7 + F.col("rk")) % 11 - 5))))
+    v1 = j.select(F.col("target").alias("word"), F.col("raw").alias("vec"))
     v2 = j.select(F.col("target").alias("word"),
-                  F.transform("embedding", lambda x, i: x.cast("double") + 0.05 * ((i + F.col("vec_id")) % 5 - 2))
-                  .alias("vec"))
+                  F.transform("raw", lambda x, i: x + 0.05 * ((i + F.col("vec_id")) % 5 - 2)).alias("vec"))
     return k, v1, v2
 
 
 KEYED_SQL = _quality_keyness_sql("inner", False) + f""",
 cw AS (SELECT * FROM k WHERE {Q.content_filter()}),
-ids AS (SELECT target, row_number() OVER (ORDER BY target) - 1 AS vec_id FROM cw),
-ke AS (SELECT ids.target AS word, e.vec_id, CAST(e.embedding AS DOUBLE[]) AS raw FROM ids JOIN embeddings e ON e.vec_id = ids.vec_id),
+ids AS (SELECT target, row_number() OVER (ORDER BY target) - 1 AS rk FROM cw),
+ke AS (SELECT ids.target AS word, e.vec_id, list_transform(CAST(e.embedding AS DOUBLE[]), lambda x, i: x + 0.01 * (((i - 1) * 7 + rk) % 11 - 5)) AS raw
+       FROM ids JOIN embeddings e ON e.vec_id = ids.rk % (SELECT COUNT(*) FROM embeddings)),
 ka AS (SELECT word, {_norm('raw')} AS v FROM ke),
 kb AS (SELECT word, {_norm('p')} AS v FROM (SELECT word, list_transform(raw, lambda x, i: x + 0.05 * ((i - 1 + vec_id) % 5 - 2)) AS p FROM ke)),
 {_density_sql('ka', 'a')},
