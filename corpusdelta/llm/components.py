@@ -64,10 +64,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     now = cut(thin(edges.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = (both.join(least, "a").where("b > a")
-                 .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+        # (a, b) has b < a; a node without a smaller neighbour is its own least
+        least = now.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        large = now.join(least, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(least.select("a", "m")).distinct())

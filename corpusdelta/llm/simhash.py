@@ -72,10 +72,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     """One row per input row: the id column and ``fp`` long."""
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([fingerprint(t or b"", shingle) for t in texts], pa.int64())],
-                names=[id_col, "fp"])
+            texts = b.column(1).cast(pa.binary())
+            fps = [fingerprint(t or b"", shingle) for k in range(0, b.num_rows, 256) for t in texts.slice(k, 256).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
     source = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, fp long")
@@ -111,15 +110,16 @@ def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     """nodes (fp, distinct) -> edges (a, b) that connect exactly the
     fingerprints that a chain of links connects; each edge is a link."""
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = _variants(nodes.repartition(partitions, "fp"), max_bits)  # few bytes become many rows
+    variants = _variants(nodes.repartition(partitions, F.xxhash64("fp")), max_bits)  # few bytes become many rows
     heavy_keys = cut(variants.groupBy("slot", "part").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     light = variants.join(heavy_keys, ["slot", "part"], "left_anti")
     left = light.where("side IS NULL OR side = 0").select("slot", "part", "side", F.col("fp").alias("a"))
-    right = light.where("side IS NULL OR side = 1").select("slot", "part", F.col("fp").alias("b"))
+    right = light.where("side IS NULL OR side = 1").select(
+        F.col("slot").alias("slot_b"), F.col("part").alias("part_b"), F.col("fp").alias("b"))
     # the check of all bits is part of the join: chance meetings leave no rows
-    pairs = left.join(right, [left["slot"] == right["slot"], left["part"] == right["part"], close,
-                              left["side"].isNotNull() | (F.col("a") < F.col("b"))])
+    pairs = left.join(right, (F.col("slot") == F.col("slot_b")) & (F.col("part") == F.col("part_b")) & close
+                      & (F.col("side").isNotNull() | (F.col("a") < F.col("b"))))
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         rest = np.unique(pdf["fp"].to_numpy())
