@@ -44,16 +44,29 @@ BLOCK_TOKENS, SHARD_TOKENS = 1 << 18, 1 << 25
 @lru_cache(2)
 def _encoder(path: str):
     """The tokenizers library's ids of a text. The vocabulary's pre-tokenizer
-    splits at the same pattern as ``split``, and each pre-token is encoded on
-    its own, so the library is asked once for each pre-token."""
+    splits at the same pattern as ``split`` and spells each byte as one visible
+    character; the library's model is then asked once for each pre-token.
+    Strings of special tokens in a text are ordinary text."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    memo = Memo(lambda piece: array("I", t.encode(piece, add_special_tokens=False).ids).tobytes())
+    model = Tokenizer.from_file(path).model
+    spelt = _byte_spelling()
+
+    def ids(piece: str) -> bytes:
+        return array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(spelt))]).tobytes()
+
+    memo = Memo(ids)
     return lambda text: b"".join(map(memo.__getitem__, split(text)))
 
 
+def _byte_spelling() -> dict[int, str]:
+    """The character of each byte in byte-level vocabularies: visible Latin-1
+    characters stand for themselves, other bytes for U+0100 on, in order."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 # ---- the code ------------------------------------------------------------
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
