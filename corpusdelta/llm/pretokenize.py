@@ -31,13 +31,35 @@ def classes() -> np.ndarray:
     return table
 
 
-def split(text: str) -> list[str]:
-    """The pre-tokens of ``text`` in order; they concatenate to it."""
+def library_classes(pre_tokenizer) -> np.ndarray:
+    """Class of every code point as a byte-level pre-tokenizer of the
+    tokenizers library takes it; its tables are of another Unicode version than
+    those of the regex library. Beyond ASCII its pieces of all code points in
+    order are runs of one class, so one probe tells the class of a piece."""
+    table = np.zeros(0x110000, dtype=np.uint8)
+
+    def kind(char):
+        for like, probe in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
+            if len(pre_tokenizer.pre_tokenize_str(probe + char)) == 1:
+                return like
+        return SPACE
+
+    for point in range(128):
+        table[point] = kind(chr(point))
+    for lo, hi in ((128, 0xD800), (0xE000, 0x110000)):
+        for _, (a, b) in pre_tokenizer.pre_tokenize_str("".join(map(chr, range(lo, hi)))):
+            table[lo + a:lo + b] = kind(chr(lo + a))
+    return table
+
+
+def split(text: str, table: np.ndarray | None = None) -> list[str]:
+    """The pre-tokens of ``text`` in order; they concatenate to it. ``table``
+    has the class of every code point (default: ``classes()``)."""
     n = len(text)
     if n == 0:
         return []
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    kind = classes()[points]
+    kind = (classes() if table is None else table)[points]
     start = np.empty(n, dtype=bool)
     start[0] = True
     np.not_equal(kind[1:], kind[:-1], out=start[1:])

@@ -62,7 +62,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's token ids, read the files, digest the ids."""
-    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

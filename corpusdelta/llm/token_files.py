@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdelta.llm.pretokenize import Memo, split
+from corpusdelta.llm.pretokenize import Memo, library_classes, split
 from corpusdelta.llm.shared import scratch_path
 
 #: Tokens after which a block ends, and tokens that a shard holds about.
@@ -42,21 +42,31 @@ BLOCK_TOKENS, SHARD_TOKENS = 1 << 18, 1 << 25
 
 
 @lru_cache(2)
-def _encoder(path: str):
+def _encoder(path: str, added_tokens: bool):
     """The tokenizers library's ids of a text. The vocabulary's pre-tokenizer
-    splits at the same pattern as ``split`` and spells each byte as one visible
-    character; the library's model is then asked once for each pre-token.
-    Strings of special tokens in a text are ordinary text."""
+    splits at the same pattern as ``split`` (by the library's character classes)
+    and spells each byte as one visible character; the library's model is then
+    asked once for each pre-token. With ``added_tokens`` a text that holds the
+    string of an added token is encoded by the library itself, as its ``encode``
+    does; without, such strings are ordinary text."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
+    tokenizer = Tokenizer.from_file(path)
+    model, table = tokenizer.model, library_classes(tokenizer.pre_tokenizer)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
     spelt = _byte_spelling()
 
     def ids(piece: str) -> bytes:
         return array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(spelt))]).tobytes()
 
     memo = Memo(ids)
-    return lambda text: b"".join(map(memo.__getitem__, split(text)))
+
+    def encoded(text: str) -> bytes:
+        if any(t in text for t in added):
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(memo.__getitem__, split(text, table)))
+
+    return encoded
 
 
 def _byte_spelling() -> dict[int, str]:
@@ -101,7 +111,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # ---- writing -------------------------------------------------------------
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, added_tokens: bool = False) -> DataFrame:
     """(doc, tie, n, ids): the ids, with the end, as 16-bit numbers where the
     vocabulary allows it, else as 32-bit numbers."""
     from tokenizers import Tokenizer
@@ -109,7 +119,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
     kind = np.dtype("<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
 
     def run(batches):
-        of = _encoder(tokenizer)
+        of = _encoder(tokenizer, added_tokens)
         end = np.array([end_id], np.uint32).tobytes()
         for b in batches:
             ids = [np.frombuffer(of(t or "") + end, np.uint32).astype(kind) for t in b.column(2).to_pylist()]
@@ -146,12 +156,13 @@ def frequency_order(encoded: DataFrame) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id",
-          text_col: str = "text") -> np.ndarray:
+          text_col: str = "text", added_tokens: bool = False) -> np.ndarray:
     """Write the token files of ``docs`` to the folder ``path``; returns the ids
-    by rank, which are also kept in ``path``/order."""
+    by rank, which are also kept in ``path``/order. ``added_tokens``: strings of
+    the vocabulary's added tokens get those tokens' ids, as in the library."""
     spark = docs.sparkSession
     kept = scratch_path(spark, "token-ids")
-    encode(docs, tokenizer, end_id, id_col, text_col).write.option("compression", "zstd").parquet(kept)
+    encode(docs, tokenizer, end_id, id_col, text_col, added_tokens).write.option("compression", "zstd").parquet(kept)
     encoded = spark.read.parquet(kept)
     order = frequency_order(encoded)
     rank = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
@@ -228,8 +239,9 @@ def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
             .mapInArrow(run, f"doc {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids))
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+               added_tokens: bool = False) -> DataFrame:
     """Write the token files of ``docs`` to a new shared folder and read them."""
     path = scratch_path(docs.sparkSession, "token-files")
-    write(docs, path, tokenizer, end_id, id_col, text_col)
+    write(docs, path, tokenizer, end_id, id_col, text_col, added_tokens)
     return read(docs.sparkSession, path).withColumnRenamed("doc", id_col)

@@ -60,3 +60,21 @@ def test_repeated_null_ids_and_empty_table(spark):
     got = sorted(map(tuple, tf.round_trip(df, PATH).collect()), key=lambda r: r[1])
     assert got == expected([(None, "zz"), (0, None), (1, "a b"), (1, "a b")])
     assert tf.round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_registered_query_equals_the_plain_library(spark, tmp_path):
+    from corpusdelta.llm import pretokenize, queries
+
+    t = Tokenizer.from_file(PATH)
+    newer = [chr(c) for c in np.flatnonzero(pretokenize.library_classes(t.pre_tokenizer) != pretokenize.classes()).tolist() if not 0xD800 <= c < 0xE000]
+    assert "\u088f" in newer and "\u0c5c" in newer
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "it's <|endoftext|>'s", None, "plain"]
+    texts += [f"a{c}b 1{c}2 {c}" for c in newer[::50]] + ["".join(map(chr, range(1, 0x3000)))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, start = [], 0
+    for i, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert sorted(map(tuple, queries.op9_token_files(spark, str(tmp_path)).collect())) == want
