@@ -92,3 +92,17 @@ def test_values_are_linked_and_rows_kept(spark):
 def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert "Python" not in pii.pseudonymise(df, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_do_not_hide_a_card_or_iban(spark):
+    values = {"card": ["4111 1111 1111 1111", "4111111111111111", "3782 822463 10005"],
+              "iban": ["AT61 1904 3002 3457 3201", "AT611904300234573201", "SE45 5000 0000 0583 9825 7466"]}
+    around = {"card": [("", ""), ("", " 12/27"), ("", " 123"), ("", " 2 items"), ("5 ", ""), ("7 ", " 99"), ("1 2 3 4 5 ", " 6 7"), ("+49 30 1234567 ", "")],
+              "iban": [("", ""), ("", " BIC BKAUATWW"), ("", " OK"), ("", " 2024"), ("OK ", ""), ("NR 12 ", " EUR 5")]}
+    cases = [(kind, v, a, b) for kind in values for v in values[kind] for a, b in around[kind]]
+    out = run(spark, [a + v + b for _, v, a, b in cases])
+    alone = {v: new for (_, v, a, b), new in zip(cases, out) if a == b == ""}
+    for v, new in alone.items():
+        assert v != new and (iban_ok(new) if v[0].isalpha() else luhn(new) % 10 == 0)
+    for (_, v, a, b), new in zip(cases, out):
+        assert new == a + alone[v] + b or a.startswith("+") and new.endswith(alone[v]) and len(new) == len(a + v), (a, v, b, new)
