@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusdelta.llm import bpe, decontaminate, lm, pieces, pii, quality, secret_scan, simhash, token_files, topk, urls
+from corpusdelta.llm import bpe, conversations, decontaminate, lm, pieces, pii, quality, resample, secret_scan, simhash, token_files, topk, urls
 
 #: Key of the registered pseudonym query; a deployment passes its own.
 PSEUDONYM_KEY = "corpusdelta"
@@ -70,11 +70,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage every conversation, and report on its cheapest repair."""
+    return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the 32k piece model."""
     return pieces.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's words."""
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -86,7 +96,9 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_token_files": op9_token_files,
     "op10_topk": op10_topk,
+    "op11_conversations": op11_conversations,
     "op12_pieces": op12_pieces,
+    "op13_resample": op13_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
