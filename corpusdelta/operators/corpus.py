@@ -31,14 +31,19 @@ def period_label(year="year", month="month", t1_years=T1_YEARS, late_year=T2_LAT
             .when(y.isin(*t1_years), "t1").otherwise("t0"))
 
 
-def member_any_of(df: DataFrame, values: Sequence[str],
+def member_any_of(df: DataFrame, values: DataFrame,
                   cols: Sequence[str] = ("venue1", "venue2", "venue3")) -> DataFrame:
-    """Rows where any of ``cols`` is in ``values``."""
-    cond = None
-    for c in cols:
-        e = F.col(c).isin(*values)
-        cond = e if cond is None else cond | e
-    return df.filter(cond)
+    """Rows where any of ``cols`` is in the first column of ``values``.
+
+    The distinct values are joined once per column and never multiply a row;
+    the planner picks each join's strategy from the size of ``values``, so
+    nothing is collected however many there are."""
+    known = values.select(F.col(values.columns[0]).alias("_v")).where("_v IS NOT NULL").distinct()
+    out, found = df, F.lit(False)
+    for i, c in enumerate(cols):
+        out = out.join(known.withColumnRenamed("_v", f"_v{i}"), F.col(c) == F.col(f"_v{i}"), "left")
+        found = found | F.col(f"_v{i}").isNotNull()
+    return out.where(found).select(*df.columns)
 
 
 def drop_frontmatter(df: DataFrame, id_col: str = "acl_id") -> DataFrame:

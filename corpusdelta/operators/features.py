@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,16 +111,13 @@ def mattr(tokens: DataFrame, window: int = fixed.MATTR_WINDOW, doc: str = "doc_i
     copied to the previous block so every window lies inside one
     (document, block) partition. Windows are therefore bounded by
     ``block + window`` rows whatever the document length."""
-    from corpusdelta.operators.tokens import cumsum_within
-    lens = tokens.groupBy(doc, "sent_id").agg(F.count(F.lit(1)).alias("_len"))
-    offs = cumsum_within(lens, [doc], ["sent_id"], "_len", "_off").drop("_len")
-    t = tokens.select(doc, "sent_id", "pos_in_sent", value).join(offs, [doc, "sent_id"])
-    pos = F.col("_off") + F.col("pos_in_sent")
+    t = _token_positions(tokens, doc, value).withColumnRenamed("_value", value)
+    pos = F.col("_pos")
     own = (pos / block).cast("long")
     # one copy per token in its own block, a second copy in the previous block
     # for the first window - 1 positions of a block (single branch, no re-scan)
     copies = F.when((pos % block < window - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    both = t.select(doc, value, pos.alias("_pos"), own.alias("_own"), F.explode(copies).alias("_blk"))
+    both = t.select(doc, value, "_pos", own.alias("_own"), F.explode(copies).alias("_blk"))
     frame = Window.partitionBy(doc, "_blk").orderBy("_pos").rowsBetween(0, window - 1)
     w = (both.withColumn("_wd", F.size(F.collect_set(value).over(frame)))
          .withColumn("_wl", F.count(F.lit(1)).over(frame)))
@@ -131,36 +129,163 @@ def mattr(tokens: DataFrame, window: int = fixed.MATTR_WINDOW, doc: str = "doc_i
     return agg.select(doc, F.coalesce("_m", F.col("_u") / F.col("_n")).alias("mattr"))
 
 
-def _mtld_one(seq: list, threshold: float) -> float:
-    def factors(s):
-        count, types, start_len = 0.0, set(), 0
-        for i, w in enumerate(s):
-            types.add(w)
-            start_len += 1
-            ttr = len(types) / start_len
-            if ttr <= threshold:
-                count += 1
-                types, start_len = set(), 0
-        if start_len > 0:
-            ttr = len(types) / start_len
-            count += (1 - ttr) / (1 - threshold) if threshold < 1 else 0
-        return len(s) / count if count > 0 else float(len(s))
-    if not seq:
-        return 0.0
-    return (factors(seq) + factors(seq[::-1])) / 2.0
+def _token_positions(tokens: DataFrame, doc: str, value: str) -> DataFrame:
+    """``(doc, value, _pos, _n)``: each token's position in its document, and
+    the document's length, from sentence offsets."""
+    from corpusdelta.operators.tokens import cumsum_within
+    lens = tokens.groupBy(doc, "sent_id").agg(F.count(F.lit(1)).alias("_len"))
+    offs = cumsum_within(lens, [doc], ["sent_id"], "_len", "_off").drop("_len")
+    sizes = lens.groupBy(doc).agg(F.sum("_len").alias("_n"))
+    return (tokens.select(doc, "sent_id", "pos_in_sent", F.col(value).alias("_value"))
+            .join(offs, [doc, "sent_id"]).join(sizes, doc)
+            .select(doc, "_value", (F.col("_off") + F.col("pos_in_sent")).alias("_pos"), "_n"))
+
+
+#: Exits of a chunk's map beside positions: the text ended, or a factor is
+#: longer than what the chunk sees.
+ENDED, OPEN = -1, -2
+
+
+def _close(seq: list, at: int, threshold: float) -> tuple[int, int, int]:
+    """Scan a factor from ``at``: the position behind it (-1: still open at the
+    end of ``seq``), its types and its length."""
+    types: set = set()
+    for i in range(at, len(seq)):
+        types.add(seq[i])
+        if len(types) / (i + 1 - at) <= threshold:
+            return i + 1, len(types), i + 1 - at
+    return -1, len(types), len(seq) - at
+
+
+def _closes(seq: list, starts: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_close` from each of the first ``starts`` positions at once:
+    positions behind the factors (-1: open) and the types so far. A token is a
+    new type of all factors that began after its last occurrence."""
+    behind, types = np.full(starts, -1), np.zeros(starts)
+    last: dict = {}
+    low = 0
+    for i, token in enumerate(seq):
+        high = min(i + 1, starts)
+        new = max(last.get(token, -1) + 1, low)
+        if new < high:
+            types[new:high] += 1
+        last[token] = i
+        now = slice(low, high)
+        closed = (behind[now] < 0) & (types[now] / (i + 1 - np.arange(low, high)) <= threshold)
+        if closed.any():
+            behind[now][closed] = i + 1
+            while low < high and behind[low] >= 0:
+                low += 1
+            if low == starts:
+                break
+    return behind, types
+
+
+def _chunk_map(seq: list, chunk: int, first: int, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a chunk makes of a factor that begins in it: for each beginning, the
+    factors that end until the text or the first beginning beyond the chunk
+    (the last one of a text counts by its share), and that beginning. ``seq``
+    holds the chunk and what it sees behind it. The first chunk of a text is
+    begun at its beginning only."""
+    def rest(types: float, size: float) -> float:
+        return (1 - types / size) / (1 - threshold) if threshold < 1 else 0.0
+
+    whole = first + len(seq) == n
+    own = min(chunk, len(seq))
+    if first == 0:
+        count, at = 0.0, 0
+        while 0 <= at < own:
+            behind, types, size = _close(seq, at, threshold)
+            if behind < 0:
+                count, at = (count + rest(types, size), ENDED) if whole else (count, OPEN)
+            else:
+                count, at = count + 1, ENDED if behind == n else behind
+        return np.array([count]), np.array([at])
+    behind, types = _closes(seq, own, threshold)
+    counts, exits = np.zeros(own), np.zeros(own, np.int64)
+    for at in range(own - 1, -1, -1):
+        to = behind[at]
+        if to < 0:
+            counts[at], exits[at] = (rest(types[at], len(seq) - at), ENDED) if whole else (0.0, OPEN)
+        elif first + to == n:
+            counts[at], exits[at] = 1, ENDED
+        elif to >= own:
+            counts[at], exits[at] = 1, first + to
+        else:
+            counts[at], exits[at] = 1 + counts[to], exits[to]
+    return counts, exits
+
+
+def _factor_counts(seq: DataFrame, doc: str, threshold: float, chunk: int, fan: int) -> DataFrame:
+    """``(doc, _way, _n, count, exit)`` of every sequence, by a parallel scan."""
+    kind = seq.schema[doc].dataType.simpleString()
+    schema = f"{doc} {kind}, _way int, _chunk long, _n long, counts array<double>, exits array<long>"
+
+    def chunk_maps(batches):
+        for pdf in batches:
+            maps = [_chunk_map(list(v), chunk, c * chunk, n, threshold) for v, c, n in zip(pdf["seq"], pdf["_chunk"], pdf["_n"])]
+            yield pdf.drop(columns="seq").assign(counts=[m[0] for m in maps], exits=[m[1] for m in maps])
+
+    def joined(width):
+        def run(batches):
+            for pdf in batches:
+                counts, exits = [], []
+                for parts in pdf["parts"]:
+                    count, at = np.array(parts[0]["counts"], float), np.array(parts[0]["exits"], np.int64)
+                    for part in parts[1:]:
+                        start = part["_chunk"] * width
+                        inside = np.flatnonzero((at >= start) & (at < start + width))
+                        to = at[inside] - start
+                        count[inside] += np.asarray(part["counts"])[to]
+                        at[inside] = np.asarray(part["exits"])[to]
+                    counts.append(count)
+                    exits.append(at)
+                yield pdf.drop(columns="parts").assign(counts=counts, exits=exits)
+        return run
+
+    own = F.floor(F.col("_pos") / chunk)
+    # a token is in its own chunk, and in the one before but for the chunk's last place
+    copies = F.when((own > 0) & (F.col("_pos") % chunk < chunk - 1), F.array(own - 1, own)).otherwise(F.array(own))
+    chunks = (seq.select(doc, "_way", "_n", "_pos", "_value", F.explode(copies).alias("_chunk"))
+              .groupBy(doc, "_way", "_chunk", "_n").agg(F.array_sort(F.collect_list(F.struct("_pos", "_value")))["_value"].alias("seq")))
+    maps = chunks.mapInPandas(chunk_maps, schema)
+    most, width = seq.agg(F.max("_n")).first()[0] or 0, chunk
+    while width < most:
+        part = F.array_sort(F.collect_list(F.struct("_chunk", "counts", "exits"))).alias("parts")
+        maps = (maps.groupBy(doc, "_way", F.floor(F.col("_chunk") / fan).alias("_next"), "_n").agg(part)
+                .withColumnRenamed("_next", "_chunk").mapInPandas(joined(width), schema))
+        width *= fan
+    return maps.select(doc, "_way", "_n", F.col("counts")[0].alias("count"), F.col("exits")[0].alias("exit"))
 
 
 def mtld(tokens: DataFrame, threshold: float = fixed.MTLD_THRESHOLD, doc: str = "doc_id",
-         value: str = "lemma") -> DataFrame:
+         value: str = "lemma", chunk: int = 1024, fan: int = 16) -> DataFrame:
     """Measure of textual lexical diversity (forward/backward mean
-    factor length). Sequential within a document, so it runs as an Arrow
-    grouped map per document (a document is a bounded group)."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sent_id", "pos_in_sent"])
-        return pd.DataFrame({doc: [pdf[doc].iloc[0]],
-                             "mtld": [_mtld_one(pdf[value].tolist(), threshold)]})
-    return (tokens.select(doc, "sent_id", "pos_in_sent", value).groupBy(doc)
-            .applyInPandas(fn, f"{doc} long, mtld double"))
+    factor length).
+
+    A parallel scan: a document's tokens, in either direction, are cut into
+    chunks, and each chunk is summarised as the map from the place where a
+    factor begins to the factors that end and the place where the next chunk
+    is entered. Maps of ``fan`` neighbouring chunks are composed level by
+    level, so no group holds a document. A chunk sees the one behind it; the
+    documents that have a factor beyond that are done again with chunks four
+    times as long, so a group holds at most about eight times the longest
+    factor (or a first chunk)."""
+    from corpusdelta.session import cut
+    pos = cut(_token_positions(tokens, doc, value))
+    seq = pos.withColumn("_way", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "_pos", F.when(F.col("_way") == 1, F.col("_n") - 1 - F.col("_pos")).otherwise(F.col("_pos")))
+    done = None
+    while True:
+        counts = cut(_factor_counts(seq, doc, threshold, chunk, fan))
+        found = counts.where(F.col("exit") == ENDED)
+        done = found if done is None else done.unionByName(found)
+        again = counts.where(F.col("exit") != ENDED).select(doc, "_way")
+        if again.isEmpty():
+            break
+        seq, chunk = seq.join(again, [doc, "_way"], "left_semi"), chunk * 4
+    length = F.when(F.col("count") > 0, F.col("_n") / F.col("count")).otherwise(F.col("_n").cast("double"))
+    return done.groupBy(doc).agg(F.avg(length).alias("mtld"))
 
 
 # ------------------------------------------------------------------ L17

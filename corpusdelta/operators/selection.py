@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -110,14 +111,16 @@ def seeded_order(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
+def stratified_folds(df: DataFrame, label: str | Sequence[str], key: str, k: int = 5, seed: int = 42,
                      fold: str = "fold") -> DataFrame:
     """Exactly class-balanced folds: rank rows by a seeded hash inside
-    each class and deal them round-robin (fold = rank mod k). The rank comes
-    from range partitions plus offsets (tokens.rank_within), so a class
-    holding most rows is still spread over many tasks."""
+    each class (of one or more label columns) and deal them round-robin (fold
+    = rank mod k). The rank comes from range partitions plus offsets
+    (tokens.rank_within), so a class holding most rows is still spread over
+    many tasks."""
     from corpusdelta.operators.tokens import rank_within
-    r = rank_within(df, [label], [seeded_order(seed, key), F.col(key)], "_r")
+    labels = [label] if isinstance(label, str) else list(label)
+    r = rank_within(df, labels, [seeded_order(seed, key), F.col(key)], "_r")
     return r.withColumn(fold, ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
@@ -222,7 +225,7 @@ def relative_importance(coefs: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M17 + A20
-def fit_elastic_net(train: DataFrame, features, label, c: float, l1: float, n: int, weight=None):
+def fit_elastic_net(train: DataFrame, features, label, c: float, l1: float, n: int, weight=None, tol: float = 1e-6):
     """One logistic elastic-net fit as an MLlib pipeline (scaler inside):
     lam = 1/(C n), elasticNetParam = l1_ratio; optional weight column."""
     from pyspark.ml import Pipeline
@@ -231,7 +234,7 @@ def fit_elastic_net(train: DataFrame, features, label, c: float, l1: float, n: i
     va = VectorAssembler(inputCols=list(features), outputCol="_raw")
     sc = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True)
     lr = LogisticRegression(featuresCol="_x", labelCol=label, elasticNetParam=l1,
-                            regParam=1.0 / (c * n), standardization=False, maxIter=200, tol=1e-6)
+                            regParam=1.0 / (c * n), standardization=False, maxIter=2000, tol=tol)
     if weight:
         lr.setWeightCol(weight)
     return Pipeline(stages=[va, sc, lr]).fit(train)
@@ -243,12 +246,15 @@ def elastic_net_nested_cv(df: DataFrame, features: Sequence[str], label: str, ke
 
     ``n_iter`` seeded draws of C ~ loguniform(1e-4, 1) and l1_ratio from
     linspace(.7, 1, 6); lam = 1/(C n) maps C onto the mean-loss objective.
-    Folds are hash folds of the row id. All outer x inner x n_iter inner
-    models are fitted together (one pass per Newton iteration, see
-    batched_logit), scored by AUC on their validation folds (distributed
-    AUC per model), the best setting per outer fold is refitted on the whole
-    outer training part (again batched) and scored on the outer test fold.
-    Returns ``(fold_results, coefficients)`` DataFrames."""
+    Folds are exactly class-balanced (W8); inner folds are balanced within
+    every outer fold, so they are in every outer training part. All outer x
+    inner x n_iter inner models are fitted together (one pass per Newton
+    iteration, see batched_logit), scored by AUC on their validation folds
+    (distributed AUC per model), the best setting per outer fold is refitted on
+    the whole outer training part (again batched) and scored on the outer test
+    fold. Returns ``(fold_results, coefficients)`` DataFrames; ``converged``
+    says of a fold whether its refit met the optimality conditions, and
+    ``n_unconverged`` how many of its inner fits did not."""
     from corpusdelta.operators import batched_logit as BL
     from corpusdelta.session import cut
     spark = df.sparkSession
@@ -257,9 +263,8 @@ def elastic_net_nested_cv(df: DataFrame, features: Sequence[str], label: str, ke
     l1s = rng.choice(np.linspace(0.7, 1.0, 6), n_iter)
     data = df.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("double").alias("_y"),
                      *[F.col(f).cast("double").alias(f) for f in features])
-    data = hash_folds(data, "_y", "_id", outer, seed, "_outer")
-    data = hash_folds(data, "_y", "_id", inner, seed + 1, "_inner")
-    data = cut(data)
+    data = stratified_folds(data, ["_y"], "_id", outer, seed, "_outer")
+    data = cut(stratified_folds(data, ["_y", "_outer"], "_id", inner, seed + 1, "_inner"))
     counts = {(r["_outer"], r["_inner"]): r["count"] for r in data.groupBy("_outer", "_inner").count().collect()}
     models = [(fo, fi, g) for fo in range(outer) for fi in range(inner) for g in range(n_iter)]
     n_train = np.array([sum(v for (o, i), v in counts.items() if o != fo and i != fi) for fo, fi, _ in models])
@@ -267,11 +272,11 @@ def elastic_net_nested_cv(df: DataFrame, features: Sequence[str], label: str, ke
     alpha = l1s[[g for _, _, g in models]]
     spec = BL.WeightSpec("folds", outer_out=[m[0] for m in models], inner_out=[m[1] for m in models],
                          inner_only=[-1] * len(models))
-    coefs, icpt, mean, sd = BL.fit_batched(data, features, "_y", spec, lam, alpha)
+    fits = BL.fit_batched(data, features, spec, lam, alpha)
     val = BL.WeightSpec("folds", outer_out=[m[0] for m in models], inner_out=[-1] * len(models),
                         inner_only=[m[1] for m in models])
     aucs = {r["model"]: r["auc"] for r in
-            auc(BL.scores_long(data, features, val, coefs, icpt, mean, sd), "y", "score", ["model"]).collect()}
+            auc(BL.scores_long(data, features, val, fits), "y", "score", ["model"]).collect()}
     best = []
     for fo in range(outer):
         mean_auc = {g: np.nanmean([aucs.get(models.index((fo, fi, g)), np.nan) for fi in range(inner)])
@@ -279,17 +284,16 @@ def elastic_net_nested_cv(df: DataFrame, features: Sequence[str], label: str, ke
         best.append(max(range(n_iter), key=lambda g: (mean_auc[g], -cs[g])))
     n_out = np.array([sum(v for (o, _), v in counts.items() if o != fo) for fo in range(outer)])
     spec2 = BL.WeightSpec("folds", outer_out=list(range(outer)), inner_out=[-1] * outer, inner_only=[-1] * outer)
-    c2, i2, m2, s2 = BL.fit_batched(data, features, "_y", spec2, 1.0 / (cs[best] * np.maximum(n_out, 1)),
-                                    l1s[best])
+    refits = BL.fit_batched(data, features, spec2, 1.0 / (cs[best] * np.maximum(n_out, 1)), l1s[best])
     # test rows of outer fold f: reuse the validation mask with inner := outer
     sc = BL.scores_long(data.withColumn("_inner", F.col("_outer")), features, BL.WeightSpec(
-        "folds", outer_out=[-1] * outer, inner_out=[-1] * outer, inner_only=list(range(outer))),
-        c2, i2, m2, s2)
+        "folds", outer_out=[-1] * outer, inner_out=[-1] * outer, inner_only=list(range(outer))), refits)
     taucs = {r["model"]: r["auc"] for r in auc(sc, "y", "score", ["model"]).collect()}
-    results = [(fo + 1, float(taucs.get(fo, float("nan"))), float(cs[best[fo]]), float(l1s[best[fo]]))
-               for fo in range(outer)]
-    rows = [(fo + 1, f, float(c2[fo, j])) for fo in range(outer) for j, f in enumerate(features)]
-    res = spark.createDataFrame(results, "fold int, auc double, best_c double, best_l1_ratio double")
+    missed = [sum(not fits.converged[k] for k, m in enumerate(models) if m[0] == fo) for fo in range(outer)]
+    results = [(fo + 1, float(taucs.get(fo, float("nan"))), float(cs[best[fo]]), float(l1s[best[fo]]),
+                bool(refits.converged[fo]), missed[fo]) for fo in range(outer)]
+    rows = [(fo + 1, f, float(refits.coefs[fo, j])) for fo in range(outer) for j, f in enumerate(features)]
+    res = spark.createDataFrame(results, "fold int, auc double, best_c double, best_l1_ratio double, converged boolean, n_unconverged int")
     cf = spark.createDataFrame(rows, "fold int, feature string, coef double")
     return res, cf
 
@@ -414,7 +418,8 @@ def bootstrap_coefs(df: DataFrame, features: Sequence[str], label: str, key: str
                     reps: int = 200, seed: int = 42, c: float = 0.1, l1: float = 0.9) -> DataFrame:
     """X15 fits: ``reps`` refits on bootstrap resamples, expressed as
     replicate weights ~ Poisson(1) drawn from a hash of (seed, rep, id) and
-    fitted together (batched_logit). Returns long ``(rep, feature, coef)``."""
+    fitted together (batched_logit). Returns long ``(rep, feature, coef,
+    converged)``."""
     from corpusdelta.operators import batched_logit as BL
     from corpusdelta.session import cut
     spark = df.sparkSession
@@ -422,11 +427,11 @@ def bootstrap_coefs(df: DataFrame, features: Sequence[str], label: str, key: str
                      F.lit(0).alias("_outer"), F.lit(0).alias("_inner"),
                      *[F.col(f).cast("double").alias(f) for f in features])
     data = cut(data)
-    n = data.count()
+    n = max(data.count(), 1)
     spec = BL.WeightSpec("bootstrap", reps=np.arange(reps), seed=seed)
-    coefs, _, _, _ = BL.fit_batched(data, features, "_y", spec, np.full(reps, 1.0 / (c * n)), np.full(reps, l1))
-    rows = [(r, f, float(coefs[r, j])) for r in range(reps) for j, f in enumerate(features)]
-    return spark.createDataFrame(rows, "rep int, feature string, coef double")
+    fits = BL.fit_batched(data, features, spec, np.full(reps, 1.0 / (c * n)), np.full(reps, l1))
+    rows = [(r, f, float(fits.coefs[r, j]), bool(fits.converged[r])) for r in range(reps) for j, f in enumerate(features)]
+    return spark.createDataFrame(rows, "rep int, feature string, coef double, converged boolean")
 
 
 def bootstrap_ci(boot: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -439,18 +444,49 @@ def bootstrap_ci(boot: DataFrame, alpha: float = 0.05) -> DataFrame:
                      F.avg((F.col("coef") < 0).cast("double")))).alias("p_approx"))
 
 
-def reliable_features(summary: DataFrame, freq: float = 1.0, sign: float = 1.0, p: float = 0.0,
-                      min_pct: float = 5.0) -> DataFrame:
-    """X16 (+ X17, F13): odds ratio, percent change in odds, reliability
-    score, and the reliability filter; sorted by the score."""
+def with_reliability(summary: DataFrame, freq: float = 1.0, sign: float = 1.0, p: float = 0.0,
+                     min_pct: float = 5.0) -> DataFrame:
+    """X16 (+ X17, F13) as columns: odds ratio, percent change in odds,
+    reliability score, and whether the feature meets all criteria."""
     from corpusdelta.functions.text import odds_pct_change, odds_ratio
     s = (summary.withColumn("odds_ratio", odds_ratio("avg_std_coef"))
          .withColumn("pct_change_odds", odds_pct_change("avg_std_coef"))
          .withColumn("reliability_score", reliability_score()))
-    ok = ((F.col("selection_freq") >= freq) & (F.col("sign_consistency") >= sign)
-          & (F.col("p_approx") <= p) & ~((F.col("ci_lower") < 0) & (F.col("ci_upper") > 0))
-          & (F.abs("pct_change_odds") >= min_pct))
-    return s.filter(ok).orderBy(F.col("reliability_score").desc(), "feature")
+    return s.withColumn("reliable", (
+        (F.col("selection_freq") >= freq) & (F.col("sign_consistency") >= sign)
+        & (F.col("p_approx") <= p) & ~((F.col("ci_lower") < 0) & (F.col("ci_upper") > 0))
+        & (F.abs("pct_change_odds") >= min_pct)))
+
+
+def reliable_features(summary: DataFrame, freq: float = 1.0, sign: float = 1.0, p: float = 0.0,
+                      min_pct: float = 5.0) -> DataFrame:
+    """The reliable features only, sorted by the score."""
+    s = with_reliability(summary, freq, sign, p, min_pct)
+    return s.filter("reliable").drop("reliable").orderBy(F.col("reliability_score").desc(), "feature")
+
+
+class Selection(NamedTuple):
+    """Results of :func:`robust_feature_selection`, as DataFrames."""
+
+    folds: DataFrame
+    coefficients: DataFrame
+    bootstrap: DataFrame
+    summary: DataFrame
+
+
+def robust_feature_selection(df: DataFrame, features: Sequence[str], label: str, key: str, outer: int = 5,
+                             inner: int = 5, n_iter: int = 20, reps: int = 200, seed: int = 42,
+                             ci_alpha: float = 0.05, c: float = 0.1, l1: float = 0.9) -> Selection:
+    """M17 -> A20 -> X15, one chain on fitted coefficients: nested CV, the
+    stability of each feature over the refits of its outer folds, and bootstrap
+    intervals, joined by feature name (``with_reliability`` judges them).
+    ``n_unconverged`` counts the replicates that missed the optimality
+    conditions."""
+    folds, coefs = elastic_net_nested_cv(df, features, label, key, outer, inner, n_iter, seed)
+    boot = bootstrap_coefs(df, features, label, key, reps, seed, c, l1)
+    missed = boot.groupBy("feature").agg(F.count_if(~F.col("converged")).alias("n_unconverged"))
+    summary = (fold_stability(coefs, n_folds=outer).join(bootstrap_ci(boot, ci_alpha), "feature").join(missed, "feature"))
+    return Selection(folds, coefs, boot, summary)
 
 
 def reliability_score() -> Column:
@@ -471,116 +507,17 @@ def head_by_rank(df: DataFrame, n: int = 30, order: str = "reliability_score") -
 
 
 # ------------------------------------------------------------------ M22
-def _gh(nodes: int):
-    z, w = np.polynomial.hermite.hermgauss(nodes)
-    return z, w / math.sqrt(math.pi)
-
-
-def _paired_pass(data: DataFrame, features: Sequence[str], group: str, theta: np.ndarray, nodes: int):
-    """One evaluation of the random-intercept model's marginal
-    log-likelihood and gradient, safe for groups of any size.
-
-    Stage 1 (rows, any partitioning): per task and group, sum over the
-    group's rows of the per-node log-likelihood and score terms -- a vector
-    of Q (d + 3) numbers; a group spread over many tasks yields one partial
-    per task. Stage 2: ``groupBy(group)`` sums the partials (lists bounded
-    by the number of tasks holding the group), then each group's posterior
-    node weights turn them into its log-likelihood and gradient, summed per
-    batch; d + 3 numbers per task reach the driver."""
-    z, w = _gh(nodes)
-    d = len(features)
-    q = len(z)
-    beta, s = theta[: d + 1], theta[d + 1]
-    b = math.sqrt(2.0) * math.exp(s) * z
-    logw = np.log(w)
-
-    def stage1(it):
-        for pdf in it:
-            if not len(pdf):
-                continue
-            pdf = pdf.sort_values(group, kind="stable")
-            x = np.column_stack([np.ones(len(pdf))] + [pdf[f].to_numpy(np.float64) for f in features])
-            y = pdf["_y"].to_numpy(np.float64)
-            gid = pdf[group].to_numpy()
-            starts = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
-            eta = (x @ beta)[:, None] + b[None, :]
-            lp = y[:, None] * eta - np.logaddexp(0, eta)                  # n x Q
-            r = y[:, None] - np.exp(-np.logaddexp(0, -eta))               # n x Q
-            xr = (x[:, :, None] * r[:, None, :]).reshape(len(x), -1)      # n x (d+1)Q
-            packed = np.concatenate([lp, xr, r * b[None, :]], axis=1)    # n x Q(d+3)
-            sums = np.add.reduceat(packed, starts, axis=0)
-            yield pd.DataFrame({group: gid[starts], "v": list(sums)})
-
-    part = data.mapInPandas(stage1, f"{group} {data.schema[group].dataType.simpleString()}, v array<double>")
-    comb = part.groupBy(group).agg(F.collect_list("v").alias("vs"))
-
-    def stage2(it):
-        acc = np.zeros(d + 3)
-        for pdf in it:
-            for vs in pdf["vs"]:
-                v = np.sum(np.vstack(list(vs)), axis=0)
-                lg = v[:q] + logw
-                mx = lg.max()
-                ll = mx + math.log(np.exp(lg - mx).sum())
-                post = np.exp(lg - ll)
-                u = v[q: q + q * (d + 1)].reshape(d + 1, q)
-                acc[0] += ll
-                acc[1: d + 2] += u @ post
-                acc[d + 2] += v[q + q * (d + 1):] @ post
-        yield pd.DataFrame({"idx": np.arange(d + 3, dtype=np.int64), "val": acc})
-    rows = comb.mapInPandas(stage2, "idx long, val double").groupBy("idx").agg(F.sum("val").alias("val")).collect()
-    out = np.zeros(d + 3)
-    for r_ in rows:
-        out[r_["idx"]] = r_["val"]
-    return out[0], out[1:]
-
-
 def paired_logistic(df: DataFrame, features: Sequence[str], label: str, group: str,
-                    nodes: int = 15, max_iter: int = 60, tol: float = 1e-6, min_log_sigma: float = -8.0):
+                    nodes: int = 15, max_iter: int = 60, tol: float = 1e-8) -> DataFrame:
     """Logistic regression with a random intercept per group (pair),
-    maximum marginal likelihood by (non-adaptive) Gauss-Hermite quadrature.
-    Spark computes the log-likelihood and gradient per evaluation with
-    per-task partial sums per group (no group is ever gathered into one
-    task); the driver runs BFGS with backtracking over d + 2 parameters. A
-    variance on the boundary (sd -> 0) reduces to the plain GLM (M20).
-    Returns ``(term, estimate)`` rows plus ``sd_intercept`` and ``loglik``."""
-    from pyspark.sql import functions as F2
-    from corpusdelta.session import cut
-    data = df.select(F2.col(group), F2.col(label).cast("double").alias("_y"),
-                     *[F2.col(f).cast("double").alias(f) for f in features])
-    data = cut(data)
-    d = len(features)
-    theta = np.zeros(d + 2)
-    theta[d + 1] = math.log(0.5)
-
-    def fg(t):
-        t = t.copy()
-        t[d + 1] = max(t[d + 1], min_log_sigma)
-        ll, g = _paired_pass(data, features, group, t, nodes)
-        return -ll, -g
-    f, g = fg(theta)
-    hinv = np.eye(d + 2)
-    for _ in range(max_iter):
-        p = -hinv @ g
-        step, fn, gn = 1.0, None, None
-        for _ in range(20):
-            cand = theta + step * p
-            cand[d + 1] = max(cand[d + 1], min_log_sigma)
-            fn, gn = fg(cand)
-            if fn <= f + 1e-4 * step * (g @ p):
-                break
-            step *= 0.5
-        sv = cand - theta
-        yv = gn - g
-        theta, f_old, f, g = cand, f, fn, gn
-        if abs(f_old - f) < tol * max(1.0, abs(f)) and np.abs(g[: d + 1]).max() < 1e-4:
-            break
-        sy = sv @ yv
-        if sy > 1e-12:
-            rho = 1.0 / sy
-            i = np.eye(d + 2)
-            hinv = (i - rho * np.outer(sv, yv)) @ hinv @ (i - rho * np.outer(yv, sv)) + rho * np.outer(sv, sv)
-    sd = math.exp(theta[d + 1]) if theta[d + 1] > min_log_sigma + 1e-9 else 0.0
-    rows = [("(Intercept)", float(theta[0]))] + [(f_, float(v)) for f_, v in zip(features, theta[1: d + 1])]
-    out = df.sparkSession.createDataFrame(rows, "term string, estimate double")
-    return out.withColumn("sd_intercept", F2.lit(sd)).withColumn("loglik", F2.lit(float(-f)))
+    maximum marginal likelihood by adaptive Gauss-Hermite quadrature, one pass
+    over the rows per step of Newton's method (see mixed_logit). A variance on
+    the boundary (sd 0) is the plain GLM (M20). Returns ``(term, estimate)``
+    rows plus ``sd_intercept``, ``loglik``, ``converged`` and ``passes``."""
+    from corpusdelta.operators import mixed_logit as ML
+    fitted = ML.fit(ML.Rows(df, features, label, group, nodes), max_iter, tol)
+    terms = ["(Intercept)", *features]
+    sd = math.exp(fitted.theta[-1])
+    rows = [(t, float(b), sd, float(fitted.loglik), fitted.converged, fitted.passes) for t, b in zip(terms, fitted.theta)]
+    return df.sparkSession.createDataFrame(
+        rows, "term string, estimate double, sd_intercept double, loglik double, converged boolean, passes int")

@@ -2,9 +2,10 @@
 and comparison (M1-M8, T3, J12, J17, X5, X6, J8).
 
 The V x V similarity matrix is never materialised. Exact neighbour search
-hashes words into B blocks; every (block_i, block_j) pair is one Arrow
-group in which numpy multiplies two bounded blocks and keeps only the top-k
-of each row, so O(V * k * B) rows are shuffled, never O(V^2).
+deals words to blocks; a pair of blocks is one Arrow group in which numpy
+multiplies two bounded blocks and keeps only the top-k of each row. Large
+vocabularies go through a ball index (neighbours.py), which ships only the
+pairs of blocks that can hold a neighbour.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusdelta.functions import stats as S
+from corpusdelta.operators.neighbours import BallIndex, best_of, top_k
 
 
 def _c(c):
@@ -79,35 +81,34 @@ def concat_runs(vectors: DataFrame, runs: Sequence, word: str = "word", run: str
 
 
 # ------------------------------------------------------------------ M4 / T3
-def _block_count(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / max(block_rows, 1)))
-
-
 def top_k_neighbours(vectors: DataFrame, k: int = 10, word: str = "word", vec: str = "vec",
-                     block_rows: int = 2048, normalised: bool = False, min_blocks: int = 4) -> DataFrame:
-    """The k most similar other words per word by cosine, exact.
-    B = max(min_blocks, ceil(V / block_rows)) blocks, so B (B + 1) / 2 block
-    pairs give the cluster parallelism even for a small vocabulary while a
-    block stays at about ``block_rows`` vectors. Returns ``(word, rank, neighbour,
-    sim)``."""
+                     block_rows: int = 2048, normalised: bool = False, min_blocks: int = 4,
+                     indexed: bool | None = None) -> DataFrame:
+    """The k most similar other words per word by cosine, exact, ties to
+    the smaller word. Returns ``(word, rank, neighbour, sim)``.
+
+    A vocabulary that fits ``min_blocks`` blocks of ``block_rows`` vectors is
+    scored whole, every unordered pair of blocks as one group; a larger one
+    goes through :class:`neighbours.BallIndex`, which ships only the pairs of
+    blocks that can hold a neighbour. ``indexed`` forces either; the rows are
+    the same."""
     v = vectors.select(F.col(word).cast("string").alias("w"),
-                       (F.col(vec) if normalised else normalise(vec)).alias("v"))
-    n = v.count()
-    b = max(min_blocks, _block_count(n, block_rows))
+                       (F.col(vec).cast("array<double>") if normalised else normalise(vec)).alias("v"))
+    if indexed is None:
+        indexed = vectors.count() > min_blocks * block_rows
+    if indexed:
+        top = BallIndex(v, block_rows, min_blocks).search(k)
+    else:
+        top = _all_pairs(v, k, min_blocks)
+    return top.select(F.col("w").alias(word), "rank", F.col("nb").alias("neighbour"), "sim")
+
+
+def _all_pairs(v: DataFrame, k: int, b: int) -> DataFrame:
+    """Every unordered pair of ``b`` blocks is one group and serves both directions."""
     v = v.withColumn("blk", F.pmod(F.xxhash64("w"), F.lit(b)).cast("int"))
-    # every unordered pair of blocks is one group and serves both directions
     each = v.select("w", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j")).select(
         (F.least("blk", "j") * b + F.greatest("blk", "j")).alias("pair"), (F.col("blk") > F.col("j")).alias("right"), "w", "v")
 
-    def best(sims: np.ndarray, words: np.ndarray, others: np.ndarray) -> pd.DataFrame:
-        kk = min(k, sims.shape[1])
-        idx = np.argpartition(-sims, kk - 1, axis=1)[:, :kk] if kk < sims.shape[1] else \
-            np.tile(np.arange(sims.shape[1]), (sims.shape[0], 1))
-        top = np.take_along_axis(sims, idx, axis=1)
-        keep = np.isfinite(top).ravel()
-        rows = np.repeat(np.arange(len(words)), idx.shape[1])[keep]
-        return pd.DataFrame({"w": words[rows], "nb": others[idx.ravel()[keep]], "sim": top.ravel()[keep]})
-
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf.pair.iloc[0] // b, pdf.pair.iloc[0] % b
         left, right = (pdf, pdf) if lo == hi else (pdf[~pdf.right], pdf[pdf.right])
@@ -118,15 +119,10 @@ def top_k_neighbours(vectors: DataFrame, k: int = 10, word: str = "word", vec: s
         sims = lm @ rm.T
         sims[lw[:, None] == rw[None, :]] = -np.inf          # self excluded
         if lo == hi:
-            return best(sims, lw, rw)
-        return pd.concat([best(sims, lw, rw), best(sims.T, rw, lw)])
-
-    cand = each.groupBy("pair").applyInPandas(kernel, "w string, nb string, sim double")
-    # merge the k * B candidates per word: rank <= k is planned with a partial
-    # WindowGroupLimit, so every map task ships at most k rows per word
-    w = Window.partitionBy("w").orderBy(F.col("sim").desc(), F.col("nb"))
-    top = cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    return top.select(F.col("w").alias(word), "rank", F.col("nb").alias("neighbour"), "sim")
+            return best_of(sims, lw, rw, k)
+        return pd.concat([best_of(sims, lw, rw, k), best_of(sims.T, rw, lw, k)])
+
+    return top_k(each.groupBy("pair").applyInPandas(kernel, "w string, nb string, sim double"), k)
 
 
 def neighbour_density(vectors: DataFrame, k: int = 10, word: str = "word", vec: str = "vec",
@@ -148,39 +144,49 @@ def shared_vocab(v1: DataFrame, v2: DataFrame, word: str = "word", count: str =
         F.col("total").desc(), word)
 
 
-def _gram_partials(pairs: DataFrame, d: int) -> np.ndarray:
-    """Sum over rows of outer(other_i, base_i): per-partition partial d x d
-    sums in Arrow batches, then a d*d-key aggregation; d*d numbers reach
-    the driver."""
-    def part(it):
-        acc = np.zeros((d, d))
-        seen = False
-        for pdf in it:
-            if len(pdf):
-                o = np.vstack(pdf.o.to_numpy()).astype(np.float64)
-                b = np.vstack(pdf.b.to_numpy()).astype(np.float64)
-                acc += o.T @ b
-                seen = True
-        if seen:
-            yield pd.DataFrame({"idx": np.arange(d * d, dtype=np.int64), "val": acc.ravel()})
-    partial = pairs.mapInPandas(part, "idx long, val double")
-    rows = partial.groupBy("idx").agg(F.sum("val").alias("val")).collect()
-    m = np.zeros(d * d)
-    for r in rows:
-        m[r["idx"]] = r["val"]
-    return m.reshape(d, d)
-
-
-def procrustes_rotation(base: DataFrame, other: DataFrame, word: str = "word", vec: str = "vec",
-                        dims: int | None = None) -> np.ndarray:
-    """M5: orthogonal R = U V^T from the SVD of other^T . base over the
-    shared vocabulary (normalised vectors, joined by word)."""
-    pairs = (base.select(word, normalise(vec).alias("b"))
-             .join(other.select(word, normalise(vec).alias("o")), word))
-    d = dims or len(base.select(vec).first()[0])
-    m = _gram_partials(pairs.select("o", "b"), d)
-    u, _, vt = np.linalg.svd(m)
-    return u @ vt
+def _grams(pairs: DataFrame, d: int, run: str) -> dict:
+    """Sum over a run's rows of outer(o, b), for all runs in one pass:
+    per-task d x d sums by run in Arrow batches, then an aggregation by run and
+    place; d * d numbers per run reach the driver."""
+    kind = pairs.schema[run].dataType.simpleString()
+
+    def part(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for key, rows in pdf.groupby(run, dropna=False, sort=False):
+                o, b = (np.vstack(rows[c].to_numpy()).astype(np.float64) for c in "ob")
+                sums[key] = sums.get(key, 0.0) + o.T @ b
+        for key, total in sums.items():
+            yield pd.DataFrame({run: [key] * (d * d), "place": np.arange(d * d), "val": total.ravel()})
+    partial = pairs.select(run, "o", "b").mapInPandas(part, f"`{run}` {kind}, place long, val double")
+    rows = partial.groupBy(run, "place").agg(F.sum("val").alias("val")).collect()
+    out: dict = {}
+    for key, place, val in rows:
+        out.setdefault(key, np.zeros(d * d))[place] = val
+    return {key: m.reshape(d, d) for key, m in out.items()}
+
+
+def procrustes_rotations(base: DataFrame, other: DataFrame, run: str = "run", word: str = "word",
+                         vec: str = "vec") -> dict:
+    """M5 for every run at once: orthogonal R = U V^T from the SVD of
+    other^T . base over the words that both tables of a run hold (normalised
+    vectors); one pass over the joined vectors, one batched SVD."""
+    first = base.select(vec).first()
+    if first is None:
+        return {}
+    pairs = (base.select(run, word, normalise(vec).alias("b"))
+             .join(other.select(run, word, normalise(vec).alias("o")), [run, word]))
+    grams = _grams(pairs, len(first[0]), run)
+    if not grams:
+        return {}
+    u, _, vt = np.linalg.svd(np.stack(list(grams.values())))
+    return dict(zip(grams, u @ vt))
+
+
+def procrustes_rotation(base: DataFrame, other: DataFrame, word: str = "word", vec: str = "vec") -> np.ndarray:
+    """M5: the rotation of a single pair of tables."""
+    one = F.lit(0).alias("_run")
+    return procrustes_rotations(base.select(one, word, vec), other.select(one, word, vec), "_run", word, vec)[0]
 
 
 def rotate(df: DataFrame, rot: np.ndarray, vec: str = "vec", out: str | None = None) -> DataFrame:
@@ -211,20 +217,31 @@ def aligned_self_similarity(base: DataFrame, aligned: DataFrame, word: str = "wo
     return j.select(*by, word, dot(normalise("a"), normalise("b")).alias("sim"))
 
 
-def aligned_similarity_runs(runs: Sequence[tuple[DataFrame, DataFrame]], word: str = "word", vec: str = "vec") -> DataFrame:
-    """M6 over runs: each run's second corpus is aligned to its first; one row
-    per word with ``sims`` (by run, NULL where a run lacks the word) and their
-    mean ``avg``."""
-    parts = []
-    for i, (base, other) in enumerate(runs):      # a handful of training runs
-        sim = aligned_self_similarity(base, procrustes_align(base, other, word, vec), word, vec)
-        parts.append(sim.withColumn("_run", F.lit(i)))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.groupBy(word).agg(
-        F.array(*[F.max(F.when(F.col("_run") == i, F.col("sim"))) for i in range(len(parts))]).alias("sims"),
-        F.avg("sim").alias("avg"))
+def rotate_runs(df: DataFrame, rotations: dict, run: str = "run", vec: str = "vec") -> DataFrame:
+    """Every vector rotated by the matrix of its run (Arrow; the matrices travel
+    with the function, d * d numbers per run); runs without one drop out."""
+    keyed = {k: np.asarray(m, dtype=np.float64) for k, m in rotations.items()}
+    fields = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == vec else f.dataType) for f in df.schema.fields])
+
+    def run_all(batches):
+        for pdf in batches:
+            for key, rows in pdf.groupby(run, dropna=False, sort=False):
+                if key in keyed:
+                    yield rows.assign(**{vec: list(np.vstack(rows[vec].to_numpy()).astype(np.float64) @ keyed[key])})
+    return df.mapInPandas(run_all, fields)
+
+
+def aligned_similarity_runs(base: DataFrame, other: DataFrame, runs: Sequence, run: str = "run", word: str = "word",
+                            vec: str = "vec") -> DataFrame:
+    """M6 over runs: in each run, ``other`` is aligned to ``base``; one row per
+    word with ``sims`` (in the order of ``runs``, NULL where a run lacks the
+    word) and their mean ``avg``."""
+    runs = list(runs)
+    base, other = (x.where(F.col(run).isin(runs)).select(run, word, vec) for x in (base, other))
+    aligned = rotate_runs(other, procrustes_rotations(base, other, run, word, vec), run, vec)
+    sims = aligned_self_similarity(base, aligned, word, vec, by=[run])
+    return sims.groupBy(word).agg(F.array(*[F.max(F.when(F.col(run) == r, F.col("sim"))) for r in runs]).alias("sims"),
+                                  F.avg("sim").alias("avg"))
 
 
 # ------------------------------------------------------------------ X6 / M7 / M8

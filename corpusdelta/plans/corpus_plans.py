@@ -135,8 +135,7 @@ def q_shared_venues(spark, sf):
 
 def _samples(spark, sf):
     t = _timed(spark, sf)
-    shared = [r["venue"] for r in CO.shared_venues(t).collect()]   # bounded: venue names
-    s = CO.member_any_of(t.filter(F.col("time") != "t0"), shared)
+    s = CO.member_any_of(t.filter(F.col("time") != "t0"), CO.shared_venues(t))
     return CO.drop_frontmatter(s)
 
 
@@ -145,8 +144,7 @@ SELECT doc_id, acl_id, time FROM timed WHERE time <> 't0' AND (venue1 IN (SELECT
   OR venue2 IN (SELECT venue FROM shared) OR venue3 IN (SELECT venue FROM shared))""")
 def q_member_any_of(spark, sf):
     t = _timed(spark, sf)
-    shared = [r["venue"] for r in CO.shared_venues(t).collect()]
-    return CO.member_any_of(t.filter(F.col("time") != "t0"), shared).select("doc_id", "acl_id", "time")
+    return CO.member_any_of(t.filter(F.col("time") != "t0"), CO.shared_venues(t)).select("doc_id", "acl_id", "time")
 
 
 @plan("drop_frontmatter", SHARED_SQL + """

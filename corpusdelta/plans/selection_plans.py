@@ -34,12 +34,16 @@ FEATS = ["t_word", "t_stopword", "t_punct", "t_uword", "t_sent", "t_char", "cttr
          "simpsons_d", "avg_word_length", "gunning_fog", "n_noun", "n_verb", "n_adj", "n_propn", "n_x"]
 
 
-def labelled_features(spark, sf):
+#: The whole feature table of :func:`features.doc_features`.
+ALL_FEATS = [c for family in FT.FAMILIES.values() for c in family]
+
+
+def labelled_features(spark, sf, names=FEATS):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     lab = table(spark, sf, "labels").select("doc_id", "quality")
     d = docs.join(lab, "doc_id")
     f = FT.doc_features(tok.annotate_tokens(tok.tokenize(d.select("doc_id", "text"))))
-    return lab.join(f, "doc_id").select("doc_id", "quality", *[F.col(c).cast("double") for c in FEATS])
+    return lab.join(f, "doc_id").select("doc_id", "quality", *[F.col(c).cast("double") for c in names])
 
 
 FEAT_SQL = (feature_sql("quality") + ",\nlf AS (SELECT feat.doc_id, l.quality, "
@@ -370,10 +374,13 @@ def q_relative_importance(spark, sf):
 
 
 # ------------------------------------------------------------------ model fits (rows only)
-def _fit_features(spark, sf):
-    """The feature table and the features that the prefilter keeps."""
-    f = cut(labelled_features(spark, sf))
-    return f, SE.feature_prefilter(f, FEATS, 0.9)
+def _fit_features(spark, sf, names=FEATS):
+    """The cleaned feature table (P13-P15) and the features that the prefilter
+    keeps (M23)."""
+    f = SE.drop_constant_columns(cut(labelled_features(spark, sf, names)), names)
+    left = [c for c in names if c in f.columns]
+    f = cut(SE.impute(SE.nonfinite_to_null(f, left), left))
+    return f, SE.feature_prefilter(f, left, 0.9)
 
 
 @plan("logistic_regression")
@@ -382,6 +389,14 @@ def q_logistic_regression(spark, sf):
     return rounded(SE.logistic_regression(SE.standardise(f, kept), kept, "quality"))
 
 
+@plan("regression_report")
+def q_regression_report(spark, sf):
+    """M19 -> M20 -> M21, X13, X14: the odds table of the fitted regression."""
+    f, kept = _fit_features(spark, sf)
+    fit = cut(SE.logistic_regression(SE.standardise(f, kept), kept, "quality"))
+    return rounded(SE.wald_ci(fit).join(SE.relative_importance(fit), "term", "left"))
+
+
 @plan("elastic_net_nested_cv")
 def q_elastic_net_nested_cv(spark, sf):
     f, kept = _fit_features(spark, sf)
@@ -396,6 +411,16 @@ def q_bootstrap_refits(spark, sf):
     return rounded(SE.bootstrap_ci(boot))
 
 
+@plan("feature_selection")
+def q_feature_selection(spark, sf):
+    """P13-P15 -> M23 -> M17 -> A20, X15 -> X16, X17, F13 over the whole feature
+    table: every feature that the prefilter keeps, with its stability over the
+    outer folds, bootstrap interval, score and verdict."""
+    f, kept = _fit_features(spark, sf, ALL_FEATS)
+    chosen = SE.robust_feature_selection(f, kept, "quality", "doc_id", outer=5, inner=5, n_iter=20, reps=200)
+    return rounded(SE.with_reliability(chosen.summary))
+
+
 @plan("paired_logistic")
 def q_paired_logistic(spark, sf):
     f, kept = _fit_features(spark, sf)

@@ -83,6 +83,13 @@ def q_top_k_neighbours(spark, sf):
     return rounded(V.top_k_neighbours(run1(spark, sf), k=K_NN, block_rows=BLOCK_ROWS))
 
 
+@plan("top_k_neighbours_indexed", f"WITH {V1},\n{_density_sql('v1', 'a')}\n"
+      "SELECT word, CAST(rk AS BIGINT) AS rank, nb AS neighbour, round(sim, 6) AS sim FROM r_a WHERE rk <= 10")
+def q_top_k_neighbours_indexed(spark, sf):
+    """T3 through the ball index, in small blocks."""
+    return rounded(V.top_k_neighbours(run1(spark, sf), k=K_NN, block_rows=64, indexed=True))
+
+
 @plan("neighbour_density", f"WITH {V1},\n{_density_sql('v1', 'a')}\n"
       "SELECT word, round(mean, 6) AS mean, round(std, 6) AS std FROM d_a")
 def q_neighbour_density(spark, sf):
@@ -162,6 +169,28 @@ def q_aligned_self_similarity(spark, sf):
     return rounded(V.aligned_self_similarity(base, al), 5)
 
 
+def _runs(spark, sf, n=3):
+    """Stand-in of ``n`` training runs of two corpora: the embeddings, shifted by
+    word, run and dimension; the second corpus lacks some words of each run."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding").withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    word = F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word")
+
+    def shifted(step, scale):
+        return F.transform("embedding", lambda x, i: x.cast("double") + scale * ((i * step + F.col("vec_id") * F.col("run")) % 7 - 3)).alias("vec")
+    base = e.select("run", word, shifted(1, 0.01))
+    other = e.where((F.col("vec_id") + F.col("run")) % 11 != 0).select("run", word, shifted(3, 0.04))
+    return base, other, list(range(1, n + 1))
+
+
+@plan("aligned_similarity_runs")
+def q_aligned_similarity_runs(spark, sf):
+    """M5, M6 over three runs: the similarity of every word to itself after
+    alignment, by run and on average."""
+    base, other, runs = _runs(spark, sf)
+    s = V.aligned_similarity_runs(base, other, runs)
+    return s.select("word", F.transform("sims", lambda x: F.round(x, 6)).alias("sims"), F.round("avg", 6).alias("avg"))
+
+
 @plan("shared_vocab", f"""{_quality_keyness_sql('inner', False)}
 SELECT target AS word, freq1 AS c1, freq2 AS c2, freq1 + freq2 AS total FROM k""")
 def q_shared_vocab(spark, sf):

@@ -45,15 +45,22 @@ def read_sentence_lines(spark: SparkSession, path: str | Sequence[str]) -> DataF
 def line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
     """Consecutive 0-based line numbers in file order for a text-source
     DataFrame: files sorted by path, splits by start offset, rows in split
-    order. A count and the first row id of each file split (one row per split)
-    give the offsets, which are joined to the lines."""
+    order.
+
+    A count and the first row id of each file split (one row per split) give
+    the offsets inside a file, and one row per file those of the files, so no
+    window spans all splits; the planner chooses how the offsets are joined
+    to the lines."""
     split = ["_f", "_b"]
     part = (df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
             .withColumn("_m", F.monotonically_increasing_id()))
-    w = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    before = (part.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-              .select(*split, (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_m0")).alias("_adj")))
-    return (part.join(F.broadcast(before), split)
+    counts = part.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    files = counts.groupBy("_f").agg(F.sum("_n").alias("_lines"))
+    earlier = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_f", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_start"))
+    adj = counts.join(files, "_f").select(*split, (F.col("_start") + F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_m0")).alias("_adj"))
+    return (part.join(adj, split)
             .withColumn(name, (F.col("_m") + F.col("_adj")).cast("long"))
             .drop(*split, "_m", "_adj"))
 
