@@ -404,7 +404,8 @@ def correlated_groups(corr_long: DataFrame, threshold: float = 0.9, literal: boo
 def feature_prefilter(df: DataFrame, cols: Sequence[str], threshold: float = 0.9) -> list[str]:
     """Drop constant features, then keep one representative (first in
     table order) of each correlated group."""
-    keep = [c for c in cols if c not in set(constant_columns(df, cols))]
+    constant = set(constant_columns(df, cols))
+    keep = [c for c in cols if c not in constant]
     groups = correlated_groups(correlation_matrix(df, keep), threshold)
     drop = set()
     for g in groups:
