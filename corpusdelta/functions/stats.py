@@ -53,6 +53,69 @@ def binary_log_likelihood(y, p, eps: float = 1e-15) -> Column:
 
 
 # ------------------------------------------------------------ driver helpers
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def normal_sf_col(z) -> Column:
+    """Upper tail of the standard normal as a column expression: the power
+    series of the distribution function below 3, beyond it the continued
+    fraction of the tail (both to about 1e-15)."""
+    def tail(z):
+        x = F.abs(z)
+        density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        terms = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("term"), x.alias("sum")),
+                            lambda s, k: _let(s.term * z * z / (2 * k + 1), lambda t: F.struct(t.alias("term"), (s.sum + t).alias("sum"))))
+        fraction = F.aggregate(F.sequence(F.lit(100), F.lit(1), F.lit(-1)), x, lambda acc, k: x + k / acc)
+        return _let(F.when(x < 3, 0.5 - density * terms["sum"]).otherwise(density / fraction),
+                    lambda upper: F.when(z < 0, 1 - upper).otherwise(upper))
+    return _let((F.col(z) if isinstance(z, str) else z).cast("double"), tail)
+
+
+def mann_whitney_p(u, a, b, method: str = "auto") -> Column:
+    """Two-sided p of Mann-Whitney's U of the arrays ``a`` and ``b`` as a column
+    expression. ``method``: ``exact`` (the distribution of U without ties),
+    ``asymptotic`` (tie-corrected normal approximation with continuity
+    correction), or ``auto``: exact without ties when a sample has at most 8
+    values, else asymptotic. NULL for an empty sample."""
+    u, a, b = (F.col(c) if isinstance(c, str) else c for c in (u, a, b))
+    m, n = F.size(a), F.size(b)
+    mu = m * n / 2
+
+    def asymptotic(ties):
+        total = (m + n).cast("double")
+        return _let(F.sqrt(m * n / 12.0 * (total + 1 - ties / (total * (total - 1)))), lambda sd: F.when(
+            sd > 0, F.least(F.lit(1.0), 2 * normal_sf_col((F.abs(u - mu) - 0.5) / sd))).otherwise(1.0))
+
+    def exact():
+        # how many orders of m and n values give each U: those whose last value is of the first sample
+        # (which lies above all n others), and those whose last one is of the second
+        places = F.sequence(F.lit(0), m * n)
+        none = F.transform(places, lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+
+        def wider(grid, k):
+            return F.aggregate(F.sequence(F.lit(1), m), F.array(none), lambda done, j: F.concat(done, F.array(F.transform(
+                places, lambda i: F.coalesce(F.get(F.get(done, j - 1), i - k), F.lit(0.0)) + F.get(F.get(grid, j), i)))))
+
+        def add(s, x):
+            return s + x
+        grids = F.aggregate(F.sequence(F.lit(1), n), F.array_repeat(none, m + 1), wider)
+        return _let(F.get(grids, m), lambda orders: F.least(F.lit(1.0), 2 * F.aggregate(F.slice(
+            orders, F.ceil(F.greatest(u, m * n - u)).cast("int") + 1, m * n + 1), F.lit(0.0), add) / F.aggregate(orders, F.lit(0.0), add)))
+
+    tied = _let(F.concat(a, b), lambda both: F.aggregate(
+        F.transform(F.array_distinct(both), lambda v: F.size(F.filter(both, lambda x: x == v)).cast("double")),
+        F.lit(0.0), lambda s, t: s + t * t * t - t))
+    if method == "asymptotic":
+        p = _let(tied, asymptotic)
+    elif method == "exact":
+        p = exact()
+    else:
+        p = _let(tied, lambda ties: F.when((F.least(m, n) <= 8) & (ties == 0), exact()).otherwise(asymptotic(ties)))
+    return F.when((m > 0) & (n > 0), p)
+
+
 def normal_sf(z: float) -> float:
     """Upper tail of the standard normal."""
     return 0.5 * math.erfc(z / math.sqrt(2.0))

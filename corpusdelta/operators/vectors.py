@@ -255,49 +255,6 @@ def mann_whitney_u(a, b) -> "F.Column":
         F.lit(0.0), lambda s, z: s + z)
 
 
-def _mw_p(u: float, x: list, y: list, method: str = "auto") -> float:
-    """Two-sided p for U. ``method``: ``exact`` (distribution of U without
-    ties), ``asymptotic`` (tie-corrected normal approximation with continuity
-    correction), or ``auto``: exact without ties when a sample has at most 8
-    values, else asymptotic."""
-    n1, n2 = len(x), len(y)
-    if n1 == 0 or n2 == 0:
-        return float("nan")
-    allv = list(x) + list(y)
-    ties = len(set(allv)) < len(allv)
-    if method == "exact" or method == "auto" and min(n1, n2) <= 8 and not ties:
-        # counts of U values by the standard recursion over (n1, n2)
-        from functools import lru_cache
-
-        @lru_cache(maxsize=None)
-        def cnt(m, n, u_):
-            if u_ < 0:
-                return 0
-            if m == 0 or n == 0:
-                return 1 if u_ == 0 else 0
-            return cnt(m - 1, n, u_ - n) + cnt(m, n - 1, u_)
-        total = math.comb(n1 + n2, n1)
-        umax = n1 * n2
-        uu = max(u, umax - u)
-        tail = sum(cnt(n1, n2, v) for v in range(int(math.ceil(uu)), umax + 1)) / total
-        return min(1.0, 2 * tail)
-    mu = n1 * n2 / 2.0
-    n = n1 + n2
-    _, counts = np.unique(np.asarray(allv), return_counts=True)
-    tie = float((counts ** 3 - counts).sum())
-    sd = math.sqrt(n1 * n2 / 12.0 * ((n + 1) - tie / (n * (n - 1))))
-    if sd == 0:
-        return 1.0
-    z = (abs(u - mu) - 0.5) / sd
-    return min(1.0, 2 * S.normal_sf(z))
-
-
-@F.pandas_udf(T.DoubleType())
-def mann_whitney_p(u: pd.Series, a: pd.Series, b: pd.Series, method: pd.Series) -> pd.Series:
-    return pd.Series([_mw_p(float(uu), list(x), list(y), m) for uu, x, y, m in zip(u, a, b, method)],
-                     dtype="float64")
-
-
 def density_compare(d1: DataFrame, d2: DataFrame, word: str = "word", method: str = "auto") -> DataFrame:
     """M7 (with J12): inner join of two density tables by word, Mann-Whitney
     U of the two cosine lists and its p-value (``method``: auto, exact or
@@ -307,7 +264,7 @@ def density_compare(d1: DataFrame, d2: DataFrame, word: str = "word", method: st
          .join(d2.select(word, F.col("mean").alias("mean2"), F.col("std").alias("std2"),
                          F.col("cosines").alias("c2")), word))
     j = j.withColumn("stat", mann_whitney_u("c1", "c2"))
-    return j.withColumn("pval", mann_whitney_p("stat", "c1", "c2", F.lit(method))).drop("c1", "c2")
+    return j.withColumn("pval", S.mann_whitney_p("stat", "c1", "c2", method)).drop("c1", "c2")
 
 
 def density_shift(df: DataFrame) -> DataFrame:

@@ -150,7 +150,26 @@ def q_mann_whitney(spark, sf):
     return rounded(V.density_compare(d1, d2).select("word", "stat"))
 
 
-@plan("density_compare")
+def _sf_sql(z):
+    """Upper tail of the standard normal of ``z`` >= 0: series below 3, else the
+    continued fraction."""
+    density = f"(exp(-{z} * {z} / 2) / sqrt(2 * pi()))"
+    series = (f"list_reduce(list_transform(range(0, 61), lambda k: {{'k': k::DOUBLE, 'term': {z}, 'sum': {z}}}), lambda s, t: "
+              f"{{'k': t.k, 'term': s.term * {z} * {z} / (2 * t.k + 1), 'sum': s.sum + s.term * {z} * {z} / (2 * t.k + 1)}}).sum")
+    fraction = f"list_reduce(list_concat([{z}], list_transform(range(0, 100), lambda i: (100 - i)::DOUBLE)), lambda acc, k: {z} + k / acc)"
+    return f"CASE WHEN {z} < 3 THEN 0.5 - {density} * {series} ELSE {density} / {fraction} END"
+
+
+@plan("density_compare", MW_SQL + f""",
+st AS (SELECT ca.word, list_concat(ca.c, cb.c) AS v, len(ca.c) AS m, len(cb.c) AS n, CAST(list_sum(list_transform(ca.c,
+  lambda x: list_sum(list_transform(cb.c, lambda y: CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0.0 END)))) AS DOUBLE) AS stat
+  FROM ca JOIN cb ON ca.word = cb.word),
+sd AS (SELECT *, sqrt(m * n / 12.0 * (m + n + 1 - list_sum(list_transform(list_distinct(v),
+  lambda x: power(len(list_filter(v, lambda y: y = x)), 3) - len(list_filter(v, lambda y: y = x)))) / ((m + n) * (m + n - 1.0)))) AS sd FROM st),
+z AS (SELECT *, (abs(stat - m * n / 2.0) - 0.5) / sd AS z0, abs((abs(stat - m * n / 2.0) - 0.5) / sd) AS z FROM sd)
+SELECT z.word, round(d_a.mean, 6) AS mean1, round(d_a.std, 6) AS std1, round(d_b.mean, 6) AS mean2, round(d_b.std, 6) AS std2,
+  round(stat, 6) AS stat, round(CASE WHEN sd = 0 OR z0 < 0 THEN 1.0 ELSE least(1.0, 2 * ({_sf_sql('z')})) END, 6) AS pval
+FROM z JOIN d_a ON d_a.word = z.word JOIN d_b ON d_b.word = z.word""")
 def q_density_compare(spark, sf):
     d1, d2 = _densities(spark, sf)
     return rounded(V.density_compare(d1, d2))

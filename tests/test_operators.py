@@ -1,11 +1,13 @@
 """Invariants of the lexical, vector, selection and rating operators."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusdelta.functions import stats as S
 from corpusdelta.operators import batched_logit as BL
 from corpusdelta.operators import counts as C
 from corpusdelta.operators import keyness as K
@@ -123,9 +125,41 @@ def test_mann_whitney_u_and_p(spark):
     assert u1 + u2 == len(x) * len(y)
     assert u1 == 19.0
     # exact two-sided p for U = 19 of 20 with n1 = 4, n2 = 5: 2 * 2/126
-    assert V._mw_p(u1, x, y) == pytest.approx(2 * 2 / 126)
-    # normal approximation with ties: symmetric samples give p = 1
-    assert V._mw_p(50.0, list(range(10)), list(range(10))) == pytest.approx(1.0, abs=0.05)
+    assert df.select(S.mann_whitney_p(F.lit(u1), "a", "b")).first()[0] == pytest.approx(2 * 2 / 126)
+
+
+def test_mann_whitney_p_by_counting_and_by_the_normal(spark):
+    import itertools
+    rng = np.random.default_rng(4)
+    rows = [(rng.permutation(20)[:m].astype(float).tolist(), rng.permutation(20)[:n].astype(float).tolist()) for m, n in [(1, 1), (2, 5), (3, 3), (4, 7), (6, 2)]]
+    rows = [(x, [v + 0.5 for v in y]) for x, y in rows] + [([1.0, 1.0, 2.0], [1.0, 3.0]), (list(map(float, range(12))), [v + 0.3 for v in range(10)]), ([], [1.0]),
+                                                           ([5.0] * 3, [5.0] * 3), ([float(v) for v in range(30, 50)], [float(v) for v in range(15)])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    got = df.select(*(S.mann_whitney_p(V.mann_whitney_u("a", "b"), "a", "b", m) for m in ("auto", "exact", "asymptotic"))).collect()
+    turned = df.select(S.mann_whitney_p(V.mann_whitney_u("b", "a"), "b", "a")).collect()
+    assert [p or -1 for p, _, _ in got] == pytest.approx([p or -1 for p, in turned], rel=1e-12)
+    for (x, y), (auto, exact, normal) in zip(rows, got):
+        if not x:
+            assert auto is exact is normal is None
+            continue
+        u = sum((a > b) + 0.5 * (a == b) for a in x for b in y)
+        m, n = len(x), len(y)
+        ties = sum(c ** 3 - c for c in Counter(x + y).values())
+        sd = math.sqrt(m * n / 12 * (m + n + 1 - ties / ((m + n) * (m + n - 1))))
+        want = 1.0 if sd == 0 else min(1.0, math.erfc((abs(u - m * n / 2) - 0.5) / sd / math.sqrt(2)))
+        assert normal == pytest.approx(want, rel=1e-11)
+        if not ties and m + n <= 12:
+            us = [sum(v - k for k, v in enumerate(c)) for c in itertools.combinations(range(m + n), m)]
+            want = min(1.0, 2 * sum(v >= max(u, m * n - u) for v in us) / len(us))
+            assert exact == pytest.approx(want, rel=1e-12)
+        assert auto == (exact if min(m, n) <= 8 and not ties else normal)
+
+
+def test_normal_tail_over_the_whole_range(spark):
+    zs = [-8.0, -3.0, -0.7, 0.0, 1e-9, 0.5, 1.96, 2.999, 3.0, 3.001, 5.0, 8.0, 20.0, 37.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select(S.normal_sf_col("z")).collect()
+    for z, (p,) in zip(zs, got):
+        assert p == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, rel=1e-11)
 
 
 def test_batched_solver_matches_numpy(spark):
