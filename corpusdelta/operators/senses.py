@@ -1,16 +1,13 @@
 """Sense clustering of target words.
 
-Targets are a short list (W2); sentences per target
-are capped by a seeded per-group sample (W9) before any per-group Python
-runs, which bounds the k-means groups.
+Sentences per target can be sampled (W9); clustering needs no target's
+sentences together, so neither their number nor that of the targets is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,46 +58,14 @@ def target_embeddings(sent_tokens: DataFrame, hits: DataFrame, vectors: DataFram
             .select(*cols, F.array(*[F.col(f"_d{i}") for i in range(d)]).alias("vec")))
 
 
-def _kmeans(x: np.ndarray, k: int, seed: int, iters: int = 100):
-    rng = np.random.default_rng(seed)
-    n = len(x)
-    k = min(k, n)
-    centers = [x[rng.integers(n)]]
-    for _ in range(1, k):                      # k-means++ seeding
-        d2 = np.min(((x[:, None, :] - np.array(centers)[None, :, :]) ** 2).sum(-1), axis=1)
-        tot = d2.sum()
-        centers.append(x[rng.choice(n, p=d2 / tot)] if tot > 0 else x[rng.integers(n)])
-    c = np.array(centers)
-    lab = np.zeros(n, dtype=int)
-    for _ in range(iters):
-        lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
-        new = np.array([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(k)])
-        if np.allclose(new, c):
-            break
-        c = new
-    return lab, c
-
-
 def cluster_target_senses(emb: DataFrame, k: int = 8, seed: int = 42, sent: str = "sent_id",
-                          keep: Sequence[str] = ("time",)) -> DataFrame:
-    """M10 + M11: k-means (k-means++ init, seeded) per target over its
-    (sampled, hence bounded) sentence vectors; returns the cluster and the
-    cosine distance to the own centroid."""
-    cols = ["target", sent, "vec", *keep]
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sent)
-        x = np.vstack(pdf.vec.to_numpy()).astype(np.float64)
-        lab, c = _kmeans(x, k, seed)
-        cc = c[lab]
-        den = np.linalg.norm(x, axis=1) * np.linalg.norm(cc, axis=1)
-        dist = 1 - np.where(den > 0, (x * cc).sum(1) / np.where(den > 0, den, 1), 0)
-        out = pdf.drop(columns=["vec"]).copy()
-        out["clust"] = lab.astype(np.int64)
-        out["dist"] = dist
-        return out
-    schema = emb.select(*cols).drop("vec").schema.add("clust", "long").add("dist", "double")
-    return emb.select(*cols).groupBy("target").applyInPandas(fn, schema)
+                          keep: Sequence[str] = ("time",), restarts: int = 3) -> DataFrame:
+    """M10 + M11: k-means (k-means++ seeds) of each target's sentence vectors,
+    all targets in the same passes (see batched_kmeans); returns the cluster and
+    the cosine distance to the own centroid."""
+    from corpusdelta.operators.batched_kmeans import cluster
+    found = cluster(emb.select("target", sent, "vec", *keep), "target", "vec", sent, k, seed, restarts)
+    return found.select("target", sent, *keep, "clust", "dist")
 
 
 def centroid_distance(emb: DataFrame, by: Sequence[str] = ("target", "clust")) -> DataFrame:
