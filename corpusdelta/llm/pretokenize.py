@@ -10,9 +10,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+OTHER, LETTER, NUMBER, SPACE, BORDER = 0, 1, 2, 3, 4
 BLANK, APOSTROPHE = 32, 39
 #: The contractions of the pattern, without the apostrophe.
 ONE_LETTER = frozenset("stmd")
@@ -81,6 +82,46 @@ def split(text: str, table: np.ndarray | None = None) -> list[str]:
     return [text[a:b] for a, b in zip(at, ends)]
 
 
+def split_many(texts: list[str], table: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """``split`` of many texts in one pass: all their pre-tokens in order as one
+    Arrow string array, and how many each text has."""
+    joined = "\0".join(texts)
+    if not joined:
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+    n = len(points)
+    border = np.cumsum([len(t) + 1 for t in texts])[:-1] - 1  # places between texts
+    kind = (classes() if table is None else table)[points]
+    kind[border] = BORDER
+    start = np.empty(n, dtype=bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start[border] = True
+    start[border[border + 1 < n] + 1] = True
+    blank = kind == SPACE
+    last = np.flatnonzero(blank[:-1] & ~blank[1:] & (kind[1:] != BORDER))
+    start[last] = True
+    start[last[points[last] == BLANK] + 1] = False
+    for i in np.flatnonzero((points == APOSTROPHE) & (kind != BORDER)).tolist():
+        if start[i] and i + 1 < n:
+            size = 1 if joined[i + 1] in ONE_LETTER else 2 if joined[i + 1:i + 3] in TWO_LETTERS else 0
+            if size:
+                start[i + 1] = False
+                if i + 1 + size < n:
+                    start[i + 1 + size] = True
+    at = np.flatnonzero(start)
+    width = np.ones(n, np.int64)
+    for least in (0x80, 0x800, 0x10000):
+        width += points >= least
+    byte = np.zeros(n + 1, np.int64)
+    np.cumsum(width, out=byte[1:])
+    offsets = np.append(byte[at], byte[n]).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(joined.encode()))
+    own = kind[at] != BORDER
+    text = np.searchsorted(border, at[own], side="right")
+    return pieces.filter(pa.array(own)), np.bincount(text, minlength=len(texts))
+
+
 class Memo(dict):
     """``memo[key]`` computes what is missing and keeps at most ``2 * size``
     entries in two generations, so frequent keys stay and rare ones go."""

@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdelta.llm.pretokenize import Memo, library_classes, split
+from corpusdelta.llm.pretokenize import Memo, library_classes, split_many
 from corpusdelta.llm.shared import scratch_path
 
 #: Tokens after which a block ends, and tokens that a shard holds about.
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 18, 1 << 25
+#: Characters of texts that are split together, about.
+SLICE_CHARS = 1 << 20
 
 
 @lru_cache(2)
@@ -61,14 +63,42 @@ def _encoder(path: str, added_tokens: bool):
 
     memo = Memo(ids)
 
-    def encoded(text: str) -> bytes:
-        if any(t in text for t in added):
-            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(memo.__getitem__, split(text, table)))
+    def encoded(texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. The pre-tokens of all texts are dictionary-encoded
+        together, so the memory is asked once for each different one."""
+        whole = {k: t for k, t in enumerate(texts) if any(x in t for x in added)}
+        pieces, sizes = split_many(["" if k in whole else t for k, t in enumerate(texts)], table)
+        coded = pieces.dictionary_encode()
+        each = [memo[p] for p in coded.dictionary.to_pylist()]
+        length = np.array([len(e) for e in each], np.int64) // 4
+        first, of = np.cumsum(length) - length, coded.indices.to_numpy()
+        n = length[of]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = np.frombuffer(b"".join(each), np.uint32)[np.arange(total) + np.repeat(first[of] - ends + n, n)]
+        per_piece = np.append(0, ends)
+        cuts = per_piece[np.append(0, np.cumsum(sizes))]
+        out = [flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        for k, t in whole.items():
+            out[k] = np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        return out
 
     return encoded
 
 
+def _slices(texts: list[str | None]):
+    """Runs of texts of about ``SLICE_CHARS`` characters together."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= SLICE_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _byte_spelling() -> dict[int, str]:
     """The character of each byte in byte-level vocabularies: visible Latin-1
     characters stand for themselves, other bytes for U+0100 on, in order."""
@@ -119,10 +149,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
     kind = np.dtype("<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
 
     def run(batches):
-        of = _encoder(tokenizer, added_tokens)
-        end = np.array([end_id], np.uint32).tobytes()
+        of, end = _encoder(tokenizer, added_tokens), np.array([end_id], kind)
         for b in batches:
-            ids = [np.frombuffer(of(t or "") + end, np.uint32).astype(kind) for t in b.column(2).to_pylist()]
+            ids = [np.append(i.astype(kind), end) for texts in _slices(b.column(2).to_pylist()) for i in of(texts)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(i) for i in ids], pa.int64()),
                  pa.array([i.tobytes() for i in ids], pa.binary())], names=["doc", "tie", "n", "ids"])

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusdelta.llm import bpe
-from corpusdelta.llm.pretokenize import Memo, split
+from corpusdelta.llm.pretokenize import Memo, split, split_many
 from tests.conftest import SF_SMALL
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,6 +29,14 @@ def test_ids_and_pieces_equal_the_library(text):
     assert enc.decode(ids) == text.encode()
 
 
+@given(st.lists(TEXT, max_size=8))
+@settings(max_examples=1000, deadline=None)
+def test_many_texts_are_split_as_each(texts):
+    pieces, sizes = split_many(texts)
+    assert list(sizes) == [len(split(t)) for t in texts]
+    assert pieces.to_pylist() == [p for t in texts for p in split(t)]
+
+
 def test_every_letter_and_number_has_the_library_class():
     enc = bpe.encoder(PATH)
     for lo in range(0, 0x3000, 64):
