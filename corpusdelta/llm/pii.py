@@ -1,15 +1,19 @@
 """Format-preserving pseudonyms of personal data (operator 3). DataFrame
 functions only.
 
-Found and validated: e-mail addresses, IBANs (mod 97), payment cards (Luhn),
-dates (calendar, 1901 to 2096), US social security numbers, IPv4 addresses,
-North American and ``+`` international telephone numbers. What fails its
-validation stays as it is. Numbers beside an IBAN or a card (an expiry date, a
-code, an amount, a capital word) are no part of it: of a run of characters every
-admissible stretch between separators is validated, first the usual forms (the
-country's length; one block, 4-4-4-4, 4-6-5, 4-6-4), then all others in what is
-left, and the longest at a place counts. By chance one in ten runs of digits and
-one in 97 runs of IBAN characters validates.
+Found and validated: e-mail addresses, IBANs (length of the country, mod 97),
+payment cards (issuer, Luhn), dates (``2024-03-01``, also before a time, and
+``01.03.2024`` or ``01/03/2024`` with the day first; calendar, 1901 to 2096;
+dates with the month first, single digits or two-digit years are not sought),
+US social security numbers, IPv4 addresses, North American and ``+``
+international telephone numbers. What fails its validation stays as it is.
+
+A card or IBAN is written in one block or in its usual groups with one separator
+throughout (cards 4-4-4-4, 4-4-4-4 and one to three, 4-6-5, 4-6-4; IBANs by
+fours), so other numbers are never put together to one. Every place where one
+could begin is tried, also inside what failed, and the longest valid value
+counts, so numbers and words beside a value do not hide it. By chance one in ten
+numbers of a card's form and issuer validates, and one in 97 of an IBAN's.
 
 A value is read as a vector of numbers with one radix each (digits, letters of
 the local part of an address, octets, parts of an SSN, a day number as
@@ -36,17 +40,14 @@ ROUNDS = 8
 #: kind -> pattern, in order of precedence at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "iso_date": r"(?<![0-9A-Za-z.-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
+    "iso_date": r"(?<![0-9A-Za-z.-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?:(?=T[0-9]{2}:)|(?![0-9A-Za-z-]))",
     "day_first": r"(?<![0-9A-Za-z./-])[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2}(?![0-9A-Za-z/-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ipv4": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "nanp": r"(?<![0-9A-Za-z+.-])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+])\+[1-9](?:[ .-]?\(?[0-9]\)?){7,14}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
 }
-#: Kinds whose values are validated before the text is cut at them.
-CHECKED = ("iban", "card")
+ANY = "|".join(PATTERNS.values())
 
 #: Length of an IBAN by country (ISO 13616 registry).
 IBAN_LENGTHS = {
@@ -57,21 +58,26 @@ IBAN_LENGTHS = {
 
 
 def _iban_form(country: str, n: int) -> str:
+    """An IBAN of ``n`` characters, in one block or by fours."""
     k, rest = divmod(n - 4, 4)
-    return f"(?:{country})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{k}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
-
-
-#: kind -> what stands before and after a value.
-EDGES = {"iban": ("(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"),
-         "card": (r"(?<![0-9A-Za-z.+])(?<!(?<![0-9])-)", r"(?![0-9A-Za-z]|\.[0-9])")}
-#: kind -> what every text with a value matches.
-HINTS = {"iban": "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4}", "card": "[0-9](?:[ -]?[0-9]){12}"}
-#: kind -> usual forms, all forms; one form has at most one length at one place.
-FORMS = {
-    "iban": (["|".join(_iban_form(c, n) for n, c in IBAN_LENGTHS.items())], [_iban_form("[A-Z]{2}", n) for n in range(12, 36)]),
-    "card": ([*(f"[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}[ -][0-9]{{{n}}}" for n in (1, 2, 3)),
-              "[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"],
-             [f"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(13, 20)])}
+    return f"(?:{country})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?: [A-Z0-9]{{4}}){{{k}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "") + ")"
+
+
+#: First digits that card issuers use (ISO/IEC 7812).
+ISSUER = "(?=2[2-7]|3|4|5|6)"
+#: The forms of a card, the longest at one place first.
+CARDS = [*(f"{ISSUER}[0-9]{{4}}(?:{sep}[0-9]{{4}}){{3}}{sep}[0-9]{{1,3}}" for sep in " -"),
+         *(f"{ISSUER}[0-9]{{4}}(?:{sep}[0-9]{{4}}){{3}}" for sep in " -"),
+         *(f"{ISSUER}[0-9]{{4}}{sep}[0-9]{{6}}{sep}[0-9]{{4,5}}" for sep in " -"), f"{ISSUER}[0-9]{{13,19}}"]
+IBANS = [_iban_form(c, n) for n, c in IBAN_LENGTHS.items()]
+#: What stands before and after a card or IBAN.
+CARD_EDGES = (r"(?<![0-9A-Za-z.+])(?<!(?<![0-9])-)", r"(?![0-9A-Za-z]|\.[0-9])")
+IBAN_EDGES = ("(?<![A-Za-z0-9])", "(?![A-Za-z0-9])")
+#: Where one could begin, and how far a value and its edge reach at most.
+BEGIN = "|".join(f"{before}(?=(?:{'|'.join(forms)}){after})" for forms, (before, after) in ((IBANS, IBAN_EDGES), (CARDS, CARD_EDGES)))
+REACH = 48
+#: Places that are joined to stretches of text at once.
+PLACES = 256
 
 
 def _number(*parts) -> Column:
@@ -254,52 +260,58 @@ def _phone(s: Column, key: str) -> Column:
     return F.concat(F.substring(s, 1, 2), _rewrite(_chars(F.substring(s, F.lit(3), F.length(s))), _class_base, _digit_size, key, "phone"))
 
 
-RULES = {"email": _email, "iban": _iban, "iso_date": _iso_date, "day_first": _day_first, "ssn": _ssn, "ipv4": _ipv4,
-         "nanp": _nanp, "phone": _phone, "card": _card}
+RULES = {"email": _email, "iso_date": _iso_date, "day_first": _day_first, "ssn": _ssn, "ipv4": _ipv4, "nanp": _nanp, "phone": _phone}
 
 
 def _pseudonym(match: Column, key: str) -> Column:
     out = None
     for kind, rule in RULES.items():
-        own = match.rlike(f"^(?:{PATTERNS[kind]})$")
+        own = match.rlike(f"^(?:{PATTERNS[kind]})$") if kind != "iso_date" else match.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
         out = F.when(own, rule(match, key)) if out is None else out.when(own, rule(match, key))
     return out.otherwise(match)
 
 
-VALID = {"iban": _iban_valid, "card": _card_valid}
+def _value(ahead: Column) -> Column:
+    """The longest valid card or IBAN at the beginning of ``ahead``, else null."""
+    iban = F.regexp_extract(ahead, f"^(?:{'|'.join(IBANS)}){IBAN_EDGES[1]}", 0)
+    cards = F.transform(F.array(*[F.regexp_extract(ahead, f"^(?:{form}){CARD_EDGES[1]}", 0) for form in CARDS]), lambda v: v)
+    best = F.get(F.filter(cards, lambda v: (v != "") & _card_valid(v)), 0)
+    return F.when(ahead.rlike("^[0-9]"), best).otherwise(F.get(F.filter(F.array(iban), lambda v: (v != "") & _iban_valid(v)), 0))
+
+
+_STRETCH = "struct<value:string,text:string>"
 
 
-def _valid(text: Column, kind: str, forms: list[str]) -> Column:
-    """The different valid values of these forms, the longest first. A form is
-    tried at every place, also inside what it matched before."""
-    before, after = EDGES[kind]
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(f"{before}(?=({form}){after})[A-Z0-9]"), F.lit(1))
-                       for form in forms])
-    own = F.filter(F.array_distinct(found), VALID[kind])
-    longest = F.array_sort(F.transform(own, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
-    return F.when(text.rlike(HINTS[kind]), F.transform(longest, lambda x: x["v"])).otherwise(F.array().cast("array<string>"))
+def _stretches(before: Column, places: Column) -> Column:
+    """The text as stretches: each a value (null in the first) and what follows
+    it. ``places``: for each place where a value could begin, the text up to the
+    next place, and the value. A place inside the value before it is part of
+    it. Places are joined in runs of ``PLACES``, so that long texts do not copy
+    their stretches again and again."""
+    def put(out, value, text):
+        """A new stretch for a value, else more text for the last one."""
+        last = F.element_at(out, -1)
+        return F.when(value.isNotNull(), F.concat(out, F.array(F.struct(value.alias("value"), text.alias("text"))))).otherwise(
+            F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["value"].alias("value"), F.concat(last["text"], text).alias("text")))))
 
+    def state(rest, out):
+        return F.struct(rest.cast("int").alias("rest"), out.cast(f"array<{_STRETCH}>").alias("out"))
 
-def _literals(values: Column, kind: str) -> Column:
-    """A pattern of these values; they are letters, digits, blanks and hyphens."""
-    before, after = EDGES[kind]
-    return F.concat(F.lit(f"{before}(?:"), F.array_join(values, "|"), F.lit(f"){after}"))
+    def step(s, x):
+        rest, size, n = s["rest"], F.length(x["piece"]), F.length(x["value"])
+        own = F.when(rest == 0, x["value"])
+        taken = F.when(rest > 0, rest).otherwise(F.coalesce(n, F.lit(0)))
+        return state(F.greatest(taken - size, F.lit(0)), put(s["out"], own, F.substring(x["piece"], taken + 1, size)))
 
+    def run(s, k):
+        mine = F.aggregate(F.slice(places, k * PLACES + 1, F.lit(PLACES)),
+                           state(s["rest"], F.array(F.struct(F.lit(None).cast("string").alias("value"), F.lit("").alias("text")))), step)
+        joined = F.transform(F.array(mine), lambda m: state(m["rest"], F.concat(
+            put(s["out"], F.lit(None).cast("string"), F.get(m["out"], 0)["text"]), F.slice(m["out"], F.lit(2), F.size(m["out"])))))
+        return F.get(joined, 0)
 
-def _all_patterns(values: Column) -> Column:
-    """The pattern of one text: every kind in order, of the checked kinds the
-    values found in it. A telephone number ends before a card."""
-    out = []
-    for kind, pattern in PATTERNS.items():
-        if kind in CHECKED:
-            out.append(F.when(F.size(values[kind]) > 0, _literals(values[kind], kind)))
-        elif kind == "phone":
-            stop = F.concat(F.lit("(?:(?![ .-]?(?:"), F.array_join(values["card"], "|"), F.lit(f"){EDGES['card'][1]})[ .-]?"))
-            head, tail = pattern.split("(?:[ .-]?")
-            out.append(F.when(F.size(values["card"]) > 0, F.concat(F.lit(head), stop, F.lit(tail))).otherwise(F.lit(pattern)))
-        else:
-            out.append(F.lit(pattern))
-    return F.concat_ws("|", *out)
+    first = state(F.lit(0), F.array(F.struct(F.lit(None).cast("string").alias("value"), before.alias("text"))))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(places) - 1) / PLACES).cast("int")), first, run)["out"]
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -307,27 +319,33 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     add: the number of values that were replaced."""
     text = F.col(f"`{text_col}`").cast("string")
     names = set(docs.columns)
-    pieces = next(n for n in ("_pieces" + "_" * k for k in range(len(names) + 1)) if n not in names)
-    p = F.col(pieces)
+    work = next(n for n in ("_pieces" + "_" * k for k in range(len(names) + 1)) if n not in names)
+    p = F.col(work)
     # most texts hold neither a digit nor an at sign and are passed over quickly
     some = text.rlike("[0-9@]")
-    rows = docs.withColumn(pieces, F.when(some, F.struct(*[_valid(text, k, FORMS[k][0]).alias(k) for k in CHECKED])))
-
-    def rest(kind):
-        return F.when(F.size(p[kind]) > 0, F.regexp_replace(text, _literals(p[kind], kind), F.lit("\n"))).otherwise(text)
-
-    # what the usual forms leave is searched for all other forms
-    rows = rows.withColumn(pieces, F.when(some, F.struct(*[p[k].alias(k) for k in CHECKED], *[rest(k).alias(f"{k}_rest") for k in CHECKED])))
-    rows = rows.withColumn(pieces, F.when(some, F.struct(*[
-        F.concat(p[k], F.array_except(_valid(p[f"{k}_rest"], k, FORMS[k][1]), p[k])).alias(k) for k in CHECKED])))
-    rows = rows.withColumn(pieces, F.when(some, _all_patterns(p)))
-    rows = rows.withColumn(pieces, F.when(some & F.regexp_like(text, p), F.struct(
-        F.split(text, p, -1).alias("between"), F.regexp_extract_all(text, p, F.lit(0)).alias("found"))))
-    rows = rows.withColumn(pieces, F.when(p.isNotNull(), F.struct(
-        p["between"].alias("between"), p["found"].alias("found"), F.transform(p["found"], lambda m: _pseudonym(m, key)).alias("new"))))
-    new = F.array_join(F.zip_with(p["between"], p["new"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = {text_col: F.when(p.isNotNull(), new).otherwise(text)}
+    led = F.concat(F.lit("\n"), text)          # no place is the first character, so pieces and places stay aligned
+    # cards and IBANs first: the text from each place where one could begin to the next, and the value there
+    rows = docs.withColumn(work, F.when(some, F.struct(
+        F.split(led, BEGIN, -1).alias("pieces"),
+        F.regexp_extract_all(led, F.lit(f"(?:{BEGIN})(?=((?s:.{{1,{REACH}}})))[A-Z0-9]"), F.lit(1)).alias("ahead"))))
+    rows = rows.withColumn(work, F.when(some, F.struct(p["pieces"].alias("pieces"), F.transform(p["ahead"], _value).alias("values"))))
+    before = F.substring(F.get(p["pieces"], 0), F.lit(2), F.length(led))
+    places = F.zip_with(F.slice(p["pieces"], F.lit(2), F.size(p["pieces"])), p["values"],
+                        lambda a, b: F.struct(a.alias("piece"), b.alias("value")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("value"), text.alias("text"))).cast(f"array<{_STRETCH}>")
+    rows = rows.withColumn(work, F.when(some, F.when(F.exists(p["values"], lambda v: v.isNotNull()), _stretches(before, places)).otherwise(whole)))
+    # then all other kinds between them
+    rows = rows.withColumn(work, F.transform(p, lambda x: F.struct(
+        x["value"].alias("value"), F.when(x["value"].rlike("^[0-9]"), _card(x["value"], key)).when(x["value"].isNotNull(), _iban(x["value"], key)).alias("new"),
+        F.split(x["text"], ANY, -1).alias("between"), F.regexp_extract_all(x["text"], F.lit(ANY), F.lit(0)).alias("found"))))
+    rows = rows.withColumn(work, F.transform(p, lambda x: F.struct(
+        x["value"].alias("value"), x["new"].alias("new"), x["between"].alias("between"), x["found"].alias("found"),
+        F.transform(x["found"], lambda m: _pseudonym(m, key)).alias("news"))))
+    new = F.array_join(F.transform(p, lambda x: F.concat(F.coalesce(x["new"], F.lit("")), F.array_join(
+        F.zip_with(x["between"], x["news"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))), "")
+    out = {text_col: F.when(some, new).otherwise(text)}
     if count_col:
-        changed = F.filter(F.zip_with(p["found"], p["new"], lambda a, b: a != b), lambda x: x)
-        out[count_col] = F.when(p.isNotNull(), F.size(changed)).otherwise(0).cast("bigint")
-    return rows.withColumns(out).drop(pieces)
+        changed = F.transform(p, lambda x: F.size(F.filter(F.zip_with(x["found"], x["news"], lambda a, b: a != b), lambda y: y))
+                              + F.when(x["value"] != x["new"], 1).otherwise(0))
+        out[count_col] = F.when(some, F.aggregate(changed, F.lit(0).cast("bigint"), lambda a, n: a + n)).otherwise(0).cast("bigint")
+    return rows.withColumns(out).drop(work)

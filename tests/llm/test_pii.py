@@ -106,3 +106,76 @@ def test_neighbours_do_not_hide_a_card_or_iban(spark):
         assert v != new and (iban_ok(new) if v[0].isalpha() else luhn(new) % 10 == 0)
     for (_, v, a, b), new in zip(cases, out):
         assert new == a + alone[v] + b or a.startswith("+") and new.endswith(alone[v]) and len(new) == len(a + v), (a, v, b, new)
+
+
+CARD = re.compile(r"[0-9]{4}( |-)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(\1[0-9]{1,3})?|[0-9]{4}( |-)[0-9]{6}\3[0-9]{4,5}|[0-9]{13,19}")
+
+
+def slow_values(text):
+    """Valid cards and IBANs, tried at every place and length by plain code."""
+    out, at = [], 0
+    while at < len(text):
+        best = ""
+        for n in range(13, 43):
+            v, after = text[at:at + n], text[at + n:at + n + 2]
+            if len(v) < n or re.match("[0-9A-Za-z]", after):
+                continue
+            if v[0].isdigit():
+                fits = CARD.fullmatch(v) and re.match("2[2-7]|[3-6]", v) and luhn(v) % 10 == 0 and not re.match(r"\.[0-9]", after) \
+                    and not re.search(r"[0-9A-Za-z.+]\Z|(^|[^0-9])-\Z", text[:at])
+            else:
+                plain = v.replace(" ", "")
+                fits = re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]+", plain) and plain[:2] in pii.IBAN_LENGTHS.get(len(plain), "").split("|") \
+                    and v in (plain, " ".join(plain[i:i + 4] for i in range(0, len(plain), 4))) and iban_ok(plain) and not re.search(r"[0-9A-Za-z]\Z", text[:at])
+            best = v if fits else best
+        if best:
+            out.append((at, best))
+        at += len(best) or 1
+    return out
+
+
+def test_values_are_those_of_plain_search(spark, monkeypatch):
+    import random
+    rng = random.Random(8)
+    parts = ["4111 1111 1111 1111", "4111-1111-1111-1111", "5500005555555559", "3782 822463 10005", "AT61 1904 3002 3457 3201", "DE89370400440532013000",
+             "4111", "1111", " ", " ", " ", "-", "12", "7", ".", "x", "\n", "AT61", "1904", "GB82", "4000 0000", "+", "378282246310005", "6011 0009 9013 9424 12"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    want = [slow_values(t) for t in texts]
+    assert sum(map(len, want)) > 300
+    for name in ("_card", "_iban"):  # mark the values instead of replacing them
+        monkeypatch.setattr(pii, name, lambda v, key: F.concat(F.lit("«"), v, F.lit("»")))
+    monkeypatch.setattr(pii, "ANY", "(?!)")
+    for places in (256, 2):
+        monkeypatch.setattr(pii, "PLACES", places)
+        for t, w, got in zip(texts, want, run(spark, texts)):
+            assert got.replace("«", "").replace("»", "") == t
+            assert re.findall("«(.*?)»", got) == [v for _, v in w], t
+
+
+def test_ordinary_numbers_stay(spark):
+    import random
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(100)) for _ in range(12)) for _ in range(500)]
+    texts += [" ".join(f"{rng.uniform(0, 1000):.2f}" for _ in range(12)) for _ in range(100)]
+    texts += [", ".join(f"{rng.uniform(-90, 90):.6f} {rng.uniform(-180, 180):.6f}" for _ in range(6)) for _ in range(100)]
+    texts += ["10 20 30 40 50 60 70 80 90 100 110 120", "1990 1991 1992 1993 1994 1995", "12:30 13:45 2.5e10 1,234,567,890,123", "v1.2.3.4.5 build 20240301123456"]
+    assert run(spark, texts) == texts
+
+
+def test_dates_before_times(spark):
+    out = run(spark, ["at 2024-03-01T10:00:00Z.", "2024-03-01", "2024-03-01Today"])
+    assert out[0] == f"at {out[1]}T10:00:00Z." and out[1] != "2024-03-01" and out[2] == "2024-03-01Today"
+
+
+def test_long_numeric_text_takes_linear_time(spark):
+    import time
+    run(spark, ["1 4111 1111 1111 1111"])
+    times = []
+    for n in (12_500, 50_000):
+        text = " ".join(str(1000 + i * 7919 % 9000) for i in range(n))
+        began = time.time()
+        out = run(spark, [text])[0]
+        times.append(time.time() - began)
+        found = slow_values(text[:3_000])
+        assert len(out) == len(text) and found and out[:found[0][0]] == text[:found[0][0]] and out != text
+    assert times[1] < 30
