@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusdelta.functions import fixed
 from corpusdelta.operators import features as FT
 from corpusdelta.operators import groups as G
+from corpusdelta.operators import token_table as TT
 from corpusdelta.operators import tokens as tok
 from corpusdelta.plans import fixtures as X
 from corpusdelta.plans import sqlbits as Q
@@ -93,6 +94,15 @@ _family("readability", "readability")
 _family("diversity", "diversity")
 
 
+@plan("features_from_token_table", feature_sql("all") + "\nSELECT doc_id, t_word, t_uword, t_sent, n_noun, cttr, entropy FROM feat")
+def q_features_from_token_table(spark, sf):
+    """L1, L3, L14 over a written token table, without an exchange."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    name = TT.write_token_table(tok.annotate_tokens(tok.tokenize(docs)))
+    f = FT.doc_features(TT.read_token_table(spark, name))
+    return rounded(f.select("doc_id", "t_word", "t_uword", "t_sent", "n_noun", "cttr", "entropy"))
+
+
 @plan("attach_features", feature_sql("lang") + """
 SELECT d.doc_id, d.source, d.lang, f.t_word, f.t_sent, f.cttr FROM documents d LEFT JOIN feat f ON d.doc_id = f.doc_id""")
 def q_attach_features(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusdelta.functions import fixed
 from corpusdelta.operators import counts as C
 from corpusdelta.operators import keyness as K
+from corpusdelta.operators import token_table as TT
 from corpusdelta.operators import tokens as tok
 from corpusdelta.plans import sqlbits as Q
 from corpusdelta.plans.common import (annotated, lang_docs, quality_docs, rounded,
@@ -77,17 +78,27 @@ def q_unigram_counts(spark, sf):
 
 
 # ------------------------------------------------------------------ A2
-@plan("ngram_counts", f"""WITH {Q.token_ctes('lang')},
+NGRAM_SQL = f"""WITH {Q.token_ctes('lang')},
 sarr2 AS (SELECT corpus, doc_id, sent_id, list(target ORDER BY pos_in_sent) AS t
           FROM ann GROUP BY corpus, doc_id, sent_id),
 g AS (SELECT corpus, unnest(list_transform(range(1, len(t) - 5 + 2),
              lambda i: array_to_string(t[i:i + 4], ' '))) AS target FROM sarr2 WHERE len(t) >= 5)
 SELECT corpus, target, {Q.ngram_lemma('target')} AS lemma, {Q.ngram_pos('target')} AS pos,
-       COUNT(*) AS freq FROM g GROUP BY corpus, target""")
+       COUNT(*) AS freq FROM g GROUP BY corpus, target"""
+
+
+@plan("ngram_counts", NGRAM_SQL)
 def q_ngram_counts(spark, sf):
     return C.ngram_counts(annotated(lang_docs(spark, sf)), n=5, by="corpus")
 
 
+@plan("ngrams_from_token_table", NGRAM_SQL)
+def q_ngrams_from_token_table(spark, sf):
+    """A2 over a written token table: only the counts are exchanged."""
+    name = TT.write_token_table(annotated(lang_docs(spark, sf)))
+    return C.ngram_counts(TT.read_token_table(spark, name), n=5, by="corpus")
+
+
 # ------------------------------------------------------------------ A3
 @plan("pos_ngram_counts", f"""WITH {Q.token_ctes('lang')},
 sarr2 AS (SELECT corpus, doc_id, sent_id, list(target ORDER BY pos_in_sent) AS t

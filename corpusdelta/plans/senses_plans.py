@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusdelta.operators import keyness as K
 from corpusdelta.operators import langid as LI
+from corpusdelta.operators import postings as PO
 from corpusdelta.operators import senses as SN
 from corpusdelta.operators import survey as SV
 from corpusdelta.operators import tokens as tok
@@ -16,6 +17,7 @@ from corpusdelta.plans import sqlbits as Q
 from corpusdelta.plans.corpus_plans import TIMED_SQL
 from corpusdelta.plans.common import quality_docs, rounded, table
 from corpusdelta.plans.lexical import _quality_keyness, _quality_keyness_sql
+from corpusdelta.session import cut, new_folder
 
 PLANS: dict = {}
 
@@ -59,6 +61,14 @@ def q_target_sentences(spark, sf):
     return SN.target_sentences(_sentences(spark, sf), _targets(spark, sf))
 
 
+@plan("target_sentences_indexed", TS_SQL + "\nSELECT target, time, sent_id FROM ts")
+def q_target_sentences_indexed(spark, sf):
+    """J15 from a written index of the sentences."""
+    path = new_folder(spark, "postings")
+    PO.write_postings(_sentences(spark, sf), path)
+    return PO.lookup(spark, path, cut(_targets(spark, sf)))
+
+
 @plan("sample_per_group", TS_SQL + "\nSELECT target, time, sent_id FROM smp")
 def q_sample_per_group(spark, sf):
     return SN.sample_per_group(SN.target_sentences(_sentences(spark, sf), _targets(spark, sf)), ["target", "time"], 20)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from uuid import uuid4
 
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return cp
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that nothing has used, in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def target_partitions(spark: SparkSession) -> int:
     """Parallelism to spread a text scan over: the shuffle partition count."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
