@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusdelta.functions import fixed
 from corpusdelta.operators import counts as C
+from corpusdelta.operators import frequent as FQ
 from corpusdelta.operators import keyness as K
 from corpusdelta.operators import token_table as TT
 from corpusdelta.operators import tokens as tok
@@ -92,6 +93,12 @@ def q_ngram_counts(spark, sf):
     return C.ngram_counts(annotated(lang_docs(spark, sf)), n=5, by="corpus")
 
 
+@plan("frequent_ngrams", NGRAM_SQL + " HAVING COUNT(*) >= 3")
+def q_frequent_ngrams(spark, sf):
+    """A2 with P4: 5-grams that occur at least three times in their corpus."""
+    return FQ.frequent_ngrams(annotated(lang_docs(spark, sf)), n=5, min_freq=3)
+
+
 @plan("ngrams_from_token_table", NGRAM_SQL)
 def q_ngrams_from_token_table(spark, sf):
     """A2 over a written token table: only the counts are exchanged."""
