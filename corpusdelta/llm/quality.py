@@ -58,8 +58,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    terms = _unit(np.log1p(counts[:, :TERMS]).astype(np.float32) * idf)
-    return np.hstack([terms, _unit(np.sqrt(counts[:, TERMS:], dtype=np.float32))])
+    out = np.empty(counts.shape, np.float32)
+    for at in range(0, len(counts), ROWS_HELD):  # the logarithms of a few rows at a time take twice the memory
+        rows = slice(at, at + ROWS_HELD)
+        out[rows, :TERMS] = _unit(np.log1p(counts[rows, :TERMS]).astype(np.float32) * idf)
+        out[rows, TERMS:] = _unit(np.sqrt(counts[rows, TERMS:], dtype=np.float32))
+    return out
 
 
 class Model:
@@ -70,6 +74,7 @@ class Model:
         self.labels, self.share = labels.astype(np.float32), share
         self.idf = (np.log((1 + n) / (1 + (counts[:, :TERMS] > 0).sum(axis=0))) + 1).astype(np.float32)
         x = _weighted(counts, self.idf)
+        del counts
         probe = np.random.default_rng(seed).standard_normal((WIDTH, min(RANK + 16, max(n, 1)))).astype(np.float32)
         for _ in range(2):  # randomised singular vectors, with power steps
             probe = x.T @ np.linalg.qr(x @ probe)[0] if n else probe
@@ -124,8 +129,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     sample = source.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "label", "text")
     kind = source.schema["id"].dataType.simpleString()
     got = sample.mapInArrow(run, f"id {kind}, label int, counts binary").toArrow().sort_by("id")
-    counts = np.frombuffer(b"".join(got["counts"].to_pylist()), np.int32).reshape(-1, WIDTH)
-    return Model(counts, got["label"].to_numpy(), ones / n if n else 0.5)
+    return Model(_unpacked(got["counts"]), got["label"].to_numpy(), ones / n if n else 0.5)
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    out = np.empty((len(column), WIDTH), np.int32)
+    for k, packed in enumerate(column):
+        out[k] = np.frombuffer(packed.as_buffer(), np.int32)
+    return out
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_registered():
     names = E.queries()
-    assert [n for n in names if n.startswith("op")] == list(queries.QUERIES) and len(queries.QUERIES) == 10 and "pipeline" in names
+    assert [n for n in names if n.startswith("op")] == list(queries.QUERIES) and len(queries.QUERIES) == 13 and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(names)
 
 
