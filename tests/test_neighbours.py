@@ -87,3 +87,20 @@ def test_few_vectors(spark):
     assert V.top_k_neighbours(frame(spark, np.ones((1, 3))), indexed=True).count() == 0
     two = V.top_k_neighbours(frame(spark, np.eye(3)[:2]), k=10, indexed=True).collect()
     assert sorted((r.word, r.neighbour) for r in two) == [("w00000", "w00001"), ("w00001", "w00000")]
+
+
+def test_what_is_shipped_does_not_grow_with_the_blocks(spark):
+    v = frame(spark, np.random.default_rng(2).normal(size=(3000, 16))).select(V.F.col("word").alias("w"), V.normalise("vec").alias("v"))
+    index = BallIndex(v, block_rows=16)
+    assert index.search(5).count() == 5 * 3000
+    assert index.blocks > 150
+    assert index.shipped().count() <= 7 * 3000      # once for each other portion, not for each of the blocks
+
+
+def test_many_copies(spark):
+    m = np.vstack([np.tile(np.eye(8)[:1], (1500, 1)), clustered(200, d=8)])
+    rows = V.top_k_neighbours(frame(spark, m), k=3, block_rows=20, indexed=True).where("word < 'w01500'").collect()
+    assert len(rows) == 3 * 1500
+    for r in rows:      # the smallest other words
+        others = [i for i in range(4) if i != int(r.word[1:])][:3]
+        assert int(r.neighbour[1:]) == others[r["rank"] - 1] and r.sim == pytest.approx(1)
