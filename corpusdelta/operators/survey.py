@@ -76,11 +76,12 @@ def signed_rank_summary(long: DataFrame) -> DataFrame:
     w = Window.partitionBy("dimension").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
     h = h.withColumn("rank", F.col("below") + (F.col("c") + 1) / 2.0)
+    cube = F.col("c").cast("double") * F.col("c") * F.col("c")      # beyond a long from two million ties on
     return (h.groupBy("dimension").agg(
         F.sum(F.col("rank") * F.col("cpos")).alias("w_plus"),
         F.sum(F.col("rank") * (F.col("c") - F.col("cpos"))).alias("w_minus"),
         F.sum("c").alias("n_nonzero"),
-        F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("tie_term"))
+        F.sum(cube - F.col("c")).alias("tie_term"))
         .withColumn("w", F.least("w_plus", "w_minus")))
 
 

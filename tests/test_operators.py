@@ -216,6 +216,16 @@ def test_wilcoxon_and_t(spark):
     assert 0 < res.p_t < 1 and 0 < res.p_w <= 1
 
 
+def test_preference_tests_with_millions_of_ties(spark):
+    n = 2_200_000       # its cube exceeds a long
+    df = spark.range(n).select(F.lit("d").alias("dimension"), F.when(F.col("id") % 5 < 3, 1).otherwise(-1).alias("score"))
+    res = SV.preference_tests(df).first()
+    assert (res.n, res.p_w) == (n, 0.0) and res.w == pytest.approx(n * 0.4 * (n + 1) / 2)
+    even = SV.preference_tests(df.withColumn("score", F.when(F.rand(3) < 0.5, 1).otherwise(-1))).first()
+    # for signs alone the tie-corrected z is that of the sign test, as is t for many rows
+    assert even.p_w == pytest.approx(even.p_t, rel=1e-3)
+
+
 def test_fold_stability(spark):
     df = spark.createDataFrame([(1, "a", 0.5), (2, "a", 0.0), (3, "a", 0.3), (1, "b", -1.0), (2, "b", 1.0),
                                 (3, "b", -1.0)], "fold int, feature string, coef double")
