@@ -226,6 +226,17 @@ def test_preference_tests_with_millions_of_ties(spark):
     assert even.p_w == pytest.approx(even.p_t, rel=1e-3)
 
 
+def test_spearman_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+    df = spark.range(100).selectExpr("double(id) x", "double(id * id) y").mapInPandas(count, "x double, y double")
+    assert V.spearman(df, "x", "y")["rho"] == pytest.approx(1) and seen.value == 100
+
+
 def test_fold_stability(spark):
     df = spark.createDataFrame([(1, "a", 0.5), (2, "a", 0.0), (3, "a", 0.3), (1, "b", -1.0), (2, "b", 1.0),
                                 (3, "b", -1.0)], "fold int, feature string, coef double")
