@@ -216,7 +216,7 @@ SELECT target AS word, freq1 AS c1, freq2 AS c2, freq1 + freq2 AS total FROM k""
 def q_shared_vocab(spark, sf):
     t = annotated(quality_docs(spark, sf))
     from corpusdelta.operators import counts as C
-    f = C.unigram_counts(t, by="corpus")
+    f = cut(C.unigram_counts(t, by="corpus"))      # read for both sides, and again for the sort
     v1 = f.filter(F.col("corpus") == "q0").select(F.col("target").alias("word"), F.col("freq").alias("count"))
     v2 = f.filter(F.col("corpus") == "q1").select(F.col("target").alias("word"), F.col("freq").alias("count"))
     return V.shared_vocab(v1, v2)

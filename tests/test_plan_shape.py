@@ -28,3 +28,8 @@ def test_no_cross_join_no_row_udf(spark, name):
 def test_top_k_neighbours_partial_limit(spark):
     p = _plan(spark, "top_k_neighbours")
     assert "WindowGroupLimit" in p and "CartesianProduct" not in p
+
+
+def test_shared_vocab_counts_once(spark):
+    p = _plan(spark, "shared_vocab")       # both sides and the sort read the counts that were made
+    assert "FileScan" not in p and "Scan parquet" not in p
