@@ -24,6 +24,7 @@ are read.
 
 from __future__ import annotations
 
+import zlib
 from itertools import islice
 from operator import eq
 
@@ -57,24 +58,41 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.empty(counts.shape, np.float32)
+def _weighted(counts: "np.ndarray | PackedCounts", idf: np.ndarray) -> np.ndarray:
+    out = np.empty((len(counts), WIDTH), np.float32)
     for at in range(0, len(counts), ROWS_HELD):  # the logarithms of a few rows at a time take twice the memory
-        rows = slice(at, at + ROWS_HELD)
-        out[rows, :TERMS] = _unit(np.log1p(counts[rows, :TERMS]).astype(np.float32) * idf)
-        out[rows, TERMS:] = _unit(np.sqrt(counts[rows, TERMS:], dtype=np.float32))
+        rows, some = slice(at, at + ROWS_HELD), counts[at:at + ROWS_HELD]
+        out[rows, :TERMS] = _unit(np.log1p(some[:, :TERMS]).astype(np.float32) * idf)
+        out[rows, TERMS:] = _unit(np.sqrt(some[:, TERMS:], dtype=np.float32))
     return out
 
 
+class PackedCounts:
+    """Term counts of a sample as compressed rows, of which a slice is unpacked;
+    most counts of a text are 0, so the driver holds a tenth of the matrix."""
+
+    def __init__(self, rows: pa.ChunkedArray):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, some: slice) -> np.ndarray:
+        packed = self.rows[some].to_pylist()
+        return np.stack([np.frombuffer(zlib.decompress(p), np.int32) for p in packed])
+
+
 class Model:
     """Projection, labelled vectors and class shares."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, share: float, seed: int = 7):
+    def __init__(self, counts: np.ndarray | PackedCounts, labels: np.ndarray, share: float, seed: int = 7):
         n = len(labels)
         self.labels, self.share = labels.astype(np.float32), share
-        self.idf = (np.log((1 + n) / (1 + (counts[:, :TERMS] > 0).sum(axis=0))) + 1).astype(np.float32)
+        found = np.zeros(TERMS, np.int64)       # rows that hold a term
+        for at in range(0, n, ROWS_HELD):
+            found += (counts[at:at + ROWS_HELD][:, :TERMS] > 0).sum(axis=0)
+        self.idf = (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
         x = _weighted(counts, self.idf)
-        del counts
         probe = np.random.default_rng(seed).standard_normal((WIDTH, min(RANK + 16, max(n, 1)))).astype(np.float32)
         for _ in range(2):  # randomised singular vectors, with power steps
             probe = x.T @ np.linalg.qr(x @ probe)[0] if n else probe
@@ -120,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     def run(batches):
         for b in batches:
             texts = b.column(2).cast(pa.binary()).to_pylist()
-            packed = [term_counts(t or b"").astype(np.int32).tobytes() for t in texts]
+            packed = [zlib.compress(term_counts(t or b"").astype(np.int32).tobytes(), 1) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())],
                                              names=["id", "label", "counts"])
 
@@ -129,14 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     sample = source.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "label", "text")
     kind = source.schema["id"].dataType.simpleString()
     got = sample.mapInArrow(run, f"id {kind}, label int, counts binary").toArrow().sort_by("id")
-    return Model(_unpacked(got["counts"]), got["label"].to_numpy(), ones / n if n else 0.5)
-
-
-def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
-    out = np.empty((len(column), WIDTH), np.int32)
-    for k, packed in enumerate(column):
-        out[k] = np.frombuffer(packed.as_buffer(), np.int32)
-    return out
+    return Model(PackedCounts(got["counts"]), got["label"].to_numpy(), ones / n if n else 0.5)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

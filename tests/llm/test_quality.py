@@ -38,6 +38,24 @@ def test_votes_equal_a_plain_search():
         assert abs(s - (w * labels[near]).sum() / w.sum()) < 1e-4
 
 
+def test_packed_counts_give_the_same_model_and_are_never_held_whole():
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = [b"some words of text %d " % (k * 7919) * 4 + b"?!"[k % 2:k % 2 + 1] * 9 for k in range(3000)]
+    labels = np.arange(3000) % 2
+    whole = np.stack([q.term_counts(t).astype(np.int32) for t in texts])
+    packed = q.PackedCounts(pa.chunked_array([[zlib.compress(r.tobytes(), 1) for r in whole]]))
+    a = q.Model(whole, labels, 0.5)
+    del whole
+    tracemalloc.start()
+    b = q.Model(packed, labels, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(a.idf, b.idf) and np.array_equal(a.directions, b.directions) and np.array_equal(a.vectors, b.vectors)
+    assert peak < 3000 * q.WIDTH * 4 * 1.9      # the weighted matrix, not the counts beside it
+
+
 def test_odd_rows(spark):
     rows = [(i, ("good text here and there %d " % i) * 5 if i % 2 else "BAD!! TEXT!! %d!! " % i * 5) for i in range(40)]
     rows += [(100, None), (101, ""), (101, ""), (None, "good text here"), (102, "x" * 3_000_000)]
