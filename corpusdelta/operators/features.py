@@ -105,40 +105,34 @@ def mattr(tokens: DataFrame, window: int = fixed.MATTR_WINDOW, doc: str = "doc_i
     """Moving-average type-token ratio over windows of ``window``
     tokens; texts shorter than the window get the plain TTR.
 
-    Scale: a document's token positions come from sentence offsets
-    (:func:`tokens.cumsum_within`), then tokens are cut into blocks of
-    ``block`` positions; the first ``window - 1`` tokens of each block are
-    copied to the previous block so every window lies inside one
-    (document, block) partition. Windows are therefore bounded by
-    ``block + window`` rows whatever the document length."""
+    No window is held: a token is a new type of all windows that hold it and
+    begin behind the lemma's last occurrence, so the types of all windows add up
+    to one term per token. Tokens are cut into blocks of ``block`` positions, and
+    the last ``window - 1`` tokens of a block are copied to the next one, so the
+    last occurrence is found among ``block + window`` rows whatever the document
+    length."""
+    block = max(block, window)
     t = _token_positions(tokens, doc, value).withColumnRenamed("_value", value)
-    pos = F.col("_pos")
+    pos, n = F.col("_pos"), F.col("_n")
     own = (pos / block).cast("long")
-    # one copy per token in its own block, a second copy in the previous block
-    # for the first window - 1 positions of a block (single branch, no re-scan)
-    copies = F.when((pos % block < window - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    both = t.select(doc, value, "_pos", own.alias("_own"), F.explode(copies).alias("_blk"))
-    frame = Window.partitionBy(doc, "_blk").orderBy("_pos").rowsBetween(0, window - 1)
-    w = (both.withColumn("_wd", F.size(F.collect_set(value).over(frame)))
-         .withColumn("_wl", F.count(F.lit(1)).over(frame)))
-    mine = F.col("_own") == F.col("_blk")
-    full = mine & (F.col("_wl") == window)
-    agg = w.groupBy(doc).agg((F.sum(F.when(full, F.col("_wd"))) / (F.count_if(full) * window)).alias("_m"),
-                             F.count_distinct(F.when(mine, F.col(value))).alias("_u"),
-                             F.count_if(mine).alias("_n"))
-    return agg.select(doc, F.coalesce("_m", F.col("_u") / F.col("_n")).alias("mattr"))
+    copies = F.when(pos % block > block - window, F.array(own, own + 1)).otherwise(F.array(own))
+    both = t.select(doc, value, "_pos", "_n", own.alias("_own"), F.explode(copies).alias("_blk"))
+    last = F.lag("_pos").over(Window.partitionBy(doc, "_blk", value).orderBy("_pos"))
+    mine = both.withColumn("_last", last).where(F.col("_own") == F.col("_blk"))
+    first = F.greatest(F.coalesce(F.col("_last"), F.lit(-1)) + 1, pos - window + 1)     # windows of which it is a new type
+    begins = F.greatest(F.least(pos, n - window) - first + 1, F.lit(0))
+    agg = mine.groupBy(doc).agg(F.max("_n").alias("_n"), F.sum(begins).alias("_wd"), F.count_if(F.col("_last").isNull()).alias("_u"))
+    return agg.select(doc, F.when(n >= window, F.col("_wd") / ((n - window + 1) * window)).otherwise(F.col("_u") / n).alias("mattr"))
 
 
 def _token_positions(tokens: DataFrame, doc: str, value: str) -> DataFrame:
-    """``(doc, value, _pos, _n)``: each token's position in its document, and
-    the document's length, from sentence offsets."""
-    from corpusdelta.operators.tokens import cumsum_within
-    lens = tokens.groupBy(doc, "sent_id").agg(F.count(F.lit(1)).alias("_len"))
-    offs = cumsum_within(lens, [doc], ["sent_id"], "_len", "_off").drop("_len")
-    sizes = lens.groupBy(doc).agg(F.sum("_len").alias("_n"))
-    return (tokens.select(doc, "sent_id", "pos_in_sent", F.col(value).alias("_value"))
-            .join(offs, [doc, "sent_id"]).join(sizes, doc)
-            .select(doc, "_value", (F.col("_off") + F.col("pos_in_sent")).alias("_pos"), "_n"))
+    """``(doc, value, _pos, _n)``: each token's position in its document, and the
+    document's length. The windows hold one document's rows and are satisfied by
+    the partitioning by document, so the tokens are made once and not exchanged."""
+    rows = Window.partitionBy(doc)
+    return tokens.select(doc, F.col(value).alias("_value"),
+                         (F.row_number().over(rows.orderBy("sent_id", "pos_in_sent")) - 1).cast("long").alias("_pos"),
+                         F.count(F.lit(1)).over(rows).alias("_n"))
 
 
 #: Exits of a chunk's map beside positions: the text ended, or a factor is

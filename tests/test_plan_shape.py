@@ -33,3 +33,8 @@ def test_top_k_neighbours_partial_limit(spark):
 def test_shared_vocab_counts_once(spark):
     p = _plan(spark, "shared_vocab")       # both sides and the sort read the counts that were made
     assert "FileScan" not in p and "Scan parquet" not in p
+
+
+def test_mattr_makes_the_tokens_once(spark):
+    p = _plan(spark, "mattr")       # no second scan, no exchange of tokens, no set for each window
+    assert p.count("FileScan") == 1 and p.count("Exchange") <= 1 and "collect_set" not in p
