@@ -376,13 +376,21 @@ def entity_counts(docs: DataFrame, tokens: DataFrame | None = None, doc: str = "
 
 # ------------------------------------------------------------------ L4-L6
 def morph_counts(tokens: DataFrame, features: Sequence[str] = fixed.MORPH_FEATURES,
-                 doc: str = "doc_id") -> DataFrame:
-    """L4: ``n_<POS>_<Attr>_<Val>`` from the token ``morph`` map."""
-    aggs = []
-    for f in features:
-        _, pos, attr, val = f.split("_", 3)
-        aggs.append(F.count_if((F.col("upos") == pos) & (F.col("morph")[attr] == val)).alias(f))
-    return tokens.groupBy(doc).agg(*aggs)
+                 doc: str = "doc_id", weight: str | None = None) -> DataFrame:
+    """L4: ``n_<POS>_<Attr>_<Val>`` from the token ``morph`` map; a row counts
+    as many tokens as ``weight`` says (default: one).
+
+    The attributes are taken out of the map and the analyses of a document are
+    counted first: a map that is made by the plan is then not made at all, and
+    the features are sums over a few rows of a document."""
+    parts = {f: f.split("_", 3)[1:] for f in features}
+    attrs = {attr: f"_m{i}" for i, attr in enumerate(dict.fromkeys(attr for _, attr, _ in parts.values()))}
+    times = F.lit(1).cast("long") if weight is None else F.col(weight)
+    kinds = (tokens.select(doc, "upos", times.alias("_w"), *[F.col("morph")[attr].alias(c) for attr, c in attrs.items()])
+             .groupBy(doc, "upos", *attrs.values()).agg(F.sum("_w").alias("_c")))
+    return kinds.groupBy(doc).agg(*[
+        F.coalesce(F.sum(F.when((F.col("upos") == pos) & (F.col(attrs[attr]) == val), F.col("_c"))), F.lit(0)).alias(f)
+        for f, (pos, attr, val) in parts.items()])
 
 
 def dependency_counts(tokens: DataFrame, labels: Sequence[str] = fixed.DEPENDENCY_LABELS,

@@ -44,9 +44,14 @@ def _lit_array(words):
     return F.array(*[F.lit(w) for w in words])
 
 
+def supplied_morph() -> "F.Column":
+    """``morph`` (map) by rule, from ``token`` and ``upos``."""
+    return F.create_map(*[x for k, v in MORPH_RULES.items() for x in (F.lit(k), F.expr(v))])
+
+
 def supplied_annotations(tokens: DataFrame) -> DataFrame:
     """Add ``morph`` (map), ``dep``, ``head`` and ``ent`` by rule."""
-    morph = F.create_map(*[x for k, v in MORPH_RULES.items() for x in (F.lit(k), F.expr(v))])
+    morph = supplied_morph()
     labels = _lit_array(fixed.DEPENDENCY_LABELS)
     idx = (F.length("token") + F.col("pos_in_sent")) % len(fixed.DEPENDENCY_LABELS) + 1
     dep = (F.when(F.col("pos_in_sent") == 0, "ROOT").when(F.col("upos") == "PUNCT", "punct")

@@ -38,3 +38,16 @@ def test_shared_vocab_counts_once(spark):
 def test_mattr_makes_the_tokens_once(spark):
     p = _plan(spark, "mattr")       # no second scan, no exchange of tokens, no set for each window
     assert p.count("FileScan") == 1 and p.count("Exchange") <= 1 and "collect_set" not in p
+
+
+def test_morph_counts_is_compiled(spark):
+    import re
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # an adaptive plan shows its code only when it ran
+    try:
+        df = E.queries()["morph_counts"](spark, SF_SMALL)
+        df._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    code = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    # methods of over 8,000 bytes are not compiled by the JVM
+    assert max(map(int, re.findall(r"maxMethodCodeSize:\s*(\d+)", code))) < 8000
