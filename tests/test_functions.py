@@ -128,3 +128,15 @@ def test_t_and_normal_p_values():
     assert S.normal_two_sided_p(1.959963985) == pytest.approx(0.05, abs=1e-8)
     assert S.chi2_sf(3.841458821, 1) == pytest.approx(0.05, abs=1e-7)
     assert S.chi2_sf(15.13, 1) == pytest.approx(1.0036e-4, rel=1e-3)   # the published cut-off is p ~ 1e-4
+
+
+def test_ngram_parts_of_odd_targets(spark):
+    from corpusdelta.functions import text as T
+    targets = ["a:X b:Y", "::PUNCT b:c:Z", "plain a:X", "\u2028:PUNCT a:X", "a:X b:Y c:Z", "", None]
+    df = spark.createDataFrame([(t,) for t in targets], "target string").withColumn("p", F.split("target", " "))
+    got = df.select("target", T.parts_of_ngram("p", 2, T.split_lemma), T.parts_of_ngram("p", 2, T.split_pos),
+                    T.ngram_lemma("target"), T.ngram_pos("target")).collect()
+    want = {"a:X b:Y": ("a b", "X Y"), "::PUNCT b:c:Z": (": b:c", "PUNCT Z"), "plain a:X": (" a", "plain X"),
+            "\u2028:PUNCT a:X": ("\u2028 a", "PUNCT X"), "a:X b:Y c:Z": ("a b c", "X Y Z"), "": ("", ""), None: (None, None)}
+    for t, *parts in got:
+        assert (parts[0], parts[1]) == (parts[2], parts[3]) == want[t], t
