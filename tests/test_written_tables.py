@@ -34,6 +34,19 @@ def test_two_reports_read_one_token_table_without_an_exchange_by_document(spark)
     assert key(grams) == key(C.ngram_counts(tokens, n=3))
 
 
+def test_documents_dealt_before_give_the_same_table_without_exchanging_tokens(spark):
+    from corpusdelta.session import target_partitions
+    docs = lang_docs(spark, SF_SMALL)
+    tokens = annotated(docs.repartition(target_partitions(spark), "doc_id"))
+    assert plan_of(tokens).count("Exchange") == 1           # the texts; spread adds none
+    name = TT.write_token_table(tokens, dealt=True)
+    kept = TT.read_token_table(spark, name)
+    files = kept.select(F.input_file_name()).distinct().count()
+    assert files <= target_partitions(spark)                # one file for each bucket
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(C.ngram_counts(kept, n=3)) == key(C.ngram_counts(annotated(docs), n=3))
+
+
 def sentences(spark):
     rng = random.Random(3)
     rows = [(f"t{i % 2}", i * 977, [f"w{int(40 * rng.random() ** 2)}" for _ in range(8)] + ["the", "the"]) for i in range(900)]
