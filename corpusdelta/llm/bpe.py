@@ -5,7 +5,8 @@ trie, which gives the longest token that begins at a byte. The encoder takes
 it, checks that it may stand next to the token before it, else falls back to
 the token's longest prefix that is a token, and steps back over the last token
 when none is left. Two tokens may be neighbours if merging never crosses their
-border (``_Encoder.compatible``, memoised). Every byte position is given up at
+border (``_Encoder.compatible``, memoised). A worker that has ended a task
+remembers little (``RESTING``): it idles through other stages. Every byte position is given up at
 most once, so the work is linear in the text, and the ids equal those of
 rank-ordered merging.
 
@@ -31,6 +32,8 @@ from corpusdelta.llm.pretokenize import Memo, split
 
 #: Bound of the memory of neighbour checks, in pairs.
 PAIRS_KEPT = 1 << 19
+#: Pre-tokens and pairs that a worker may remember between two tasks.
+RESTING = 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -146,6 +149,12 @@ class _Encoder:
                 token = out.pop()
                 at -= length[token]
 
+    def rest(self) -> None:
+        """Give back what was remembered if it is much; the end of a task."""
+        self.memo.rest(RESTING)
+        if len(self.pairs) > RESTING:
+            self.pairs = {}
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, each pre-token on its own."""
         return np.frombuffer(b"".join(map(self.memo.__getitem__, split(text))), dtype="<i4")
@@ -167,6 +176,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             ids = [enc.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids)], names=[id_col, "ids"])
+        enc.rest()
 
     source = _narrow(docs, id_col, text_col)
     return source.mapInArrow(run, f"{_typed(source, id_col)}, ids array<int>")
@@ -202,6 +212,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(id_digests, pa.string()),
                  pa.array(text_digests, pa.string())],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.rest()
 
     source = _narrow(docs, id_col, text_col)
     return source.mapInArrow(

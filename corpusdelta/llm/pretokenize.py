@@ -130,6 +130,14 @@ class Memo(dict):
         super().__init__()
         self.compute, self.size, self.older = compute, size, {}
 
+    def rest(self, kept: int) -> None:
+        """Forget everything if it is more than ``kept`` entries, so that an idle
+        worker, whose memory other stages need, holds little. Entries that
+        stayed would keep the pages of those that went."""
+        if len(self) + len(self.older) > kept:
+            self.older = {}
+            self.clear()
+
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:

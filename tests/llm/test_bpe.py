@@ -61,6 +61,23 @@ def test_memo_is_bounded():
     assert memo["x" * 100] == 100 and "x" * 100 not in memo
 
 
+def test_worker_rests_with_small_memory(spark):
+    docs = spark.createDataFrame([(d, " ".join(f"q{d}x{k}z" for k in range(45_000))) for d in (1, 2)], "doc_id long, text string").coalesce(1)
+    assert bpe.round_trip(docs, PATH).count() == 2
+
+    def held(_):
+        enc = bpe.encoder(PATH)
+        yield len(enc.memo) + len(enc.memo.older), len(enc.pairs)
+
+    after = spark.sparkContext.parallelize(range(8), 8).mapPartitions(held).collect()
+    assert max(a for a, _ in after) <= 1 << 16 and max(b for _, b in after) <= 1 << 16
+    enc = bpe._Encoder(bpe.load_ranks(PATH))
+    text = " ".join(f"q{k}z" for k in range(70_000))
+    before = enc.encode(text).tolist()
+    enc.rest()
+    assert len(enc.memo) + len(enc.memo.older) <= 1 << 16 and enc.encode(text).tolist() == before == LIBRARY.encode_ordinary(text)
+
+
 def test_whole_table_and_odd_rows(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 30_000), (-3, "x" * 30_000), (None, "n")], "doc_id long, text string")
