@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdelta.session import target_partitions
+from corpusdelta.session import cut, new_folder, target_partitions
 
-#: Sentences of a row of postings, about; targets that are sent to every task.
-BLOCK, TARGETS = 4096, 10_000
+#: Sentences of a row of postings, about; targets that are sent to every task;
+#: lemmas of several blocks that are.
+BLOCK, TARGETS, LARGE = 4096, 10_000, 100_000
 
 
 def _bucket(lemma, buckets: int):
@@ -27,11 +28,16 @@ def write_postings(sentences: DataFrame, path: str, lemmas: str = "lemmas", keep
                    sent: str = "sent_id", buckets: int = 64) -> None:
     """Index ``sentences`` (an id, a lemma array, columns to keep) in the folder
     ``path``. A sentence is listed once even when a lemma repeats."""
-    n = target_partitions(sentences.sparkSession)
-    ex = sentences.select(*keep, F.col(sent).alias("_id"), F.explode(F.array_distinct(lemmas)).alias("lemma"))
+    spark = sentences.sparkSession
+    n = target_partitions(spark)
+    once = new_folder(spark, "sentences")   # the sentences are made once, for the sizes and for the rows
+    sentences.select(*keep, F.col(sent).alias("_id"), F.array_distinct(lemmas).alias("_lemmas")).write.parquet(once)
+    ex = spark.read.parquet(once).select(*keep, "_id", F.explode("_lemmas").alias("lemma")).where("lemma IS NOT NULL")
     sizes = ex.groupBy(F.col("lemma").alias("_l")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
-    blocks = ex.join(sizes, ex["lemma"] == sizes["_l"]).select(
-        *keep, "_id", "lemma", F.pmod(F.xxhash64("_id"), F.col("_parts")).alias("block"))
+    large = cut(sizes.where("_parts > 1"))  # all other lemmas are one block
+    sent_along = F.broadcast(large) if large.count() <= LARGE else large
+    blocks = ex.join(sent_along, ex["lemma"] == large["_l"], "left").select(
+        *keep, "_id", "lemma", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1))).alias("block"))
     rows = (blocks.groupBy(*keep, "lemma", "block").agg(F.array_sort(F.collect_list("_id")).alias("ids"))
             .withColumn("_bucket", _bucket("lemma", buckets)))
     (rows.repartitionByRange(n, "_bucket", "lemma", "block").sortWithinPartitions("_bucket", "lemma", "block")

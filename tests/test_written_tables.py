@@ -82,3 +82,16 @@ def test_a_hot_lemma_has_many_bounded_rows_in_several_files(spark, tmp_path, mon
     assert hot.count() > 30 and hot.agg(F.max(F.size("ids"))).first()[0] < 60
     assert hot.select(F.input_file_name()).distinct().count() > 1
     assert len(glob.glob(f"{tmp_path}/index/_bucket=*")) > 10
+
+
+def test_postings_make_the_sentences_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    s = spark.range(300).selectExpr("id AS sent_id", "'t1' AS time", "array('a', concat('w', id % 7)) AS lemmas")
+    PO.write_postings(s.mapInArrow(counted, s.schema), f"{tmp_path}/index")
+    assert made.value == 300
