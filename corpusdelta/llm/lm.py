@@ -5,9 +5,11 @@ end token for each document. Counts of all training tokens are made on the
 cluster. The ``CLASSES`` most frequent words, the end and one class for all
 other words are predicted by a log-bilinear network: the two classes before a
 token are embedded, each by its own matrix, and their sum is multiplied with
-the target embeddings. It is trained in numpy by noise-contrastive estimation
-on a bounded sample of training positions (``FIT_DOCS`` documents, up to
-``FIT_PLACES`` random places of each). In scoring, matrix products give the
+the target embeddings. It is trained in numpy by noise-contrastive estimation on all
+training positions: it starts from places of ``FIT_DOCS`` documents, and then
+every share of about ``SHARE`` positions goes on from the network as it is, on the
+cluster, and the means of the parameters, by positions, are the next network
+(``ROUNDS`` times, each with its own part of the documents). In scoring, matrix products give the
 logits of all classes after each pair of classes that occurs, hence normalised
 log-probabilities. Within the class of other words a word has the add-one share
 of its training count, so the score is the log10 probability of the whole text.
@@ -29,16 +31,22 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusdelta.llm.quality import fold
 from corpusdelta.llm.shared import scratch_path
 
-#: Bounds of what is broadcast or fitted: words with counts, word classes,
-#: sampled documents, places of each, words a task counts at a time.
+#: Bounds of what is broadcast: words with counts, word classes; of the start:
+#: documents, places of each; words a task counts at a time.
 HOT, CLASSES, FIT_DOCS, FIT_PLACES, COUNTED = 1 << 17, 1022, 2000, 128, 400_000
 DIM, NOISE, EPOCHS, BATCH, RATE = 24, 8, 3, 1024, 0.15
+#: The passes over all positions: rounds, positions of a share, about, and of a
+#: step, noise words that the positions of a step have in common, rate.
+ROUNDS, SHARE, STEP, COMMON, GO_RATE = 2, 1 << 21, 1024, 64, 0.05
+#: Networks that one task adds up.
+ADDED = 8
 OTHER, END = 0, 1
 #: The end token's key in the counts; no word holds white space.
 END_WORD = "\n"
@@ -99,18 +107,25 @@ class LogBilinear:
         self.context = rng.normal(0, 0.1, (n, DIM))
         self.matrix = [np.eye(DIM) * 0.5 + rng.normal(0, 0.02, (DIM, DIM)) for _ in range(2)]
         self.target = rng.normal(0, 0.1, (n, DIM))
-        self.bias = np.log(p)
+        self.bias, self.p = np.log(p), p
         self._train(places, p, rng)
+        self._ready()
+
+    def _ready(self) -> None:
         self.logits = [(self.context @ m @ self.target.T).astype(np.float32) for m in self.matrix]
-        self.bias = self.bias.astype(np.float32)
+        self.scored_bias = self.bias.astype(np.float32)
         self.normaliser = None
 
+    @property
+    def params(self) -> list[np.ndarray]:
+        return [self.context, self.target, self.bias, *self.matrix]
+
     def _train(self, places: np.ndarray, p: np.ndarray, rng) -> None:
         """Noise-contrastive estimation: tell each target from ``NOISE`` words
         of the unigram distribution. AdaGrad steps on mean gradients."""
         cdf, expected = np.cumsum(p), np.log(NOISE * p)
-        params = [self.context, self.target, self.bias, *self.matrix]
-        sums = [np.full_like(x, 1e-2) for x in params]
+        params = self.params
+        self.sums = sums = [np.full_like(x, 1e-2) for x in params]
         for _ in range(EPOCHS):
             rng.shuffle(places)
             for k in range(0, len(places), BATCH):
@@ -137,9 +152,59 @@ class LogBilinear:
                     s += g * g
                     x -= RATE * g / np.sqrt(s)
 
+    def gone_on(self, far: np.ndarray, near: np.ndarray, true: np.ndarray, rng) -> np.ndarray:
+        """All parameters after one pass over the places, in this order, from
+        the network as it is, which stays. The same estimation in steps
+        of ``STEP`` places, with ``COMMON`` noise words for all places of a step, drawn at even
+        distances of the cumulated distribution."""
+        context, target, bias, *matrix = params = [x.astype(np.float32) for x in self.params]
+        sums = [x.astype(np.float32) for x in self.sums]
+        cdf, expected = np.cumsum(self.p), np.log(COMMON * self.p).astype(np.float32)
+        for k in range(0, len(true), STEP):
+            at = [x[k:k + STEP] for x in (far, near)]
+            own = true[k:k + STEP]
+            noise = np.minimum(np.searchsorted(cdf, (np.arange(COMMON) + rng.random()) / COMMON), len(cdf) - 1)
+            guess = (context @ matrix[0])[at[0]]
+            guess += (context @ matrix[1])[at[1]]
+            vectors = target[own]
+            up = np.einsum("md,md->m", guess, vectors) + (bias - expected)[own]
+            up = 1 / (1 + np.exp(-np.clip(up, -30, 30))) - 1
+            other = guess @ target[noise].T
+            other += (bias - expected)[noise]
+            np.maximum(other, -30, out=other)  # the exponential stays finite
+            np.negative(other, out=other)
+            np.exp(other, out=other)
+            other += 1
+            np.reciprocal(other, out=other)
+            back = other @ target[noise]
+            vectors *= up[:, None]
+            back += vectors
+            guess_up = guess * up[:, None]
+            to_target, to_bias = _sums(own, guess_up, len(bias)), np.bincount(own, up, len(bias)).astype(np.float32)
+            np.add.at(to_target, noise, other.T @ guess)
+            np.add.at(to_bias, noise, other.sum(axis=0))
+            to_context, to_matrix = np.zeros_like(context), []
+            for places, m in zip(at, matrix):
+                each = _sums(places, back, len(context))
+                to_context += each @ m.T
+                to_matrix.append(context.T @ each)
+            for x, g, s in zip(params, (to_context, to_target, to_bias, *to_matrix), sums):
+                s += g * g
+                g *= GO_RATE
+                g /= np.sqrt(s)
+                x -= g
+        return np.concatenate([x.ravel() for x in params])
+
+    def become(self, flat: np.ndarray) -> None:
+        """Take all parameters from one array."""
+        ends = np.cumsum([x.size for x in self.params])[:-1]
+        self.context, self.target, self.bias, *self.matrix = (
+            x.reshape(old.shape) for x, old in zip(np.split(flat, ends), self.params))
+        self._ready()
+
     def log10(self, far: np.ndarray, near: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of the targets."""
-        n = len(self.bias)
+        n = len(self.scored_bias)
         if self.normaliser is None:  # filled as pairs of classes occur
             self.normaliser = np.full(n * n, np.nan, dtype=np.float32)
         pair = far * n + near
@@ -148,12 +213,12 @@ class LogBilinear:
             some = new[k:k + 2048]
             z = self.logits[0][some // n]
             z += self.logits[1][some % n]
-            z += self.bias
+            z += self.scored_bias
             top = z.max(axis=1, keepdims=True)
             z -= top
             np.exp(z, out=z)
             self.normaliser[some] = np.log(z.sum(axis=1)) + top[:, 0]
-        s = self.logits[0][far, target] + self.logits[1][near, target] + self.bias[target]
+        s = self.logits[0][far, target] + self.logits[1][near, target] + self.scored_bias[target]
         return (s - self.normaliser[pair]) / np.log(10)
 
 
@@ -166,6 +231,22 @@ def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
         out[keys[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Of each of ``n`` classes the sum of its ``rows``."""
+    place = (at.astype(np.int64)[:, None] * DIM + np.arange(DIM)).ravel()
+    return np.bincount(place, rows.ravel(), n * DIM).reshape(n, DIM).astype(np.float32)
+
+
+def _before(c: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes two before and one before each of ``c``, the tokens of documents of
+    ``sizes`` tokens; before a document there are ends."""
+    first = np.cumsum(sizes) - sizes
+    near, far = np.roll(c, 1), np.roll(c, 2)
+    near[first], far[first] = END, END
+    far[first[sizes > 1] + 1] = END
+    return far, near
+
+
 class Scorer:
     """What a task needs: hot words with counts, the network, its sums."""
 
@@ -208,17 +289,71 @@ class Scorer:
         if texts:
             first = np.cumsum([0, *sizes[:-1]])
             c = np.concatenate(classes)
-            near, far = np.roll(c, 1), np.roll(c, 2)
-            near[first], far[first] = END, END
-            more = first[np.array(sizes) > 1] + 1
-            far[more] = END
+            far, near = _before(c, np.array(sizes))
             for row, x in zip(out, np.add.reduceat(self.net.log10(far, near, c).astype(np.float64), first)):
                 row[5] = float(x)
         return out
 
 
-def fit(docs: DataFrame, scorer: Scorer, unigram: np.ndarray, id_col: str, text_col: str) -> LogBilinear:
-    """Train on places of the ``FIT_DOCS`` documents with the least hash."""
+def _learn_all(net: LogBilinear, scorer: Scorer, narrow: DataFrame, total: int) -> None:
+    """Go on over all ``total`` positions of ``narrow`` (k, text): each document
+    is in one round, and there in the share that its hash ``k`` gives."""
+    spark = narrow.sparkSession
+    shares = -(-total // (SHARE * ROUNDS))
+    words_of = spark.sparkContext.broadcast(scorer)
+
+    def coded(batches):
+        for b in batches:
+            each = [words_of.value.classes(words_of.value.indices(words(t))).astype(np.int16).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(each, pa.binary())], names=["k", "classes"])
+
+    def round_over(n, shared):
+        def run(batches):
+            rows = [c for b in batches for c in b.column("classes").to_pylist()]  # two bytes a position of one share
+            if not rows:
+                return
+            share = TaskContext.get().partitionId()
+            rng = np.random.default_rng([n, share])
+            c = np.frombuffer(b"".join(rows), np.int16)
+            far, near = _before(c, np.array([len(r) // 2 for r in rows]))
+            order = rng.permutation(len(c))
+            flat = shared.value.gone_on(far[order], near[order], c[order], rng)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([share], pa.int32()), pa.array([len(c)], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())],
+                names=["share", "n", "flat"])
+        return run
+
+    def mean(table):
+        n = table["n"].to_numpy()
+        flat = np.zeros(sum(x.size for x in net.params))
+        for x, weight in zip(table["flat"], n / n.sum()):
+            flat += np.frombuffer(x.as_py(), np.float32) * weight
+        return int(n.sum()), flat
+
+    def added(table):
+        table = table.sort_by("share")
+        n, flat = mean(table)
+        return pa.table({"share": pa.array([table["share"][0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()),
+                         "flat": pa.array([flat.astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "share int, n long, flat binary"
+    for n in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(net)
+        dealt = (narrow.where(F.pmod("k", F.lit(ROUNDS)) == n).mapInArrow(coded, "k long, classes binary")
+                 .repartition(shares, "k").sortWithinPartitions("k", "classes"))
+        nets, left = dealt.select("classes").mapInArrow(round_over(n, shared), schema), shares
+        while left > 2 * ADDED:  # so few networks meet in one task, and at the driver
+            left = -(-left // ADDED)
+            nets = nets.groupBy(F.pmod("share", F.lit(left)).alias("to")).applyInArrow(added, schema)
+        got = nets.toArrow()
+        if got.num_rows:
+            net.become(mean(got.sort_by("share"))[1])
+        shared.unpersist()
+
+
+def fit(docs: DataFrame, scorer: Scorer, unigram: np.ndarray, total: int, id_col: str, text_col: str) -> LogBilinear:
+    """Train on all ``total`` positions of ``docs``: a network of places of the
+    ``FIT_DOCS`` documents with the least hash, then passes over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
@@ -233,7 +368,10 @@ def fit(docs: DataFrame, scorer: Scorer, unigram: np.ndarray, id_col: str, text_
     limit = narrow.select("k").orderBy("k").limit(FIT_DOCS).agg(F.max("k")).first()[0]
     got = narrow.where(F.col("k") <= limit).dropDuplicates(["k"]).mapInArrow(run, "k long, places binary").toArrow() if limit is not None else None
     rows = got.sort_by("k")["places"].to_pylist() if got is not None else []
-    return LogBilinear(unigram, np.frombuffer(b"".join(rows), np.int32).reshape(-1, 3).copy())
+    net = LogBilinear(unigram, np.frombuffer(b"".join(rows), np.int32).reshape(-1, 3).copy())
+    if total:
+        _learn_all(net, scorer, narrow, total)
+    return net
 
 
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +392,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     n_classes = len(hot[:CLASSES])
     other_total = total - end_count - in_classes
     other_words = distinct - (end_count > 0) - n_classes
-    scorer.net = fit(train, scorer, np.array([other_total, end_count, *(c for _, c in hot[:CLASSES])], np.float64), id_col, text_col)
+    scorer.net = fit(train, scorer, np.array([other_total, end_count, *(c for _, c in hot[:CLASSES])], np.float64), total, id_col, text_col)
     shared = spark.sparkContext.broadcast(scorer)
 
     def run(batches):

@@ -63,3 +63,14 @@ def test_probabilities_sum_to_one_and_training_helps():
     total = sum(10 ** net.log10(far, near, np.full(20, t)) for t in range(8))
     np.testing.assert_allclose(total, 1, atol=1e-4)
     assert net.log10(places[:, 0], places[:, 1], places[:, 2]).mean() > math.log10(0.4)
+
+
+def test_network_learns_from_all_documents(spark, monkeypatch):
+    """The start sees one place; what follows on what is learned from the others."""
+    for name, value in (("FIT_DOCS", 1), ("FIT_PLACES", 1), ("STEP", 64), ("SHARE", 2000), ("ADDED", 2)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    df = spark.createDataFrame([(i, "a b c d " * 12 if i else None) for i in range(1200)], "doc_id long, text string")
+    got = lm.score_held_out(df).where("doc_id > 0").collect()
+    assert len(got) == 1199 and all(r.score / r.n_tokens > math.log10(0.5) for r in got)
+    assert [r.score for r in lm.score_held_out(df).orderBy("doc_id").collect()][1:] == pytest.approx(
+        [r.score for r in sorted(got, key=lambda r: r.doc_id)], rel=1e-5)
