@@ -69,8 +69,8 @@ def _encoder(path: str, added_tokens: bool):
         whole = {k: t for k, t in enumerate(texts) if any(x in t for x in added)}
         pieces, sizes = split_many(["" if k in whole else t for k, t in enumerate(texts)], table)
         coded = pieces.dictionary_encode()
-        each = [memo[p] for p in coded.dictionary.to_pylist()]
-        length = np.array([len(e) for e in each], np.int64) // 4
+        each = [memo[p] for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]  # no Arrow scalar for each
+        length = np.fromiter(map(len, each), np.int64, len(each)) // 4
         first, of = np.cumsum(length) - length, coded.indices.to_numpy()
         n = length[of]
         ends = np.cumsum(n)
