@@ -108,17 +108,21 @@ def _variants(nodes: DataFrame, max_bits: int) -> DataFrame:
 
 def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     """nodes (fp, distinct) -> edges (a, b) that connect exactly the
-    fingerprints that a chain of links connects; each edge is a link."""
+    fingerprints that a chain of links connects; each edge is a link.
+
+    Spark sizes the variants like the fingerprints they were exploded from, and
+    would broadcast them; the hints keep them in the shuffle. Of a partition's
+    variants, at most one in ``LIGHT`` is a heavy key, the side that is hashed."""
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     variants = _variants(nodes.repartition(partitions, F.xxhash64("fp")), max_bits)  # few bytes become many rows
     heavy_keys = cut(variants.groupBy("slot", "part").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    light = variants.join(heavy_keys, ["slot", "part"], "left_anti")
+    light = variants.join(heavy_keys.hint("shuffle_hash"), ["slot", "part"], "left_anti")
     left = light.where("side IS NULL OR side = 0").select("slot", "part", "side", F.col("fp").alias("a"))
     right = light.where("side IS NULL OR side = 1").select(
         F.col("slot").alias("slot_b"), F.col("part").alias("part_b"), F.col("fp").alias("b"))
     # the check of all bits is part of the join: chance meetings leave no rows
-    pairs = left.join(right, (F.col("slot") == F.col("slot_b")) & (F.col("part") == F.col("part_b")) & close
+    pairs = left.join(right.hint("merge"), (F.col("slot") == F.col("slot_b")) & (F.col("part") == F.col("part_b")) & close
                       & (F.col("side").isNotNull() | (F.col("a") < F.col("b"))))
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +140,7 @@ def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    heavy = variants.join(heavy_keys, ["slot", "part"]).select(
+    heavy = variants.join(heavy_keys.hint("shuffle_hash"), ["slot", "part"]).select(
         "slot", "part", "fp", blocks.alias("blocks"), F.pmod(F.hash("fp"), blocks).alias("own"))
     spread = heavy.select("slot", "part", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     found = (spread.groupBy("slot", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))

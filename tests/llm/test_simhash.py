@@ -77,3 +77,16 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.root for r in connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(50)}}
     assert connected_components(df.where(F.lit(False))).count() == 0
+
+
+def test_variants_are_not_broadcast_though_spark_sizes_them_low(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIGHT", 2)
+    rng = random.Random(8)
+    near = [rng.getrandbits(20) for _ in range(8)]
+    fps = {*near, *(f ^ 1 << 40 for f in near), *(f ^ 3 for f in near)}
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = simhash.links(nodes)
+    assert found.count() > 8
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "ShuffledHashJoin" in plan and "BroadcastExchange" not in plan
