@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -257,8 +258,12 @@ def mtld(tokens: DataFrame, threshold: float = fixed.MTLD_THRESHOLD, doc: str =
     """Measure of textual lexical diversity (forward/backward mean
     factor length).
 
-    A parallel scan: a document's tokens, in either direction, are cut into
-    chunks, and each chunk is summarised as the map from the place where a
+    The partitioning by document brings a document's tokens to one task in their
+    order. There, documents of at most ``chunk * fan * fan`` tokens are read in
+    both directions as they pass, one at a time; nothing of them is kept.
+
+    Longer ones take a parallel scan: their tokens, in either direction, are cut
+    into chunks, and each chunk is summarised as the map from the place where a
     factor begins to the factors that end and the place where the next chunk
     is entered. Maps of ``fan`` neighbouring chunks are composed level by
     level, so no group holds a document. A chunk sees the one behind it; the
@@ -266,22 +271,61 @@ def mtld(tokens: DataFrame, threshold: float = fixed.MTLD_THRESHOLD, doc: str =
     times as long, so a group holds at most about eight times the longest
     factor (or a first chunk)."""
     from corpusdelta.session import cut
-    pos = cut(_token_positions(tokens, doc, value))
-    seq = pos.withColumn("_way", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+    pos = _token_positions(tokens, doc, value)
+    passed = cut(_lengths(pos, doc, threshold, chunk * fan * fan))
+    length = F.when(F.col("count") > 0, F.col("_n") / F.col("count")).otherwise(F.col("_n").cast("double"))
+    done = passed.where(F.col("count").isNotNull()).select(doc, "_n", "count")
+    kept = passed.where(F.col("count").isNull()).select(doc, "_value", "_pos", "_n")
+    seq = kept.withColumn("_way", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "_pos", F.when(F.col("_way") == 1, F.col("_n") - 1 - F.col("_pos")).otherwise(F.col("_pos")))
-    done = None
-    while True:
+    long = not kept.isEmpty()
+    while long:
         counts = cut(_factor_counts(seq, doc, threshold, chunk, fan))
-        found = counts.where(F.col("exit") == ENDED)
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(counts.where(F.col("exit") == ENDED).select(doc, "_n", "count"))
         again = counts.where(F.col("exit") != ENDED).select(doc, "_way")
         if again.isEmpty():
             break
         seq, chunk = seq.join(again, [doc, "_way"], "left_semi"), chunk * 4
-    length = F.when(F.col("count") > 0, F.col("_n") / F.col("count")).otherwise(F.col("_n").cast("double"))
     return done.groupBy(doc).agg(F.avg(length).alias("mtld"))
 
 
+def _lengths(pos: DataFrame, doc: str, threshold: float, most: int) -> DataFrame:
+    """``(doc, _value, _pos, _n, count)``: two rows for each document of at most
+    ``most`` tokens, with its factors in either direction; the tokens of the
+    others as they are. ``pos`` comes from :func:`_token_positions`, whose window
+    leaves each document's tokens together and in their order."""
+    kind = pos.schema[doc].dataType.simpleString()
+
+    def run(batches):
+        held: list = []
+        for b in batches:
+            at, sizes = b.column("_pos").to_numpy(), b.column("_n").to_numpy()
+            long = sizes > most
+            if long.any():
+                rows = b.filter(pa.array(long)).select([doc, "_value", "_pos", "_n"])
+                yield rows.append_column("count", pa.nulls(rows.num_rows, pa.float64()))
+            out, ends = [], np.flatnonzero(~long & (at == sizes - 1))
+            values, start = b.column("_value"), 0
+            for stop in [*(ends + 1).tolist(), b.num_rows]:
+                part = slice(start, stop)
+                short = np.flatnonzero(~long[part]) + start
+                if len(short):
+                    if at[short[0]] != len(held) or (np.diff(at[short]) != 1).any():
+                        raise RuntimeError("tokens of a document do not come in their order")
+                    held += values.take(pa.array(short)).to_pylist() if len(short) < stop - start else values.slice(start, stop - start).to_pylist()
+                    if at[short[-1]] == sizes[short[-1]] - 1:
+                        out += [(int(short[-1]), _chunk_map(s, len(s), 0, len(s), threshold)[0][0]) for s in (held, held[::-1])]
+                        held = []
+                start = stop
+            if out:
+                rows = b.take(pa.array([i for i, _ in out])).select([doc, "_value", "_pos", "_n"])
+                yield rows.append_column("count", pa.array([c for _, c in out], pa.float64()))
+        if held:
+            raise RuntimeError("a document ends before its last token")
+
+    return pos.select(doc, "_value", "_pos", "_n").mapInArrow(run, f"`{doc}` {kind}, _value string, _pos long, _n long, count double")
+
+
 # ------------------------------------------------------------------ L17
 def global_hapax(tokens: DataFrame, doc: str = "doc_id", value: str = "lemma",
                  times: int = 2) -> DataFrame:

@@ -63,6 +63,19 @@ def test_no_group_holds_a_document(spark, monkeypatch):
     assert plan.first().mtld == pytest.approx(sequential(seq), rel=1e-12)
 
 
+def test_tokens_of_short_documents_are_not_kept(spark, monkeypatch):
+    from corpusdelta import session
+    kept, plain = [], session.cut
+    monkeypatch.setattr(session, "cut", lambda df: kept.append(plain(df)) or kept[-1])
+    docs = texts()
+    got = {r.doc_id: r.mtld for r in FT.mtld(table(spark, docs), chunk=16, fan=4).collect()}
+    short = [d for d, seq in docs.items() if len(seq) <= 256]
+    assert kept[0].count() == 2 * len(short) + sum(len(seq) for d, seq in docs.items() if d not in short)
+    assert got == pytest.approx({d: sequential(seq) for d, seq in docs.items()}, rel=1e-12)
+    FT.mtld(table(spark, docs))
+    assert kept[-1].count() == 2 * len(docs)
+
+
 def test_closes_of_all_starts_equal_single_scans():
     rng = random.Random(2)
     for _ in range(40):
