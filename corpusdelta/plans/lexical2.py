@@ -13,6 +13,7 @@ from corpusdelta.operators import tokens as tok
 from corpusdelta.plans import sqlbits as Q
 from corpusdelta.plans.common import annotated, quality_docs, rounded, source_docs, table
 from corpusdelta.plans.lexical import _quality_keyness, _quality_keyness_sql
+from corpusdelta.session import cut
 
 PLANS: dict = {}
 
@@ -88,10 +89,15 @@ def q_significant_share(spark, sf):
 
 
 # ------------------------------------------------------------------ n-gram keyness
+def _ngram_keyness(docs, n, base, target):
+    grams, totals = C.ngram_counts_and_totals(annotated(docs), n=n, by="corpus", part=True)
+    # cut: else what is asked of lemmas would be computed for every n-gram, and not for those of both corpora
+    both = cut(K.keyness(grams, base, target, how="inner", totals=totals, keys=["target", "part"]))
+    return both.select("target", T.ngram_lemma("target").alias("lemma"), T.ngram_pos("target").alias("pos"), "freq1", "freq2", *K.MEASURES)
+
+
 def _quality_ngram_keyness(spark, sf, n=5):
-    docs = quality_docs(spark, sf)
-    grams, totals = C.ngram_counts_and_totals(annotated(docs), n=n, by="corpus")
-    return K.keyness(grams, "q0", "q1", how="inner", totals=totals)
+    return _ngram_keyness(quality_docs(spark, sf), n, "q0", "q1")
 
 
 def _ngram_keyness_sql(n=5):
@@ -265,8 +271,7 @@ def _toxic_ngram_keyness(spark, sf, n):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     lab = table(spark, sf, "labels").select("doc_id", "toxic")
     d = docs.join(lab, "doc_id").select("doc_id", "text", F.concat(F.lit("x"), F.col("toxic")).alias("corpus"))
-    grams, totals = C.ngram_counts_and_totals(annotated(d), n=n, by="corpus")
-    return K.keyness(grams, "x0", "x1", how="inner", totals=totals)
+    return _ngram_keyness(d, n, "x0", "x1")
 
 
 def _overlap_sql(n):

@@ -73,3 +73,19 @@ def test_parts_are_dealt_evenly_and_equal_ngrams_meet(spark):
 def test_empty_table(spark):
     t = table(spark, sentences()).limit(0)
     assert C.ngram_counts(t, n=5).count() == 0 and C.ngram_counts_and_totals(t, n=5)[1] == {}
+
+
+@pytest.mark.parametrize("name", ["keyness_ngrams", "ngram_overlap_flag_5"])
+def test_keyness_keeps_runs_and_the_shared_ngrams_only(spark, monkeypatch, name):
+    import __spark_entry__ as E
+    from corpusdelta import session
+    from corpusdelta.plans import lexical2
+    from tests.conftest import SF_SMALL
+    rows, plain = [], session.cut
+    for module in (session, lexical2):
+        monkeypatch.setattr(module, "cut", lambda df: rows.append(plain(df)) or rows[-1])
+    out = E.queries()[name](spark, SF_SMALL)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "_text" not in plan       # lemmas are asked of what both corpora hold
+    assert len(rows) == (1 if name == "keyness_ngrams" else 2)
+    assert all(r.where("freq1 = 0 OR freq2 = 0").count() == 0 and "lemma" not in r.columns for r in rows)
