@@ -95,3 +95,18 @@ def test_postings_make_the_sentences_once(spark, tmp_path):
     s = spark.range(300).selectExpr("id AS sent_id", "'t1' AS time", "array('a', concat('w', id % 7)) AS lemmas")
     PO.write_postings(s.mapInArrow(counted, s.schema), f"{tmp_path}/index")
     assert made.value == 300
+
+
+def test_a_large_corpus_gets_more_and_compressed_buckets(spark, monkeypatch):
+    from corpusdelta import session
+    monkeypatch.setattr(session, "TASK_BYTES", 20_000)
+    docs = lang_docs(spark, SF_SMALL)
+    n = session.text_partitions(docs)
+    assert n > session.target_partitions(spark)
+    assert annotated(docs).rdd.getNumPartitions() == n        # spread deals texts to as many
+    kept = TT.read_token_table(spark, TT.write_token_table(annotated(docs.repartition(n, "doc_id")), buckets=n, dealt=True))
+    files = [r[0] for r in kept.select(F.input_file_name()).distinct().collect()]
+    assert 8 < len(files) <= n and all(f.endswith(".zstd.parquet") for f in files)
+    joined = docs.join(docs.select("doc_id"), "doc_id")         # the planner's size of a join is a product
+    assert session.text_partitions(joined) <= 2 * n
+    assert session.planned_bytes(spark.createDataFrame([(1,)], "a long").rdd.toDF()) is None
