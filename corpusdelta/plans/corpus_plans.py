@@ -18,7 +18,7 @@ from corpusdelta.operators import corpus as CO
 from corpusdelta.operators import tokens as tok
 from corpusdelta.plans import sqlbits as Q
 from corpusdelta.plans.common import rounded, table
-from corpusdelta.session import cut, ensure_checkpoint_dir
+from corpusdelta.session import ensure_checkpoint_dir, text_partitions
 from corpusdelta.sources import readers as R
 from corpusdelta.sources import writers as W
 
@@ -317,10 +317,21 @@ lines AS (SELECT doc_id, sent_id, list(target ORDER BY pos_in_sent) AS lemmas, l
           FROM ann GROUP BY doc_id, sent_id)"""
 
 
+def _line_files(spark, sf):
+    """Lemma lines and token lines of the sentences in the order of the documents.
+    Only the texts are put in order; the lines are made where the texts lie, for
+    each file anew, so no tokens are exchanged or kept."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = docs.repartitionByRange(text_partitions(docs), "doc_id")
+    lemmas = tok.sentence_targets(docs, dealt=True)
+    tokens = tok.rebuild_lines(tok.tokenize(docs, dealt=True), value_col="token")
+    return [d.sortWithinPartitions("doc_id", "sent_id") for d in (lemmas, tokens)]
+
+
 def _write_lines(spark, sf, base):
-    st = cut(tok.sentence_targets(table(spark, sf, "documents")).orderBy("doc_id", "sent_id"))     # written twice
-    W.write_lines(st, f"{base}/lemmas.txt.gz", "targets", compression="gzip")
-    W.write_lines(st, f"{base}/tokens.txt.gz", "tokens", compression="gzip")
+    lemmas, tokens = _line_files(spark, sf)
+    W.write_lines(lemmas, f"{base}/lemmas.txt.gz", "targets", compression="gzip")
+    W.write_table(tokens.select(F.col("line").alias("value")), f"{base}/tokens.txt.gz", "text", "gzip")
 
 
 @plan("read_sentence_lines", LINES_SQL + "\nSELECT array_to_string(lemmas, ' ') AS line, CAST(len(lemmas) AS INTEGER) AS n FROM lines")

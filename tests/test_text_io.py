@@ -79,3 +79,18 @@ def test_sentences_to_text_and_prefix(spark):
     assert got == {"d1": "a b c", "": "x"}
     p = spark.createDataFrame([("  coref: wb | _ Hello there",)], "input string").select(R.strip_prefix("input"))
     assert p.first()[0] == "Hello there"
+
+
+def test_line_files_are_in_order_without_exchanging_tokens(spark, tmp_path):
+    from corpusdelta.plans import corpus_plans as CP
+    from tests.conftest import SF_SMALL
+    for lines in CP._line_files(spark, SF_SMALL):
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Exchange rangepartitioning(doc_id" in plan      # the texts
+        places = [(r.doc_id, r.sent_id) for r in lines.select("doc_id", "sent_id").collect()]
+        assert places == sorted(places) and len(places) > 500
+    CP._write_lines(spark, SF_SMALL, str(tmp_path))
+    z = R.zip_lemma_token_lines(spark, f"{tmp_path}/lemmas.txt.gz", f"{tmp_path}/tokens.txt.gz", "t1")
+    rows = z.orderBy("sent_id").collect()
+    assert len(rows) == len(places) and all(len(r.lemmas) == len(r.tokens) for r in rows)
+    assert "regexp_extract_all" not in z._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
