@@ -81,13 +81,14 @@ def zip_lemma_token_lines(spark: SparkSession, lemma_path: str, token_path: str,
                           time: str) -> DataFrame:
     """Pair two parallel line files by line number, tag with ``time``;
     unequal line counts raise. Returns ``(time, sent_id, lemmas, tokens)``."""
-    lem = line_numbers(spark.read.text(lemma_path)).select("line_no", split_line("value").alias("lemmas"))
-    tok = line_numbers(spark.read.text(token_path)).select("line_no", split_line("value").alias("tokens"))
-    nl, nt = lem.count(), tok.count()
+    lem = line_numbers(spark.read.text(lemma_path)).select("line_no", F.col("value").alias("lemmas"))
+    tok = line_numbers(spark.read.text(token_path)).select("line_no", F.col("value").alias("tokens"))
+    nl, nt = spark.read.text(lemma_path).count(), spark.read.text(token_path).count()
     if nl != nt:
         raise ValueError(f"line counts differ: {nl} vs {nt}")
-    return (lem.join(tok, "line_no").select(F.lit(time).alias("time"),
-                                            F.col("line_no").alias("sent_id"), "lemmas", "tokens"))
+    # lines are split after they met: arrays of short words are some times as large
+    return (lem.join(tok, "line_no").select(F.lit(time).alias("time"), F.col("line_no").alias("sent_id"),
+                                            split_line("lemmas").alias("lemmas"), split_line("tokens").alias("tokens")))
 
 
 def read_freq_tsv(spark: SparkSession, path: str, n: int = 1) -> DataFrame:
