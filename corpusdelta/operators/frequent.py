@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusdelta.functions import text as T
 from corpusdelta.operators.batched_logit import splitmix64
-from corpusdelta.session import cut
+from corpusdelta.session import written
 
 #: Bits of a filter; with this many, 13 million frequent parts pass one in 100 others.
 BITS = 1 << 27
@@ -85,8 +85,12 @@ def sentence_hashes(tokens: DataFrame, by: str, key: str = "target", doc: str =
     """``(corpus, seed, targets, hashes)``, one row per sentence; the grouping
     contains the document id, so a doc-id partitioning satisfies it."""
     s = (tokens.groupBy(by, doc, "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos_in_sent", key))).alias("s")))
-    return s.select(F.col(by).alias("corpus"), F.xxhash64(by).alias("seed"), F.col(f"s.{key}").alias("targets"),
-                    F.transform(f"s.{key}", lambda t: F.xxhash64(t)).alias("hashes"))
+    return _hashed(s.select(F.col(by).alias("corpus"), F.col(f"s.{key}").alias("targets")))
+
+
+def _hashed(sentences: DataFrame) -> DataFrame:
+    return sentences.select("corpus", F.xxhash64("corpus").alias("seed"), "targets",
+                            F.transform("targets", lambda t: F.xxhash64(t)).alias("hashes"))
 
 
 def candidate_ngrams(sentences: DataFrame, n: int, min_freq: int, bits: int = BITS) -> DataFrame:
@@ -122,7 +126,9 @@ def candidate_ngrams(sentences: DataFrame, n: int, min_freq: int, bits: int = BI
 def frequent_ngrams(tokens: DataFrame, n: int, min_freq: int, by: str = "corpus", key: str = "target", bits: int = BITS) -> DataFrame:
     """``(by, target, lemma, pos, freq)`` of the contiguous n-grams with at least
     ``min_freq`` occurrences in their corpus: :func:`counts.ngram_counts` with a
-    minimum frequency."""
-    found = candidate_ngrams(cut(sentence_hashes(tokens, by, key)), n, min_freq, bits)
+    minimum frequency. The sentences are kept as compressed Parquet, without their
+    hashes, which do not compress and are quickly made again for each level."""
+    kept = written(sentence_hashes(tokens, by, key).select("corpus", "targets"))
+    found = candidate_ngrams(_hashed(kept), n, min_freq, bits)
     return (found.groupBy("corpus", "target").agg(F.sum("c").alias("freq")).where(F.col("freq") >= min_freq)
             .select(F.col("corpus").alias(by), "target", T.ngram_lemma("target").alias("lemma"), T.ngram_pos("target").alias("pos"), "freq"))

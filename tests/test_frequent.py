@@ -44,3 +44,14 @@ def test_rare_ngrams_are_not_shuffled_as_text(spark):
 
 def test_empty_table(spark):
     assert FQ.frequent_ngrams(tokens(spark).limit(0), 5, 2).count() == 0
+
+
+def test_sentences_are_kept_compressed_without_hashes(spark, monkeypatch):
+    from corpusdelta import session
+    kept, plain = [], session.written
+    monkeypatch.setattr(FQ, "written", lambda df: kept.append(plain(df)) or kept[-1])
+    t = tokens(spark)
+    got = FQ.frequent_ngrams(t, 5, 3)
+    want = C.ngram_counts(t, n=5).where("freq >= 3")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert [k.columns for k in kept] == [["corpus", "targets"]] and all(".zstd." in f for f in kept[0].inputFiles())
