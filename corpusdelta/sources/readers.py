@@ -49,8 +49,8 @@ def line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
 
     A count and the first row id of each file split (one row per split) give
     the offsets inside a file, and one row per file those of the files, so no
-    window spans all splits; the planner chooses how the offsets are joined
-    to the lines."""
+    window spans all splits. The offsets, one row per split, are broadcast, so
+    the lines are not exchanged."""
     split = ["_f", "_b"]
     part = (df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
             .withColumn("_m", F.monotonically_increasing_id()))
@@ -60,7 +60,7 @@ def line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
     earlier = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("_f", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_start"))
     adj = counts.join(files, "_f").select(*split, (F.col("_start") + F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_m0")).alias("_adj"))
-    return (part.join(adj, split)
+    return (part.join(F.broadcast(adj), split)
             .withColumn(name, (F.col("_m") + F.col("_adj")).cast("long"))
             .drop(*split, "_m", "_adj"))
 

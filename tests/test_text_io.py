@@ -94,3 +94,11 @@ def test_line_files_are_in_order_without_exchanging_tokens(spark, tmp_path):
     rows = z.orderBy("sent_id").collect()
     assert len(rows) == len(places) and all(len(r.lemmas) == len(r.tokens) for r in rows)
     assert "regexp_extract_all" not in z._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+
+
+def test_line_numbers_do_not_exchange_the_lines(spark, tmp_path):
+    spark.range(0, 500, 1, 5).selectExpr("concat('line ', id) AS value").write.text(f"{tmp_path}/lines")
+    numbered = R.line_numbers(spark.read.text(f"{tmp_path}/lines"))
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan.split("FileScan", 1)[0] and "SortMergeJoin" not in plan.split("FileScan", 1)[0]
+    assert [(r.line_no, r.value) for r in numbered.orderBy("line_no").collect()] == [(i, f"line {i}") for i in range(500)]
